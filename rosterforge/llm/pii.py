@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data, in DataFrame operations only.
 
 Texts are cut at one pattern with split(), the matches come from regexp_extract_all() with the same pattern, and the
-parts are joined again with each match replaced. A match is validated (Luhn digit, calendar day, octets, number plan);
+parts are joined again with each match replaced. A match is validated (Luhn digit, calendar day, octets, areas of a number);
 what isn't valid stays as it is. A valid value is a number in Z_a x Z_b and goes through an alternating Feistel network
 with modular addition, l = (l + F(r)) mod a, r = (r + F(l)) mod b, a permutation of just these values under the key:
 equal values get equal pseudonyms in all documents, different values different ones, and nothing leaves its format.
@@ -26,11 +26,11 @@ KINDS = {
     "date": r"(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.](?:19|20)[0-9]{2})",
     "ipv4": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "phone": r"(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[-. ])[2-9][0-9]{2}[-. ]?[0-9]{4}",
+    "phone": r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}",
     "card": r"(?:[0-9]{4}[ -]){3}[0-9]{4}|[0-9]{13,16}",
 }
 #: Not within a longer word or number: a quick look behind and ahead.
-PATTERN = r"(?<![A-Za-z0-9_])(?:" + "|".join(KINDS.values()) + r")(?![A-Za-z0-9_])(?!\.[0-9])"
+PATTERN = r"(?<![A-Za-z0-9_])(?<![0-9][.])(?:" + "|".join(KINDS.values()) + r")(?![A-Za-z0-9_])(?!\.[0-9])"
 DAY0 = "1900-01-01"
 #: Days after the 12th up to the end of each month of a year that isn't a leap year.
 LATE_DAYS = (19, 35, 54, 72, 91, 109, 128, 147, 165, 184, 202, 221)
@@ -80,7 +80,7 @@ def _number(m: Column, kind: Column) -> Column:
     late = F.dayofyear(F.try_to_date(F.concat(F.lit("2001/"), F.substring(m, 1, 2), F.lit("/"), F.substring(m, 4, 2)), "yyyy/MM/dd")) - F.substring(m, 1, 2).cast("int") * 12 - 1
     return (
         F.when(kind == "card", pair(F.substr(card, F.lit(1), F.length(card) - 6), F.right(card, F.lit(6)), F.pow(F.lit(10.0), F.length(card) - 6), 10**6))
-        .when(kind == "phone", pair((F.substring(ten, 1, 3).cast("int") - 200) * 800 + F.substring(ten, 4, 3).cast("int") - 200, F.substring(ten, 7, 4), 640_000, 10_000))
+        .when(kind == "phone", pair(F.substring(ten, 1, 6), F.substring(ten, 7, 4), 1_000_000, 10_000))
         .when(kind == "ipv4", pair(octet(0) * 256 + octet(1), octet(2) * 256 + octet(3), 65_536, 65_536))
         .when(kind == "ssn", pair(F.when(area > 666, area - 2).otherwise(area - 1), (F.substring(m, 5, 2).cast("int") - 1) * 9999 + F.substring(m, 8, 4).cast("int") - 1, 898, 99 * 9999))
         .when(kind == "date", pair(F.floor(day / 319), day % 319, 229, 319))
@@ -119,7 +119,7 @@ def _written(m: Column, kind: Column, y: Column) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     body = F.concat(F.lpad(y["l"].cast("string"), F.length(digits) - 7, F.lit("0")), pad(y["r"], 6))
     check = (10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10
-    plan = F.concat(pad(F.floor(y["l"] / 800) + 200, 3), pad(y["l"] % 800 + 200, 3), pad(y["r"], 4))
+    plan = F.concat(pad(y["l"], 6), pad(y["r"], 4))
     prefix = F.when(F.length(digits) == 11, "1").otherwise("")
     area = F.when(y["l"] + 1 >= 666, y["l"] + 2).otherwise(y["l"] + 1)
     day = F.date_add(F.lit(DAY0).cast("date"), (y["l"] * 319 + y["r"]).cast("int"))
