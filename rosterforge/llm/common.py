@@ -2,54 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when a count has shown that it has at most this many narrow rows.
-BROADCAST_ROWS = 200_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir when it is set.
-
-    Where it is unset, a local session gets a temporary folder; a cluster gets a folder of the warehouse.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.rosterforge.scratch", None)
-    if not found:
-        if spark.sparkContext.master.startswith("local"):
-            found = "file://" + tempfile.mkdtemp(prefix="rosterforge-")
-        else:
-            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_rosterforge"
-        spark.conf.set("spark.rosterforge.scratch", found)
-    return found.rstrip("/")
+from ..scratch import Scratch, shared_dir
 
+__all__ = ["BROADCAST_ROWS", "Scratch", "held_out", "learn_row", "lower_ascii", "shared_dir", "small", "table"]
 
-class Scratch:
-    """Tables of one run, written as Parquet to the shared folder, so that lost executors cost no recomputation."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df once and return a DataFrame that reads the written rows."""
-        schema = df.schema
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(conf).delete(p, True)
+#: A side is broadcast only when a count has shown that it has at most this many narrow rows.
+BROADCAST_ROWS = 200_000
 
 
 def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:

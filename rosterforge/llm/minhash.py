@@ -3,14 +3,16 @@
 1. One pass over the texts gives each document the number of its distinct 5-word shingles, a 128-bit hash of its word
    sequence, `bands` keys of `rows` universal hash minima each, and eight bits of every minimum.
 2. Documents of one word sequence are one class; its least id takes part in what follows, so exact copies cost nothing.
-3. In each bucket (a band's key) all members are paired with one center, never with each other. Pairs whose
-   sizes or signatures can't reach the threshold go; the others are confirmed on their full shingle sets. Links give
-   components.
-4. Buckets that still hold more than one component get other centers, for as long as that unites components; then, in
-   what is left, all pairs between different components that haven't been tested. So no link that shares a
-   bucket is lost, while a large group of near copies costs about its size, not its square.
+   Of buckets (a band's key) with the same members one is looked at.
+3. In each bucket all members are paired with one center, never with each other. Pairs whose sizes or signatures can't
+   reach the threshold go; the others are confirmed on their full shingle sets. Links give components.
+4. Buckets that still hold more than one component are compared by signature, in blocks of bounded size, and what
+   could be linked gathers in families. Inside a family, blocks of full sets are compared with each other by products of
+   their incidence matrices, but for blocks of one component. What leaves a block is at most one link per document, so a
+   large group of near copies never makes its square of rows, and no link between different components is lost.
 
-At the threshold of 0.75 a pair shares none of 40 buckets of 5 minima with probability (1 - 0.75**5)**40 = 2e-5.
+At the threshold of 0.75 a pair shares none of 40 buckets of 5 minima with probability (1 - 0.75**5)**40 = 2e-5, and its
+signatures are more than 4.5 standard deviations off with 3e-6.
 
 A null or empty text, or one without words, has the empty set and links with nothing. Rows that share an id are one node, which
 has the links of each; rows with a null id link with nothing, have a null component_id and are kept. Repeated rows give a row each.
@@ -95,104 +97,202 @@ def agreeing(sigs: int):
     return count
 
 
-class _Linker:
-    """Candidate pairs to confirmed links."""
-
-    def __init__(self, tmp: Scratch, nodes: DataFrame, texts: DataFrame, percent: int, sigs: int, k: int):
-        self.tmp, self.nodes, self.texts, self.percent, self.sigs, self.k, self.step = tmp, nodes, texts, percent, sigs, k, 0
-        j = percent / 100
-        # Unrelated minima agree in 1 of 256 bytes; 4.5 standard deviations below the threshold nothing is lost.
-        p = j + (1 - j) / 256
-        self.least = int(sigs * (p - 4.5 * (p * (1 - p) / sigs) ** 0.5))
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of the distinct pairs (l, r) whose full sets reach the threshold."""
-        k, tmp, pc = self.step, self.tmp, self.percent
-        self.step += 1
-        side = lambda s: self.nodes.select(F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
-        x = pairs.join(side("l"), "l").join(side("r"), "r")
-        x = x.filter(100 * F.least("n_l", "n_r") >= pc * F.greatest("n_l", "n_r")).select("l", "r", "sig_l", "sig_r")
-        near = tmp.write(x.mapInArrow(agreeing(self.sigs), "l long, r long, same long").filter(F.col("same") >= self.least).select("l", "r").distinct(), f"near{k}")
-        ids = tmp.write(near.select(F.explode(F.array("l", "r")).alias("doc_id")).distinct(), f"ids{k}")
-        some = self.texts.join(small(ids, ids.count()), "doc_id", "left_semi")
-        sets = tmp.write(some.mapInArrow(shingle_sets(self.k), "doc_id long, shingles array<long>"), f"sets{k}")
-        side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("shingles").alias(f"s_{s}"))
-        both = near.join(side("l"), "l").join(side("r"), "r").withColumn("i", F.size(F.array_intersect("s_l", "s_r")))
-        good = both.filter(100 * F.col("i") >= pc * (F.size("s_l") + F.size("s_r") - F.col("i"))).select(F.col("l").alias("u"), F.col("r").alias("v"))
-        out = tmp.write(good.distinct(), f"links{k}")
-        tmp.drop(f"sets{k}", f"ids{k}", f"near{k}")
-        return out
-
-
-def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int = 40, rows: int = 5, seed: int = 5, star_rounds: int = 8, pair_rows: int = 8) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept. docs needs doc_id (long) and text.
-
-    star_rounds: rounds with other centers at most; they end earlier once the pairs left in buckets are at
-    most pair_rows times the documents, or once a round unites nothing. All pairs left are then tested.
+def least_agreement(percent: int, sigs: int) -> int:
+    """Unrelated minima agree in 1 of 256 bytes; 4.5 standard deviations below the threshold nothing is lost."""
+    j = percent / 100
+    p = j + (1 - j) / 256
+    return int(sigs * (p - 4.5 * (p * (1 - p) / sigs) ** 0.5))
+
+
+class Forest:
+    """Union-find over the places of a block."""
+
+    def __init__(self, labels: np.ndarray | None, n: int):
+        self.root = list(range(n))
+        if labels is not None:  # places of one label are united from the start
+            _, first, at = np.unique(labels, return_index=True, return_inverse=True)
+            self.root = first[at].tolist()
+
+    def find(self, x: int) -> int:
+        while self.root[x] != x:
+            self.root[x] = x = self.root[self.root[x]]
+        return x
+
+    def unite(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.root[max(x, y)] = min(x, y)
+        return x != y
+
+
+def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Runs of rows with one key, of a partition that is sorted by it."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        t = pa.Table.from_batches([batch])
+        k = t.column(key).to_numpy()
+        cut = np.flatnonzero(k[1:] != k[:-1]) + 1
+        edges = [0, *cut.tolist(), len(k)]
+        if held and held[-1].column(key)[-1].as_py() != k[0]:
+            yield pa.concat_tables(held)
+            held = []
+        for a, b in zip(edges[:-2], edges[1:-1], strict=True):
+            yield pa.concat_tables([*held, t.slice(a, b - a)])
+            held = []
+        held.append(t.slice(edges[-2]))
+    if held:
+        yield pa.concat_tables(held)
+
+
+def similar(sigs: int, least: int, percent: int):
+    """Of each block pair of a bucket: links (u, v) that join all documents whose signatures could reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, "unit"):
+            ids, n, side = (t.column(c).to_numpy() for c in ("doc_id", "n", "side"))
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, sigs)
+            forest, out = Forest(None, len(ids)), []
+            for x in range(len(ids) - 1):
+                rest = slice(x + 1, None)
+                ok = ((sig[rest] == sig[x]).sum(1) >= least) & (100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x])) & ((side[rest] == 0) | (side[x] == 0) | (side[rest] != side[x]))
+                out += [(ids[x], ids[y]) for y in (np.flatnonzero(ok) + x + 1).tolist() if forest.unite(x, y)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["u", "v"])
+
+    return run
+
+
+def intersections(flat: np.ndarray, off: np.ndarray, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of sets left and sets right: products of incidence matrices, `width` values at a time."""
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    _, value, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times[value] > 1  # a value of one set alone counts for no pair
+    value, doc = value[shared], doc[shared]
+    _, value = np.unique(value, return_inverse=True)
+    order = np.argsort(value, kind="stable")
+    value, doc = value[order], doc[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    m = np.zeros((len(off) - 1, width), np.float32)
+    for lo in range(0, int(value[-1]) + 1 if len(value) else 0, width):
+        a, b = np.searchsorted(value, [lo, lo + width])
+        m[:] = 0
+        m[doc[a:b], value[a:b] - lo] = 1
+        out += m[left] @ m[right].T
+    return out
+
+
+def confirmed(percent: int):
+    """Of each pair of blocks of a family: links (u, v) between documents whose full sets reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, "unit"):
+            ids, component, side = (t.column(c).to_numpy() for c in ("doc_id", "component", "side"))
+            lists = t.column("shingles").combine_chunks()
+            if isinstance(lists, pa.ChunkedArray):
+                lists = pa.concat_arrays(lists.chunks)
+            off = lists.offsets.to_numpy().astype(np.int64)
+            flat = lists.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]]
+            left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+            size = np.diff(off)
+            both = intersections(flat, off - off[0], left, right)
+            good = (100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)) & (component[left][:, None] != component[right][None, :]) & (both > 0)
+            forest = Forest(component, len(ids))
+            out = [(ids[left[x]], ids[right[y]]) for x, y in zip(*(z.tolist() for z in np.nonzero(good)), strict=True) if forest.unite(int(left[x]), int(right[y]))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["u", "v"])
+
+    return run
+
+
+def block_pairs(rows: DataFrame, group: str, size: int, tmp: Scratch, name: str, within: str | None = None) -> DataFrame:
+    """rows in blocks of about `size` rows of one group, each block with itself and with each other block: columns unit and side.
+
+    A row is repeated for each block that its own meets. side: 0 in a block with itself, else 1 or 2. With `within`, a
+    column, values of it that fill a block have blocks of their own, which don't meet themselves or each other.
     """
+    seed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    if within is None:
+        rows = rows.withColumn("_own", F.lit(0).cast("long"))
+    else:
+        sizes = tmp.write(rows.groupBy(group, within).agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") >= size), f"{name}-own")
+        rows = rows.join(sizes, [group, within], "left").withColumn("_own", F.when(F.col("_m").isNotNull(), F.col(within) + 1).otherwise(F.lit(0))).drop("_m")
+    counts = tmp.write(rows.groupBy(group, "_own").agg(F.ceil(F.count(F.lit(1)) / size).alias("_nb")), f"{name}-counts")
+    one = counts.select(group, F.col("_own").alias("o1"), F.explode(F.expr("sequence(0L, _nb - 1)")).alias("b1"))
+    two = one.select(group, F.col("o1").alias("o2"), F.col("b1").alias("b2"))
+    meet = one.join(two, group).filter("(o1 < o2 OR (o1 = o2 AND b1 <= b2)) AND NOT (o1 = o2 AND o1 <> 0)")
+    meet = meet.withColumn("unit", F.xxhash64(F.lit(name), group, "o1", "b1", "o2", "b2"))
+    self_met = (F.col("o1") == F.col("o2")) & (F.col("b1") == F.col("b2"))
+    first = meet.select(group, F.col("o1").alias("_own"), F.col("b1").alias("_b"), "unit", F.when(self_met, 0).otherwise(1).alias("side"))
+    second = meet.filter(~self_met).select(group, F.col("o2").alias("_own"), F.col("b2").alias("_b"), "unit", F.lit(2).alias("side"))
+    blocks = tmp.write(first.unionByName(second), f"{name}-blocks")
+    placed = rows.join(counts, [group, "_own"]).withColumn("_b", F.pmod(seed, F.col("_nb")))
+    return placed.drop("_nb").join(blocks, [group, "_own", "_b"]).drop("_own", "_b", group)
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int = 40, rows: int = 5, seed: int = 5, block: int = 256) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, kept. docs needs doc_id (long) and text. block: documents per block."""
     tmp = Scratch(docs.sparkSession, "near")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = tmp.write(texts.mapInArrow(signer(bands, rows, k, seed), SIGNATURE), "signed")
-    labels = components_of(signed, texts, tmp, percent, k, bands * rows, star_rounds, pair_rows)
+    labels = components_of(signed, texts, tmp, percent, k, bands * rows, block)
     out = signed.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def components_of(signed: DataFrame, texts: DataFrame, tmp: Scratch, percent: int, k: int, sigs: int, star_rounds: int, pair_rows: int) -> DataFrame:
+def components_of(signed: DataFrame, texts: DataFrame, tmp: Scratch, percent: int, k: int, sigs: int, block: int) -> DataFrame:
     """(node, component) of all documents that have a link."""
+    least = least_agreement(percent, sigs)
     full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = tmp.write(full.groupBy("seq").agg(F.min("doc_id").alias("rep")), "classes")
     # Copies of one word sequence: links to the class's least id.
     copies = full.select("seq", "doc_id").join(classes, "seq").filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    links = [tmp.write(copies.distinct(), "copies")]
-    nodes = tmp.write(full.join(classes.withColumnRenamed("rep", "doc_id"), ["seq", "doc_id"], "left_semi").select("doc_id", "n_shingles", "bands", "sig"), "nodes")
-    n = nodes.count()
+    nodes = tmp.write(full.join(classes.withColumnRenamed("rep", "doc_id"), ["seq", "doc_id"], "left_semi").select("doc_id", F.col("n_shingles").alias("n"), "bands", "sig"), "nodes")
     members = nodes.select("doc_id", F.explode("bands").alias("key"))
-    keys = tmp.write(members.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("key"), "keys")
-    shared = tmp.write(members.join(keys, "key", "left_semi").distinct(), "shared")
-    linker = _Linker(tmp, nodes.select("doc_id", "n_shingles", "sig"), texts, percent, sigs, k)
-    found: DataFrame | None = None
-    tested: DataFrame | None = None
-    labels: DataFrame | None = None
-
-    def label(members: DataFrame) -> DataFrame:
-        if labels is None:
-            return members.withColumn("component", F.col("doc_id"))
-        return members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-
-    def test(pairs: DataFrame, k: int) -> int:
-        """Confirm pairs that haven't been tested; the number of new links."""
-        nonlocal found, tested, labels
-        pairs = pairs.select(F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r")).filter("l <> r").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["l", "r"], "left_anti")
-        pairs = tmp.write(pairs, f"pairs{k}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = linker.links(pairs)
-        if count := new.count():
-            found = new if found is None else found.unionByName(new)
-            labels = tmp.write(connected_components(found, Scratch(tmp.spark, "cc")), f"labels{k}")
-        return count
-
-    for r in range(star_rounds):
-        left = label(shared)
-        several = tmp.write(left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("doc_id", F.lit(r)).alias("h"), F.col("doc_id").alias("d"), F.col("component").alias("c"))).alias("best")).filter("lo <> hi").select("key", "n", F.col("best.d").alias("center"), F.col("best.c").alias("center_component")), f"several{r}")
-        pairs_left = several.agg(F.coalesce(F.sum(F.expr("n * (n - 1) / 2")), F.lit(0.0))).first()[0]
-        if not pairs_left or (r and pairs_left <= pair_rows * n):
-            break
-        star = left.join(several, "key").filter("component <> center_component")
-        if not test(star.select(F.col("center").alias("l"), F.col("doc_id").alias("r")), r):
-            break
-    left = label(shared)
-    mixed = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    left = tmp.write(left.join(tmp.write(mixed, "mixed"), "key", "left_semi"), "left")
-    one = left.select("key", F.col("doc_id").alias("l"), F.col("component").alias("cl"))
-    other = left.select("key", F.col("doc_id").alias("r"), F.col("component").alias("cr"))
-    test(one.join(other, "key").filter("l < r AND cl <> cr").select("l", "r"), star_rounds)
-    if found is not None:
-        links.append(found)
-    edges = links[0] if len(links) == 1 else links[0].unionByName(links[1])
-    out = tmp.write(connected_components(edges, Scratch(tmp.spark, "cc")), "components")
-    tmp.drop("shared", "keys", "nodes", "left", "classes")
+    seen = F.struct(F.xxhash64(F.lit(0), "doc_id").alias("h"), F.col("doc_id").alias("d"))
+    print_of = F.sum(F.xxhash64(F.lit(1), "doc_id").cast("decimal(20,0)"))
+    buckets = members.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("m"), F.min(seen).alias("c"), print_of.alias("p")).filter("lo <> hi")
+    buckets = buckets.groupBy("m", "p", "lo", "hi", "c").agg(F.min("key").alias("key")).select("key", F.col("c.d").alias("center"))
+    buckets = tmp.write(buckets, "buckets")
+    shared = tmp.write(members.join(buckets, "key").distinct(), "shared")
+
+    def sets_of(ids: DataFrame, name: str) -> DataFrame:
+        some = texts.join(small(ids, ids.count()), "doc_id", "left_semi")
+        return tmp.write(some.mapInArrow(shingle_sets(k), "doc_id long, shingles array<long>"), name)
+
+    # Each member of a bucket with the bucket's center.
+    pairs = shared.select(F.least("doc_id", "center").alias("l"), F.greatest("doc_id", "center").alias("r")).filter("l <> r").distinct()
+    side = lambda s: nodes.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
+    pairs = pairs.join(side("l"), "l").join(side("r"), "r").filter(100 * F.least("n_l", "n_r") >= percent * F.greatest("n_l", "n_r")).select("l", "r", "sig_l", "sig_r")
+    near = tmp.write(pairs.mapInArrow(agreeing(sigs), "l long, r long, same long").filter(F.col("same") >= least).select("l", "r").distinct(), "near")
+    sets = sets_of(tmp.write(near.select(F.explode(F.array("l", "r")).alias("doc_id")).distinct(), "ids"), "sets")
+    side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("shingles").alias(f"s_{s}"))
+    both = near.join(side("l"), "l").join(side("r"), "r").withColumn("i", F.size(F.array_intersect("s_l", "s_r")))
+    good = both.filter(100 * F.col("i") >= percent * (F.size("s_l") + F.size("s_r") - F.col("i"))).select(F.col("l").alias("u"), F.col("r").alias("v"))
+    links = tmp.write(good.distinct(), "links")
+    tmp.drop("sets", "ids", "near")
+
+    # Buckets that hold several components, by signature.
+    labels = tmp.write(connected_components(links, Scratch(tmp.spark, "cc")), "labels").withColumnRenamed("node", "doc_id")
+    left = shared.drop("center").join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    left = tmp.write(left, "left")
+    mixed = tmp.write(left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key"), "mixed")
+    rows = left.join(mixed, "key", "left_semi").select("key", "doc_id")
+    units = block_pairs(rows, "key", block, tmp, "bucket").join(nodes.select("doc_id", "n", "sig"), "doc_id")
+    kin = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(similar(sigs, least, percent), "u long, v long")
+    kin = tmp.write(kin.distinct(), "kin")
+    families = tmp.write(connected_components(kin, Scratch(tmp.spark, "cc")).select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "families")
+
+    # Families that hold several components, by full sets.
+    named = families.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    named = tmp.write(named, "named")
+    several = named.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("family")
+    rows = tmp.write(named.join(tmp.write(several, "several"), "family", "left_semi").select("family", "doc_id", "component"), "rows")
+    units = block_pairs(rows, "family", block, tmp, "family", "component").join(sets_of(rows.select("doc_id").distinct(), "rest"), "doc_id")
+    more = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(confirmed(percent), "u long, v long")
+    more = tmp.write(more.distinct(), "more")
+    known = labels.select(F.col("doc_id").alias("u"), F.col("component").alias("v"))
+    out = tmp.write(connected_components(copies.unionByName(known).unionByName(more), Scratch(tmp.spark, "cc")), "components")
+    tmp.drop("shared", "left", "nodes", "rest", "classes", "buckets", "bucket-blocks", "family-blocks")
     return out

@@ -353,10 +353,10 @@ def brute_near(rows):
     return Counter((i, len(s), find(i) if i is not None else None, i is None or find(i) == i) for i, s in sets)
 
 
-@pytest.mark.parametrize("star_rounds, pair_rows", [(8, 8), (0, 8), (8, 0)])
-def test_near_duplicates_lose_no_link(spark, star_rounds, pair_rows):
+@pytest.mark.parametrize("block", [3, 256])
+def test_near_duplicates_lose_no_link(spark, block):
     rows = random_docs(250, 3) + [(1000 + i, t) for i, t in random_docs(60, 4, words=9, vocabulary=6)]
-    got = mh.near_duplicates(frame(spark, rows), star_rounds=star_rounds, pair_rows=pair_rows).collect()
+    got = mh.near_duplicates(frame(spark, rows), block=block).collect()
     assert Counter(map(tuple, got)) == brute_near(rows)
 
 
@@ -383,12 +383,25 @@ def test_near_duplicates_of_documents(spark, sf):
     assert got == {i: (len(s), root[i]) for i, s in sets.items()}
 
 
-def test_components_of_a_long_path(spark):
+def test_large_near_copy_groups(spark):
+    r = random.Random(6)
+    base = ["b%d" % i for i in range(90)]
+    rows = []
+    for i in range(150):  # neighbours of the threshold on both sides
+        w = list(base)
+        for _ in range(r.randrange(1, 4)):
+            w[r.randrange(90)] = "x%d" % r.randrange(10**6)
+        rows.append((i, " ".join(w)))
+    assert Counter(map(tuple, mh.near_duplicates(frame(spark, rows), block=20).collect())) == brute_near(rows)
+
+
+@pytest.mark.parametrize("bound", [0, 10**6])
+def test_components_of_a_long_path(spark, bound):
     r = random.Random(1)
     ids = list(range(300))
     r.shuffle(ids)
     edges = [(ids[i], ids[i + 1]) for i in range(149)] + [(ids[i], ids[i + 1]) for i in range(150, 299)] + [(7, 7)]
-    got = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()}
+    got = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t"), broadcast_rows=bound).collect()}
     assert got == {i: min(ids[:150]) if k < 150 else min(ids[150:]) for k, i in enumerate(ids)}
 
 
