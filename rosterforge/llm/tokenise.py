@@ -16,7 +16,9 @@ import numpy as np
 UNSAFE = re.compile(r"\s\s| \Z|\A ")
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: All is forgotten once so many pieces, or ids, are remembered.
-MOST_PIECES, MOST_IDS = 600_000, 8_000_000
+MOST_PIECES, MOST_IDS = 250_000, 2_000_000
+#: New pieces that are encoded as one text.
+RUN = 500
 
 
 class _Memory(dict):
@@ -45,6 +47,11 @@ class Encoder:
         pre = j.get("pre_tokenizer") or {}
         # The special tokens' strings are ordinary text here; other added tokens could hold a space.
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not j.get("normalizer") and all(x["special"] for x in j.get("added_tokens", ())) and j["model"]["type"] == "BPE" and not j["model"].get("dropout")
+        #: Bytes of each token, as a byte-level vocabulary has one character per byte.
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.bytes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        for x, i in vocab.items():
+            self.bytes[i] = len(x)
         self.forget()
 
     def forget(self) -> None:
@@ -96,13 +103,37 @@ class Encoder:
         a, b = len(self.memory) - len(pieces), len(self.memory)
         while b > len(self.start):
             self.start, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.count))
-        each = self.ids(pieces)
-        n = np.array([len(x) for x in each], np.int64)
+        n, flat = self._of_pieces(pieces)
         self.count[a:b] = n
         self.start[a:b] = self.used + np.concatenate(([0], np.cumsum(n)))[:-1]
-        self._room(int(n.sum()))
-        self.flat[self.used : self.used + n.sum()] = np.fromiter((i for x in each for i in x), np.uint32)
-        self.used += int(n.sum())
+        self._room(len(flat))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+
+    def _of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece has, and all ids. Pieces that a text may be cut between are encoded as runs of many."""
+        n, out = np.zeros(len(pieces), np.int64), []
+        joined = [i for i, x in enumerate(pieces) if x and not x[-1].isspace()]
+        single = [i for i, x in enumerate(pieces) if x and x[-1].isspace()]
+        for k in range(0, len(joined), RUN):
+            own = joined[k : k + RUN]
+            ids = np.array(self.ids(["".join([pieces[i] for i in own])])[0], np.int64)
+            # Ids end where pieces end: both are counted in bytes.
+            ends = np.cumsum([len(pieces[i].encode()) for i in own])
+            at = np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1
+            n[own] = np.diff(at, prepend=0)
+            out.append(ids)
+        for i, ids in zip(single, self.ids([pieces[i] for i in single]), strict=True):
+            n[i] = len(ids)
+            out.append(np.array(ids, np.int64))
+        flat = np.concatenate(out) if out else np.zeros(0, np.int64)
+        if single:  # back to the order of the pieces
+            order = np.array(joined + single)
+            start = np.zeros(len(pieces), np.int64)
+            start[order] = np.concatenate(([0], np.cumsum(n[order])[:-1]))
+            begin = np.concatenate(([0], np.cumsum(n)))
+            flat = flat[np.repeat(start - begin[:-1], n) + np.arange(begin[-1])]
+        return n, flat
 
 
 _own: dict[int, Encoder] = {}
