@@ -252,7 +252,7 @@ def u_probabilities(spark, d):
 
 
 @query("""WITH g AS (SELECT count(*) AS n FROM part GROUP BY p_name, p_brand, p_size), s AS (SELECT sum(n * (n - 1) // 2)::BIGINT AS pairs FROM g), k AS (SELECT count(*) AS n_rows FROM part)
-  SELECT n_rows, pairs, round(pairs / 0.9 / (n_rows * (n_rows - 1) / 2.0), 12) AS prior FROM s, k""")
+  SELECT n_rows, pairs, CASE WHEN pairs > 0 THEN round(pairs / 0.9 / (n_rows * (n_rows - 1) / 2.0), 12) ELSE 0.0001 END AS prior FROM s, k""")
 def match_prior(spark, d):
     return resolve.match_prior(t(spark, d, "part"), ["p_name", "p_brand", "p_size"]).withColumn("prior", F.round("prior", 12))
 
