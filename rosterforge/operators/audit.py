@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import redact
+from ..scratch import Scratch
 
 GENESIS = "0" * 64
 #: Years that each class of events is kept.
@@ -51,10 +52,10 @@ def hash_of_line(lines: pd.Series) -> pd.Series:
     return lines.map(one)
 
 
-def check_links(rows: DataFrame, chain: list[str], order: list[str], own: str, prior: str, made: Column, genesis: str = GENESIS) -> DataFrame:
+def check_links(rows: DataFrame, chain: list[str], order: list[str], own: str, prior: str, made: Column, genesis: str | Column = GENESIS) -> DataFrame:
     """rows with `reason`: why a row breaks its chain, else null. Hashes are checked in parallel, links by a look at the row before."""
     w = W.partitionBy(*chain).orderBy(*order)
-    before = F.coalesce(F.lag(own).over(w), F.lit(genesis))
+    before = F.coalesce(F.lag(own).over(w), genesis if isinstance(genesis, Column) else F.lit(genesis))
     return rows.withColumn("reason", F.when(~made.eqNullSafe(F.col(own)), "self_hash mismatch").when(~F.col(prior).eqNullSafe(before), "prior_event_hash mismatch"))
 
 
@@ -63,19 +64,41 @@ def chain_verdicts(checked: DataFrame, chain: list[str], line: str) -> DataFrame
     return checked.groupBy(*chain).agg(F.count(F.lit(1)).alias("entries_checked"), F.min(F.when(F.col("reason").isNotNull(), F.col(line))).alias("first_broken"))
 
 
+def numbered_lines(spark: SparkSession, path: str, by_file: bool = True, **options) -> DataFrame:
+    """(path, block, line, value) of text files; line counts from 1, in each file or through all of them in order.
+
+    A block is the part of a file that one task reads. Its first number comes from the counts of the blocks before it, so
+    that neither a file nor its lines are sorted or gathered.
+    """
+    meta = F.col("_metadata")
+    x = spark.read.options(**options).text(path).select("value", meta["file_path"].alias("path"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("_id"))
+    heads = x.groupBy("path", "block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    w = W.partitionBy("path").orderBy("block") if by_file else W.orderBy("path", "block")  # a row per block
+    heads = heads.select("path", "block", (F.sum("_n").over(w) - F.col("_n") - F.col("_first")).alias("_shift"))
+    return x.join(heads, ["path", "block"]).select("path", "block", (F.col("_id") + F.col("_shift") + 1).alias("line"), "value")
+
+
 def validate_log(spark: SparkSession, path: str, head: str | None = None) -> dict:
-    """A JSONL chain's verdict. Blank lines are skipped but counted; with the head that an anchor has kept, lost entries show."""
-    text = spark.read.text(path, wholetext=False).withColumn("line", F.monotonically_increasing_id())
+    """A JSONL chain's verdict. Blank lines are skipped but counted; with the head that an anchor has kept, lost entries show.
+
+    Hashes are made anew where the lines lie; links are checked block by block, each with the last hash before it.
+    """
+    tmp = Scratch(spark, "chain")
+    text = numbered_lines(spark, path, by_file=False)
     own = F.get_json_object("value", "$.self_hash")
-    rows = text.filter(F.trim("value") != "").select("line", own.alias("self_hash"), F.get_json_object("value", "$.prior_event_hash").alias("prior"), hash_of_line("value").alias("made"), F.lit(0).alias("c"))
-    bad = check_links(rows, ["c"], ["line"], "self_hash", "prior", F.col("made")).filter("reason IS NOT NULL").orderBy("line").select("line", "reason").first()
-    n = text.count()
-    out = {"valid": bad is None, "entries_checked": n, "first_broken": None, "reason": None}
+    made = F.when(F.trim("value") != "", hash_of_line("value"))
+    rows = tmp.write(text.select("path", "block", "line", (F.trim("value") == "").alias("blank"), own.alias("self_hash"), F.get_json_object("value", "$.prior_event_hash").alias("prior"), made.alias("made")), "rows")
+    full = rows.filter("NOT blank")
+    last = tmp.write(full.groupBy("path", "block").agg(F.max_by("self_hash", "line").alias("last")), "last")
+    start = last.select("path", "block", F.coalesce(F.lag("last").over(W.orderBy("path", "block")), F.lit(GENESIS)).alias("start"))  # a row per block
+    checked = check_links(full.join(start, ["path", "block"]), ["path", "block"], ["line"], "self_hash", "prior", F.col("made"), F.col("start"))
+    bad = checked.filter("reason IS NOT NULL").agg(F.min_by(F.struct("line", "reason"), "line").alias("x")).first().x
+    out = {"valid": bad is None, "entries_checked": rows.count(), "first_broken": None, "reason": None}
     if bad is not None:
-        out |= {"first_broken": text.filter(F.col("line") <= bad.line).count(), "reason": bad.reason}
+        out |= {"first_broken": bad.line, "reason": bad.reason}
     elif head is not None:
-        last = rows.orderBy(F.desc("line")).select("self_hash").first()
-        if (last.self_hash if last else GENESIS) != head:
+        end = last.agg(F.max_by("last", F.struct("path", "block")).alias("x")).first().x
+        if (end or GENESIS) != head:
             out |= {"valid": False, "reason": "head mismatch"}
     return out
 
@@ -120,6 +143,11 @@ def breach_flags(people: DataFrame, state: str, contact: Column) -> DataFrame:
     return people.groupBy(state).agg(F.count(F.lit(1)).alias("n"), F.count_if(~contact).alias("no_contact")).withColumns({"state_notice": F.col("n") >= 500, "substitute_notice": F.col("no_contact") >= 10})
 
 
+def breach_total(people: DataFrame, contact: Column) -> DataFrame:
+    """One row: the whole population against its thresholds."""
+    return people.agg(F.count(F.lit(1)).alias("n"), F.count_if(~contact).alias("no_contact")).withColumns({"notice": F.col("n") >= 500, "substitute_notice": F.col("no_contact") >= 10})
+
+
 def query_rate_anomalies(access: DataFrame, actor: str, day: str, factor: float = 3.0, days: int = 7) -> DataFrame:
     """Days on which an actor made more than `factor` times the mean of the days before."""
     n = access.groupBy(actor, day).agg(F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.audit import scan
+from ..functions import redact
+from ..operators.audit import numbered_lines
 
 CORRUPT = "_corrupt"
 
@@ -107,13 +108,23 @@ def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path).select(F.explode("records").alias("r")).select("r.*")
 
 
-def scan_files(spark: SparkSession, path: str, glob: str = "*.{csv,json,jsonl,txt,md,yaml,py}") -> DataFrame:
-    """Findings (path, pattern, value) in a tree of text files; lines that say so are let pass."""
-    from ..functions.redact import email_exempt, line_allowed
+#: Fixed endings of the test data that is scanned.
+SCANNED = "*.{py,json,jsonl,csv,tsv,txt,yaml,yml,sql,md}"
 
-    x = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path).select("value", F.col("_metadata.file_path").alias("path"))
-    found = scan(x.filter(~line_allowed(F.col("value"))), ["path"], "value")
-    return found.filter(~((F.col("pattern") == "email") & email_exempt(F.col("value"))))
+
+def scan_fixtures(spark: SparkSession, path: str, glob: str = SCANNED) -> DataFrame:
+    """Findings (path, line, pattern, value) in a tree of test data; lines that say so are let pass."""
+    x = numbered_lines(spark, path, recursiveFileLookup=True, pathGlobFilter=glob)
+    return x.select("path", "line", F.explode(redact.fixture_findings(F.col("value"))).alias("f")).select("path", "line", "f.pattern", "f.value")
+
+
+def scan_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Findings (path, line, pattern, excerpt): of the strings in .jsonl files, of whole lines in others."""
+    x = numbered_lines(spark, path, recursiveFileLookup=True, pathGlobFilter=glob).filter(redact.suspicious(F.col("value")))
+    is_json = F.col("path").endswith(".jsonl")
+    of = lambda rows, f: rows.select("path", "line", F.explode(f(F.trim("value"))).alias("f"))
+    found = of(x.filter(is_json), redact.json_excerpts).unionByName(x.filter(~is_json).select("path", "line", F.explode(redact.excerpts("value")).alias("f")))
+    return found.select("path", "line", "f.pattern", "f.excerpt")
 
 
 def copy_new(store: DataFrame, path: str, key: list[str], spark: SparkSession) -> None:
