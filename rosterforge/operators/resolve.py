@@ -17,6 +17,8 @@ M_EXACT = 0.95
 #: Comparisons and the number of their levels.
 LEVELS = {"first_name": 5, "last_name": 5, "dob": 2, "ssn_last4": 2, "street": 4}
 PRIOR_RECALL, SMALL_PRIOR = 0.9, 1e-4
+#: Rows whose pairs estimate u: not more than a million pairs.
+SAMPLE_ROWS = 1414
 ALGORITHM, CONFIG = "rosterforge-1", "default-1"
 
 
@@ -78,11 +80,16 @@ def match_prior(rows: DataFrame, keys: list[str], recall: float = PRIOR_RECALL)
     return x.withColumn("prior", F.when((share > 0) & (share < 1), share).otherwise(F.lit(SMALL_PRIOR)))
 
 
-def name_pair_levels(values: DataFrame, column: str) -> DataFrame:
-    """(level, n): pairs of rows per level, from the distinct values' counts; similarity is found once per distinct pair."""
-    n = values.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+def pair_sample(rows: DataFrame, uid: str, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The sample whose pairs stand for random pairs: the rows of least digest of the uid, as many as the bound says."""
+    return rows.orderBy(F.md5(F.col(uid).cast("string").cast("binary")), uid).limit(sample_rows)
+
+
+def name_pair_levels(sample: DataFrame, column: str) -> DataFrame:
+    """(level, n): pairs of a bounded sample's rows per level, from the distinct values' counts; similarity is found once per distinct pair."""
+    n = sample.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     left, right = n.select(F.col("v").alias("a"), F.col("n").alias("na")), n.select(F.col("v").alias("b"), F.col("n").alias("nb"))
-    cross = left.join(right, F.col("a") < F.col("b")).withColumn("level", name_level(F.col("a"), F.col("b"), jaro_winkler("a", "b"))).select("level", (F.col("na") * F.col("nb")).alias("n"))
+    cross = left.join(F.broadcast(right), F.col("a") < F.col("b")).withColumn("level", name_level(F.col("a"), F.col("b"), jaro_winkler("a", "b"))).select("level", (F.col("na") * F.col("nb")).alias("n"))
     same = n.select(F.lit(len(NAME_LEVELS) + 1).alias("level"), F.expr("n * (n - 1) div 2").alias("n"))
     return cross.unionByName(same).groupBy("level").agg(F.sum("n").alias("n"))
 
@@ -97,11 +104,9 @@ def m_probability(level: int, levels: int) -> float:
     return M_EXACT if level == levels - 1 else (1 - M_EXACT) / (levels - 1)
 
 
-def random_pair_u(rows: DataFrame, sample_rows: int = 1500) -> dict[str, dict[int, float]]:
+def random_pair_u(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[str, dict[int, float]]:
     """u of each comparison and level over all pairs of a bounded sample (sample_rows, so about a million pairs), on few numbers."""
-    n = rows.count()
-    part = rows if n <= sample_rows else rows.filter(F.pmod(F.xxhash64("uid"), F.lit(1 << 20)) < F.lit((1 << 20) * sample_rows / n))
-    part = Scratch(rows.sparkSession, "u").write(part.select("uid", *LEVELS), "sample")
+    part = Scratch(rows.sparkSession, "u").write(pair_sample(rows.select("uid", *LEVELS), "uid", sample_rows), "sample")
     side = lambda s: part.select(*[F.col(c).alias(f"{c}_{s}") for c in ("uid", *LEVELS)])
     x = levels(side("l").join(F.broadcast(side("r")), F.col("uid_l") < F.col("uid_r")))
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"gamma_{c}").alias("g")) for c in LEVELS]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -126,18 +128,23 @@ def table_checksum(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 class VersionedTable:
-    """Versions of a table in one folder and a pointer to the one that holds; older versions stay for replay."""
+    """Versions of a table in one folder and a log of pointers, the last of which holds; older versions stay for replay."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     def publish(self, df: DataFrame, version: int) -> None:
-        """Write a version beside the others, then move the pointer to it in one step."""
+        """Write a version beside the others, then point to it."""
         df.write.mode("errorifexists").parquet(f"{self.path}/v{version}")
-        self.spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("overwrite").json(f"{self.path}/current")
+        self.point(version)
+
+    def point(self, version: int) -> None:
+        """Add a pointer; readers see the one before until its file is there, and there is never none."""
+        row = [(time.time_ns(), version)]
+        self.spark.createDataFrame(row, "moment long, version int").coalesce(1).write.mode("append").json(f"{self.path}/current")
 
     def current(self) -> int:
-        return self.spark.read.schema("version int").json(f"{self.path}/current").first()[0]
+        return self.spark.read.schema("moment long, version int").json(f"{self.path}/current").agg(F.max_by("version", "moment")).first()[0]
 
     def read(self, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v{self.current() if version is None else version}")

@@ -24,6 +24,24 @@ def verify_claims(claims: DataFrame, members: DataFrame, anchor: list[str], orde
     return claims.join(m, anchor, "left").withColumn("status", collapse(F.col("_state"))).drop("_state")
 
 
+def verify_rotating(claims: DataFrame, key: str, versions: list[list[str]], members: DataFrame, anchor: list[str], order: list[str]) -> DataFrame:
+    """claims with `status` while keys are being rotated: members' anchor tokens are of one version, a claim has all of them.
+
+    versions: for each key version the claims' columns that stand for the anchor. One equi-join serves all versions; of
+    several members the latest counts.
+    """
+    each = F.explode(F.array(*[F.struct(*[F.col(c).alias(a) for c, a in zip(v, anchor, strict=True)]) for v in versions]))
+    asked = claims.select(key, each.alias("_a")).select(key, *[F.col(f"_a.{a}").alias(a) for a in anchor]).distinct()
+    found = members.select(*anchor, F.col("state").alias("_state"), F.struct(*order).alias("_o"))
+    hit = asked.join(found, anchor).groupBy(key).agg(F.max_by("_state", "_o").alias("_state"))
+    return claims.join(hit, key, "left").withColumn("status", collapse(F.col("_state"))).drop("_state")
+
+
+def padded(answer: Column, length: int = 64) -> Column:
+    """Answers of one length, so that size tells nothing."""
+    return F.rpad(answer, length, " ")
+
+
 def lockout(attempts: DataFrame, anchor: str, ts: str, tie: str, failed: Column, succeeded: Column, hours: int = WINDOW_HOURS, failures: int = FAILURES) -> DataFrame:
     """attempts with `failures` and `locked`.
 

@@ -242,12 +242,10 @@ def jaro_winkler_levels(spark, d):
     return name_levels(part_pairs(spark, d)).groupBy("level").agg(F.sum("n").alias("n"))
 
 
-ALL_PAIRS = "SELECT a.p_name AS nl, b.p_name AS nr FROM part a JOIN part b ON a.p_partkey < b.p_partkey"
-
-
-@query(f"WITH g AS (SELECT level, count(*) AS n FROM (SELECT {JW} AS level FROM ({ALL_PAIRS})) GROUP BY level) SELECT level, n, round(n / (SELECT sum(n) FROM g), 9) AS u FROM g")
+@query(f"""WITH s AS (SELECT p_partkey, p_name FROM part ORDER BY md5(CAST(p_partkey AS VARCHAR)), p_partkey LIMIT {resolve.SAMPLE_ROWS}),
+  g AS (SELECT level, count(*) AS n FROM (SELECT {JW} AS level FROM (SELECT a.p_name AS nl, b.p_name AS nr FROM s a JOIN s b ON a.p_partkey < b.p_partkey)) GROUP BY level) SELECT level, n, round(n / (SELECT sum(n) FROM g), 9) AS u FROM g""")
 def u_probabilities(spark, d):
-    n = resolve.name_pair_levels(t(spark, d, "part"), "p_name")
+    n = resolve.name_pair_levels(resolve.pair_sample(t(spark, d, "part"), "p_partkey"), "p_name")
     return resolve.u_probabilities(n).filter("n > 0").withColumn("u", F.round("u", 9))
 
 
@@ -437,6 +435,16 @@ def constraint_violations(spark, d):
     return store.violations(t(spark, d, "lineitem"), ["l_orderkey"], {"quantity": c("l_quantity") < 49})
 
 
+@query("SELECT o_orderpriority, count(*) AS n, sum(CASE WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 7 = 0 THEN 1 ELSE 0 END) = 0 AS equal FROM orders GROUP BY 1")
+def checksum_compare(spark, d):
+    """A copy in which some urgent orders' status differs from the store."""
+    x = t(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    changed = (c("o_orderpriority") == "1-URGENT") & (c("o_orderkey") % 7 == 0)
+    copy = x.withColumn("o_orderstatus", F.when(changed, F.concat("o_orderstatus", F.lit("?"))).otherwise(c("o_orderstatus")))
+    own, other = store.table_checksum(x, ["o_orderpriority"]), store.table_checksum(copy, ["o_orderpriority"]).select("o_orderpriority", c("checksum").alias("_k"))
+    return own.join(other, "o_orderpriority").select("o_orderpriority", "n", (c("checksum") == c("_k")).alias("equal"))
+
+
 # verification
 
 MEMBERS = "SELECT o_custkey AS anchor, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS s FROM orders GROUP BY 1"
@@ -449,6 +457,16 @@ def verify_claims(spark, d):
     return verify.verify_claims(claims, m, ["anchor"], [c("o_orderdate"), c("o_orderkey")])
 
 
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 AND c_mktsegment = 'BUILDING' THEN 'VERIFIED' ELSE 'NOT_VERIFIED' END AS status FROM customer")
+def verify_rotating(spark, d):
+    """Members' tokens are of the first or the second key; claims carry both."""
+    x = t(spark, d, "customer")
+    token = lambda v: tokens.token("name", c("c_name"), KEY + bytes([v]))
+    members = x.filter("c_custkey % 4 <> 0").select(F.when(c("c_custkey") % 2 == 0, token(1)).otherwise(token(2)).alias("name_token"), "c_custkey", F.when(c("c_mktsegment") == "BUILDING", "ELIGIBLE_ACTIVE").otherwise("INELIGIBLE").alias("state"))
+    claims = x.select("c_custkey", token(1).alias("t1"), token(2).alias("t2"))
+    return verify.verify_rotating(claims, "c_custkey", [["t1"], ["t2"]], members.withColumnRenamed("c_custkey", "seq"), ["name_token"], ["seq"]).select("c_custkey", "status")
+
+
 LOCKS = """WITH s AS (SELECT *, coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM events),
   f AS (SELECT a.event_id, a.user_id, a.ts, count(*) AS n FROM s a JOIN s b ON a.user_id = b.user_id AND a.seg = b.seg AND a.event_type = 'error' AND b.event_type = 'error' AND (b.ts, b.event_id) <= (a.ts, a.event_id) AND b.ts >= a.ts - INTERVAL 24 HOUR GROUP BY 1, 2, 3)"""
 
@@ -474,8 +492,8 @@ EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 
 
 @query(rf"""WITH x AS (SELECT doc_id, text || ' ' || lpad(CAST(900 + doc_id % 99 AS VARCHAR), 3, '0') || '-12-' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') || ' 4/' || CAST(doc_id % 28 + 1 AS VARCHAR) || '/2024' AS t FROM documents),
-  f AS (SELECT doc_id, 'ssn' AS pattern, unnest(regexp_extract_all(t, '\b\d{{3}}-\d{{2}}-\d{{4}}\b')) AS v FROM x UNION ALL SELECT doc_id, 'us_date', unnest(regexp_extract_all(t, '\b\d{{1,2}}/\d{{1,2}}/\d{{4}}\b')) FROM x
-    UNION ALL SELECT doc_id, 'phone', unnest(regexp_extract_all(t, '\b\d{{3}}-\d{{3}}-\d{{4}}\b')) FROM x UNION ALL SELECT doc_id, 'email', unnest(regexp_extract_all(t, '{EMAIL}')) FROM x)
+  f AS (SELECT doc_id, 'SSN' AS pattern, unnest(regexp_extract_all(t, '\b\d{{3}}-\d{{2}}-\d{{4}}\b')) AS v FROM x UNION ALL SELECT doc_id, 'DOB_US_DATE', unnest(regexp_extract_all(t, '\b\d{{1,2}}/\d{{1,2}}/\d{{4}}\b')) FROM x
+    UNION ALL SELECT doc_id, 'PHONE', unnest(regexp_extract_all(t, '\b\d{{3}}-\d{{3}}-\d{{4}}\b')) FROM x UNION ALL SELECT doc_id, 'EMAIL', unnest(regexp_extract_all(t, '{EMAIL}')) FROM x)
   SELECT pattern, count(*) AS findings, count(DISTINCT doc_id) AS rows_with_findings FROM f GROUP BY pattern""")
 def pii_scan(spark, d):
     k = c("doc_id")
@@ -484,6 +502,23 @@ def pii_scan(spark, d):
     return audit.findings_summary(audit.scan(x, ["doc_id"], "text"), ["doc_id"])
 
 
+FIXTURES = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS pattern, unnest(regexp_extract_all(text, '{p}')) AS v FROM documents" for k, p in redact.FIXTURE_PATTERNS.items())
+
+
+@query(rf"""SELECT pattern, count(*) AS findings, count(DISTINCT doc_id) AS rows_with_findings FROM ({FIXTURES})
+  WHERE pattern <> 'email' OR NOT (regexp_extract(lower(v), '[^@]*$') IN {redact.EXEMPT_DOMAINS} OR regexp_matches(lower(v), '\.(invalid|test|local)$')) GROUP BY pattern""")
+def fixture_scan(spark, d):
+    x = t(spark, d, "documents").select("doc_id", F.explode(redact.fixture_findings(c("text"))).alias("f")).select("doc_id", "f.*")
+    return audit.findings_summary(x, ["doc_id"])
+
+
+@query("SELECT event_id, '***REDACTED***' AS name, '***REDACTED***' AS email, event_type || ' ***SSN***' AS note FROM events")
+def redacted_events(spark, d):
+    k = c("event_id").cast("string")
+    m = F.create_map(F.lit("Name"), k, F.lit("EMAIL"), k, F.lit("note"), F.concat("event_type", F.lit(" 900-12-3456")))
+    return t(spark, d, "events").select("event_id", redact.redact_map(m).alias("m")).select("event_id", c("m")["Name"].alias("name"), c("m")["EMAIL"].alias("email"), c("m")["note"].alias("note"))
+
+
 def _redact_sql(text: str) -> str:
     for p, mark in redact.SUBSTITUTIONS:
         text = f"regexp_replace({text}, '{p}', '{mark}', 'g')"

@@ -153,9 +153,43 @@ def test_chain_breaks_where_it_is_changed(spark, tmp_path):
 
 def test_scan_and_redaction(spark):
     found = one(spark, redact.findings(F.col("x")), "id 987-65-4321 and 987654321, x@example.invalid, q@site.org")
-    assert [(f.pattern, f.value) for f in found[0]] == [("ssn", "987-65-4321"), ("email", "q@site.org")]
-    assert one(spark, redact.redact(F.col("x")), "987-65-4321 a@b.co (555) 123-4567") == ["[SSN] [EMAIL] [PHONE]"]
-    assert one(spark, redact.excerpts(F.col("x")), "the id is 987-65-4321 today, or so")[0][0].excerpt == "e id is 987-65-4321 today, "[:27]
+    assert [(f.pattern, f.value) for f in found[0]] == [("SSN", "987-65-4321"), ("EMAIL", "q@site.org")]
+    assert one(spark, redact.redact(F.col("x")), "987-65-4321 a@b.co +1 555 123-4567 123456789 1990-02-03") == ["***SSN*** ***EMAIL*** +***PHONE*** ***SSN-OR-LONG-DIGIT*** ***DATE***"]
+    assert one(spark, redact.excerpts(F.col("x")), "the id is 987-65-4321 today, or so")[0][0].excerpt == "e id is 987-65-4321 today,"
+
+
+def test_files_are_scanned_by_kind(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('\n{"created_at": {"x": "4/2/1985"}, "n": ["4/2/1985"], "e": "q\\u0040site.org"}\nnot json 987-65-4321\n')
+    (tmp_path / "b.txt").write_text("fine\n  at 555-123-4567\n")
+    found = sorted((r.path.rsplit("/", 1)[-1], r.line, r.pattern, r.excerpt) for r in feeds.scan_files(spark, str(tmp_path)).collect())
+    assert found == [("a.jsonl", 2, "DOB_US_DATE", "4/2/1985"), ("a.jsonl", 2, "EMAIL", "q@site.org"), ("a.jsonl", 3, "SSN", "ot json 987-65-4321"), ("b.txt", 2, "PHONE", "at 555-123-4567")]
+    (tmp_path / "c.csv").write_text("x\na@b.test,q@site.org,(555) 123.4567\n900-12-3456 # PII-allowed: invented\n")
+    found = {(r.line, r.pattern, r.value) for r in feeds.scan_fixtures(spark, str(tmp_path), "*.csv").collect()}
+    assert found == {(2, "email", "q@site.org"), (2, "phone", "555) 123.4567")}
+
+
+def test_a_log_of_many_blocks(spark, tmp_path):
+    entries = audit.append(audit.GENESIS, [{"event_class": "X", "n": i} for i in range(400)])
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        for change, where in ((None, None), (200, 201), (399, 400)):
+            rows = [e | {"n": -1} if i == change else e for i, e in enumerate(entries)]
+            (tmp_path / "log.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows[:7]) + "\n" + "".join(json.dumps(r) + "\n" for r in rows[7:]))
+            v = audit.validate_log(spark, str(tmp_path / "log.jsonl"), entries[-1]["self_hash"])
+            assert (v["valid"], v["entries_checked"], v["first_broken"]) == (change is None, 401, where and where + 1)
+        assert audit.numbered_lines(spark, str(tmp_path)).select("block").distinct().count() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_versions_and_pointers(spark, tmp_path):
+    table = store.VersionedTable(spark, str(tmp_path / "v"))
+    for k in (1, 2):
+        table.publish(spark.range(k), k)
+    assert table.current() == 2 and table.read().count() == 2
+    table.point(1)
+    assert table.read().count() == 1 and table.read(2).count() == 2
 
 
 def test_sources(spark, tmp_path):
