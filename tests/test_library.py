@@ -10,7 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from rosterforge import fixtures, queries
+from rosterforge import config, fixtures, queries
 from rosterforge.functions import dates, redact, similarity, tokens
 from rosterforge.operators import audit, dq, resolve, store, suppression, verify
 from rosterforge.operators.dedup import last_wins
@@ -192,6 +192,22 @@ def test_versions_and_pointers(spark, tmp_path):
     assert table.read().count() == 1 and table.read(2).count() == 2
 
 
+def test_settings_are_checked_together():
+    good = {"environment": "production", "database_url": "x", "secret_key": "s" * 32, "auth_mode": "jwt", "database_tls_enabled": True, "audit_key": "0a" * 32, "pii_encryption_key": "p", "artifact_signing_key": "a"}
+    assert config.problems(good) == [] and config.problems({}) == []
+    bad = good | {"secret_key": "s" * 31, "audit_key": "0A" * 32, "artifact_signing_key": "s" * 31}
+    assert [x.split()[0] for x in config.problems(bad)] == ["secret_key", "audit_key", "artifact_signing_key"]
+    with pytest.raises(config.ConfigurationError, match="database_url.*pii_encryption_key"):
+        config.validate({"environment": "staging"})
+
+
+def test_breach_and_padding(spark):
+    people = spark.range(600).select((F.col("id") % 60 != 0).alias("contact"))
+    assert audit.breach_total(people, F.col("contact")).first()[:] == (600, 10, True, True)
+    assert audit.breach_total(people.limit(0), F.col("contact")).first()[:] == (0, 0, False, False)
+    assert {len(x) for x in one(spark, verify.padded(verify.collapse(F.col("x")), 20), "ELIGIBLE_ACTIVE", None, "DELETED")} == {20}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,na me,note\n1,"q""q","two\nlines"\n2,,\n')
     rows = feeds.read_csv(spark, str(tmp_path / "a.csv")).orderBy("_line").collect()
