@@ -45,11 +45,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Write the whole documents as shards into the shared folder and read them back."""
+    x = sharding.write_shards(table(spark, sf_dir, "documents"), Scratch(spark, "sharding").path("shards"), SHARDS)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    digest = docs.select("doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    x = sharding.external_shuffle(digest, SHARDS)
-    return x.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return x.select("doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

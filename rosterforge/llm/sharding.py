@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small
 
 
 def external_shuffle(records: DataFrame, n_shards: int, seed: int = 17, bucket_rows: int = 10_000, bucket_bytes: int = 64 << 20, size: Column | None = None, by: tuple[str, ...] | None = None) -> DataFrame:
@@ -27,30 +27,34 @@ def external_shuffle(records: DataFrame, n_shards: int, seed: int = 17, bucket_r
     size: a record's bytes, for the number of buckets; by: columns that the scatter hashes (default: all). Rows that
     agree in all of `by` meet in one bucket, so `by` should hold an id.
     """
-    spark, tmp = records.sparkSession, Scratch(records.sparkSession, "shards")
     by = list(by or records.columns)
     n, total = records.agg(F.count(F.lit(1)), F.coalesce(F.sum(size if size is not None else F.lit(64)), F.lit(0))).first()
     buckets = max(1, -(-n // bucket_rows), -(-total // bucket_bytes))
     # The hash is finer than the buckets: a bucket is a partition, whatever number of partitions Spark makes of it.
     place = F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(buckets)).cast("int")
+    sizes = records.select(place.alias("_bucket")).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_bucket", (F.sum("_n").over(W.orderBy("_bucket")) - F.col("_n")).alias("_before"))
+    before = Scratch(records.sparkSession, "shards").write(before, "before")
     scattered = records.select(place.alias("_bucket"), F.struct(*records.columns).alias("_r")).repartition(buckets, "_bucket")
     mixed = (
         scattered.groupBy("_bucket").agg(F.sort_array(F.collect_list("_r")).alias("_rs"))
+        .join(small(before, buckets), "_bucket")
         .sortWithinPartitions("_bucket")
-        .select("_bucket", F.posexplode(F.expr(f"shuffle(_rs, {seed})")).alias("_i", "_r"))
+        .select("_before", F.posexplode(F.expr(f"shuffle(_rs, {seed})")).alias("_i", "_r"))
     )
-    mixed = tmp.write(mixed, "mixed")
-    sizes = mixed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_bucket", (F.sum("_n").over(W.orderBy("_bucket")) - F.col("_n")).alias("_before"))
     spot = F.col("_before") + F.col("_i")
     shard = F.floor(spot * n_shards / F.lit(max(n, 1)).cast("decimal(20,0)")).cast("int")
     first = F.ceil(shard.cast("decimal(20,0)") * n / n_shards).cast("long")
-    return mixed.join(before, "_bucket").select("_r.*", shard.alias("shard"), (spot - first).alias("slot"))
+    return mixed.select("_r.*", shard.alias("shard"), (spot - first).alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int, seed: int = 17, text_col: str = "text") -> DataFrame:
-    """Write whole records into path/shard=s, ordered by slot, and return the written rows."""
+    """Write whole records into path/shard=s and return the written rows.
+
+    A bucket's places are gapless, so a bucket is written by the task that shuffled it: a shard is a file of each
+    bucket that reaches into it, ordered by slot.
+    """
     size = F.coalesce(F.octet_length(text_col), F.lit(0)) + 1
     out = external_shuffle(docs, n_shards, seed, size=size)
-    out.repartition(n_shards, "shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    out.sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    return docs.sparkSession.read.schema(out.schema).parquet(path)

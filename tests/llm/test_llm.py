@@ -245,6 +245,21 @@ def test_op4_sizes(spark, sf):
     assert all((r.size, r.text_crc32) == (len(texts[r.doc_id]) + 1, zlib.crc32(texts[r.doc_id])) for r in rows) and len(rows) == len(texts)
 
 
+def test_op4_answers_from_whole_written_shards(spark, sf, none, tmp_path):
+    x = queries.op4_sharding(spark, sf)
+    files = x.inputFiles()
+    assert files and all("/shards/shard=" in f for f in files)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    written = spark.read.parquet(files[0].split("/shard=")[0])
+    assert Counter(map(repr, written.select(docs.columns).collect())) == Counter(map(repr, docs.collect()))
+    slots = defaultdict(list)
+    for r in x.collect():
+        slots[r.shard].append(r.slot)
+    assert sorted(slots) == list(range(queries.SHARDS)) and all(sorted(k) == list(range(len(k))) for k in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert sharding.write_shards(none, str(tmp_path / "none"), 4).count() == 0
+
+
 # 5
 
 
