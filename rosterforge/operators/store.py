@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -89,9 +90,17 @@ def stale_feeds(arrivals: DataFrame, by: list[str], day: str, cadence_days: int)
 
 
 def late_files(files: DataFrame, by: list[str], effective: str, arrival: str) -> DataFrame:
-    """files with `late`: one of a later effective day has arrived before. The rebuild then orders by effective day, not arrival."""
-    w = W.partitionBy(*by).orderBy(arrival, effective).rowsBetween(W.unboundedPreceding, -1)
-    return files.withColumn("late", F.coalesce(F.col(effective) < F.max(effective).over(w), F.lit(False)))
+    """files with `late`: one of a later effective day has arrived before. The rebuild then orders by effective day, not arrival.
+
+    Files that arrive together are taken by effective day, so only those of other arrivals count: the running maximum
+    goes over one row of each arrival, not over files. A null arrival is the first.
+    """
+    w = W.partitionBy(*[f"_by{i}" for i in range(len(by))]).orderBy("_arrival").rowsBetween(W.unboundedPreceding, -1)
+    keys = [(f"_by{i}", k) for i, k in enumerate(by)] + [("_arrival", arrival)]
+    days = files.groupBy(*[F.col(k).alias(name) for name, k in keys]).agg(F.max(effective).alias("_latest"))
+    days = days.withColumn("_before", F.max("_latest").over(w)).drop("_latest")
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(name)) for name, k in keys])
+    return files.join(days, same, "left").withColumn("late", F.coalesce(F.col(effective) < F.col("_before"), F.lit(False))).drop("_before", *[name for name, _ in keys])
 
 
 def survivorship(updates: DataFrame, key: list[str], order: list[str], mutable: list[str], locked: list[str]) -> DataFrame:

@@ -389,6 +389,25 @@ def late_files(spark, d):
     return store.late_files(x, ["feed"], "effective", "arrival").select("o_orderkey", "late")
 
 
+#: All orders; the days of each year are 90 days further on than those of the year before, so that feeds have gaps.
+ALL_ARRIVALS = "SELECT DISTINCT o_orderpriority AS feed, CAST(o_orderdate AS DATE) + CAST((year(o_orderdate) - 1992) * 90 AS INTEGER) AS day FROM orders"
+
+
+@query(f"SELECT feed, CAST(day AS VARCHAR) AS day, gap_days FROM (SELECT *, CAST(day - lag(day) OVER (PARTITION BY feed ORDER BY day) AS INTEGER) AS gap_days FROM ({ALL_ARRIVALS})) WHERE gap_days > 60")
+def stale_baseline_all(spark, d):
+    day = F.date_add(c("o_orderdate").cast("date"), (F.year("o_orderdate") - 1992) * 90)
+    x = t(spark, d, "orders").select(c("o_orderpriority").alias("feed"), day.alias("day")).distinct()
+    return store.stale_feeds(x, ["feed"], "day", 60).withColumn("day", c("day").cast("string"))
+
+
+@query("""WITH f AS (SELECT o_orderkey, o_orderpriority AS feed, CAST(o_orderdate AS DATE) AS effective, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 5 * 40 AS INTEGER) AS arrival FROM orders)
+  SELECT o_orderkey, coalesce(effective < max(effective) OVER (PARTITION BY feed ORDER BY arrival, effective, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM f""")
+def late_files_all(spark, d):
+    day = c("o_orderdate").cast("date")
+    x = t(spark, d, "orders").select("o_orderkey", c("o_orderpriority").alias("feed"), day.alias("effective"), F.date_add(day, (c("o_orderkey") % 5 * 40).cast("int")).alias("arrival"))
+    return store.late_files(x, ["feed"], "effective", "arrival").select("o_orderkey", "late")
+
+
 @query("""SELECT user_id, arg_max(value, (ts, event_id)) AS value, arg_min(event_type, (ts, event_id)) AS event_type, min(event_type) <> max(event_type) AS conflict FROM events GROUP BY user_id""")
 def survivorship(spark, d):
     return store.survivorship(t(spark, d, "events"), ["user_id"], ["ts", "event_id"], ["value"], ["event_type"])

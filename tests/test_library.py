@@ -4,7 +4,7 @@ import hashlib
 import hmac
 import json
 import uuid
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
 import duckdb
 import pytest
@@ -220,6 +220,25 @@ def test_sources(spark, tmp_path):
     assert set(feeds.discover(spark, {"a": ("csv", str(tmp_path / "a.csv")), "b": ("csv", str(tmp_path / "no.csv"))})) == {"a"}
 
 
+def test_feeds_are_compared_over_all_orders(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert queries.QUERIES["late_files_all"](spark, sf).count() == orders
+    assert queries.QUERIES["stale_baseline_all"](spark, sf).count() > 0
+
+
+def test_late_files_of_ties_and_nulls(spark):
+    day = lambda n: None if n is None else date(2024, 1, 1) + timedelta(n)
+    keys = [(f, e, a) for f in ("a", None) for e in (0, 1, 2, None) for a in (3, 4, 5, None)]
+    rows = [(i, f, day(e), day(a)) for i, (f, e, a) in enumerate(keys * 2)]
+    x = store.late_files(spark.createDataFrame(rows, "id long, feed string, effective date, arrival date"), ["feed"], "effective", "arrival")
+    low = date.min
+    want = {i: e is not None and any(f2 == f and e2 is not None and e2 > e and (a2 or low, e2) < (a or low, e) for _, f2, e2, a2 in rows) for i, f, e, a in rows}
+    assert {r.id: r.late for r in x.collect()} == want and len(want) == len(rows) and x.columns == ["id", "feed", "effective", "arrival", "late"]
+    # the running maximum goes over days, not files
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Window") :]
+
+
 def test_two_days_with_a_deletion(spark):
     """Feeds, gates, tiers, suppression and enrollments of the seeded scenarios."""
     a, b = fixtures.mappings()
