@@ -48,8 +48,12 @@ def read_xml(spark: SparkSession, path: str, row_tag: str, columns: list[str]) -
 
 
 def read_x12_834(spark: SparkSession, path: str) -> DataFrame:
-    """Benefit enrollment: a member per INS loop, from its REF*0F, NM1*IL, DMG*D8 and N3/N4 segments."""
-    loops = spark.read.text(path, wholetext=True).select(F.explode(F.slice(F.split("value", r"(?:^|~)\s*INS\*"), 2, 1_000_000)).alias("loop"))
+    """Benefit enrollment: a member per INS loop, from its REF*0F, NM1*IL, DMG*D8 and N3/N4 segments.
+
+    A file is one row of one task; all its loops are read. A file that doesn't fit a row (2 GB) fails.
+    """
+    parts = spark.read.text(path, wholetext=True).select(F.split("value", r"(?:^|~)\s*INS\*").alias("parts"))
+    loops = parts.select(F.explode(F.slice("parts", F.lit(2), F.size("parts"))).alias("loop"))
     seg = lambda pattern, i=1: F.regexp_extract("loop", pattern, i)
     return loops.select(
         seg(r"~\s*REF\*0F\*([^*~]*)").alias("member_id"), seg(r"~\s*NM1\*IL\*1\*([^*~]*)\*?([^*~]*)", 2).alias("first_name"), seg(r"~\s*NM1\*IL\*1\*([^*~]*)").alias("last_name"),

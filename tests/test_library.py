@@ -220,6 +220,18 @@ def test_sources(spark, tmp_path):
     assert set(feeds.discover(spark, {"a": ("csv", str(tmp_path / "a.csv")), "b": ("csv", str(tmp_path / "no.csv"))})) == {"a"}
 
 
+def test_x12_834_keeps_every_loop(spark, tmp_path):
+    n = 1_000_003
+    with open(tmp_path / "big.834", "w") as f:
+        f.write("ISA*00~")
+        f.writelines(f"INS*Y~REF*0F*{i}~" for i in range(n))
+    got = feeds.read_x12_834(spark, str(tmp_path / "big.834")).agg(F.count("member_id"), F.count_distinct("member_id"), F.max(F.col("member_id").cast("long"))).first()
+    assert tuple(got) == (n, n, n - 1)
+    (tmp_path / "none.834").write_text("ISA*00~SE*1~")
+    (tmp_path / "empty.834").write_text("")
+    assert feeds.read_x12_834(spark, str(tmp_path / "none.834")).count() == feeds.read_x12_834(spark, str(tmp_path / "empty.834")).count() == 0
+
+
 def test_feeds_are_compared_over_all_orders(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet").count()
     assert queries.QUERIES["late_files_all"](spark, sf).count() == orders
