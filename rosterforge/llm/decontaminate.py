@@ -9,7 +9,8 @@ start on the diagonals of a document that hold as many shared grams; nothing wit
 each item is embedded by the CGK random walk (three steps per word; a word's hash at a step decides whether the walk moves
 on), which maps edit distance to Hamming distance. Repeated tables of sampled places make candidates: a window
 meets an item when all sampled places of one table agree. The number of tables follows from the target recall at
-the Hamming distance `far` (a part of the embedding's length). What meets is verified by the edit distance of the item to
+the Hamming distance `far` (a part of the embedding's length). A walk may take a window and its item further apart than that,
+which more tables don't repair: windows that meet no item are embedded again by further independent walks. What meets is verified by the edit distance of the item to
 the best run in the window and d words on both sides.
 
 The decision about a document needs the document and the items alone: no shuffle, no join. Items are sent to the
@@ -38,13 +39,14 @@ STEPS = 3
 
 @dataclass(frozen=True)
 class Rule:
-    """max_edit: edits per word of the item; recall: of the tables at Hamming distance far; bits: places per table."""
+    """max_edit: edits per word of the item; recall: of the tables at Hamming distance far; bits: places per table; walks: independent embeddings, each with its own tables."""
 
     max_edit: float = 0.2
     recall: float = 0.999
     far: float = 0.6
     bits: int = 3
     seed: int = 23
+    walks: int = 4
 
     @property
     def tables(self) -> int:
@@ -92,19 +94,32 @@ class Items:
             seen[keys >> np.uint64(44)] = True
             self.by_q[int(q)] = (seen, keys, first, count, item[order], place[order])
         rng = np.random.default_rng(rule.seed)
-        self.samples = rng.random((rule.tables, rule.bits))
-        self.codes = {i: self.codes_of(self.words[i][None, :], self.m[i : i + 1], int(self.m[i]))[0] for i in range(len(self.ids))}
+        self.samples = rng.random((rule.walks, rule.tables, rule.bits))
+        self.codes = {}
 
-    def codes_of(self, words: np.ndarray, lengths: np.ndarray, m: int) -> np.ndarray:
-        """One hash per row and table."""
+    def codes_of(self, words: np.ndarray, lengths: np.ndarray, m: int, walk: int) -> np.ndarray:
+        """One hash per row and table of a walk."""
         steps = STEPS * m
-        emb = cgk(words, lengths, steps, self.rule.seed)
-        place = (self.samples * steps).astype(np.int64)
+        emb = cgk(words, lengths, steps, self.rule.seed + walk)
+        place = (self.samples[walk] * steps).astype(np.int64)
         h = np.zeros((len(words), len(place)), np.uint64)
         for b in range(self.rule.bits):
             h = tk.mix(h ^ emb[:, place[:, b]])
         return h
 
+    def meet(self, i: int, words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Which of the windows meet item i in a table of some walk; a walk is taken by those that met in none before."""
+        m = int(self.m[i])
+        out = np.zeros(len(words), bool)
+        for walk in range(self.rule.walks):
+            rest = np.flatnonzero(~out)
+            if not len(rest):
+                break
+            if (i, walk) not in self.codes:
+                self.codes[i, walk] = self.codes_of(self.words[i][None, :], self.m[i : i + 1], m, walk)
+            out[rest] = (self.codes_of(words[rest], lengths[rest], m, walk) == self.codes[i, walk]).any(1)
+        return out
+
 
 def distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """The least edits from item to a run of text, and the first place in text where such a run ends."""
@@ -177,8 +192,7 @@ def matches(items: Items, w: np.ndarray, woff: np.ndarray) -> dict[int, list[dic
         place = np.minimum(np.maximum(place + lead[:, None], 0), b - a - 1)
         length = np.minimum(m - lead, np.maximum(b - a - np.maximum(begin, 0), 0))
         length = np.minimum(length, ok.sum(1))
-        codes = items.codes_of(text[place], length, m)
-        meet = (codes == items.codes[i][None, :]).any(1)
+        meet = items.meet(i, text[place], length)
         best = None
         done = -1
         for s in begin[meet]:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -477,6 +478,23 @@ def test_contamination_against_brute_force(spark):
     assert clean.columns == df.columns and {x.doc_id for x in clean.collect()} == {d for d, _ in docs} - {d for d, _ in got}
 
 
+@pytest.mark.parametrize("m", [5, 6, 8, 10, 15, 20])
+def test_short_items_at_d_edits_reach_the_stated_recall(m):
+    n, rng = 3000, np.random.default_rng(m)
+    word = lambda k: [f"w{x}" for x in rng.integers(0, 50_000, k)]
+    own = [word(m) for _ in range(n)]
+    rule, texts = decontaminate.Rule(), []
+    for x in own:
+        y = list(x)
+        for _ in range(int(m * rule.max_edit + 1e-9)):
+            kind, p = rng.integers(3), int(rng.integers(len(y)))
+            y[p : p + int(kind != 0)] = word(int(kind != 1))
+        texts.append(" ".join(word(30) + y + word(30)))
+    items = decontaminate.Items(list(range(n)), [" ".join(x) for x in own], rule)
+    found = decontaminate.matches(items, *textkernel.words(*textkernel.raw(pa.array(texts, pa.large_string())), textkernel.ALNUM_WORDS))
+    assert sum(i in [f["item_id"] for f in found.get(i, [])] for i in range(n)) >= rule.recall * n
+
+
 def test_contamination_of_edge_rows(spark, edge, none):
     it = spark.createDataFrame([(1, "lorem ipsum dolor sit amet lorem")], "item_id long, text string")
     assert sorted(x.doc_id for x in decontaminate.find_contamination(edge, it).collect()) == [7, 8]
