@@ -10,7 +10,7 @@ stays within what is left. The order of an epoch is the md5 of seed, epoch and i
 over hash ranges of a leaf and then inside one range, so a leaf with a third of all rows is spread over many tasks.
 
 A token is a run of anything but white space. Null texts have none and are never taken. Null domain, language or source
-count as the value "". Repeated rows are documents of their own. An empty table or a budget of 0 gives no rows.
+count as the value "". Repeated rows are documents of their own. Rows of one id, and rows of no id, have one place in the order each. An empty table or a budget of 0 gives no rows.
 """
 
 from __future__ import annotations
@@ -73,14 +73,15 @@ def epoch_key(seed: int, epoch: Column, doc_id: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), doc_id.cast("string")).cast("binary"))
 
 
-def mix(docs: DataFrame, domain: Column, budget_share: float, weights: Mapping[str, Mapping[str, float]], defaults: Mapping[str, float] | None = None, seed: int = 11, max_epochs: int = 2, range_rows: int = 2_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, domain: Column, budget_share: float, weights: Mapping[str, Mapping[str, float]], defaults: Mapping[str, float] | None = None, seed: int = 11, max_epochs: int = 2, range_rows: int = 2_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document and epoch that is taken: id, domain, language, source, n_tokens, epoch, order key.
 
+    carry: columns of docs that follow, and that order rows of equal id and tokens; without them rows of one id can't be told apart.
     budget_share: the budget as a part of all tokens of the corpus; max_epochs: how often a document may be taken at most.
     """
     tmp = Scratch(docs.sparkSession, "mix")
     text = lambda c: F.coalesce(c, F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text(domain).alias("domain"), text(F.col(lang_col)).alias("language"), text(F.col(source_col)).alias("source"), tokens(F.col(text_col)).alias("n_tokens")).filter("n_tokens > 0")
+    rows = docs.select(F.col(id_col).alias("id"), text(domain).alias("domain"), text(F.col(lang_col)).alias("language"), text(F.col(source_col)).alias("source"), tokens(F.col(text_col)).alias("n_tokens"), *carry).filter("n_tokens > 0")
     rows = tmp.write(rows, "rows")
     leaves = tmp.write(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("leaf_tokens"), F.count(F.lit(1)).alias("leaf_docs")), "leaves")
     total = leaves.agg(F.coalesce(F.sum("leaf_tokens"), F.lit(0))).first()[0]
@@ -98,7 +99,7 @@ def mix(docs: DataFrame, domain: Column, budget_share: float, weights: Mapping[s
     sums = last.groupBy(*LEVELS, "range").agg(F.sum("n_tokens").alias("_n"))
     sums = sums.withColumn("before", F.sum("_n").over(W.partitionBy(*LEVELS).orderBy("range")) - F.col("_n"))
     sums = tmp.write(sums.drop("_n"), "sums")
-    inner = W.partitionBy(*LEVELS, "range").orderBy("order_key", F.col("id").asc_nulls_first(), "n_tokens").rowsBetween(W.unboundedPreceding, 0)
+    inner = W.partitionBy(*LEVELS, "range").orderBy("order_key", F.col("id").asc_nulls_first(), "n_tokens", *carry).rowsBetween(W.unboundedPreceding, 0)
     prefix = last.join(sums, [*LEVELS, "range"]).withColumn("upto", F.col("before") + F.sum("n_tokens").over(inner)).filter("upto <= rest")
-    cols = ["id", *LEVELS, "n_tokens", "epoch", "order_key"]
+    cols = ["id", *LEVELS, "n_tokens", "epoch", "order_key", *carry]
     return whole.select(cols).unionByName(prefix.select(cols)).withColumnRenamed("id", id_col)

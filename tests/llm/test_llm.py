@@ -152,6 +152,18 @@ def test_mix_of_edge_rows(edge, none):
     assert mixing.mix(edge, F.lit("d"), 0.0, {}).count() == 0
 
 
+def test_the_mixing_stage_tells_rows_of_one_id_apart(spark):
+    import corpus_pipeline
+
+    rows = [([None, i % 7, i][i % 3], " ".join(["w"] * (i % 11 + 1)), "en", f"src{i % 4}", i) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = [tuple(r) for r in corpus_pipeline.mix_sources(spark, docs, "").collect()]
+    mixed = mixing.mix(docs, queries.domain(F.col("source")), queries.MIX_SHARE, queries.MIX_WEIGHTS, seed=queries.MIX_SEED, max_epochs=1).collect()
+    assert Counter((k, len(t.split())) for k, t, *_ in kept) == Counter((r.doc_id, r.n_tokens) for r in mixed)
+    assert set(kept) <= set(rows) and len(set(kept)) == len(kept) and any(k is None for k, *_ in kept)
+    assert kept and sum(len(t.split()) for _, t, *_ in kept) <= queries.MIX_SHARE * sum(len(t.split()) for _, t, *_ in rows)
+
+
 # 3, 8
 
 
