@@ -17,7 +17,7 @@ The decision about a document needs the document and the items alone: no shuffle
 executors in blocks of a checked size, one pass over the texts for each block.
 
 Null or empty texts, and items without words, match nothing. Repeated rows give equal results, repeated items (equal
-words) one result for each item_id. Items of a few words match few edits: d is 0 below 1 / max_edit words.
+words) one result for each item_id. Items without an id are looked for like others and have a null item_id. Items of a few words match few edits: d is 0 below 1 / max_edit words.
 """
 
 from __future__ import annotations
@@ -218,11 +218,11 @@ def _own(good: np.ndarray, number: np.ndarray, g: int) -> np.ndarray:
 
 def blocks(items: DataFrame, block_bytes: int) -> Iterator[tuple[list[int], list[str]]]:
     """The items in blocks of about block_bytes of text, each collected alone."""
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL AND item_id IS NOT NULL")
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // block_bytes))
     for k in range(n):
-        part = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).orderBy("item_id", "text").collect()
+        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
         yield [r[0] for r in part], [r[1] for r in part]
 
 
@@ -239,7 +239,7 @@ def scan(docs: DataFrame, ids: list[int], texts: list[str], rule: Rule, text_col
             if items.ids:
                 for i, _, buf, off in tk.chunks(batch.column(text_col)):
                     for r, x in matches(items, *tk.words(buf, off, tk.ALNUM_WORDS)).items():
-                        found[i + r] = sorted(x, key=lambda y: y["item_id"])
+                        found[i + r] = sorted(x, key=lambda y: (y["item_id"] is not None, y["item_id"] or 0))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "_found"])
 
     return docs.mapInArrow(run, schema)

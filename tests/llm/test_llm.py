@@ -515,6 +515,15 @@ def test_contamination_of_edge_rows(spark, edge, none):
     assert decontaminate.decontaminate(edge, it.limit(0)).count() == len(EDGE) and decontaminate.find_contamination(edge, it.limit(0)).count() == 0
 
 
+def test_items_without_an_id_count(spark, edge):
+    it = spark.createDataFrame([(None, "lorem ipsum dolor sit amet lorem"), (None, "one two"), (1, "one two")], "item_id long, text string")
+    found = decontaminate.find_contamination(edge, it)
+    assert Counter((r.doc_id, r.item_id) for r in found.collect()) == Counter([(7, None), (8, None), *[(k, i) for k in (4, 5, 5, 6, None) for i in (None, 1)]])
+    in_blocks = decontaminate.find_contamination(edge, it, block_bytes=10)
+    assert Counter(in_blocks.collect()) == Counter(found.collect())
+    assert decontaminate.decontaminate(edge, it).count() == len(EDGE) - 7
+
+
 def test_op7_finds_whole_items(spark, sf):
     d = sf.replace("0.001", "0.01")
     items = {r.item_id: " ".join(word_list(r.text)) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
