@@ -74,11 +74,26 @@ def run_day(store: Store, feeds: dict[str, tuple[DataFrame, PartnerMapping]], as
     else:
         keep, gone = rows, rows.limit(0)
     keep, gone = tmp.write(keep, "publishable"), tmp.write(gone, "suppressed")
+    store.add("audit", ingest_events(spark, gates, as_of))
+    store.add("audit", suppressed_events(gone, as_of))
     decisions, groups = resolve(keep, store.candidates(), store.key)
     persist(store, keep, decisions, groups, as_of)
     return Day(gates, gone, keep, decisions, groups)
 
 
+def ingest_events(spark: SparkSession, gates: dict[str, dq.DQResult], as_of: str) -> DataFrame:
+    """A FEED_INGESTED event for each feed."""
+    rows = [(name, "QUARANTINED" if g.feed_quarantined else "ACCEPTED") for name, g in gates.items()]
+    x = spark.createDataFrame(rows, "target_token string, outcome string")
+    return x.select(F.lit("FEED_INGESTED").alias("event_class"), "target_token", "outcome", F.lit(as_of).cast("timestamp").alias("timestamp"))
+
+
+def suppressed_events(gone: DataFrame, as_of: str) -> DataFrame:
+    """A SUPPRESSED_DELETED event for each suppressed record."""
+    target = F.concat(F.coalesce("partner_id", F.lit("")), F.lit(":"), F.coalesce("partner_member_id", F.lit("")))
+    return gone.select(F.lit("SUPPRESSED_DELETED").alias("event_class"), target.alias("target_token"), F.lit("SUPPRESSED").alias("outcome"), F.lit(as_of).cast("timestamp").alias("timestamp"))
+
+
 def persist(store: Store, rows: DataFrame, decisions: DataFrame, groups: DataFrame, as_of: str) -> None:
     """Insert members and enrollments that aren't there; append decisions, history and reviews."""
     ts, k = F.lit(as_of).cast("timestamp"), store.key

@@ -273,3 +273,16 @@ def test_two_days_with_a_deletion(spark):
     tiers = {r.candidate_record_ref: r.tier for r in two.decisions.collect()}
     assert sum(t == "TIER_1_DETERMINISTIC" for t in tiers.values()) >= 100
     assert store.violations(s.tables["members"], ["member_id"]).count() == 0
+
+
+def test_feeds_and_suppressed_records_are_audited(spark):
+    a, b = fixtures.mappings()
+    s = pipeline.Store(spark, b"key", "salt")
+    n = 30
+    one = pipeline.run_day(s, {"A": (fixtures.feed_a(spark, 1, n), a), "B": (fixtures.feed_b(spark, 1, n), b)}, "2024-01-01")
+    row = one.publishable.filter("partner_id = 'PARTNER_A'").orderBy("partner_member_id").first()
+    pipeline.delete_member(s, one.publishable, "r1", row.partner_id, row.partner_member_id, "2024-01-10")
+    two = pipeline.run_day(s, {"A": (fixtures.feed_a(spark, 1, n), a)}, "2024-02-01")
+    got = sorted((r.event_class, r.target_token, r.outcome, r.timestamp.month) for r in s.tables["audit"].filter("event_class NOT LIKE 'DELETION%'").collect())
+    gone = [("SUPPRESSED_DELETED", f"{r.partner_id}:{r.partner_member_id}", "SUPPRESSED", 2) for r in two.suppressed.collect()]
+    assert gone and got == sorted([("FEED_INGESTED", "A", "ACCEPTED", 1), ("FEED_INGESTED", "B", "QUARANTINED", 1), ("FEED_INGESTED", "A", "ACCEPTED", 2), *gone])
