@@ -4,8 +4,9 @@
    sequence, `bands` keys of `rows` universal hash minima each, and eight bits of every minimum.
 2. Documents of one word sequence are one class; its least id takes part in what follows, so exact copies cost nothing.
    Of buckets (a band's key) with the same members one is looked at.
-3. In each bucket all members are paired with one center, never with each other. Pairs whose sizes or signatures can't
-   reach the threshold go; the others are confirmed on their full shingle sets. Links give components.
+3. In each bucket all members are paired with one center, never with each other. A center of many members stands in as
+   many copies as its largest bucket has `share` members, so no task gets all of its pairs. Pairs whose sizes or signatures
+   can't reach the threshold go; the others are confirmed on their full shingle sets. Links give components.
 4. Buckets that still hold more than one component are compared by signature, in blocks of bounded size, and what
    could be linked gathers in families. Inside a family, blocks of full sets are compared with each other by products of
    their incidence matrices, but for blocks of one component. What leaves a block is at most one link per document, so a
@@ -63,7 +64,8 @@ def signer(bands: int, rows: int, k: int, seed: int):
                 for r in range(rows):
                     keys = tk.mix(keys ^ minima[r::rows])
                 keys = tk.mix(keys ^ salt[:, None]).T
-                low = np.ascontiguousarray((minima.T >> np.uint64(56)).astype(np.uint8))
+                # A minimum of n values lies near 2**64 / n, so its own top bits tell nothing of long texts: they are mixed first.
+                low = np.ascontiguousarray((tk.mix(minima).T >> np.uint64(56)).astype(np.uint8))
                 seq = np.stack([tk.sequence_hash(w, woff, 1), tk.sequence_hash(w, woff, 2)], 1)
                 full = size > 0
                 lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(full * bands))).astype(np.int32), pa.array(np.ascontiguousarray(keys[full]).view(np.int64).ravel()))
@@ -91,8 +93,8 @@ def agreeing(sigs: int):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, sigs) for c in ("sig_l", "sig_r"))
-            yield pa.RecordBatch.from_arrays([batch.column("l"), batch.column("r"), pa.array((left == right).sum(1).astype(np.int64))], ["l", "r", "same"])
+            own, center = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, sigs) for c in ("sig", "sig_c"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "center", "salt")), pa.array((own == center).sum(1).astype(np.int64))], ["doc_id", "center", "salt", "same"])
 
     return count
 
@@ -230,18 +232,21 @@ def block_pairs(rows: DataFrame, group: str, size: int, tmp: Scratch, name: str,
     return placed.drop("_nb").join(blocks, [group, "_own", "_b"]).drop("_own", "_b", group)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int = 40, rows: int = 5, seed: int = 5, block: int = 256) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept. docs needs doc_id (long) and text. block: documents per block."""
+def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int = 40, rows: int = 5, seed: int = 5, block: int = 256, share: int = 128) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, kept. docs needs doc_id (long) and text.
+
+    block: documents per block; share: members of a bucket that meet one copy of its center.
+    """
     tmp = Scratch(docs.sparkSession, "near")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = tmp.write(texts.mapInArrow(signer(bands, rows, k, seed), SIGNATURE), "signed")
-    labels = components_of(signed, texts, tmp, percent, k, bands * rows, block)
+    labels = components_of(signed, texts, tmp, percent, k, bands * rows, block, share)
     out = signed.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def components_of(signed: DataFrame, texts: DataFrame, tmp: Scratch, percent: int, k: int, sigs: int, block: int) -> DataFrame:
+def components_of(signed: DataFrame, texts: DataFrame, tmp: Scratch, percent: int, k: int, sigs: int, block: int, share: int) -> DataFrame:
     """(node, component) of all documents that have a link."""
     least = least_agreement(percent, sigs)
     full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -253,29 +258,34 @@ def components_of(signed: DataFrame, texts: DataFrame, tmp: Scratch, percent: in
     seen = F.struct(F.xxhash64(F.lit(0), "doc_id").alias("h"), F.col("doc_id").alias("d"))
     print_of = F.sum(F.xxhash64(F.lit(1), "doc_id").cast("decimal(20,0)"))
     buckets = members.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("m"), F.min(seen).alias("c"), print_of.alias("p")).filter("lo <> hi")
-    buckets = buckets.groupBy("m", "p", "lo", "hi", "c").agg(F.min("key").alias("key")).select("key", F.col("c.d").alias("center"))
+    buckets = buckets.groupBy("m", "p", "lo", "hi", "c").agg(F.min("key").alias("key")).select("key", "m", F.col("c.d").alias("center"))
     buckets = tmp.write(buckets, "buckets")
+    # A center is a member of its buckets, so it has as many of them as there are bands at most.
+    copies_of = tmp.write(buckets.groupBy("center").agg(F.ceil(F.max("m") / share).alias("salts")), "centers")
+    buckets = tmp.write(buckets.drop("m").join(copies_of, "center"), "salted")
     shared = tmp.write(members.join(buckets, "key").distinct(), "shared")
 
     def sets_of(ids: DataFrame, name: str) -> DataFrame:
         some = texts.join(small(ids, ids.count()), "doc_id", "left_semi")
         return tmp.write(some.mapInArrow(shingle_sets(k), "doc_id long, shingles array<long>"), name)
 
-    # Each member of a bucket with the bucket's center.
-    pairs = shared.select(F.least("doc_id", "center").alias("l"), F.greatest("doc_id", "center").alias("r")).filter("l <> r").distinct()
-    side = lambda s: nodes.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
-    pairs = pairs.join(side("l"), "l").join(side("r"), "r").filter(100 * F.least("n_l", "n_r") >= percent * F.greatest("n_l", "n_r")).select("l", "r", "sig_l", "sig_r")
-    near = tmp.write(pairs.mapInArrow(agreeing(sigs), "l long, r long, same long").filter(F.col("same") >= least).select("l", "r").distinct(), "near")
-    sets = sets_of(tmp.write(near.select(F.explode(F.array("l", "r")).alias("doc_id")).distinct(), "ids"), "sets")
-    side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("shingles").alias(f"s_{s}"))
-    both = near.join(side("l"), "l").join(side("r"), "r").withColumn("i", F.size(F.array_intersect("s_l", "s_r")))
-    good = both.filter(100 * F.col("i") >= percent * (F.size("s_l") + F.size("s_r") - F.col("i"))).select(F.col("l").alias("u"), F.col("r").alias("v"))
-    links = tmp.write(good.distinct(), "links")
+    # Each member of a bucket with a copy of the bucket's center.
+    pairs = shared.filter("doc_id <> center").select("doc_id", "center", F.pmod(F.xxhash64("doc_id"), F.col("salts")).alias("salt")).distinct()
+    spread = copies_of.select("center", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"))
+    centers = spread.join(nodes.select(F.col("doc_id").alias("center"), F.col("n").alias("n_c"), F.col("sig").alias("sig_c")), "center")
+    pairs = pairs.join(nodes.select("doc_id", "n", "sig"), "doc_id").join(centers, ["center", "salt"])
+    pairs = pairs.filter(100 * F.least("n", "n_c") >= percent * F.greatest("n", "n_c")).select("doc_id", "center", "salt", "sig", "sig_c")
+    near = tmp.write(pairs.mapInArrow(agreeing(sigs), "doc_id long, center long, salt long, same long").filter(F.col("same") >= least).drop("same"), "near")
+    sets = sets_of(tmp.write(near.select(F.explode(F.array("doc_id", "center")).alias("doc_id")).distinct(), "ids"), "sets")
+    used = near.select("center", "salt").distinct().join(sets.select(F.col("doc_id").alias("center"), F.col("shingles").alias("s_c")), "center")
+    both = near.join(sets, "doc_id").join(used, ["center", "salt"]).withColumn("i", F.size(F.array_intersect("shingles", "s_c")))
+    good = both.filter(100 * F.col("i") >= percent * (F.size("shingles") + F.size("s_c") - F.col("i")))
+    links = tmp.write(good.select(F.greatest("doc_id", "center").alias("u"), F.least("doc_id", "center").alias("v")).distinct(), "links")
     tmp.drop("sets", "ids", "near")
 
     # Buckets that hold several components, by signature.
     labels = tmp.write(connected_components(links, Scratch(tmp.spark, "cc")), "labels").withColumnRenamed("node", "doc_id")
-    left = shared.drop("center").join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    left = shared.drop("center", "salts").join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     left = tmp.write(left, "left")
     mixed = tmp.write(left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key"), "mixed")
     rows = left.join(mixed, "key", "left_semi").select("key", "doc_id")
@@ -294,5 +304,5 @@ def components_of(signed: DataFrame, texts: DataFrame, tmp: Scratch, percent: in
     more = tmp.write(more.distinct(), "more")
     known = labels.select(F.col("doc_id").alias("u"), F.col("component").alias("v"))
     out = tmp.write(connected_components(copies.unionByName(known).unionByName(more), Scratch(tmp.spark, "cc")), "components")
-    tmp.drop("shared", "left", "nodes", "rest", "classes", "buckets", "bucket-blocks", "family-blocks")
+    tmp.drop("shared", "left", "nodes", "rest", "classes", "buckets", "salted", "centers", "bucket-blocks", "family-blocks")
     return out

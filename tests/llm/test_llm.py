@@ -423,6 +423,21 @@ def test_large_near_copy_groups(spark):
     assert Counter(map(tuple, mh.near_duplicates(frame(spark, rows), block=20).collect())) == brute_near(rows)
 
 
+def test_hot_centers_are_split_without_loss(spark):
+    rows = random_docs(120, 11) + [(1000 + i, t + f" tail{i % 9}") for i, t in enumerate(["c%d " % (k % 70) * 1 + " ".join("c%d" % x for x in range(40)) for k in range(130)])]
+    assert Counter(map(tuple, mh.near_duplicates(frame(spark, rows), block=16, share=4).collect())) == brute_near(rows)
+
+
+@pytest.mark.parametrize("n", [20, 300, 1000, 5000])
+def test_signatures_tell_unrelated_documents_apart(n):
+    r = np.random.default_rng(n)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 10**7, n + 4)) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    sigs = np.concatenate([np.frombuffer(b"".join(x.column("sig").to_pylist()), np.uint8).reshape(-1, 200) for x in mh.signer(40, 5, 5, 5)(iter([batch]))])
+    same = (sigs[:, None] == sigs[None]).sum(2)[np.triu_indices(60, 1)]
+    assert (same >= mh.least_agreement(75, 200)).mean() < 0.01 and same.mean() < 3
+
+
 @pytest.mark.parametrize("bound", [0, 10**6])
 def test_components_of_a_long_path(spark, bound):
     r = random.Random(1)
