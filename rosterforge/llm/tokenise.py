@@ -1,8 +1,11 @@
 """Token ids of whole texts by the tokenizers library, in the workers, with a bounded memory of words.
 
 A byte-level pre-tokenizer always cuts before a single space that stands between two characters that aren't white
-space. So such a piece, space included, has the same ids wherever it stands, and each is encoded once per worker as
-long as it is remembered. Tokenizers of other kinds get the whole texts.
+space. So such a piece, space included, has the same ids wherever it stands: the pieces of many texts are numbered by
+Arrow, and only distinct ones are looked at. A piece of common letters and marks is cut into words by the
+pre-tokenizer's own pattern, and only words that the worker doesn't remember go to the library, many in one call. Texts that hold
+the string of an added token, such as an end mark, go to the library whole: there it is that token. Tokenizers of other
+kinds get the whole texts.
 """
 
 from __future__ import annotations
@@ -12,26 +15,41 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 
-UNSAFE = re.compile(r"\s\s| \Z|\A ")
+#: Texts that a plain cut at each space could cut wrongly: white space beside white space, or at an end (RE2).
+UNEVEN = r"[\x09-\x0d\x1c-\x20\x{85}\pZ][\x09-\x0d\x1c-\x20\x{85}\pZ]|\A[\x09-\x0d\x1c-\x20\x{85}\pZ]|[\x09-\x0d\x1c-\x20\x{85}\pZ]\z"
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: All is forgotten once so many pieces, or ids, are remembered.
-MOST_PIECES, MOST_IDS = 250_000, 2_000_000
-#: New pieces that are encoded as one text.
+#: Fixed pattern of the byte-level pre-tokenizer.
+WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Pieces whose characters the pattern reads alike in both libraries: ASCII and Latin letters, and line breaks inside (RE2).
+COMMON = r"\A[!-~¡-¬®-ɏ](?:[\n!-~¡-¬®-ɏ]*[!-~¡-¬®-ɏ])?\z"
+#: A memory of so many words is closed; the one closed before it is forgotten.
+MOST = 300_000
+#: New words in one call.
 RUN = 500
 
 
-class _Memory(dict):
-    """piece -> number; a piece that is new gets the next number and is noted in `new`."""
+def runs(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """flat[start : start + count] of each row in a row, and the rows' offsets."""
+    ends = np.concatenate(([0], np.cumsum(count)))
+    return flat[np.repeat(start - ends[:-1], count) + np.arange(ends[-1])], ends
+
+
+class Memory:
+    """Words' numbers and, by number, their ids."""
 
     def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
+        self.number: dict[str, int] = {}
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def __missing__(self, piece: str) -> int:
-        self[piece] = n = len(self)
-        self.new.append(piece)
-        return n
+    def learn(self, words: list[str], flat: np.ndarray, ends: np.ndarray) -> None:
+        """New words, their ids and the offsets of these."""
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + ends[1:]))
+        self.flat = np.concatenate((self.flat, flat))
 
 
 class Encoder:
@@ -40,100 +58,134 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         j = json.loads(spec)
         pre = j.get("pre_tokenizer") or {}
-        # The special tokens' strings are ordinary text here; other added tokens could hold a space.
-        self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not j.get("normalizer") and all(x["special"] for x in j.get("added_tokens", ())) and j["model"]["type"] == "BPE" and not j["model"].get("dropout")
+        self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not j.get("normalizer") and j["model"]["type"] == "BPE" and not j["model"].get("dropout")
+        #: Strings that are tokens of their own, whatever stands around them.
+        self.added = [x["content"] for x in j.get("added_tokens", ()) if x["content"]]
         #: Bytes of each token, as a byte-level vocabulary has one character per byte.
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.bytes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
         for x, i in vocab.items():
             self.bytes[i] = len(x)
-        self.forget()
-
-    def forget(self) -> None:
-        self.memory, self.first, self.flat, self.used = _Memory(), {}, np.zeros(1 << 16, np.uint32), 0
-        self.start, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.memory, self.old = Memory(), Memory()
 
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' ids in a row, and the texts' offsets."""
-        if not self.by_piece:
-            each = self.ids(texts)
-            off = np.concatenate(([0], np.cumsum([len(x) for x in each], dtype=np.int64)))
-            return np.fromiter((i for x in each for i in x), np.uint32, off[-1]), off
-        if len(self.memory) > MOST_PIECES or self.used > MOST_IDS:
-            self.forget()
-        memory, pieces, heads, at = self.memory, [], [], [0]
-        for t in texts:
-            p = CUT.split(t) if UNSAFE.search(t) else t.split(" ")
-            heads.append(p[0])
-            p[0] = ""
-            pieces += p
-            at.append(len(pieces))
-        number = np.fromiter(map(memory.__getitem__, pieces), np.int64, len(pieces))
-        self._learn([" " + x if x else "" for x in memory.new])
-        memory.new.clear()
-        start, count = self.start[number], self.count[number]
-        head = self.ids(heads)
-        extra, place = np.fromiter((i for x in head for i in x), np.uint32), self.used
-        begin = np.array(at[:-1])
-        count[begin] = [len(x) for x in head]
-        start[begin] = place + np.concatenate(([0], np.cumsum(count[begin])[:-1])) if len(begin) else 0
-        self._room(len(extra))
-        self.flat[place : place + len(extra)] = extra
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """By the library alone."""
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in a row, and the texts' offsets. texts: strings without nulls."""
+        texts = texts.cast(pa.large_string())
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        whole = np.full(len(texts), not self.by_piece)
+        for x in self.added:
+            whole |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        uneven = ~whole & pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)
+        even = ~whole & ~uneven
+        own = [np.zeros(0, np.uint32)] * len(texts)  # of texts that aren't even, one by one
+        for i, x in zip(np.flatnonzero(whole).tolist(), self.ids(texts.filter(pa.array(whole)).to_pylist()), strict=True):
+            own[i] = x
+        cut = [CUT.split(x) for x in texts.filter(pa.array(uneven)).to_pylist()]
+        lists = pc.split_pattern(texts.filter(pa.array(even)), " ")
+        if cut:
+            lists = pa.concat_arrays([lists, pa.array(cut, lists.type)])
+        at = np.concatenate((np.flatnonzero(even), np.flatnonzero(uneven)))
+        flat, off = self._of_lists(lists)
+        if not whole.any() and not cut:
+            return flat, off
+        count = np.array([len(x) for x in own], np.int64)
+        count[at] = np.diff(off)
         ends = np.concatenate(([0], np.cumsum(count)))
-        out = self.flat[np.repeat(start - ends[:-1], count) + np.arange(ends[-1])]
-        return out, ends[at]
-
-    def _room(self, n: int) -> None:
-        while self.used + n > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Add new pieces' ids to the table; their numbers are the next ones."""
-        a, b = len(self.memory) - len(pieces), len(self.memory)
-        while b > len(self.start):
-            self.start, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.count))
-        n, flat = self._of_pieces(pieces)
-        self.count[a:b] = n
-        self.start[a:b] = self.used + np.concatenate(([0], np.cumsum(n)))[:-1]
-        self._room(len(flat))
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-
-    def _of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """How many ids each piece has, and all ids. Pieces that a text may be cut between are encoded as runs of many."""
-        n, out = np.zeros(len(pieces), np.int64), []
-        joined = [i for i, x in enumerate(pieces) if x and not x[-1].isspace()]
-        single = [i for i, x in enumerate(pieces) if x and x[-1].isspace()]
-        for k in range(0, len(joined), RUN):
-            own = joined[k : k + RUN]
-            ids = np.array(self.ids(["".join([pieces[i] for i in own])])[0], np.int64)
-            # Ids end where pieces end: both are counted in bytes.
-            ends = np.cumsum([len(pieces[i].encode()) for i in own])
-            at = np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1
-            n[own] = np.diff(at, prepend=0)
-            out.append(ids)
-        for i, ids in zip(single, self.ids([pieces[i] for i in single]), strict=True):
-            n[i] = len(ids)
-            out.append(np.array(ids, np.int64))
-        flat = np.concatenate(out) if out else np.zeros(0, np.int64)
-        if single:  # back to the order of the pieces
-            order = np.array(joined + single)
-            start = np.zeros(len(pieces), np.int64)
-            start[order] = np.concatenate(([0], np.cumsum(n[order])[:-1]))
-            begin = np.concatenate(([0], np.cumsum(n)))
-            flat = flat[np.repeat(start - begin[:-1], n) + np.arange(begin[-1])]
-        return n, flat
+        out = np.empty(ends[-1], np.uint32)
+        out[np.repeat(ends[at] - off[:-1], count[at]) + np.arange(len(flat))] = flat
+        for i in np.flatnonzero(whole).tolist():
+            out[ends[i] : ends[i + 1]] = own[i]
+        return out, ends
+
+    def _of_lists(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts as lists of pieces; the first piece of a text has no space before it."""
+        off = lists.offsets.to_numpy().astype(np.int64)
+        off = off - off[0]
+        pieces = lists.flatten()
+        if not len(pieces):
+            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+        coded = pieces.dictionary_encode()
+        number = coded.indices.to_numpy().astype(np.int64)
+        heads = pieces.take(pa.array(off[:-1])).dictionary_encode()
+        number[off[:-1]] = heads.indices.to_numpy() + len(coded.dictionary)
+        flat, ends = self._of_pieces(coded.dictionary)
+        head = self.ids(heads.dictionary.to_pylist())
+        flat = np.concatenate([flat, *head])
+        ends = np.concatenate((ends, ends[-1] + np.cumsum([len(x) for x in head], dtype=np.int64)))
+        out, where = runs(flat, ends[number], np.diff(ends)[number])
+        return out, where[off]
+
+    def _of_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces with a space before each, and their offsets."""
+        common = pc.match_substring_regex(pieces, COMMON).to_numpy(zero_copy_only=False)
+        own = pieces.filter(pa.array(common))
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), pa.scalar(" ", own.type))[0].as_py()
+        words = WORD.findall(" " + text) if len(own) else []
+        flat, ends = self._of_words(words)
+        # Words end where pieces end: both are counted in characters.
+        last = np.searchsorted(np.cumsum(np.fromiter(map(len, words), np.int64, len(words))), np.cumsum(pc.utf8_length(own).to_numpy() + 1)) + 1
+        if common.all():
+            return flat, np.concatenate(([0], ends[last]))
+        other = self.ids([" " + x for x in pieces.filter(pa.array(~common)).to_pylist()])
+        count = np.empty(len(pieces), np.int64)
+        count[common] = np.diff(ends[last], prepend=0)
+        count[~common] = [len(x) for x in other]
+        start = np.empty(len(pieces), np.int64)
+        start[common] = np.concatenate(([0], ends[last]))[:-1]
+        start[~common] = len(flat) + np.concatenate(([0], np.cumsum(count[~common])))[:-1]
+        return runs(np.concatenate([flat, *other]), start, count)
+
+    def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of the pattern, and their offsets."""
+        if len(self.memory.number) > MOST:
+            self.memory, self.old = Memory(), self.memory
+        m = self.memory
+        found = list(map(m.number.get, words))
+        new = list(dict.fromkeys([w for w, x in zip(words, found, strict=True) if x is None]))
+        if new:
+            get = self.old.number.get
+            seen = np.array([get(x, -1) for x in new], np.int64)
+            known = seen >= 0
+            flat, ends = self._by_library([x for x, k in zip(new, known.tolist(), strict=True) if not k])
+            start, count = np.empty(len(seen), np.int64), np.empty(len(seen), np.int64)
+            start[known], count[known] = self.old.ends[seen[known]] + len(flat), np.diff(self.old.ends)[seen[known]]
+            start[~known], count[~known] = ends[:-1], np.diff(ends)
+            m.learn(new, *runs(np.concatenate((flat, self.old.flat)), start, count))
+            found = [m.number[w] if x is None else x for w, x in zip(words, found, strict=True)]
+        number = np.array(found, np.int64)
+        return runs(m.flat, m.ends[number], np.diff(m.ends)[number])
+
+    def _by_library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of new words, RUN of them in a call. Ids end where words end: both are counted in bytes.
+
+        Words with a space before them make a text, which is cut at just these spaces; the others are a list of words.
+        """
+        spaced = np.array([x[0] == " " and len(x) > 1 for x in words], bool)
+        out, count, used = [], np.zeros(len(words), np.int64), 0
+        start = np.zeros(len(words), np.int64)
+        for own, as_list in ((np.flatnonzero(spaced), False), (np.flatnonzero(~spaced), True)):
+            for k in range(0, len(own), RUN):
+                part = own[k : k + RUN]
+                run = [words[i] for i in part.tolist()]
+                ids = np.array(self.tokenizer.encode_batch_fast([run if as_list else "".join(run)], is_pretokenized=as_list, add_special_tokens=False)[0].ids, np.uint32)
+                ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(x.encode()) for x in run])) + 1
+                count[part] = np.diff(ends, prepend=0)
+                start[part] = used + ends - count[part]
+                used += len(ids)
+                out.append(ids)
+        return runs(np.concatenate([np.zeros(0, np.uint32), *out]), start, count)
 
 
 _own: dict[int, Encoder] = {}

@@ -1,20 +1,23 @@
 """Token ids as wavelet matrices: succinct bit planes with rank and select, one compressed file per shard.
 
-Documents are dealt to shards by ranges of doc_id and sorted; each shard is one Parquet file whose rows are blocks of whole
-documents. A block holds ids and lengths of its documents, and one plane per bit of a token, highest first: bit l of all tokens
-in the order that the planes above have sorted them into (zeros before ones, stable). With the number of zeros of each plane
-and counts of ones before every 512 bits, a token at a place, the number of a token's occurrences before a place, and
-the place of its j-th occurrence are found in as many steps as there are planes, without decoding the block.
-
-Spark's own writer makes the files, so a task that a lost executor has begun leaves nothing half written, and any shared
-store will do. Null texts are empty and hold the end id alone. Rows with a null id come first; rows that share an id follow each
-other in the order of their texts. An empty table makes no blocks. Extra columns are ignored.
+Documents are dealt to shards by ranges of doc_id and sorted; each shard is one Parquet file with the wavelet matrix of all its
+tokens, and the ids and lengths of its documents. The matrix has one plane per bit of a token, highest first: bit l of all tokens
+in the order that the planes above have sorted them into (zeros before ones, stable). A plane is stored in compressed chunks of
+64 KB. With the number of zeros of each plane and counts of ones before every 512 bits, a token at a place, the number of a
+token's occurrences before a place, and the place of its j-th occurrence are found in as many steps as there are planes; only
+the chunks that a step looks into are decompressed.
+
+A shard whose range turns out to hold more than `most_tokens` is written as several parts, each with a matrix of its own, so
+that a task's memory is bounded by that and its longest document. Spark's own writer makes the files, so a task that a lost
+executor has begun leaves nothing half written, and any shared store will do. Null texts are empty and hold the end id alone.
+Rows with a null id come first; rows that share an id follow each other in the order of their texts, and ranges may end between
+them. An empty table makes no shards. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +29,18 @@ from pyspark.sql import functions as F
 
 from .tokenise import encoder
 
-BLOCK = "shard int, block int, n_docs int, n_tokens long, width int, doc_ids binary, lengths binary, zeros binary, ranks binary, planes binary"
-#: Bits between two stored counts of ones.
-STEP = 512
+SHARD = "shard int, part int, n_docs int, n_tokens long, width int, doc_ids binary, lengths binary, zeros binary, ranks binary, planes array<binary>"
+#: Bits between two stored counts of ones, and bits of a chunk.
+STEP, CHUNK = 512, 1 << 19
+#: Tokens that one step of building takes at a time, so that they stay in the processor's cache.
+RUN = 1 << 18
 
 
 class WaveletMatrix:
-    """n tokens of `width` bits. planes: width rows of packed bits; ones before every STEP bits: width rows."""
+    """n tokens of `width` bits. chunk(level, k): 64-bit words of a chunk of a plane; ranks: ones before every STEP bits."""
 
-    def __init__(self, n: int, width: int, zeros: np.ndarray, ranks: np.ndarray, planes: np.ndarray):
-        self.n, self.width, self.zeros, self.ranks, self.planes = n, width, zeros, ranks, planes
-        self.words = planes.view(np.uint64)
+    def __init__(self, n: int, width: int, zeros: np.ndarray, ranks: np.ndarray, chunk: Callable[[int, int], np.ndarray]):
+        self.n, self.width, self.zeros, self.ranks, self.chunk = n, width, zeros, ranks, chunk
 
     @classmethod
     def build(cls, tokens: np.ndarray, width: int) -> WaveletMatrix:
@@ -44,40 +48,64 @@ class WaveletMatrix:
         bits = -(-max(n, 1) // STEP) * STEP
         planes, zeros = np.zeros((width, bits // 8), np.uint8), np.zeros(width, np.int64)
         v = tokens.astype(np.uint16 if width <= 16 else np.uint32)
+        sorted_ = np.empty_like(v)
         for level in range(width):
-            bit = (v & v.dtype.type(1 << (width - 1 - level))) != 0
-            packed = np.packbits(bit, bitorder="little")
-            planes[level, : len(packed)] = packed
-            low = v[~bit]
-            zeros[level] = len(low)
-            v = np.concatenate((low, v[bit]))
-        ones = np.bitwise_count(planes.view(np.uint64)).reshape(width, -1, STEP // 64).sum(2, dtype=np.uint32)
+            mask = v.dtype.type(1 << (width - 1 - level))
+            low, high = 0, n - int(np.count_nonzero(v & mask))
+            zeros[level] = high
+            for i in range(0, n, RUN):
+                part = v[i : i + RUN]
+                bit = (part & mask) != 0
+                packed = np.packbits(bit, bitorder="little")
+                planes[level, i // 8 : i // 8 + len(packed)] = packed
+                ones = int(np.count_nonzero(bit))
+                np.compress(bit, part, out=sorted_[high : high + ones])
+                np.compress(~bit, part, out=sorted_[low : low + len(part) - ones])
+                low, high = low + len(part) - ones, high + ones
+            v, sorted_ = sorted_, v
+        words = planes.view(np.uint64)
+        ones = np.bitwise_count(words).reshape(width, -1, STEP // 64).sum(2, dtype=np.uint32)
         ranks = np.zeros((width, bits // STEP + 1), np.uint32)
         np.cumsum(ones, axis=1, out=ranks[:, 1:])
-        return cls(n, width, zeros, ranks, planes)
+        return cls(n, width, zeros, ranks, lambda level, k: words[level, k * (CHUNK // 64) : (k + 1) * (CHUNK // 64)])
+
+    def chunks(self) -> Iterator[np.ndarray]:
+        """All chunks, plane by plane."""
+        for level in range(self.width):
+            for k in range(-(-((self.ranks.shape[1] - 1) * STEP) // CHUNK)):
+                yield self.chunk(level, k)
 
     def tokens(self) -> np.ndarray:
         """All tokens: the planes' sorting undone from the last to the first."""
         v = np.zeros(self.n, np.uint16 if self.width <= 16 else np.uint32)
         for level in reversed(range(self.width)):
-            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
-            z, out = int(self.zeros[level]), np.empty_like(v)
-            out[~bit] = v[:z]
-            out[bit] = v[z:] | v.dtype.type(1 << (self.width - 1 - level))
+            out, low, high = np.empty_like(v), 0, int(self.zeros[level])
+            for k, i in enumerate(range(0, self.n, CHUNK)):
+                m = min(CHUNK, self.n - i)
+                bit = np.unpackbits(self.chunk(level, k).view(np.uint8), count=m, bitorder="little").view(bool)
+                ones, part = int(np.count_nonzero(bit)), out[i : i + m]
+                part[~bit] = v[low : low + m - ones]
+                part[bit] = v[high : high + ones] | v.dtype.type(1 << (self.width - 1 - level))
+                low, high = low + m - ones, high + ones
             v = out
         return v
 
+    def _steps(self, level: int, step: np.ndarray) -> np.ndarray:
+        """The words of whole steps: a row for each."""
+        each, per = CHUNK // STEP, STEP // 64
+        out = np.empty((*step.shape, per), np.uint64)
+        k = step // each
+        for x in np.unique(k).tolist():
+            out[k == x] = self.chunk(level, x).reshape(-1, per)[step[k == x] - x * each]
+        return out
+
     def _ones(self, level: int, i: np.ndarray) -> np.ndarray:
         """Ones before place i of a plane."""
         i = np.asarray(i, np.int64)
-        out = self.ranks[level, i // STEP].astype(np.int64)
-        word = i // STEP * (STEP // 64)
-        for k in range(STEP // 64):
-            at = np.minimum(word + k, self.words.shape[1] - 1)
-            left = np.clip(i - (word + k) * 64, 0, 64)
-            mask = np.where(left >= 64, np.uint64(2**64 - 1), (np.uint64(1) << np.minimum(left, 63).astype(np.uint64)) - np.uint64(1))
-            out += np.bitwise_count(self.words[level, at] & mask)
-        return out
+        step = np.minimum(i // STEP, self.ranks.shape[1] - 2)
+        left = np.clip((i - step * STEP)[..., None] - np.arange(0, STEP, 64), 0, 64)
+        mask = np.where(left >= 64, np.uint64(2**64 - 1), (np.uint64(1) << np.minimum(left, 63).astype(np.uint64)) - np.uint64(1))
+        return self.ranks[level, step].astype(np.int64) + np.bitwise_count(self._steps(level, step) & mask).sum(-1, dtype=np.int64)
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """The tokens at places i."""
@@ -126,33 +154,47 @@ class WaveletMatrix:
         return at
 
 
+#: Bytes of text that are encoded at a time, unless a single text is longer.
+PASS = 10 << 20
+
+
 def pack(ids: np.ndarray, has: np.ndarray) -> bytes:
     """doc ids and whether each is stated."""
     return zstandard.ZstdCompressor(1).compress(ids.astype("<i8").tobytes() + has.astype(np.uint8).tobytes())
 
 
-def block_row(shard: int, block: int, ids: np.ndarray, has: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, width: int) -> dict:
+def shard_row(shard: int, part: int, ids: np.ndarray, has: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, width: int) -> dict:
     m, z = WaveletMatrix.build(tokens, width), zstandard.ZstdCompressor(1)
-    return {"shard": shard, "block": block, "n_docs": len(ids), "n_tokens": len(tokens), "width": width, "doc_ids": pack(ids, has), "lengths": z.compress(lengths.astype("<u4").tobytes()), "zeros": m.zeros.astype("<i8").tobytes(), "ranks": z.compress(m.ranks.astype("<u4").tobytes()), "planes": z.compress(m.planes.tobytes())}
+    head = {"shard": shard, "part": part, "n_docs": len(ids), "n_tokens": len(tokens), "width": width, "doc_ids": pack(ids, has), "lengths": z.compress(lengths.astype("<u4").tobytes())}
+    return head | {"zeros": m.zeros.astype("<i8").tobytes(), "ranks": z.compress(m.ranks.astype("<u4").tobytes()), "planes": [z.compress(x.tobytes()) for x in m.chunks()]}
 
 
-class Block:
-    """A block as read from a file."""
+class Shard:
+    """A shard, or a part of one, as read from its file."""
 
     def __init__(self, row: dict):
         z = zstandard.ZstdDecompressor()
-        self.shard, self.block, n, width = row["shard"], row["block"], row["n_tokens"], row["width"]
+        self.shard, self.part, n, width = row["shard"], row["part"], row["n_tokens"], row["width"]
         head = z.decompress(row["doc_ids"])
         self.ids, self.has = np.frombuffer(head, "<i8", row["n_docs"]), np.frombuffer(head, np.uint8, row["n_docs"], 8 * row["n_docs"]).astype(bool)
         self.lengths = np.frombuffer(z.decompress(row["lengths"]), "<u4").astype(np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)))
-        planes = np.frombuffer(z.decompress(row["planes"]), np.uint8).reshape(width, -1)
+        self.planes, self.opened = row["planes"], {}
         ranks = np.frombuffer(z.decompress(row["ranks"]), "<u4").reshape(width, -1)
-        self.matrix = WaveletMatrix(n, width, np.frombuffer(row["zeros"], "<i8"), ranks, planes)
+        self.matrix = WaveletMatrix(n, width, np.frombuffer(row["zeros"], "<i8"), ranks, self.chunk)
+
+    def chunk(self, level: int, k: int) -> np.ndarray:
+        at = level * (len(self.planes) // self.matrix.width) + k
+        if at not in self.opened:
+            self.opened[at] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.planes[at]), np.uint64)
+        return self.opened[at]
+
 
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_bytes: int = 20 << 20, most_tokens: int = 1 << 24) -> None:
+    """Encode docs (doc_id, text) with a tokenizer file of the driver and write shards to path, one file each.
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_bytes: int = 48 << 20, block_tokens: int = 1 << 18) -> None:
-    """Encode docs (doc_id, text) with a tokenizer file of the driver and write shards to path, one file each."""
+    shard_bytes: text of a shard, on average. Larger corpora should have larger shards; most_tokens bounds their parts.
+    """
     spark = docs.sparkSession
     with open(tokenizer) as f:
         spec = f.read()
@@ -163,86 +205,87 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
     shards = max(1, -(-total // shard_bytes))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, shard, block = encoder(sent.value), TaskContext.get().partitionId(), 0
+        e, shard, part = encoder(sent.value), TaskContext.get().partitionId(), 0
         ids, has, tokens, lengths = [], [], [], []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            row = block_row(shard, block, np.concatenate(ids), np.concatenate(has), np.concatenate(lengths), np.concatenate(tokens), width)
+            row = shard_row(shard, part, np.concatenate(ids), np.concatenate(has), np.concatenate(lengths), np.concatenate(tokens), width)
             for x in (ids, has, tokens, lengths):
                 x.clear()
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
-            column, texts = batch.column("doc_id"), batch.column("text")
-            size = np.concatenate(([0], np.cumsum(np.diff(np.frombuffer(texts.cast(pa.large_string()).buffers()[1], np.int64, len(texts) + 1)))))
+            column, texts = batch.column("doc_id"), batch.column("text").cast(pa.large_string())
+            size = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
             i = 0
             while i < len(batch):
-                # about a block at a time: a text has at most as many tokens as bytes
-                j = max(i + 1, int(np.searchsorted(size, size[i] + block_tokens * 2, "right")) - 1)
-                flat, off = e.encode(texts[i:j].to_pylist())
+                j = max(i + 1, int(np.searchsorted(size, size[i] + PASS, "right")) - 1)
+                flat, off = e.encode(texts[i:j])
                 n = np.diff(off)
-                with_end = np.full(len(flat) + len(n), end_id, np.uint32)
+                with_end = np.full(len(flat) + len(n), end_id, id_type)
                 with_end[np.arange(len(flat)) + np.repeat(np.arange(len(n)), n)] = flat
-                part = column[i:j]
-                ids.append(part.fill_null(0).to_numpy(zero_copy_only=False))
-                has.append(part.is_valid().to_numpy(zero_copy_only=False))
+                own = column[i:j]
+                ids.append(own.fill_null(0).to_numpy(zero_copy_only=False))
+                has.append(own.is_valid().to_numpy(zero_copy_only=False))
                 lengths.append(n + 1)
                 tokens.append(with_end)
                 held += len(with_end)
-                if held >= block_tokens:
+                if held >= most_tokens:
                     yield flush()
-                    block, held = block + 1, 0
+                    part, held = part + 1, 0
                 i = j
         if lengths:
             yield flush()
 
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("width", pa.int32()), *((c, pa.binary()) for c in ("doc_ids", "lengths", "zeros", "ranks", "planes"))])
-    dealt = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    dealt.mapInArrow(encode, BLOCK).write.mode("overwrite").option("compression", "uncompressed").option("parquet.block.size", 16 << 20).parquet(path)
+    schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("width", pa.int32()), *((c, pa.binary()) for c in ("doc_ids", "lengths", "zeros", "ranks")), ("planes", pa.list_(pa.binary()))])
+    id_type = np.uint16 if width <= 16 else np.uint32
+    # The beginning of a text divides rows of one id, or of none, so that they needn't be one shard.
+    dealt = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    dealt.mapInArrow(encode, SHARD).write.mode("overwrite").option("compression", "uncompressed").option("parquet.block.size", 16 << 20).parquet(path)
 
 
-def blocks_of(batch: pa.RecordBatch) -> Iterator[Block]:
+def shards_of(batch: pa.RecordBatch) -> Iterator[Shard]:
     for i in range(len(batch)):
-        yield Block({c: batch.column(c)[i].as_py() for c in batch.schema.names})
+        yield Shard({c: batch.column(c)[i].as_py() for c in batch.schema.names})
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Per document, read back: doc_id, start, n_tokens, ids_crc32, shard, block. In file order within a block."""
+    """Per document, read back: doc_id, start, n_tokens, ids_crc32, shard, part. In file order within a part."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks_of(batch):
+            for b in shards_of(batch):
                 raw = memoryview(b.matrix.tokens().astype("<u4").tobytes())
                 crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(b.starts[:-1], b.starts[1:], strict=True)]
                 n = len(crc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(b.ids, pa.int64(), mask=~b.has), pa.array(b.starts[:-1]), pa.array(b.lengths), pa.array(crc, pa.int64()), pa.array(np.full(n, b.shard, np.int32)), pa.array(np.full(n, b.block, np.int32))],
-                    ["doc_id", "at", "n_tokens", "ids_crc32", "shard", "block"],
+                    [pa.array(b.ids, pa.int64(), mask=~b.has), pa.array(b.starts[:-1]), pa.array(b.lengths), pa.array(crc, pa.int64()), pa.array(np.full(n, b.shard, np.int32)), pa.array(np.full(n, b.part, np.int32))],
+                    ["doc_id", "at", "n_tokens", "ids_crc32", "shard", "part"],
                 )
 
-    files = spark.read.schema(BLOCK).parquet(path)
-    own = files.mapInArrow(digest, "doc_id long, at long, n_tokens long, ids_crc32 long, shard int, block int")
-    return own.join(block_starts(files), ["shard", "block"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard", "block")
+    files = spark.read.schema(SHARD).parquet(path)
+    own = files.mapInArrow(digest, "doc_id long, at long, n_tokens long, ids_crc32 long, shard int, part int")
+    return own.join(part_starts(files), ["shard", "part"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard", "part")
 
 
-def block_starts(files: DataFrame) -> DataFrame:
-    """(shard, block, before): ids of all blocks before. Shards are summed first, then the blocks inside each shard."""
+def part_starts(files: DataFrame) -> DataFrame:
+    """(shard, part, before): ids of all parts before. Shards are summed first, then the parts inside each shard."""
     shards = files.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     shards = shards.select("shard", (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("base"))
-    inside = files.select("shard", "block", (F.sum("n_tokens").over(W.partitionBy("shard").orderBy("block")) - F.col("n_tokens")).alias("b"))
-    return inside.join(shards, "shard").select("shard", "block", (F.col("base") + F.col("b")).alias("before"))
+    inside = files.select("shard", "part", (F.sum("n_tokens").over(W.partitionBy("shard").orderBy("part")) - F.col("n_tokens")).alias("b"))
+    return inside.join(shards, "shard").select("shard", "part", (F.col("base") + F.col("b")).alias("before"))
 
 
 def count_token(spark: SparkSession, path: str, token: int) -> DataFrame:
-    """(shard, block, n): how often a token occurs, by rank alone."""
+    """(shard, part, n): how often a token occurs, by rank alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks_of(batch):
-                yield pa.RecordBatch.from_pylist([{"shard": b.shard, "block": b.block, "n": b.matrix.count(token)}], pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n", pa.int64())]))
+            for b in shards_of(batch):
+                yield pa.RecordBatch.from_pylist([{"shard": b.shard, "part": b.part, "n": b.matrix.count(token)}], pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("n", pa.int64())]))
 
-    return spark.read.schema(BLOCK).parquet(path).mapInArrow(run, "shard int, block int, n long")
+    return spark.read.schema(SHARD).parquet(path).mapInArrow(run, "shard int, part int, n long")
 
 
 def find_token(spark: SparkSession, path: str, token: int) -> DataFrame:
@@ -250,9 +293,9 @@ def find_token(spark: SparkSession, path: str, token: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks_of(batch):
+            for b in shards_of(batch):
                 at = b.matrix.select(token, np.arange(b.matrix.count(token)))
                 doc = np.searchsorted(b.starts, at, "right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(b.ids[doc], pa.int64(), mask=~b.has[doc]), pa.array(at - b.starts[doc])], ["doc_id", "place"])
 
-    return spark.read.schema(BLOCK).parquet(path).mapInArrow(run, "doc_id long, place long")
+    return spark.read.schema(SHARD).parquet(path).mapInArrow(run, "doc_id long, place long")

@@ -566,27 +566,32 @@ def whole_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
     return [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
-def test_pieces_have_the_ids_of_whole_texts():
+def test_pieces_have_the_ids_of_whole_texts(monkeypatch):
     r = random.Random(5)
     parts = [" ", "  ", "\n", "\t", " \n", "a", "don't", "'s", " '", "42", "é", "漢字", " ", " ", "\x1c", "\x85", "<|endoftext|>", "###", "\U0001f600", "A", "the"]
     texts = ["", " ", "a", " a", "a ", *("".join(r.choice(parts) for _ in range(r.randrange(1, 30))) for _ in range(3000))]
     e = tokenise.Encoder(open(queries.tokenizer_path()).read())
     assert e.by_piece
     for a in range(0, len(texts), 97):
-        flat, off = e.encode(texts[a : a + 97])
+        flat, off = e.encode(pa.array(texts[a : a + 97]))
         assert [flat[x:y].tolist() for x, y in zip(off[:-1], off[1:], strict=True)] == whole_ids(texts[a : a + 97])
+    short = tokenise.Encoder(open(queries.tokenizer_path()).read())
+    monkeypatch.setattr(tokenise, "MOST", 20)  # words are forgotten and met again
+    for a in range(0, 900, 7):
+        flat, off = short.encode(pa.array(texts[a : a + 7]))
+        assert [flat[x:y].tolist() for x, y in zip(off[:-1], off[1:], strict=True)] == whole_ids(texts[a : a + 7])
+    assert len(short.memory.number) < 200 and len(short.old.number) > 20
     e.by_piece = False
-    flat, off = e.encode(texts[:50])
+    flat, off = e.encode(pa.array(texts[:50]))
     assert [flat[x:y].tolist() for x, y in zip(off[:-1], off[1:], strict=True)] == whole_ids(texts[:50])
 
 
 def test_token_files_round_trip(spark, edge, none, tmp_path):
     path = str(tmp_path / "t")
-    wavelet.write_tokens(edge, path, queries.tokenizer_path(), 2, shard_bytes=50_000, block_tokens=1000)
+    wavelet.write_tokens(edge, path, queries.tokenizer_path(), 2, shard_bytes=50_000, most_tokens=1000)
     rows = sorted(EDGE, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
     want, start = [], 0
     for (i, _), ids in zip(rows, whole_ids([t or "" for _, t in rows]), strict=True):
@@ -614,6 +619,26 @@ def test_op9(spark, sf):
     assert {tuple(r) for r in queries.op9_token_ids(spark, sf).collect()} == want
 
 
+def test_op9_reads_control_strings_as_the_library_does(spark, none):
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext", "plain text"]
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in queries.token_digest(frame(spark, list(enumerate(texts)))).collect()}
+    assert whole_ids(texts[:1]) == [[87, 220, 50256, 331]]
+    assert got == {i: (len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for i, x in enumerate(whole_ids(texts))}
+
+
+def test_rank_opens_few_chunks():
+    r = np.random.default_rng(3)
+    n = 3 * wavelet.CHUNK + 77
+    v = r.integers(0, 5000, n)
+    row = wavelet.shard_row(0, 0, np.array([1]), np.array([True]), np.array([n]), v, 13)
+    s = wavelet.Shard(row)
+    assert len(row["planes"]) == 13 * 4 and (s.matrix.access(np.array([0, n - 1])) == v[[0, -1]]).all()
+    assert s.matrix.rank(int(v[9]), n // 2) == (v[: n // 2] == v[9]).sum() and s.matrix.count(int(v[9])) == (v == v[9]).sum()
+    one = wavelet.Shard(row)
+    assert one.matrix.count(17) == (v == 17).sum() and len(one.opened) <= 2 * 13
+    assert (wavelet.Shard(row).matrix.tokens() == v).all()
+
+
 # 10
 
 NODES = "tree long, node long, parent long, role string, text string, score double"
