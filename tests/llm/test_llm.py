@@ -273,6 +273,24 @@ def test_op4_answers_from_whole_written_shards(spark, sf, none, tmp_path):
     assert sharding.write_shards(none, str(tmp_path / "none"), 4).count() == 0
 
 
+def test_clashing_columns_of_shards_are_replaced(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"t{i}", "mine", -1, {"a": i}, i, i) for i in range(50)], "doc_id long, text string, shard string, slot int, m map<string,int>, _n int, _order int")
+    got = sharding.external_shuffle(rows, 4, 1, bucket_rows=7, most_partitions=2)
+    assert sorted(got.columns) == sorted(rows.columns) and sorted((r.shard, r.slot) for r in got.collect()) == [(i * 4 // 50, i - -(-(i * 4 // 50) * 50 // 4)) for i in range(50)]
+    assert sorted((r.doc_id, r.text, r.m["a"], r._n, r._order) for r in sharding.write_shards(rows, str(tmp_path / "c"), 4).collect()) == [(i, f"t{i}", i, i, i) for i in range(50)]
+
+
+def test_op4_law_against_brute_force(spark, sf):
+    """rows: 16 shards whose counts differ by one at most, gapless slots; size and checksum of every whole text; null columns."""
+    rows = {r.doc_id: r for r in queries.op4_sharding(spark, sf).collect()}
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert rows.keys() == docs.keys() and {r.law for r in rows.values()} == {"rows"} and {r.grown_shard for r in rows.values()} == {None}
+    assert all((r["size"], r.text_crc32) == (len(docs[i]) + 1, zlib.crc32(docs[i])) for i, r in rows.items())
+    n, counts = len(docs), Counter(r.shard for r in rows.values())
+    assert counts == {s: -(-(s + 1) * n // 16) - -(-s * n // 16) for s in range(16)}
+    assert sorted((r.shard, r.slot) for r in rows.values()) == [(s, k) for s in range(16) for k in range(counts[s])]
+
+
 # 5
 
 
