@@ -3,21 +3,23 @@
 A document is contaminated by an item if one of its runs of words is within d = floor(max_edit * m) word edits
 (insert, delete, replace) of the item's m words. Words are runs of ASCII letters, digits and non-ASCII bytes; A-Z count as a-z.
 
-Windows are not taken at all places. By the q-gram lemma a run within d edits shares at least m + 1 - q * (d + 1) of the
-item's q-grams, on diagonals (place in document less place in item) that differ by d at most. So item-sized windows
-start on the diagonals of a document that hold as many shared grams; nothing within d edits is lost by that. Each window and
-each item is embedded by the CGK random walk (three steps per word; a word's hash at a step decides whether the walk moves
-on), which maps edit distance to Hamming distance. Repeated tables of sampled places make candidates: a window
-meets an item when all sampled places of one table agree. The number of tables follows from the target recall at
-the Hamming distance `far` (a part of the embedding's length). A walk may take a window and its item further apart than that,
-which more tables don't repair: windows that meet no item are embedded again by further independent walks. What meets is verified by the edit distance of the item to
-the best run in the window and d words on both sides.
+Candidates come from the LSH alone. Each item, and the window at each place of each document, is embedded by the CGK random walk
+(it copies the word under it; a bit that the word and the step decide makes it stay or move on), which maps edit distance to
+Hamming distance. A walk is the same for windows of all lengths as long as it is inside, so one walk from a place serves
+items of every length; walks go alternately forward from a window's first word and backward from its last, `steps` steps each (twice
+an item's words for short items). Repeated tables of sampled steps make candidates: a window meets an item when the sampled
+symbols of one table agree. The number of tables follows from the target recall at the Hamming distance `far`, shared by
+independent walks, as more tables don't repair a walk that drifts. What meets passes a lossless filter before it is verified:
+by the q-gram lemma a run within d edits shares at least m + 1 - q * (d + 1) of the item's q-grams, on diagonals (place in
+document less place in item) that differ by d at most. The rest is verified by the edit distance of the item to the best
+run around the windows that met.
 
 The decision about a document needs the document and the items alone: no shuffle, no join. Items are sent to the
 executors in blocks of a checked size, one pass over the texts for each block.
 
 Null or empty texts, and items without words, match nothing. Repeated rows give equal results, repeated items (equal
-words) one result for each item_id. Items without an id are looked for like others and have a null item_id. Items of a few words match few edits: d is 0 below 1 / max_edit words.
+words) one result for each item_id. Items without an id are looked for like others and have a null item_id. Items of a few
+words match few edits: d is 0 below 1 / max_edit words. Columns of the documents of any name are kept.
 """
 
 from __future__ import annotations
@@ -34,40 +36,69 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 
 FOUND = "array<struct<item_id:bigint,distance:int,n_words:int,start_word:bigint>>"
-STEPS = 3
+#: Places whose walks are taken at a time, so that they stay in the processor's cache.
+BLOCK = 1 << 15
+ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
 @dataclass(frozen=True)
 class Rule:
-    """max_edit: edits per word of the item; recall: of the tables at Hamming distance far; bits: places per table; walks: independent embeddings, each with its own tables."""
+    """max_edit: edits per word of the item; recall: of all tables at Hamming distance far; bits: steps that a table samples; steps: of a walk at most; walks: independent embeddings, each with its share of the tables."""
 
     max_edit: float = 0.2
     recall: float = 0.999
     far: float = 0.6
-    bits: int = 3
+    bits: int = 2
     seed: int = 23
     walks: int = 4
+    steps: int = 24
 
     @property
     def tables(self) -> int:
-        return math.ceil(math.log(1 - self.recall) / math.log(1 - (1 - self.far) ** self.bits))
-
-
-def cgk(words: np.ndarray, lengths: np.ndarray, steps: int, seed: int) -> np.ndarray:
-    """Rows of padded words to rows of `steps` symbols: the walk copies the word under it, then stays or moves."""
-    n, m = words.shape
-    at, out = np.zeros(n, np.int64), np.zeros((n, steps), np.uint64)
-    salts = np.random.default_rng(seed).integers(1, 2**63, steps, dtype=np.int64).astype(np.uint64)
-    rows = np.arange(n)
-    for s in range(steps):
-        here = np.where(at < lengths, words[rows, np.minimum(at, m - 1)], np.uint64(0))
-        out[:, s] = here
-        at += (tk.mix(here ^ salts[s]) >> np.uint64(63)).astype(np.int64)
+        """Of each walk."""
+        return math.ceil(math.log(1 - self.recall) / math.log(1 - (1 - self.far) ** self.bits) / self.walks)
+
+    def steps_of(self, m: int) -> int:
+        """Items of no edits have walks that stay inside; others up to twice their words."""
+        return m if math.floor(m * self.max_edit + 1e-9) == 0 and m < self.steps else min(self.steps, 2 * m)
+
+    def samples(self, walk: int, steps: int) -> np.ndarray:
+        """The steps that each table of a walk samples."""
+        rng = np.random.default_rng((self.seed, walk, steps))
+        k = min(self.bits, steps)
+        x = np.array([np.sort(rng.choice(steps, k, replace=False)) for _ in range(self.tables)])
+        return np.concatenate([x, np.repeat(x[:, -1:], self.bits - k, 1)], 1)
+
+
+def coins(words: np.ndarray, walk: int, seed: int) -> np.ndarray:
+    """64 random bits of each word: bit t says whether a walk moves on from it at step t."""
+    return tk.mix(words ^ tk.mix(np.array([seed * 64 + walk + 1], np.uint64))).view(np.int64)
+
+
+def cgk(words: np.ndarray, bits: np.ndarray, begin: int, end: int, times: list[int], limit: int | None = None) -> dict[int, np.ndarray]:
+    """The symbols that the walks from places begin to end - 1 copy at `times`; 0 from `limit` on. Arrays reach max(times) past the end."""
+    at, move, out = np.arange(begin, end), np.empty(end - begin, np.int64), {}
+    for t in range(times[-1] + 1):
+        if t in times:
+            out[t] = words.take(at) if limit is None else np.where(at < limit, words.take(at), np.uint64(0))
+        bits.take(at, out=move, mode="clip")
+        move >>= t
+        move &= 1
+        at += move
     return out
 
 
+def code(symbols: dict[int, np.ndarray], sampled: np.ndarray, table: int) -> np.ndarray:
+    """A table's hash of the sampled symbols."""
+    h = symbols[int(sampled[0])] + np.uint64(table + 1)
+    for k, t in enumerate(sampled[1:]):
+        h *= ODD[k % 2]
+        h ^= symbols[int(t)]
+    return h * ODD[len(sampled) % 2]
+
+
 class Items:
-    """The items of one block: their grams by hash, and their LSH tables by length."""
+    """The items of one block: their LSH tables, and their grams by hash."""
 
     def __init__(self, ids: list[int], texts: list[str | None], rule: Rule):
         self.rule = rule
@@ -93,32 +124,73 @@ class Items:
             seen = np.zeros(1 << 20, bool)
             seen[keys >> np.uint64(44)] = True
             self.by_q[int(q)] = (seen, keys, first, count, item[order], place[order])
-        rng = np.random.default_rng(rule.seed)
-        self.samples = rng.random((rule.walks, rule.tables, rule.bits))
-        self.codes = {}
-
-    def codes_of(self, words: np.ndarray, lengths: np.ndarray, m: int, walk: int) -> np.ndarray:
-        """One hash per row and table of a walk."""
-        steps = STEPS * m
-        emb = cgk(words, lengths, steps, self.rule.seed + walk)
-        place = (self.samples[walk] * steps).astype(np.int64)
-        h = np.zeros((len(words), len(place)), np.uint64)
-        for b in range(self.rule.bits):
-            h = tk.mix(h ^ emb[:, place[:, b]])
-        return h
-
-    def meet(self, i: int, words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Which of the windows meet item i in a table of some walk; a walk is taken by those that met in none before."""
-        m = int(self.m[i])
-        out = np.zeros(len(words), bool)
-        for walk in range(self.rule.walks):
-            rest = np.flatnonzero(~out)
-            if not len(rest):
-                break
-            if (i, walk) not in self.codes:
-                self.codes[i, walk] = self.codes_of(self.words[i][None, :], self.m[i : i + 1], m, walk)
-            out[rest] = (self.codes_of(words[rest], lengths[rest], m, walk) == self.codes[i, walk]).any(1)
-        return out
+        self.lsh = [self._tables(walk, steps) for steps in sorted({rule.steps_of(int(m)) for m in self.m}) for walk in range(rule.walks)]
+
+    def _tables(self, walk: int, steps: int) -> tuple:
+        """A walk's tables for the items that take so many steps: codes in order, each with its items, and a quick look."""
+        rule, codes, owners = self.rule, [], []
+        sampled = rule.samples(walk, steps)
+        times = sorted({int(t) for t in sampled.ravel()})
+        for i in np.flatnonzero([rule.steps_of(int(m)) == steps for m in self.m]):
+            x = self.words[i] if walk % 2 == 0 else self.words[i][::-1]
+            m = len(x)
+            x = np.concatenate((x, np.zeros(steps, np.uint64)))
+            symbols = cgk(x, coins(x, walk, rule.seed), 0, 1, times, m)
+            for k, s in enumerate(sampled):
+                if all(symbols[int(t)][0] for t in s):  # where a walk has left the item, nothing can agree
+                    codes.append(code(symbols, s, k)[0])
+                    owners.append(i)
+        h, owner = np.array(codes, np.uint64), np.array(owners, np.int64)
+        order = np.argsort(h, kind="stable")
+        keys, first, count = np.unique(h[order], return_index=True, return_counts=True)
+        bits = max(18, math.ceil(math.log2(max(len(keys), 1) * 64)))
+        seen = np.zeros(1 << bits, bool)
+        seen[(keys >> np.uint64(64 - bits)).view(np.int64)] = True
+        return walk, sampled, times, keys, first, count, owner[order], seen, np.uint64(64 - bits)
+
+
+def look_up(h: np.ndarray, keys: np.ndarray, first: np.ndarray, count: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of places `at` with hashes h: those that a key equals, once for each of its entries, and the entries."""
+    k = np.searchsorted(keys, h)
+    k[k == len(keys)] = 0
+    same = keys[k] == h
+    at, k = at[same], k[same]
+    rep = count[k]
+    if not len(k):
+        return at, k
+    return np.repeat(at, rep), np.repeat(first[k] - np.concatenate(([0], np.cumsum(rep)[:-1])), rep) + np.arange(rep.sum())
+
+
+def candidates(items: Items, w: np.ndarray, woff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows at all places that meet an item in a table: rows, items, and first words (of w; a text may begin later)."""
+    n, rule = len(w), items.rule
+    row_of = np.repeat(np.arange(len(woff) - 1), np.diff(woff))
+    found = []
+    sides = {}
+    for walk, sampled, times, keys, first, count, owner, seen, shift in items.lsh:
+        if not len(keys) or not n:
+            continue
+        back = walk % 2
+        if back not in sides:
+            sides[back] = np.concatenate((w[::-1] if back else w, np.zeros(rule.steps + 1, np.uint64)))
+        x = sides[back]
+        bits = coins(x, walk, rule.seed)
+        for a in range(0, n, BLOCK):
+            symbols = cgk(x, bits, a, min(a + BLOCK, n), times)
+            for k, s in enumerate(sampled):
+                h = code(symbols, s, k)
+                at = np.flatnonzero(seen.take((h >> shift).view(np.int64)))
+                if not len(at):
+                    continue
+                at, entry = look_up(h[at], keys, first, count, at + a)
+                if len(at):
+                    i = owner[entry]
+                    at = n - 1 - at if back else at
+                    found.append((row_of[at], i, at - items.m[i] + 1 if back else at))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    row, item, start = (np.concatenate(x) for x in zip(*found, strict=True))
+    return row, item, start
 
 
 def distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -134,13 +206,13 @@ def distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
-def matches(items: Items, w: np.ndarray, woff: np.ndarray) -> dict[int, list[dict]]:
-    """Of a chunk of rows: by row, the items that it holds."""
-    rule = items.rule
+def shared_grams(items: Items, w: np.ndarray, woff: np.ndarray, wanted: np.ndarray, row: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Which of the pairs (row, item) hold enough shared grams on near diagonals, by the q-gram lemma. wanted: row * items + item, sorted."""
     hits = []
-    n_words = woff[1:] - woff[:-1]
-    row_of = np.repeat(np.arange(len(n_words)), n_words)
-    for q, (seen, keys, first, count, item, place) in items.by_q.items():
+    row_of = np.repeat(np.arange(len(woff) - 1), np.diff(woff))
+    near = np.zeros(len(woff) - 1, bool)
+    near[row] = True
+    for q, (seen, keys, first, count, owner, place) in items.by_q.items():
         if len(w) < q:
             continue
         # grams at all places, across rows too: those are dropped only after the look-up, when they are few
@@ -150,72 +222,56 @@ def matches(items: Items, w: np.ndarray, woff: np.ndarray) -> dict[int, list[dic
             h += w[j : len(w) - q + 1 + j] * c[j]
         h = tk.mix(h)
         at = np.flatnonzero(seen[h >> np.uint64(44)])
-        at = at[row_of[at] == row_of[at + q - 1]]
-        k = np.searchsorted(keys, h[at])
-        k[k == len(keys)] = 0
-        same = keys[k] == h[at]
-        at, k = at[same], k[same]
-        rep = count[k]
-        at = np.repeat(at, rep)
-        idx = np.repeat(first[k] - np.concatenate(([0], np.cumsum(rep)[:-1])), rep) + np.arange(rep.sum()) if len(k) else np.zeros(0, np.int64)
-        hits.append((item[idx], at - place[idx], at))
+        at = at[(row_of[at] == row_of[at + q - 1]) & near[row_of[at]]]
+        at, entry = look_up(h[at], keys, first, count, at)
+        hits.append((row_of[at] * len(items.m) + owner[entry], owner[entry], at - place[entry]))
     if not hits:
+        return np.zeros(len(row), bool)
+    pair, own, diag = (np.concatenate(x) for x in zip(*hits, strict=True))
+    k = np.minimum(np.searchsorted(wanted, pair), len(wanted) - 1)
+    few = wanted[k] == pair
+    pair, own, diag = pair[few], own[few], diag[few]
+    if not len(pair):
+        return np.zeros(len(row), bool)
+    order = np.lexsort((diag, pair))
+    pair, own, diag = pair[order], own[order], diag[order]
+    # From each hit on, count hits of the same pair on the next d diagonals.
+    number = np.cumsum(np.concatenate(([0], pair[1:] != pair[:-1])))
+    flat = number * np.int64(diag.max() - diag.min() + items.d.max() + 2) + (diag - diag.min())
+    inside = np.searchsorted(flat, flat + items.d[own], "right") - np.arange(len(flat))
+    return np.isin(row * len(items.m) + item, np.unique(pair[inside >= items.need[own]]))
+
+
+def matches(items: Items, w: np.ndarray, woff: np.ndarray) -> dict[int, list[dict]]:
+    """Of a chunk of rows: by row, the items that it holds."""
+    row, item, start = candidates(items, w, woff)
+    if not len(row):
         return {}
-    item, diag, at = (np.concatenate(x) for x in zip(*hits, strict=True))
-    if not len(item):
-        return {}
-    row = row_of[at]
-    order = np.lexsort((diag, item, row))
-    item, diag, row, at = item[order], diag[order], row[order], at[order]
-    # Runs of d + 1 diagonals with enough grams: from each hit on, count hits of the same row and item within d.
-    group = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (row[1:] != row[:-1]))))
-    number = np.cumsum(np.concatenate(([False], (item[1:] != item[:-1]) | (row[1:] != row[:-1]))))
-    span = np.int64(diag.max() - diag.min() + items.d.max() + 2)
-    flat = number * span + (diag - diag.min())
-    inside = np.searchsorted(flat, flat + items.d[item], "right") - np.arange(len(flat))
-    good = inside >= items.need[item]
+    keep = shared_grams(items, w, woff, np.unique(row * len(items.m) + item), row, item)
+    row, item, start = row[keep], item[keep], start[keep]
+    order = np.lexsort((start, item, row))
+    row, item, start = row[order], item[order], start[order]
+    # Windows of one row and item that touch are verified together.
+    cut = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > items.m[item[1:]])))) if len(row) else np.zeros(0, np.int64)
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    for a, b in zip(cut, np.append(cut[1:], len(row)), strict=True):
+        r, i = int(row[a]), int(item[a])
+        if best.get((r, i), (1, 0))[0] == 0:
+            continue
+        x, m, d = items.words[i], int(items.m[i]), int(items.d[i])
+        lo, hi = max(int(woff[r]), int(start[a]) - 2 * d), min(int(woff[r + 1]), int(start[b - 1]) + m + 2 * d)
+        if hi <= lo:
+            continue
+        dist, end = distance(x, w[lo:hi])
+        if dist <= d and dist < best.get((r, i), (d + 1, 0))[0]:
+            back, length = distance(x[::-1], w[lo : lo + end][::-1])
+            best[r, i] = (dist, lo - int(woff[r]) + (end - length if back == dist else max(0, end - m)))
     out: dict[int, list[dict]] = {}
-    del group
-    for g in np.unique(number[good]):
-        own = np.flatnonzero(good & (number == g)) if len(flat) < 256 else _own(good, number, g)
-        i, r = int(item[own[0]]), int(row[own[0]])
-        m, d = int(items.m[i]), int(items.d[i])
-        # the diagonals on which a window starts: all that take part in a good run
-        starts = np.unique(np.concatenate([diag[a : a + inside[a]] for a in own]))
-        a, b = int(woff[r]), int(woff[r + 1])
-        text = w[a:b]
-        begin = starts - a
-        place = begin[:, None] + np.arange(m)
-        ok = (place >= 0) & (place < b - a)
-        lead = np.minimum(np.maximum(-begin, 0), m - 1)
-        # a window that would begin before the text begins with it
-        place = np.minimum(np.maximum(place + lead[:, None], 0), b - a - 1)
-        length = np.minimum(m - lead, np.maximum(b - a - np.maximum(begin, 0), 0))
-        length = np.minimum(length, ok.sum(1))
-        meet = items.meet(i, text[place], length)
-        best = None
-        done = -1
-        for s in begin[meet]:
-            lo, hi = max(0, int(s) - d), min(b - a, int(s) + m + d)
-            if lo == done:
-                continue
-            done = lo
-            dist, end = distance(items.words[i], text[lo:hi])
-            if dist <= d and (best is None or dist < best[0]):
-                back, _ = distance(items.words[i][::-1], text[lo : lo + end][::-1])
-                best = (dist, max(lo, lo + end - m) if back == dist else lo)
-                if not dist:
-                    break
-        if best:
-            out.setdefault(r, []).append({"item_id": items.ids[i], "distance": best[0], "n_words": m, "start_word": best[1]})
+    for (r, i), (dist, at) in best.items():
+        out.setdefault(r, []).append({"item_id": items.ids[i], "distance": dist, "n_words": int(items.m[i]), "start_word": at})
     return out
 
 
-def _own(good: np.ndarray, number: np.ndarray, g: int) -> np.ndarray:
-    a, b = np.searchsorted(number, [g, g + 1])
-    return a + np.flatnonzero(good[a:b])
-
-
 def blocks(items: DataFrame, block_bytes: int) -> Iterator[tuple[list[int], list[str]]]:
     """The items in blocks of about block_bytes of text, each collected alone."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
@@ -227,8 +283,9 @@ def blocks(items: DataFrame, block_bytes: int) -> Iterator[tuple[list[int], list
 
 
 def scan(docs: DataFrame, ids: list[int], texts: list[str], rule: Rule, text_col: str = "text") -> DataFrame:
-    """docs with `_found`, the items of one block that each row's text holds."""
-    schema = docs.withColumn("_found", F.expr(f"CAST(NULL AS {FOUND})")).schema
+    """(row, found): each row of docs as a struct, and the items of one block that its text holds."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    schema = rows.select("row", F.expr(f"CAST(NULL AS {FOUND})").alias("found")).schema
     sent = docs.sparkSession.sparkContext.broadcast((ids, texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,19 +294,20 @@ def scan(docs: DataFrame, ids: list[int], texts: list[str], rule: Rule, text_col
         for batch in batches:
             found: list[list[dict]] = [[] for _ in range(len(batch))]
             if items.ids:
-                for i, _, buf, off in tk.chunks(batch.column(text_col)):
+                for i, _, buf, off in tk.chunks(batch.column("row").field(text_col)):
                     for r, x in matches(items, *tk.words(buf, off, tk.ALNUM_WORDS)).items():
                         found[i + r] = sorted(x, key=lambda y: (y["item_id"] is not None, y["item_id"] or 0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "_found"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, kind)], ["row", "found"])
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, rule: Rule = Rule(), block_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, item_id, distance, n_words, start_word): one row per document row and item that it holds."""
     out = None
     for ids, texts in blocks(items, block_bytes):
-        part = scan(docs.select("doc_id", "text"), ids, texts, rule).select("doc_id", F.explode("_found").alias("f")).select("doc_id", "f.*")
+        found = scan(docs.select("doc_id", "text"), ids, texts, rule).filter(F.size("found") > 0)
+        part = found.select("row.doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -257,5 +315,6 @@ def find_contamination(docs: DataFrame, items: DataFrame, rule: Rule = Rule(), b
 def decontaminate(docs: DataFrame, items: DataFrame, rule: Rule = Rule(), block_bytes: int = 16 << 20) -> DataFrame:
     """The rows of docs, with all their columns, that hold no item."""
     for ids, texts in blocks(items, block_bytes):
-        docs = scan(docs, ids, texts, rule).filter(F.size("_found") == 0).drop("_found")
+        own = [F.col("row").getField(c).alias(c) for c in docs.columns]
+        docs = scan(docs, ids, texts, rule).filter(F.size("found") == 0).select(*own)
     return docs

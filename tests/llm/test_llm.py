@@ -668,6 +668,33 @@ def test_short_items_at_d_edits_reach_the_stated_recall(m):
     assert sum(i in [f["item_id"] for f in found.get(i, [])] for i in range(n)) >= rule.recall * n
 
 
+@pytest.mark.parametrize("m", [5, 6, 7, 9, 10, 15, 25, 40, 59])
+def test_the_tables_alone_reach_the_stated_recall(m):
+    """Windows that meet an item in a table, before any filter: of items at exactly d random edits, and beside random texts."""
+    n, rng = 3000, np.random.default_rng(100 + m)
+    word = lambda k: rng.integers(1, 2**62, k).astype(np.uint64)
+    own, rule, texts = [word(m) for _ in range(n)], decontaminate.Rule(), []
+    for x in own:
+        y = list(x)
+        for _ in range(m // 5):
+            kind, p = rng.integers(3), int(rng.integers(len(y)))
+            y[p : p + int(kind != 0)] = list(word(int(kind != 1)))
+        texts.append(np.concatenate((word(25), np.array(y, np.uint64), word(25))))
+    items = decontaminate.Items([0], ["x"], rule)
+    items.ids, items.words, items.m = list(range(n)), own, np.full(n, m)
+    items.lsh = [items._tables(walk, rule.steps_of(m)) for walk in range(rule.walks)]
+    off = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
+    row, item, _ = decontaminate.candidates(items, np.concatenate(texts), off)
+    assert len(set(row[row == item].tolist())) >= rule.recall * n and (row != item).sum() == 0
+
+
+def test_clashing_columns_of_contaminated_documents(spark):
+    rows = spark.createDataFrame([(1, "lorem ipsum dolor sit amet lorem", "a", 1, 2), (2, "fine", "b", 3, 4)], "doc_id long, text string, _found string, found int, row int")
+    it = spark.createDataFrame([(1, "lorem ipsum dolor sit amet lorem")], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.decontaminate(rows, it).collect()] == [(2, "fine", "b", 3, 4)]
+    assert [tuple(r) for r in decontaminate.find_contamination(rows, it).collect()] == [(1, 1, 0, 6, 0)]
+
+
 def test_contamination_of_edge_rows(spark, edge, none):
     it = spark.createDataFrame([(1, "lorem ipsum dolor sit amet lorem")], "item_id long, text string")
     assert sorted(x.doc_id for x in decontaminate.find_contamination(edge, it).collect()) == [7, 8]
