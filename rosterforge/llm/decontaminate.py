@@ -249,10 +249,12 @@ def matches(items: Items, w: np.ndarray, woff: np.ndarray) -> dict[int, list[dic
         return {}
     keep = shared_grams(items, w, woff, np.unique(row * len(items.m) + item), row, item)
     row, item, start = row[keep], item[keep], start[keep]
+    if not len(row):
+        return {}
     order = np.lexsort((start, item, row))
     row, item, start = row[order], item[order], start[order]
     # Windows of one row and item that touch are verified together.
-    cut = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > items.m[item[1:]])))) if len(row) else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > items.m[item[1:]]))))
     best: dict[tuple[int, int], tuple[int, int]] = {}
     for a, b in zip(cut, np.append(cut[1:], len(row)), strict=True):
         r, i = int(row[a]), int(item[a])

@@ -688,6 +688,16 @@ def test_the_tables_alone_reach_the_stated_recall(m):
     assert len(set(row[row == item].tolist())) >= rule.recall * n and (row != item).sum() == 0
 
 
+def test_windows_that_meet_without_the_shared_words_are_dropped():
+    rule = decontaminate.Rule()
+    own = " ".join(f"w{i}" for i in range(30))
+    items = decontaminate.Items([1], [own], rule)
+    far = " ".join(f"w{i}" if i < 12 else f"x{i}" for i in range(30))  # meets by its beginning alone
+    w, off = textkernel.words(*textkernel.raw(pa.array([far, own], pa.large_string())), textkernel.ALNUM_WORDS)
+    assert 0 in decontaminate.candidates(items, w, off)[0] and list(decontaminate.matches(items, w, off)) == [1]
+    assert decontaminate.matches(items, w[:30], off[:2]) == {}
+
+
 def test_clashing_columns_of_contaminated_documents(spark):
     rows = spark.createDataFrame([(1, "lorem ipsum dolor sit amet lorem", "a", 1, 2), (2, "fine", "b", 3, 4)], "doc_id long, text string, _found string, found int, row int")
     it = spark.createDataFrame([(1, "lorem ipsum dolor sit amet lorem")], "item_id long, text string")
