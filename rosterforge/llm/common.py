@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "Scratch", "held_out", "learn_row", "lower_ascii", "shared_dir", "small", "table"]
+__all__ = ["BROADCAST_ROWS", "Scratch", "held_out", "in_arrow", "learn_row", "lower_ascii", "shared_dir", "small", "table"]
 
 #: A side is broadcast only when a count has shown that it has at most this many narrow rows.
 BROADCAST_ROWS = 200_000
@@ -18,6 +20,18 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
+#: Bytes of rows that go to a Python worker at a time, in place of Spark's default of 64 MB.
+ARROW_BYTES, ARROW_DEFAULT = "4m", "67108864b"
+
+
+def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow in batches bounded by bytes, for the memory of workers and of their executor. A session's own bound holds."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == ARROW_DEFAULT:
+        conf.set(key, ARROW_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(c, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams as ng
-from .common import learn_row
+from .common import in_arrow, learn_row
 
 UND = "und"
 
@@ -115,7 +115,7 @@ def learn(docs: DataFrame, params: Params = Params(), lang_col: str = "lang") ->
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(k, pa.binary()), pa.array(v, pa.binary())], ["doc_id", "lang", "k", "v"])
 
     sample = ng.bounded_sample(rows, "lang", params.per_class, "doc_id", sizes)
-    got = sample.select("doc_id", "lang", "text").mapInArrow(features, "doc_id long, lang string, k binary, v binary").toPandas().sort_values(["doc_id", "lang", "k", "v"]).reset_index(drop=True)
+    got = in_arrow(sample.select("doc_id", "lang", "text"), features, "doc_id long, lang string, k binary, v binary").toPandas().sort_values(["doc_id", "lang", "k", "v"]).reset_index(drop=True)
     x = [(k := np.frombuffer(a, np.int32), tfidf(np.frombuffer(b, np.int32), idf[k])) for a, b in zip(got.k, got.v, strict=True)]
     y = got.lang.map({c: i for i, c in enumerate(languages)}).to_numpy()
     mine = np.arange(len(y)) % 5 != 0
@@ -147,4 +147,4 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "lang_score"])
 
     schema = docs.select(*keep).withColumns({"lang_pred": F.lit(""), "lang_score": F.lit(0.0)}).schema
-    return docs.select(*keep).mapInArrow(run, schema)
+    return in_arrow(docs.select(*keep), run, schema)

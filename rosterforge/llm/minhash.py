@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import Scratch, small
+from .common import in_arrow, Scratch, small
 from .components import connected_components
 
 SIGNATURE = "doc_id long, n_shingles long, seq binary, bands array<long>, sig binary"
@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int =
     """
     tmp = Scratch(docs.sparkSession, "near")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = tmp.write(texts.mapInArrow(signer(bands, rows, k, seed), SIGNATURE), "signed")
+    signed = tmp.write(in_arrow(texts, signer(bands, rows, k, seed), SIGNATURE), "signed")
     labels = components_of(signed, texts, tmp, percent, k, bands * rows, block, share)
     out = signed.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
@@ -267,7 +267,7 @@ def components_of(signed: DataFrame, texts: DataFrame, tmp: Scratch, percent: in
 
     def sets_of(ids: DataFrame, name: str) -> DataFrame:
         some = texts.join(small(ids, ids.count()), "doc_id", "left_semi")
-        return tmp.write(some.mapInArrow(shingle_sets(k), "doc_id long, shingles array<long>"), name)
+        return tmp.write(in_arrow(some, shingle_sets(k), "doc_id long, shingles array<long>"), name)
 
     # Each member of a bucket with a copy of the bucket's center.
     pairs = shared.filter("doc_id <> center").select("doc_id", "center", F.pmod(F.xxhash64("doc_id"), F.col("salts")).alias("salt")).distinct()
@@ -275,7 +275,7 @@ def components_of(signed: DataFrame, texts: DataFrame, tmp: Scratch, percent: in
     centers = spread.join(nodes.select(F.col("doc_id").alias("center"), F.col("n").alias("n_c"), F.col("sig").alias("sig_c")), "center")
     pairs = pairs.join(nodes.select("doc_id", "n", "sig"), "doc_id").join(centers, ["center", "salt"])
     pairs = pairs.filter(100 * F.least("n", "n_c") >= percent * F.greatest("n", "n_c")).select("doc_id", "center", "salt", "sig", "sig_c")
-    near = tmp.write(pairs.mapInArrow(agreeing(sigs), "doc_id long, center long, salt long, same long").filter(F.col("same") >= least).drop("same"), "near")
+    near = tmp.write(in_arrow(pairs, agreeing(sigs), "doc_id long, center long, salt long, same long").filter(F.col("same") >= least).drop("same"), "near")
     sets = sets_of(tmp.write(near.select(F.explode(F.array("doc_id", "center")).alias("doc_id")).distinct(), "ids"), "sets")
     used = near.select("center", "salt").distinct().join(sets.select(F.col("doc_id").alias("center"), F.col("shingles").alias("s_c")), "center")
     both = near.join(sets, "doc_id").join(used, ["center", "salt"]).withColumn("i", F.size(F.array_intersect("shingles", "s_c")))
@@ -290,7 +290,7 @@ def components_of(signed: DataFrame, texts: DataFrame, tmp: Scratch, percent: in
     mixed = tmp.write(left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key"), "mixed")
     rows = left.join(mixed, "key", "left_semi").select("key", "doc_id")
     units = block_pairs(rows, "key", block, tmp, "bucket").join(nodes.select("doc_id", "n", "sig"), "doc_id")
-    kin = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(similar(sigs, least, percent), "u long, v long")
+    kin = in_arrow(units.repartition("unit").sortWithinPartitions("unit"), similar(sigs, least, percent), "u long, v long")
     kin = tmp.write(kin.distinct(), "kin")
     families = tmp.write(connected_components(kin, Scratch(tmp.spark, "cc")).select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "families")
 
@@ -300,7 +300,7 @@ def components_of(signed: DataFrame, texts: DataFrame, tmp: Scratch, percent: in
     several = named.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("family")
     rows = tmp.write(named.join(tmp.write(several, "several"), "family", "left_semi").select("family", "doc_id", "component"), "rows")
     units = block_pairs(rows, "family", block, tmp, "family", "component").join(sets_of(rows.select("doc_id").distinct(), "rest"), "doc_id")
-    more = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(confirmed(percent), "u long, v long")
+    more = in_arrow(units.repartition("unit").sortWithinPartitions("unit"), confirmed(percent), "u long, v long")
     more = tmp.write(more.distinct(), "more")
     known = labels.select(F.col("doc_id").alias("u"), F.col("component").alias("v"))
     out = tmp.write(connected_components(copies.unionByName(known).unionByName(more), Scratch(tmp.spark, "cc")), "components")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
+from .common import in_arrow
 
 _tables: dict[str, np.ndarray] = {}
 
@@ -102,7 +103,7 @@ def document_frequencies(rows: DataFrame, cls: str, text_col: str, read: Callabl
             [pa.array(np.concatenate((c, own)).astype(np.int32)), pa.array(np.concatenate((b, np.full(len(own), -1))).astype(np.int32)), pa.array(np.concatenate((df[c, b], n[own])))], ["c", "b", "n"]
         )
 
-    got = rows.select(cls, text_col).mapInArrow(run, "c int, b int, n long").groupBy("c", "b").agg(F.sum("n").alias("n")).toPandas()
+    got = in_arrow(rows.select(cls, text_col), run, "c int, b int, n long").groupBy("c", "b").agg(F.sum("n").alias("n")).toPandas()
     df, n = np.zeros((classes, 1 << bits), np.int64), np.zeros(classes, np.int64)
     whole = (got.b < 0).to_numpy()
     n[got.c[whole]] = got.n[whole]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams as ng
-from .common import learn_row
+from .common import in_arrow, learn_row
 
 #: Labelled rows are broadcast up to this count (16 bytes each); beyond it the texts are shuffled to them.
 LABEL_ROWS = 1_000_000
@@ -117,7 +117,7 @@ def learn(docs: DataFrame, labels: DataFrame, params: Params = Params(), label_c
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(own, pa.binary())], ["doc_id", "y", "f"])
 
     sample = ng.bounded_sample(rows, "y", params.per_class, "doc_id", {c: int(n[c]) for c in (0, 1)})
-    got = sample.mapInArrow(features, "doc_id long, y int, f binary").toPandas().sort_values(["doc_id", "y", "f"]).reset_index(drop=True)
+    got = in_arrow(sample, features, "doc_id long, y int, f binary").toPandas().sort_values(["doc_id", "y", "f"]).reset_index(drop=True)
     if got.y.nunique() < 2:
         return float(n[1] / n.sum())
     x = []
@@ -158,4 +158,4 @@ def score(docs: DataFrame, model: Model | float, text_col: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(s, pa.float64())], [*keep, "score"])
 
     sent_cols = docs.select(*keep, text_col)
-    return sent_cols.mapInArrow(run, docs.select(*keep).withColumn("score", F.lit(0.0)).schema)
+    return in_arrow(sent_cols, run, docs.select(*keep).withColumn("score", F.lit(0.0)).schema)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import in_arrow
 from .tokenise import encoder
 
 SHARD = "shard int, part int, n_docs int, n_tokens long, width int, doc_ids binary, lengths binary, zeros binary, ranks binary, planes array<binary>"
@@ -158,6 +159,19 @@ class WaveletMatrix:
 PASS = 10 << 20
 
 
+def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts of as many batches as make a pass."""
+    held, size = [], 0
+    for batch in batches:
+        held.append((batch.column("doc_id"), batch.column("text").cast(pa.large_string())))
+        size += batch.column("text").nbytes
+        if size >= PASS:
+            yield tuple(map(pa.concat_arrays, zip(*held, strict=True)))
+            held, size = [], 0
+    if held:
+        yield tuple(map(pa.concat_arrays, zip(*held, strict=True)))
+
+
 def pack(ids: np.ndarray, has: np.ndarray) -> bytes:
     """doc ids and whether each is stated."""
     return zstandard.ZstdCompressor(1).compress(ids.astype("<i8").tobytes() + has.astype(np.uint8).tobytes())
@@ -215,26 +229,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
                 x.clear()
             return pa.RecordBatch.from_pylist([row], schema)
 
-        for batch in batches:
-            column, texts = batch.column("doc_id"), batch.column("text").cast(pa.large_string())
-            size = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
-            i = 0
-            while i < len(batch):
-                j = max(i + 1, int(np.searchsorted(size, size[i] + PASS, "right")) - 1)
-                flat, off = e.encode(texts[i:j])
-                n = np.diff(off)
-                with_end = np.full(len(flat) + len(n), end_id, id_type)
-                with_end[np.arange(len(flat)) + np.repeat(np.arange(len(n)), n)] = flat
-                own = column[i:j]
-                ids.append(own.fill_null(0).to_numpy(zero_copy_only=False))
-                has.append(own.is_valid().to_numpy(zero_copy_only=False))
-                lengths.append(n + 1)
-                tokens.append(with_end)
-                held += len(with_end)
-                if held >= most_tokens:
-                    yield flush()
-                    part, held = part + 1, 0
-                i = j
+        for column, texts in passes(batches):
+            flat, off = e.encode(texts)
+            n = np.diff(off)
+            with_end = np.full(len(flat) + len(n), end_id, id_type)
+            with_end[np.arange(len(flat)) + np.repeat(np.arange(len(n)), n)] = flat
+            ids.append(column.fill_null(0).to_numpy(zero_copy_only=False))
+            has.append(column.is_valid().to_numpy(zero_copy_only=False))
+            lengths.append(n + 1)
+            tokens.append(with_end)
+            held += len(with_end)
+            if held >= most_tokens:
+                yield flush()
+                part, held = part + 1, 0
         if lengths:
             yield flush()
 
@@ -242,7 +249,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
     id_type = np.uint16 if width <= 16 else np.uint32
     # The beginning of a text divides rows of one id, or of none, so that they needn't be one shard.
     dealt = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    dealt.mapInArrow(encode, SHARD).write.mode("overwrite").option("compression", "uncompressed").option("parquet.block.size", 16 << 20).parquet(path)
+    in_arrow(dealt, encode, SHARD).write.mode("overwrite").option("compression", "uncompressed").option("parquet.block.size", 16 << 20).parquet(path)
 
 
 def shards_of(batch: pa.RecordBatch) -> Iterator[Shard]:
@@ -265,7 +272,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     files = spark.read.schema(SHARD).parquet(path)
-    own = files.mapInArrow(digest, "doc_id long, at long, n_tokens long, ids_crc32 long, shard int, part int")
+    own = in_arrow(files, digest, "doc_id long, at long, n_tokens long, ids_crc32 long, shard int, part int")
     return own.join(part_starts(files), ["shard", "part"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard", "part")
 
 
@@ -285,7 +292,7 @@ def count_token(spark: SparkSession, path: str, token: int) -> DataFrame:
             for b in shards_of(batch):
                 yield pa.RecordBatch.from_pylist([{"shard": b.shard, "part": b.part, "n": b.matrix.count(token)}], pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("n", pa.int64())]))
 
-    return spark.read.schema(SHARD).parquet(path).mapInArrow(run, "shard int, part int, n long")
+    return in_arrow(spark.read.schema(SHARD).parquet(path), run, "shard int, part int, n long")
 
 
 def find_token(spark: SparkSession, path: str, token: int) -> DataFrame:
@@ -298,4 +305,4 @@ def find_token(spark: SparkSession, path: str, token: int) -> DataFrame:
                 doc = np.searchsorted(b.starts, at, "right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(b.ids[doc], pa.int64(), mask=~b.has[doc]), pa.array(at - b.starts[doc])], ["doc_id", "place"])
 
-    return spark.read.schema(SHARD).parquet(path).mapInArrow(run, "doc_id long, place long")
+    return in_arrow(spark.read.schema(SHARD).parquet(path), run, "doc_id long, place long")
