@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import argparse
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,9 +107,41 @@ def feed_b(spark: SparkSession, day: int, n: int = 300, seed: int = 42) -> DataF
     return out.unionByName(again).unionByName(rows_b(alike, F.when(i == LOOKALIKE_A[0], "B80000").otherwise("B80001"), F.lit(n + 4) + F.when(i == LOOKALIKE_A[0], 0).otherwise(1)))
 
 
+def write_csv(rows: DataFrame, path: str) -> None:
+    """One CSV file with a header in the folder path, rows in the order of their lines."""
+    rows.orderBy("_line").drop("_line").coalesce(1).write.mode("overwrite").options(header=True, escape='"', emptyValue="").csv(path)
+
+
+def generate(spark: SparkSession, path: str, seed: int = 42, count: int = 300) -> None:
+    """Four feeds as CSV and the inventory of scenarios as JSON."""
+    for feed, make in (("a", feed_a), ("b", feed_b)):
+        for day in (1, 2):
+            write_csv(make(spark, day, count, seed), f"{path}/partner_{feed}_day{day}.csv")
+    each = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("partner_member_id", "scenario", "feed"), r, strict=True)]) for r in inventory(count)])
+    one = spark.range(1).select(F.lit(1).alias("schema_version"), F.lit(seed).alias("seed"), F.lit(count).alias("count_per_partner"), F.array(F.lit("PARTNER_A"), F.lit("PARTNER_B")).alias("partners"), each.alias("records"))
+    one.coalesce(1).write.mode("overwrite").json(f"{path}/scenario_inventory.json")
+
+
+def scenario_counts(records: DataFrame) -> DataFrame:
+    return records.groupBy("feed", "scenario").agg(F.count(F.lit(1)).alias("n"))
+
+
 def inventory(n: int = 300) -> list[tuple[str, str, str]]:
     """(partner_member_id, scenario, feed) of the seeded scenarios."""
     return [
         ("A00020", "within_feed_duplicate", "A1"), ("B00005", "within_feed_duplicate", "B1"), ("A00025", "missing_last_name", "A1"), ("B00010", "missing_last_name", "B1"), ("A00030", "blank_dob", "A1"), ("B00015", "blank_dob", "B1"),
         ("A00035", "short_year", "A1"), ("B00020", "short_year", "B1"), ("A00040", "deletion_target", "A1"), ("B99999", "deletion_target", "B2"), ("B90000", "cross_partner", "B1"), ("B90001", "cross_partner", "B1"), ("B80000", "look_alike", "B1"), ("B80001", "look_alike", "B1"),
     ]
+
+
+def main() -> None:
+    args = argparse.ArgumentParser(description=generate.__doc__)
+    args.add_argument("path")
+    args.add_argument("--seed", type=int, default=42)
+    args.add_argument("--count", type=int, default=300)
+    a = args.parse_args()
+    generate(SparkSession.builder.getOrCreate(), a.path, a.seed, a.count)
+
+
+if __name__ == "__main__":
+    main()

@@ -33,7 +33,8 @@ def date_error(c: Column, formats: list[str], pivot: int = 69) -> Column:
 
 
 def us_date(c: Column, pivot: int = 30) -> Column:
-    """M/D/Y to ISO text, short years from the pivot on in the 1900s; other texts stay."""
-    m, d, y = (F.regexp_extract(c, r"^(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})$", i) for i in (1, 2, 3))
-    year = F.when(F.length(y) == 4, y).when(y.try_cast("int") >= pivot, F.concat(F.lit("19"), y)).otherwise(F.concat(F.lit("20"), y))
-    return F.when(m != "", F.concat_ws("-", year, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))).otherwise(c)
+    """M/D/Y to ISO text, short years above the pivot in the 1900s, white space at both ends ignored; other texts stay."""
+    m, d, y = (F.regexp_extract(c, r"(?U)^\s*(\d+)/(\d+)/(\d+)\s*$", i) for i in (1, 2, 3))
+    pad = lambda x, n: F.when(F.length(x) < n, F.lpad(x, n, "0")).otherwise(x)
+    year = F.when(F.length(y) == 2, F.concat(F.when(y.try_cast("int") > pivot, "19").otherwise("20"), y)).otherwise(pad(y, 4))
+    return F.when(m != "", F.concat_ws("-", year, pad(m, 2), pad(d, 2))).otherwise(c)

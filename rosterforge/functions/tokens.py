@@ -57,32 +57,34 @@ def last_name_token(last: Column, key: bytes, nfc: bool = True) -> Column:
     return token("last_name", normalize(last, nfc), key)
 
 
-def dob_token(dob: Column, key: bytes) -> Column:
+def dob_token(dob: Column, key: bytes, nfc: bool = True) -> Column:
     """Of the ISO text of a date, or a date."""
-    return token("dob", F.coalesce(dob.cast("string"), F.lit("")), key)
+    return token("dob", normalize(dob.cast("string"), nfc), key)
 
 
-def ssn_last4_token(last4: Column, key: bytes) -> Column:
+def ssn_last4_token(last4: Column, key: bytes, nfc: bool = True) -> Column:
     """Null where the digits are blank."""
-    return F.when(F.coalesce(last4, F.lit("")) != "", token("ssn_last4", last4, key))
+    return F.when(F.coalesce(last4, F.lit("")) != "", token("ssn_last4", normalize(last4, nfc), key))
 
 
-def partner_member_token(partner: Column, member: Column, key: bytes) -> Column:
-    return token("partner_member", F.concat_ws("|", partner, member), key)
+def partner_member_token(partner: Column, member: Column, key: bytes, nfc: bool = True) -> Column:
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return token("partner_member_id", normalize(F.concat_ws("|", blank(partner), blank(member)), nfc), key)
 
 
-def suppression_hash(salt: str, *parts: Column) -> Column:
-    """Salted SHA-256 of the parts. Strict: partner-independent name parts, dob, last4; broad: dob, last4."""
-    return F.sha2(F.concat(F.lit(f"{salt}suppression:"), F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts])).cast("binary"), 256)
+def suppression_hash(salt: str, prefix: str, *parts: Column) -> Column:
+    """Salted SHA-256 of a prefix and the parts."""
+    return F.sha2(F.concat(F.lit(f"{salt}{prefix}:"), F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])).cast("binary"), 256)
 
 
-def strict_hash(salt: str, first: Column, last: Column, dob: Column, last4: Column, nfc: bool = True) -> Column:
-    return suppression_hash(salt, normalize(first, nfc), normalize(last, nfc), dob, last4)
+def strict_hash(salt: str, last: Column, dob: Column, partner: Column, member: Column, nfc: bool = True) -> Column:
+    """Of one enrollment: the same partner brings the same member back, under whatever first name."""
+    return suppression_hash(salt, "suppression", normalize(last, nfc), dob, normalize(partner, nfc), normalize(member, nfc))
 
 
 def broad_hash(salt: str, dob: Column, last4: Column) -> Column:
-    """Null without last four digits: a date of birth alone suppresses nobody."""
-    return F.when(F.coalesce(last4, F.lit("")) != "", suppression_hash(salt, dob, last4))
+    """Whoever brings the person back. Null without last four digits: a date of birth alone suppresses nobody."""
+    return F.when(F.coalesce(last4, F.lit("")) != "", suppression_hash(salt, "suppression_broad", dob, last4))
 
 
 def uuid5(name: Column, namespace: str = OID_NAMESPACE) -> Column:

@@ -56,12 +56,16 @@ def check_links(rows: DataFrame, chain: list[str], order: list[str], own: str, p
     """rows with `reason`: why a row breaks its chain, else null. Hashes are checked in parallel, links by a look at the row before."""
     w = W.partitionBy(*chain).orderBy(*order)
     before = F.coalesce(F.lag(own).over(w), genesis if isinstance(genesis, Column) else F.lit(genesis))
-    return rows.withColumn("reason", F.when(~made.eqNullSafe(F.col(own)), "self_hash mismatch").when(~F.col(prior).eqNullSafe(before), "prior_event_hash mismatch"))
+    return rows.withColumn("reason", F.when(~F.col(prior).eqNullSafe(before), "prior_event_hash mismatch").when(~made.eqNullSafe(F.col(own)), "self_hash mismatch"))
 
 
 def chain_verdicts(checked: DataFrame, chain: list[str], line: str) -> DataFrame:
-    """Per chain: entries_checked, first_broken (null if valid). Lost last entries can't be seen; an empty chain is valid."""
-    return checked.groupBy(*chain).agg(F.count(F.lit(1)).alias("entries_checked"), F.min(F.when(F.col("reason").isNotNull(), F.col(line))).alias("first_broken"))
+    """Per chain: entries_checked (up to the break), first_broken (null if valid). Lost last entries can't be seen; an empty chain is valid.
+
+    line: the entry's number in its chain, from 1.
+    """
+    x = checked.groupBy(*chain).agg(F.count(F.lit(1)).alias("_n"), F.min(F.when(F.col("reason").isNotNull(), F.col(line))).alias("first_broken"))
+    return x.select(*chain, F.coalesce("first_broken", "_n").alias("entries_checked"), "first_broken")
 
 
 def numbered_lines(spark: SparkSession, path: str, by_file: bool = True, **options) -> DataFrame:
@@ -79,7 +83,7 @@ def numbered_lines(spark: SparkSession, path: str, by_file: bool = True, **optio
 
 
 def validate_log(spark: SparkSession, path: str, head: str | None = None) -> dict:
-    """A JSONL chain's verdict. Blank lines are skipped but counted; with the head that an anchor has kept, lost entries show.
+    """A JSONL chain's verdict. Blank lines are skipped but counted, and counting ends at the break; with the head that an anchor has kept, lost entries show.
 
     Hashes are made anew where the lines lie; links are checked block by block, each with the last hash before it.
     """
@@ -92,10 +96,11 @@ def validate_log(spark: SparkSession, path: str, head: str | None = None) -> dic
     last = tmp.write(full.groupBy("path", "block").agg(F.max_by("self_hash", "line").alias("last")), "last")
     start = last.select("path", "block", F.coalesce(F.lag("last").over(W.orderBy("path", "block")), F.lit(GENESIS)).alias("start"))  # a row per block
     checked = check_links(full.join(start, ["path", "block"]), ["path", "block"], ["line"], "self_hash", "prior", F.col("made"), F.col("start"))
+    checked = checked.withColumn("reason", F.when(F.col("made").isNull(), "json decode error").otherwise(F.col("reason")))
     bad = checked.filter("reason IS NOT NULL").agg(F.min_by(F.struct("line", "reason"), "line").alias("x")).first().x
     out = {"valid": bad is None, "entries_checked": rows.count(), "first_broken": None, "reason": None}
     if bad is not None:
-        out |= {"first_broken": bad.line, "reason": bad.reason}
+        out |= {"entries_checked": bad.line, "first_broken": bad.line, "reason": bad.reason}
     elif head is not None:
         end = last.agg(F.max_by("last", F.struct("path", "block")).alias("x")).first().x
         if (end or GENESIS) != head:
@@ -103,6 +108,15 @@ def validate_log(spark: SparkSession, path: str, head: str | None = None) -> dic
     return out
 
 
+def recent_links(rows: DataFrame, chain: list[str], order: list[str], own: str, prior: str, made: Column, ts: str, now: Column, hours: int = 24) -> DataFrame:
+    """check_links() of the last hours: the job that runs each hour. The first entry of the window is held against the one before it."""
+    start = now - F.make_interval(hours=F.lit(hours))
+    inside = (F.col(ts) >= start) & (F.col(ts) < now)
+    last = rows.filter(F.col(ts) < start).groupBy(*chain).agg(F.max_by(own, F.struct(*order)).alias("_anchor"))
+    x = rows.filter(inside).join(last, chain, "left").withColumn("_anchor", F.coalesce("_anchor", F.lit(GENESIS)))
+    return check_links(x, chain, order, own, prior, made, F.col("_anchor")).drop("_anchor")
+
+
 def scan(rows: DataFrame, key: list[str], text: str) -> DataFrame:
     """(key, pattern, value) of each finding."""
     return rows.select(*key, F.explode(redact.findings(F.col(text))).alias("f")).select(*key, "f.pattern", "f.value")
@@ -128,8 +142,8 @@ def class_catalogue(spark: SparkSession, years: dict[str, int] | None = None) ->
 
 
 def retention(events: DataFrame, classes: DataFrame, today: Column, ts: str = "ts") -> DataFrame:
-    """events with keep_until and `expired`; a class that isn't in the catalogue (a few rows) is kept."""
-    x = events.join(F.broadcast(classes), "event_class", "left")
+    """events with keep_until and `expired`; a class that isn't in the catalogue is kept."""
+    x = events.join(classes, "event_class", "left")
     x = x.withColumn("keep_until", F.add_months(F.col(ts).cast("date"), F.col("years") * 12))
     return x.withColumn("expired", F.coalesce(F.col("keep_until") < today, F.lit(False)))
 

@@ -16,6 +16,13 @@ def last_wins(rows: DataFrame, keys: list[str], order: list[Column], dedup_blank
     return rows.filter(~blank).withColumn("_k", rank).filter("_k = 1").drop("_k").unionByName(rows.filter(blank))
 
 
+def complete_then_last(rows: DataFrame, required: list[str], keys: list[str], order: list[Column]) -> DataFrame:
+    """Rows whose required fields are all there, and of these the last of each key: if the last duplicate is bad, one before it wins."""
+    for c in required:
+        rows = rows.filter(F.coalesce(F.col(c).cast("string"), F.lit("")) != "")
+    return last_wins(rows, keys, order)
+
+
 def label_status(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """All rows with dup_count and dedup_status DEDUP_WINNER, DEDUP_LOSER or UNIQUE."""
     w = W.partitionBy(*keys)

@@ -63,6 +63,19 @@ def field_profile(rows: DataFrame, fields: list[str], by: list[str] | None = Non
     return x.withColumn("null_rate", F.when(F.col("count") > 0, F.col("null_count") / F.col("count")).otherwise(F.lit(0.0)))
 
 
+def profiled_fields(m: PartnerMapping) -> list[str]:
+    """Fields with a tier and those that mapping makes, the last four digits of a number among them."""
+    return sorted({*m.field_tiers, *m.mapping, *(["ssn_last4"] if "ssn" in m.mapping else [])})
+
+
+def cardinality_drift(now: DataFrame, base: DataFrame, threshold: float = DRIFT_ABOVE) -> DataFrame:
+    """Fields of both profiles whose number of distinct values moved by more than the threshold, as a part of the baseline's."""
+    b = base.select("field", F.col("distinct_count").alias("base_distinct"))
+    x = now.select("field", "distinct_count").join(b, "field")
+    x = x.withColumn("change", (F.col("distinct_count") - F.col("base_distinct")) / F.greatest(F.col("base_distinct"), F.lit(1)))
+    return x.filter(F.abs("change") > threshold)
+
+
 def value_profile(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
@@ -86,19 +99,28 @@ class DQResult:
     removed: list[str]
     profile: DataFrame
     drifted_fields: DataFrame | None
+    reason: str | None = None
 
 
 def run_dq(rows: DataFrame, m: PartnerMapping, columns: list[str], prior_columns: list[str] | None = None, baseline: DataFrame | None = None, threshold: float = REJECT_ABOVE, drift_above: float = DRIFT_ABOVE) -> DQResult:
-    """Gate a mapped and deduplicated feed. Subtractive drift passes and quarantines nothing, and no job runs."""
+    """Gate a mapped and deduplicated feed. Subtractive drift passes and quarantines nothing, and no job runs.
+
+    The profile is of all fields that have a tier or that mapping makes; a field that no row has is blank in all.
+    """
     drift, added, removed = schema_drift(prior_columns, columns)
-    fields = [f for f in m.mapping if f in rows.columns]
+    fields = profiled_fields(m)
+    for f in fields:
+        if f not in rows.columns:
+            rows = rows.withColumn(f, F.lit(None).cast("string"))
     marked = rows.withColumn("reason", quarantine_reason(m.required, F.col("parse_errors")))
     profile = field_profile(rows, fields, ["partner_id"])
     if drift == "SUBTRACTIVE_QUARANTINE":
         none = marked.limit(0)
-        return DQResult(none.drop("reason"), none, True, drift, added, removed, profile, None)
+        return DQResult(none.drop("reason"), none, True, drift, added, removed, profile, None, f"SCHEMA_DRIFT_SUBTRACTIVE: removed columns {removed}")
     r = marked.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("reason").isNotNull()).alias("bad")).first()
-    over = r.n > 0 and r.bad / r.n > threshold
+    rate = r.bad / r.n if r.n else 0.0
+    over = rate > threshold
+    why = f"REJECTION_RATE_EXCEEDED: {rate:.4f} > {threshold:.4f}" if over else None
     passed = marked.filter("reason IS NULL").drop("reason")
     moved = profile_drift(profile, baseline, drift_above) if baseline is not None else None
-    return DQResult(passed.limit(0) if over else passed, marked.filter("reason IS NOT NULL"), over, drift, added, removed, profile, moved)
+    return DQResult(passed.limit(0) if over else passed, marked.filter("reason IS NOT NULL"), over, drift, added, removed, profile, moved, why)

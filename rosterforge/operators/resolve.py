@@ -19,6 +19,8 @@ LEVELS = {"first_name": 5, "last_name": 5, "dob": 2, "ssn_last4": 2, "street": 4
 PRIOR_RECALL, SMALL_PRIOR = 0.9, 1e-4
 #: Rows whose pairs estimate u: not more than a million pairs.
 SAMPLE_ROWS = 1414
+SALTS = 8
+ENROLLMENT = ("partner_id", "partner_member_id")
 ALGORITHM, CONFIG = "rosterforge-1", "default-1"
 
 
@@ -28,8 +30,15 @@ def comparison_records(rows: DataFrame) -> DataFrame:
 
 
 def tier1(rows: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with the member_id of the candidate that agrees in all keys; of several the largest member_id."""
-    build = candidates.groupBy(*keys).agg(F.max("member_id").alias("member_id"))
+    """rows with the member_id of the candidate that agrees in all keys.
+
+    Of several candidates of one enrollment the last in the order of their member ids is the one that is registered, and
+    it alone is compared: keys starts with the two of the enrollment.
+    """
+    others = [c for c in keys if c not in ENROLLMENT]
+    enrollment = [c for c in keys if c in ENROLLMENT] or keys
+    kept = F.max(F.struct("member_id", *[c for c in others if c not in enrollment])).alias("_m")
+    build = candidates.groupBy(*enrollment).agg(kept).select(*enrollment, "_m.*")
     return rows.join(build, keys)
 
 
@@ -119,9 +128,17 @@ def random_pair_u(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[str,
 
 
 def levels(pairs: DataFrame) -> DataFrame:
-    """pairs with gamma_<comparison>; Jaro-Winkler is the only Python."""
+    """pairs with gamma_<comparison>; Jaro-Winkler, the only Python, is found once per distinct pair of unequal names.
+
+    The names' similarities are joined back: both sides are spread over SALTS parts, so that a pair of common names isn't one task.
+    """
     for c in ("first_name", "last_name"):
-        pairs = pairs.withColumn(f"gamma_{c}", name_level(F.col(f"{c}_l"), F.col(f"{c}_r"), jaro_winkler(f"{c}_l", f"{c}_r")))
+        a, b = F.least(f"{c}_l", f"{c}_r"), F.greatest(f"{c}_l", f"{c}_r")
+        salt = F.pmod(F.xxhash64("uid_l", "uid_r"), F.lit(SALTS))
+        pairs = pairs.withColumns({"_a": a, "_b": b, "_salt": salt})
+        names = pairs.filter("_a <> _b").select("_a", "_b").distinct().withColumn("_s", jaro_winkler("_a", "_b"))
+        names = names.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+        pairs = pairs.join(names, ["_a", "_b", "_salt"], "left").withColumn(f"gamma_{c}", name_level(F.col(f"{c}_l"), F.col(f"{c}_r"), F.col("_s"))).drop("_a", "_b", "_salt", "_s")
     for c in ("dob", "ssn_last4"):
         pairs = pairs.withColumn(f"gamma_{c}", exact_level(F.col(f"{c}_l"), F.col(f"{c}_r")))
     return pairs.withColumn("gamma_street", street_level(F.col("street_l"), F.col("street_r")))
@@ -203,18 +220,24 @@ def resolve(rows: DataFrame, candidates: DataFrame, key: bytes, high: float = 20
     groups = components(rest, pairs.filter(F.col("match_weight") >= high))
     named = groups.groupBy("component").agg(F.sort_array(F.collect_list("uid")).alias("uids")).withColumn("member_id", uuid5(F.array_join("uids", ",")))
     named = tmp.write(named, "named")
-    member = named.select(F.explode("uids").alias("uid"), "member_id")
+    member = others_of_group(named)
     best = best_pairs(pairs)
-    others = both_ends(pairs).groupBy("uid").agg(F.sort_array(F.collect_set("other")).alias("matched_with"))
-    d = rest.select("uid").join(best, "uid", "left").join(others, "uid", "left").join(member, "uid")
+    d = rest.select("uid").join(best, "uid", "left").join(member, "uid")
     none = F.create_map().cast("map<string,double>")
-    decisions = d.select(F.col("uid").alias("candidate_record_ref"), F.col("member_id").alias("resolved_member_id"), tier(F.col("match_weight"), high, low).alias("tier"), F.col("match_weight").alias("score"), F.coalesce("breakdown", none).alias("score_breakdown"), F.coalesce("matched_with", F.array().cast("array<string>")).alias("matched_with"))
-    first = known.select(F.col("uid").alias("candidate_record_ref"), F.col("member_id").alias("resolved_member_id"), F.lit("TIER_1_DETERMINISTIC").alias("tier"), F.lit(None).cast("double").alias("score"), none.alias("score_breakdown"), F.array().cast("array<string>").alias("matched_with"))
+    decisions = d.select(F.col("uid").alias("candidate_record_ref"), F.col("member_id").alias("resolved_member_id"), tier(F.col("match_weight"), high, low).alias("tier"), F.col("match_weight").alias("score"), F.coalesce("breakdown", none).alias("score_breakdown"), "matched_with")
+    again = known.groupBy("member_id").agg(F.sort_array(F.collect_list("uid")).alias("uids"))
+    first = others_of_group(again).select(F.col("uid").alias("candidate_record_ref"), F.col("member_id").alias("resolved_member_id"), F.lit("TIER_1_DETERMINISTIC").alias("tier"), F.lit(None).cast("double").alias("score"), none.alias("score_breakdown"), "matched_with")
     decisions = decisions.unionByName(first).withColumns({"algorithm_version": F.lit(ALGORITHM), "config_version": F.lit(CONFIG)})
-    out = named.select("member_id", "uids").unionByName(known.groupBy("member_id").agg(F.sort_array(F.collect_list("uid")).alias("uids")))
+    out = named.select("member_id", "uids").unionByName(again)
     return tmp.write(decisions, "decisions"), tmp.write(out, "groups")
 
 
+def others_of_group(groups: DataFrame) -> DataFrame:
+    """(uid, member_id, matched_with): each record of groups (member_id, uids) with the other records of its group."""
+    x = groups.select("member_id", "uids", F.explode("uids").alias("uid"))
+    return x.select("uid", "member_id", F.array_remove("uids", F.col("uid")).alias("matched_with"))
+
+
 def split_identity(nodes: DataFrame, edges: DataFrame, cut: DataFrame) -> DataFrame:
     """Components without the edges of `cut` (uid_l, uid_r), which a reviewer has found to be wrong."""
     return components(nodes, edges.join(cut, ["uid_l", "uid_r"], "left_anti"))
@@ -227,13 +250,39 @@ def review_queue(decisions: DataFrame, as_of: str) -> DataFrame:
 
 def resolve_review(queue: DataFrame, rulings: DataFrame, as_of: str) -> DataFrame:
     """queue with the rulings (queue_id, resolution MERGE, DISTINCT or ESCALATE) of rows that are open."""
-    r = rulings.filter(F.col("resolution").isin("MERGE", "DISTINCT", "ESCALATE")).groupBy("queue_id").agg(F.max("resolution").alias("_r"))
+    r = valid_rulings(rulings).select("queue_id", F.col("resolution").alias("_r"))
     x = queue.join(r, "queue_id", "left")
     return x.withColumn("resolved_at", F.when(F.col("resolution").isNull() & F.col("_r").isNotNull(), F.lit(as_of).cast("timestamp"))).withColumn("resolution", F.coalesce("resolution", "_r")).drop("_r")
 
 
+def valid_rulings(rulings: DataFrame) -> DataFrame:
+    """One ruling (queue_id, resolution, merge_with) per queue row."""
+    r = rulings if "merge_with" in rulings.columns else rulings.withColumn("merge_with", F.lit(None).cast("string"))
+    r = r.filter(F.col("resolution").isin("MERGE", "DISTINCT", "ESCALATE")).groupBy("queue_id").agg(F.max(F.struct("resolution", "merge_with")).alias("_m"))
+    return r.select("queue_id", "_m.*")
+
+
+def merge_edges(queue: DataFrame, rulings: DataFrame) -> DataFrame:
+    """The edges (uid_l, uid_r) that MERGE rulings of open rows add between a record and the one that the reviewer names."""
+    x = queue.filter("resolution IS NULL").join(valid_rulings(rulings).filter("resolution = 'MERGE' AND merge_with IS NOT NULL").select("queue_id", "merge_with"), "queue_id")
+    return x.select(F.least("candidate_record_ref", "merge_with").alias("uid_l"), F.greatest("candidate_record_ref", "merge_with").alias("uid_r")).filter("uid_l <> uid_r").distinct()
+
+
+def review_listing(queue: DataFrame, decisions: DataFrame, n: int = 6, k: int = 5) -> DataFrame:
+    """The n heaviest rows of the queue, each with the k largest factors of its decision."""
+    d = decisions.select("candidate_record_ref", "score_breakdown")
+    x = queue.join(d, "candidate_record_ref").select("candidate_record_ref", "score", top_factors(F.col("score_breakdown"), k).alias("factors"))
+    return x.orderBy(F.desc("score"), "candidate_record_ref").limit(n)
+
+
+def against_truth(decisions: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per person of truth (uid, truth_id): records, members that they became, and whether they became one."""
+    x = truth.join(decisions.select(F.col("candidate_record_ref").alias("uid"), "resolved_member_id"), "uid")
+    return x.groupBy("truth_id").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("resolved_member_id").alias("members")).withColumn("merged", F.col("members") == 1)
+
+
 def top_factors(breakdown: Column, k: int = 5) -> Column:
-    """The k largest factors of a breakdown, by size of their bits; term-frequency factors don't count."""
+    """The k largest Bayes factors of a breakdown, ties by name; term-frequency factors don't count."""
     entries = F.filter(F.map_entries(breakdown), lambda e: e["key"].startswith("bf_") & ~e["key"].startswith("bf_tf_"))
-    size = lambda e: F.struct((-F.abs(F.log2(e["value"]))).alias("o"), e["key"].alias("key"), e["value"].alias("value"))
+    size = lambda e: F.struct((-e["value"]).alias("o"), e["key"].alias("key"), e["value"].alias("value"))
     return F.transform(F.slice(F.array_sort(F.transform(entries, size)), 1, k), lambda s: F.struct(s["key"].alias("key"), s["value"].alias("value")))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.tokens import uuid5
+
 STATES = ("PENDING_RESOLUTION", "ELIGIBLE_ACTIVE", "ELIGIBLE_GRACE", "INELIGIBLE", "DELETED")
 #: Fixed pairs of states that may follow each other; None: a member's first state.
 TRANSITIONS = (
@@ -50,8 +52,8 @@ def transition_table(spark: SparkSession, pairs=TRANSITIONS) -> DataFrame:
 
 
 def mark_transitions(changes: DataFrame, allowed: DataFrame) -> DataFrame:
-    """changes (from_state, to_state, ...) with `allowed`; the table of pairs is a dozen rows."""
-    a = F.broadcast(allowed.select(F.col("from_state").alias("_f"), F.col("to_state").alias("_t"), F.lit(True).alias("allowed")))
+    """changes (from_state, to_state, ...) with `allowed`; `allowed` holds the pairs of states that may follow each other."""
+    a = allowed.select(F.col("from_state").alias("_f"), F.col("to_state").alias("_t"), F.lit(True).alias("allowed")).distinct()
     x = changes.join(a, F.col("from_state").eqNullSafe(F.col("_f")) & (F.col("to_state") == F.col("_t")), "left").drop("_f", "_t")
     return x.withColumn("allowed", F.coalesce("allowed", F.lit(False)))
 
@@ -70,16 +72,31 @@ def scd2(changes: DataFrame, key: list[str], state: str, order: list[str], since
     return x.select(*key, state, F.col(since).alias("effective_from"), F.lead(since).over(w).alias("effective_to"))
 
 
-def as_of(history: DataFrame, moments: DataFrame, moment: str = "moment") -> DataFrame:
-    """The periods that hold at each moment: from <= moment < to. moments are few and sent to all tasks."""
-    return history.join(F.broadcast(moments), (F.col("effective_from") <= F.col(moment)) & (F.col("effective_to").isNull() | (F.col(moment) < F.col("effective_to"))))
+def as_of(history: DataFrame, moments: DataFrame, moment: str = "moment", days: int = 32) -> DataFrame:
+    """The periods that hold at each moment: from <= moment < to. An equi-join on spans of `days` days, whatever the number of moments.
+
+    A period is repeated for each span that it touches, up to the last moment that is asked for.
+    """
+    span = lambda c: F.floor(F.unix_date(c.cast("date")) / days)
+    m = moments.withColumn("_span", span(F.col(moment)))
+    end = m.agg(F.max("_span").alias("_end"), F.min("_span").alias("_begin"))
+    first, last = F.greatest(span(F.col("effective_from")), F.col("_begin")), F.least(F.coalesce(span(F.col("effective_to")), F.col("_end")), F.col("_end"))
+    h = history.crossJoin(end).filter(first <= last).withColumn("_span", F.explode(F.sequence(first, last))).drop("_end", "_begin")  # one row
+    x = h.join(m, "_span").drop("_span")
+    return x.filter((F.col("effective_from") <= F.col(moment)) & (F.col("effective_to").isNull() | (F.col(moment) < F.col("effective_to"))))
+
+
+def row_hash(columns: list[str]) -> Column:
+    """A hash of values and of which are null."""
+    return F.xxhash64(*[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns])
 
 
 def snapshot_diff(before: DataFrame, now: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """key and change ADDED, CHANGED or REMOVED; equal row hashes are unchanged."""
-    side = lambda df, name: df.select(*key, F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns]).alias(name))
-    x = side(before, "_b").join(side(now, "_n"), key, "full_outer")
-    change = F.when(F.col("_b").isNull(), "ADDED").when(F.col("_n").isNull(), "REMOVED").when(F.col("_b") != F.col("_n"), "CHANGED")
+    """key and change ADDED, CHANGED or REMOVED; equal rows are unchanged. Null keys are a key; one shuffle for both sides."""
+    side = lambda df, old: df.select(*key, F.lit(old).alias("_old"), row_hash(columns).cast("decimal(38,0)").alias("_h"))
+    n, h = (lambda old: F.count_if(F.col("_old") == old)), (lambda old: F.sum(F.when(F.col("_old") == old, F.col("_h"))))
+    x = side(before, True).unionByName(side(now, False)).groupBy(*key).agg(n(True).alias("_nb"), n(False).alias("_nn"), h(True).alias("_b"), h(False).alias("_n"))
+    change = F.when(F.col("_nb") == 0, "ADDED").when(F.col("_nn") == 0, "REMOVED").when((F.col("_b") != F.col("_n")) | (F.col("_nb") != F.col("_nn")), "CHANGED")
     return x.withColumn("change", change).filter("change IS NOT NULL").select(*key, "change")
 
 
@@ -103,6 +120,43 @@ def late_files(files: DataFrame, by: list[str], effective: str, arrival: str) ->
     return files.join(days, same, "left").withColumn("late", F.coalesce(F.col(effective) < F.col("_before"), F.lit(False))).drop("_before", *[name for name, _ in keys])
 
 
+def rebuild(changes: DataFrame, key: list[str], state: str, effective: str, arrival: str, tie: str) -> DataFrame:
+    """The history as it is once all files are in: changes by effective day, whenever they came; of one day the last to arrive counts."""
+    w = W.partitionBy(*key, effective).orderBy(F.desc(arrival), F.desc(tie))
+    x = changes.withColumn("_k", F.row_number().over(w)).filter("_k = 1")
+    return scd2(x, key, state, [effective], effective)
+
+
+def enrollments_per_member(members: DataFrame, enrollments: DataFrame) -> DataFrame:
+    """Members that aren't deleted, each with its open enrollments (partner_id, partner_member_id), sorted."""
+    e = enrollments.filter("effective_to IS NULL").groupBy("member_id").agg(F.array_sort(F.collect_list(F.struct("partner_id", "partner_member_id"))).alias("enrollments"))
+    return members.filter("state <> 'DELETED'").join(e, "member_id")
+
+
+def deletion_target(members: DataFrame, enrollments: DataFrame, partner_id: str, partner_member_id: str) -> DataFrame:
+    """The member behind an open enrollment."""
+    e = enrollments.filter((F.col("partner_id") == partner_id) & (F.col("partner_member_id") == partner_member_id) & F.col("effective_to").isNull())
+    return members.filter("state <> 'DELETED'").join(e.select("member_id").distinct(), "member_id", "left_semi")
+
+
+def history_rows(members: DataFrame, touched: DataFrame, trigger: str, as_of: str) -> DataFrame:
+    """An opening row for each member that a batch has touched, with its state and tokens as they are now."""
+    event = uuid5(F.concat_ws("|", F.lit(trigger), F.lit(as_of), F.col("member_id")))
+    own = members.join(touched.select("member_id").distinct(), "member_id", "left_semi")
+    return own.select("member_id", "state", F.lit(as_of).cast("timestamp").alias("state_effective_from"), "name_token", "dob_token", F.lit(trigger).alias("change_trigger"), event.alias("change_event_id"))
+
+
+def ledger_listing(ledger: DataFrame, order: list[str], n: int | None = None) -> DataFrame:
+    """The ledger, the last entry first."""
+    x = ledger.orderBy(*[F.desc(c) for c in order])
+    return x if n is None else x.limit(n)
+
+
+def first_match(rows: DataFrame, condition: Column, order: list[str]) -> DataFrame:
+    """The first row, in order, that meets the condition; no row if none does."""
+    return rows.filter(condition).orderBy(*order).limit(1)
+
+
 def survivorship(updates: DataFrame, key: list[str], order: list[str], mutable: list[str], locked: list[str]) -> DataFrame:
     """The last stated value of mutable attributes, the first of locked ones, and whether a locked one ever differed."""
     at = F.struct(*order)
@@ -132,8 +186,8 @@ def reconcile(counts: DataFrame, reported: DataFrame, key: list[str], tolerance:
 
 
 def table_checksum(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Row count and an order-free checksum, for comparing two copies."""
-    return df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*df.columns)).alias("checksum"))
+    """Row count and an order-free sum of row hashes, for comparing two copies: repeated rows and nulls count."""
+    return df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.sum(row_hash(df.columns).cast("decimal(38,0)")).alias("checksum"))
 
 
 class VersionedTable:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import broad_hash, strict_hash
@@ -13,8 +16,17 @@ UUID = r"^\{?(urn:uuid:)?[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-f
 
 
 def with_hashes(rows: DataFrame, salt: str, nfc: bool = True) -> DataFrame:
+    """rows (last_name, dob, ssn_last4, partner_id, partner_member_id) with suppression_hashes: the strict and, with digits, the broad one."""
     c = F.col
-    return rows.withColumn("suppression_hashes", F.array_compact(F.array(strict_hash(salt, c("first_name"), c("last_name"), c("dob"), c("ssn_last4"), nfc), broad_hash(salt, c("dob"), c("ssn_last4")))))
+    strict = strict_hash(salt, c("last_name"), c("dob"), c("partner_id"), c("partner_member_id"), nfc)
+    return rows.withColumn("suppression_hashes", F.array_compact(F.array(strict, broad_hash(salt, c("dob"), c("ssn_last4")))))
+
+
+def request_hashes(requests: DataFrame, enrollments: DataFrame, salt: str, nfc: bool = True) -> DataFrame:
+    """requests (request_id, member_id, last_name, dob, ssn_last4) with suppression_hashes: a strict one for each enrollment of the member, and the broad one."""
+    own = requests.join(enrollments.select("member_id", "partner_id", "partner_member_id"), "member_id", "left")
+    each = with_hashes(own, salt, nfc).withColumn("suppression_hashes", F.when(F.col("partner_id").isNull(), F.array_compact(F.array(broad_hash(salt, F.col("dob"), F.col("ssn_last4"))))).otherwise(F.col("suppression_hashes")))
+    return each.groupBy("request_id", "member_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("suppression_hashes")))).alias("suppression_hashes"))
 
 
 def mark_suppressed(rows: DataFrame, ledger: DataFrame, key: list[str]) -> DataFrame:
@@ -63,33 +75,74 @@ def execute_deletions(members: DataFrame, enrollments: DataFrame, ledger: DataFr
     if close_enrollments:
         e = enrollments.join(gone, "member_id", "left").withColumn("effective_to", F.when(F.col("_gone") & F.col("effective_to").isNull(), ts.cast("date")).otherwise(F.col("effective_to"))).drop("_gone")
     history = known.select("member_id", F.lit("DELETED").alias("state"), ts.alias("state_effective_from"), F.lit("DELETION").alias("change_trigger"), F.col("request_id").alias("change_event_id"))
-    events = known.select(F.explode(F.array(*map(F.lit, ("DELETION_REQUESTED", "DELETION_EXECUTED")))).alias("event_class"), F.col("member_id").alias("target_token"), F.lit("SUCCESS").alias("outcome"), ts.alias("timestamp"))
+    events = deletion_events(known, ts)
     return {"members": m.drop("_gone"), "ledger": insert_if_absent(old, new, ["suppression_hash"]), "enrollments": e, "history": history, "events": events}
 
 
+def deletion_events(known: DataFrame, ts: Column) -> DataFrame:
+    """Two events of each request (request_id, member_id, suppression_hashes, and the member's state before)."""
+    asked = F.to_json(F.struct(F.col("state").alias("prior_state"), "request_id"))
+    done = F.to_json(F.struct(F.size("suppression_hashes").alias("suppression_hash_count"), "request_id"))
+    event = lambda name, outcome, context: F.struct(F.lit(name).alias("event_class"), F.lit(outcome).alias("outcome"), context.alias("context"))
+    both = F.explode(F.array(event("DELETION_REQUESTED", "ACCEPTED", asked), event("DELETION_EXECUTED", "SUCCESS", done)))
+    x = known.select("member_id", both.alias("e"))
+    return x.select("e.event_class", F.lit("deletion_operator").alias("actor_role"), F.col("member_id").alias("target_token"), "e.outcome", F.lit("right_to_deletion_request").alias("trigger"), "e.context", ts.alias("timestamp"))
+
+
+def override_events(hashes: DataFrame, reason: str, as_of: str) -> DataFrame:
+    """A DELETION_OVERRIDE event for each hash that is overridden."""
+    context = F.to_json(F.struct(F.lit(reason).alias("reason")))
+    return hashes.select(F.lit("DELETION_OVERRIDE").alias("event_class"), F.lit("deletion_operator").alias("actor_role"), F.col("suppression_hash").alias("target_token"), F.lit("SUCCESS").alias("outcome"), F.lit("operator_override").alias("trigger"), context.alias("context"), F.lit(as_of).cast("timestamp").alias("timestamp"))
+
+
 class Vault:
-    """Plaintext by token in versions of a restricted table."""
+    """Plaintext by token in a restricted table: batches that are appended, and a log of the tokens that are erased.
+
+    A transaction's changes are seen by others after it has ended without an error.
+    """
 
     SCHEMA = "token string, field_class string, plaintext string, created_at timestamp, tombstoned_at timestamp"
 
     def __init__(self, spark):
-        self.table = Scratch(spark, "vault").write(spark.createDataFrame([], self.SCHEMA), "v0")
+        self.spark, self.batches, self.erased = spark, [], []
+
+    @property
+    def table(self) -> DataFrame:
+        """All rows as they are now: an erased token has no plaintext, and the moment at which it was first erased."""
+        x = self.spark.createDataFrame([], self.SCHEMA)
+        for b in self.batches:
+            x = x.unionByName(b)
+        if not self.erased:
+            return x
+        gone = self.erased[0]
+        for e in self.erased[1:]:
+            gone = gone.unionByName(e)
+        gone = gone.groupBy("token").agg(F.min("at").alias("_at"))
+        x = x.join(gone, "token", "left").withColumns({"plaintext": F.when(F.col("_at").isNull(), F.col("plaintext")), "tombstoned_at": F.col("_at")})
+        return x.drop("_at").select("token", "field_class", "plaintext", "created_at", "tombstoned_at")
 
     def store(self, values: DataFrame, as_of: str) -> DataFrame:
         """values (field_class, plaintext) with new random tokens, which are returned."""
-        spark = values.sparkSession
         new = values.select(F.concat(F.lit("vt_"), F.replace(F.uuid(), F.lit("-"), F.lit(""))).alias("token"), "field_class", "plaintext", F.lit(as_of).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("tombstoned_at"))
-        new = Scratch(spark, "vault").write(new, "new")
-        self.table = Scratch(spark, "vault").write(self.table.unionByName(new), "v")
-        return new.select("token", "field_class", "plaintext")
+        self.batches.append(Scratch(self.spark, "vault").write(new, "new"))
+        return self.batches[-1].select("token", "field_class", "plaintext")
 
     def reveal(self, tokens: DataFrame) -> DataFrame:
         """(token, plaintext); null for unknown and tombstoned tokens."""
-        return tokens.join(self.table.filter("tombstoned_at IS NULL").select("token", "plaintext"), "token", "left")
+        return tokens.join(self.table.select("token", "plaintext"), "token", "left")
 
     def tombstone(self, tokens: DataFrame, as_of: str) -> None:
         """Erase plaintexts; doing it again changes nothing."""
-        x = self.table.join(tokens.select("token").distinct().withColumn("_t", F.lit(True)), "token", "left")
-        done = F.col("_t") & F.col("tombstoned_at").isNull()
-        x = x.withColumns({"plaintext": F.when(F.col("_t"), F.lit(None)).otherwise(F.col("plaintext")), "tombstoned_at": F.when(done, F.lit(as_of).cast("timestamp")).otherwise(F.col("tombstoned_at"))}).drop("_t")
-        self.table = Scratch(x.sparkSession, "vault").write(x, "v")
+        self.erased.append(Scratch(self.spark, "vault").write(tokens.select("token", F.lit(as_of).cast("timestamp").alias("at")).distinct(), "erased"))
+
+    def compact(self) -> None:
+        """Write the rows as they are now as one batch, so that erased plaintexts are gone from the files that are read."""
+        self.batches, self.erased = [Scratch(self.spark, "vault").write(self.table, "whole")], []
+
+    @contextmanager
+    def transaction(self) -> Iterator[Vault]:
+        """A vault whose changes are taken over when the block ends, or not at all if it raises."""
+        inner = Vault(self.spark)
+        inner.batches, inner.erased = list(self.batches), list(self.erased)
+        yield inner
+        self.batches, self.erased = inner.batches, inner.erased

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokens import dob_token, name_token, ssn_last4_token, token, uuid5
@@ -12,37 +12,59 @@ from ..operators import dq, suppression
 from ..operators.dedup import last_wins
 from ..operators.mapping import PartnerMapping, map_feed
 from ..operators.resolve import resolve, review_queue
-from ..operators.store import new_rows
+from ..operators.store import deletion_target, enrollments_per_member, history_rows, new_rows, scd2
 from ..scratch import Scratch
 
 MEMBERS = "member_id string, state string, state_effective_from timestamp, name_token string, dob_token string, address_token string, phone_token string, email_token string, ssn_token string, first_seen_at timestamp, last_updated_at timestamp, tombstoned_at timestamp"
 ENROLLMENTS = "enrollment_id string, member_id string, partner_id string, partner_member_id string, effective_from date, effective_to date, last_seen_in_feed_at timestamp"
 LEDGER = "suppression_hash string, deleted_at timestamp, deletion_request_id string, override_count int"
+AUDIT = "event_class string, actor_role string, target_token string, outcome string, trigger string, context string, timestamp timestamp"
+HISTORY = "member_id string, state string, state_effective_from timestamp, name_token string, dob_token string, change_trigger string, change_event_id string"
+SCHEMAS = {"members": MEMBERS, "enrollments": ENROLLMENTS, "ledger": LEDGER, "audit": AUDIT, "history": HISTORY}
+ACTOR = "rosterforge-pipeline"
 
 
 @dataclass
 class Store:
-    """Tables of the store; each write makes a new version in the shared folder."""
+    """Tables of the store in the shared folder: new rows are appended; a rewritten table is a new folder."""
 
     spark: SparkSession
     key: bytes
     salt: str
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    paths: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        for name, schema in (("members", MEMBERS), ("enrollments", ENROLLMENTS), ("ledger", LEDGER)):
+        self.reset()
+
+    def reset(self) -> None:
+        """Drop all tables and make empty ones."""
+        self.tables.clear()
+        self.paths.clear()
+        for name, schema in SCHEMAS.items():
             self.put(name, self.spark.createDataFrame([], schema))
 
     def put(self, name: str, df: DataFrame) -> None:
-        self.tables[name] = Scratch(self.spark, "store").write(df, name)
+        tmp = Scratch(self.spark, "store")
+        self.tables[name], self.paths[name] = tmp.write(df, name), tmp.path(name)
 
     def add(self, name: str, df: DataFrame) -> None:
-        self.put(name, self.tables[name].unionByName(df, allowMissingColumns=True) if name in self.tables else df)
+        """Append rows; columns that they lack are null. What reads the table meanwhile keeps the files that it has listed."""
+        if name not in self.tables:
+            return self.put(name, df)
+        schema = self.tables[name].schema
+        rows = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+        rows.write.mode("append").parquet(self.paths[name])
+        self.tables[name] = self.spark.read.schema(schema).parquet(self.paths[name])
+
+    def periods(self) -> DataFrame:
+        """Each member's states with their beginnings and ends, from the opening rows of the history."""
+        return scd2(self.tables["history"], ["member_id"], "state", ["state_effective_from", "change_event_id"], "state_effective_from")
 
     def candidates(self) -> DataFrame:
         """Open enrollments of members that aren't deleted."""
-        m = self.tables["members"].filter("state <> 'DELETED'").select("member_id", "name_token", "dob_token")
-        return m.join(self.tables["enrollments"].filter("effective_to IS NULL"), "member_id").select("member_id", "partner_id", "partner_member_id", "name_token", "dob_token")
+        m = enrollments_per_member(self.tables["members"], self.tables["enrollments"])
+        return m.select("member_id", F.explode("enrollments").alias("e"), "name_token", "dob_token").select("member_id", "e.*", "name_token", "dob_token")
 
 
 @dataclass
@@ -54,8 +76,11 @@ class Day:
     groups: DataFrame
 
 
-def run_day(store: Store, feeds: dict[str, tuple[DataFrame, PartnerMapping]], as_of: str, prior: dict[str, dq.DQResult] | None = None, prior_columns: dict[str, list[str]] | None = None, check_suppression: bool = True) -> Day:
-    """Map, deduplicate, gate, suppress, resolve and persist the feeds of a day (id to rows with _line, and mapping)."""
+def run_day(store: Store, feeds: dict[str, tuple[DataFrame, PartnerMapping]], as_of: str, prior: dict[str, dq.DQResult] | None = None, prior_columns: dict[str, list[str]] | None = None, check_suppression: bool = True, label: str = "day1", reopen: bool = False, u: dict | None = None) -> Day:
+    """Map, deduplicate, gate, suppress, resolve and persist the feeds of a day (id to rows with _line, and mapping).
+
+    reopen: open an enrollment again on each day on which it is seen, as a plain insert by partner, member and day would.
+    """
     spark, tmp = store.spark, Scratch(store.spark, "day")
     gates, passed = {}, []
     for name, (rows, m) in feeds.items():
@@ -74,28 +99,39 @@ def run_day(store: Store, feeds: dict[str, tuple[DataFrame, PartnerMapping]], as
     else:
         keep, gone = rows, rows.limit(0)
     keep, gone = tmp.write(keep, "publishable"), tmp.write(gone, "suppressed")
-    store.add("audit", ingest_events(spark, gates, as_of))
-    store.add("audit", suppressed_events(gone, as_of))
-    decisions, groups = resolve(keep, store.candidates(), store.key)
-    persist(store, keep, decisions, groups, as_of)
+    store.add("audit", ingest_events(spark, gates, as_of, label))
+    store.add("audit", suppressed_events(gone, as_of, label))
+    decisions, groups = resolve(keep, store.candidates(), store.key, u=u)
+    persist(store, keep, decisions, groups, as_of, label, reopen)
     return Day(gates, gone, keep, decisions, groups)
 
 
-def ingest_events(spark: SparkSession, gates: dict[str, dq.DQResult], as_of: str) -> DataFrame:
-    """A FEED_INGESTED event for each feed."""
-    rows = [(name, "QUARANTINED" if g.feed_quarantined else "ACCEPTED") for name, g in gates.items()]
-    x = spark.createDataFrame(rows, "target_token string, outcome string")
-    return x.select(F.lit("FEED_INGESTED").alias("event_class"), "target_token", "outcome", F.lit(as_of).cast("timestamp").alias("timestamp"))
+def event(rows: DataFrame, name: str, target: Column, outcome: Column, trigger: str, context: Column, as_of: str) -> DataFrame:
+    return rows.select(F.lit(name).alias("event_class"), F.lit(ACTOR).alias("actor_role"), target.alias("target_token"), outcome.alias("outcome"), F.lit(trigger).alias("trigger"), F.to_json(context).alias("context"), F.lit(as_of).cast("timestamp").alias("timestamp"))
+
 
+def ingest_events(spark: SparkSession, gates: dict[str, dq.DQResult], as_of: str, label: str = "day1") -> DataFrame:
+    """A FEED_INGESTED event for each feed, with its drift, its quarantined records and the columns that are new."""
+    rows = [(name, "QUARANTINED" if g.feed_quarantined else "ACCEPTED", g.drift, g.quarantined.count(), g.added) for name, g in gates.items()]
+    x = spark.createDataFrame(rows, "feed string, outcome string, schema_drift string, quarantined_records long, drift_columns_added array<string>")
+    return event(x, "FEED_INGESTED", F.col("feed"), F.col("outcome"), f"{label}_ingest", F.struct("schema_drift", "quarantined_records", "drift_columns_added"), as_of)
 
-def suppressed_events(gone: DataFrame, as_of: str) -> DataFrame:
+
+def suppressed_events(gone: DataFrame, as_of: str, label: str = "day1") -> DataFrame:
     """A SUPPRESSED_DELETED event for each suppressed record."""
     target = F.concat(F.coalesce("partner_id", F.lit("")), F.lit(":"), F.coalesce("partner_member_id", F.lit("")))
-    return gone.select(F.lit("SUPPRESSED_DELETED").alias("event_class"), target.alias("target_token"), F.lit("SUPPRESSED").alias("outcome"), F.lit(as_of).cast("timestamp").alias("timestamp"))
+    return event(gone, "SUPPRESSED_DELETED", target, F.lit("SUPPRESSED"), f"{label}_pre_publication", F.struct(F.lit("deletion_ledger_hit").alias("reason")), as_of)
+
 
+def resolution_event(decisions: DataFrame, gone: DataFrame, as_of: str, label: str) -> DataFrame:
+    """One event of a day's resolution, with the histogram of tiers."""
+    tiers = decisions.groupBy("tier").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tier", "n")))).alias("tier_histogram"))  # a row per tier
+    x = tiers.crossJoin(gone.agg(F.count(F.lit(1)).alias("suppressed_count")))  # one row each
+    return event(x, f"{label.upper()}_RESOLUTION_COMPLETE", F.lit(f"{label}-batch"), F.lit("SUCCESS"), "ingest", F.struct("suppressed_count", "tier_histogram"), as_of)
 
-def persist(store: Store, rows: DataFrame, decisions: DataFrame, groups: DataFrame, as_of: str) -> None:
-    """Insert members and enrollments that aren't there; append decisions, history and reviews."""
+
+def persist(store: Store, rows: DataFrame, decisions: DataFrame, groups: DataFrame, as_of: str, label: str = "day1", reopen: bool = False) -> None:
+    """Insert members and enrollments that aren't there; append decisions, reviews, and a history row for each member of the batch."""
     ts, k = F.lit(as_of).cast("timestamp"), store.key
     c = F.col
     uid = F.concat_ws(":", "partner_id", "partner_member_id")
@@ -108,23 +144,34 @@ def persist(store: Store, rows: DataFrame, decisions: DataFrame, groups: DataFra
     each = groups.select("member_id", F.explode("uids").alias("uid")).join(tok.select("uid", "partner_id", "partner_member_id"), "uid")
     day = ts.cast("date")
     enrollments = each.select(uuid5(F.concat_ws("|", F.lit("enrollment"), "uid", day.cast("string"))).alias("enrollment_id"), "member_id", "partner_id", "partner_member_id", day.alias("effective_from"), F.lit(None).cast("date").alias("effective_to"), ts.alias("last_seen_in_feed_at"))
-    # An enrollment that is open already isn't opened again.
     open_now = store.tables["enrollments"].filter("effective_to IS NULL").select("partner_id", "partner_member_id", "member_id")
-    fresh = enrollments.join(open_now, ["partner_id", "partner_member_id", "member_id"], "left_anti")
+    fresh = enrollments if reopen else enrollments.join(open_now, ["partner_id", "partner_member_id", "member_id"], "left_anti")
     store.add("enrollments", new_rows(store.tables["enrollments"], fresh, ["partner_id", "partner_member_id", "effective_from"]))
     store.add("decisions", decisions.withColumn("decided_at", ts))
     store.add("review_queue", review_queue(decisions, as_of))
-    store.add("history", new.select("member_id", "state", "state_effective_from", F.lit("FEED").alias("change_trigger"), F.lit(as_of).alias("change_event_id")))
+    store.add("history", history_rows(store.tables["members"], groups, f"{label.upper()}_INGEST", as_of))
+
 
+def delete_member(store: Store, rows: DataFrame, request_id: str, partner_id: str, partner_member_id: str, as_of: str) -> str:
+    """Delete the member behind an open enrollment, whose id is returned; rows are the feed's mapped rows, for the person's name and numbers.
 
-def delete_member(store: Store, rows: DataFrame, request_id: str, partner_id: str, partner_member_id: str, as_of: str) -> None:
-    """Delete the member that an enrollment belongs to; rows are the feed's mapped rows, for the hashes."""
-    e = store.tables["enrollments"].filter((F.col("partner_id") == partner_id) & (F.col("partner_member_id") == partner_member_id) & F.col("effective_to").isNull())
-    hashes = suppression.with_hashes(rows.filter((F.col("partner_id") == partner_id) & (F.col("partner_member_id") == partner_member_id)).drop("suppression_hashes"), store.salt)
-    req = e.select(F.lit(request_id).alias("request_id"), "member_id", "partner_id", "partner_member_id").join(hashes.select("partner_id", "partner_member_id", "suppression_hashes"), ["partner_id", "partner_member_id"])
-    req = Scratch(store.spark, "request").write(req.select("request_id", "member_id", "suppression_hashes"), "request")
-    out = suppression.execute_deletions(store.tables["members"], store.tables["enrollments"], store.tables["ledger"], req, as_of)
+    The ledger gets a strict hash for each of the member's open enrollments, and the broad one.
+    """
+    members, enrollments = store.tables["members"], store.tables["enrollments"]
+    target = deletion_target(members, enrollments, partner_id, partner_member_id).select("member_id")
+    person = rows.filter((F.col("partner_id") == partner_id) & (F.col("partner_member_id") == partner_member_id)).select("last_name", "dob", "ssn_last4").limit(1)
+    asked = target.crossJoin(person).select(F.lit(request_id).alias("request_id"), "member_id", "last_name", "dob", "ssn_last4")  # one row each
+    req = suppression.request_hashes(asked, enrollments.filter("effective_to IS NULL"), store.salt)
+    req = Scratch(store.spark, "request").write(req, "request")
+    out = suppression.execute_deletions(members, enrollments, store.tables["ledger"], req, as_of)
     store.add("history", out["history"])
     store.add("audit", out["events"])
     for name in ("members", "enrollments", "ledger"):
         store.put(name, out[name])
+    return req.first().member_id
+
+
+def override_member(store: Store, hashes: DataFrame, reason: str, as_of: str) -> None:
+    """Let the hashes pass from now on, with an event for each."""
+    store.put("ledger", suppression.override(store.tables["ledger"], hashes))
+    store.add("audit", suppression.override_events(hashes, reason, as_of))

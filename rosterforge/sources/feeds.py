@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import redact
@@ -15,15 +16,23 @@ CORRUPT = "_corrupt"
 
 
 def read_csv(spark: SparkSession, path: str, with_line: bool = True) -> DataFrame:
-    """All columns as strings under their own names, blanks as "". _line orders rows as the file has them.
+    """All columns as strings under their own names, blanks as "". _line (file, place) orders rows as files have them, files by name.
 
     Fields may hold line breaks, so a file is one task; feeds come as many files.
     """
     columns = csv_columns(spark, path)
     schema = ", ".join(f"`{c}` string" for c in [*columns, CORRUPT])
     x = spark.read.options(header=True, escape='"', multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT).schema(schema).csv(path)
-    x = x.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns], F.col(CORRUPT).alias("parse_error"))
-    return x.withColumn("_line", F.monotonically_increasing_id()) if with_line else x
+    line = [F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place")).alias("_line")] if with_line else []
+    return x.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns], F.col(CORRUPT).alias("parse_error"), *line)
+
+
+def correlation_ids(rows: DataFrame) -> DataFrame:
+    """rows of read_csv with `correlation_id`, the file's name and the row's index in it from 0."""
+    firsts = rows.groupBy(F.col("_line.file").alias("_file")).agg(F.min("_line.place").alias("_first"))
+    x = rows.join(firsts, F.col("_line.file") == F.col("_file"))
+    name = F.element_at(F.split("_file", "/"), -1)
+    return x.withColumn("correlation_id", F.concat_ws(":", name, (F.col("_line.place") - F.col("_first")).cast("string"))).drop("_file", "_first")
 
 
 def csv_columns(spark: SparkSession, path: str) -> list[str]:
@@ -50,11 +59,21 @@ def read_xml(spark: SparkSession, path: str, row_tag: str, columns: list[str]) -
 def read_x12_834(spark: SparkSession, path: str) -> DataFrame:
     """Benefit enrollment: a member per INS loop, from its REF*0F, NM1*IL, DMG*D8 and N3/N4 segments.
 
-    A file is one row of one task; all its loops are read. A file that doesn't fit a row (2 GB) fails.
+    A row is a segment, so a file of any size is read by many tasks. A loop's number is the count of INS segments up to it:
+    counts of a file's blocks first, then inside each block. The first segment of a kind counts in each loop.
     """
-    parts = spark.read.text(path, wholetext=True).select(F.split("value", r"(?:^|~)\s*INS\*").alias("parts"))
-    loops = parts.select(F.explode(F.slice("parts", F.lit(2), F.size("parts"))).alias("loop"))
-    seg = lambda pattern, i=1: F.regexp_extract("loop", pattern, i)
+    meta = F.col("_metadata")
+    x = spark.read.option("lineSep", "~").text(path).select(F.regexp_replace("value", r"^\s+", "").alias("s"), meta["file_path"].alias("f"), meta["file_block_start"].alias("b"), F.monotonically_increasing_id().alias("i"))
+    x = x.withColumn("ins", F.col("s").startswith("INS*").cast("long"))
+    heads = x.groupBy("f", "b").agg(F.sum("ins").alias("n"))
+    heads = heads.select("f", "b", (F.sum("n").over(W.partitionBy("f").orderBy("b")) - F.col("n")).alias("before"))  # a row per block
+    wanted = x.filter(F.col("s").rlike(r"^(INS\*|REF\*0F\*|NM1\*IL\*|DMG\*D8\*|N3\*|N4\*)")).join(heads, ["f", "b"])
+    loop = F.col("before") + F.sum("ins").over(W.partitionBy("f", "b").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
+    of = lambda head: F.coalesce(F.min_by("s", F.when(F.col("s").startswith(head), F.struct("b", "i"))), F.lit(""))
+    loops = wanted.withColumn("loop", loop).filter("loop > 0").groupBy("f", "loop").agg(
+        F.concat_ws("~", F.lit(""), of("REF*0F*"), of("NM1*IL*"), of("DMG*D8*"), of("N3*"), of("N4*")).alias("loop_text")
+    )
+    seg = lambda pattern, i=1: F.regexp_extract("loop_text", pattern, i)
     return loops.select(
         seg(r"~\s*REF\*0F\*([^*~]*)").alias("member_id"), seg(r"~\s*NM1\*IL\*1\*([^*~]*)\*?([^*~]*)", 2).alias("first_name"), seg(r"~\s*NM1\*IL\*1\*([^*~]*)").alias("last_name"),
         seg(r"~\s*DMG\*D8\*([^*~]*)").alias("dob"), seg(r"~\s*NM1\*IL\*(?:[^*~]*\*){6}34\*([^*~]*)").alias("ssn"), seg(r"~\s*N3\*([^*~]*)").alias("street"),

@@ -55,7 +55,12 @@ def test_tokens_equal_python(spark):
     own = [hmac.new(key, f"name:{v}|z".encode(), hashlib.sha256).hexdigest() for v in ("josé b", "josé b", "", "strasse x")]
     assert one(spark, tokens.name_token(x, F.lit(" Z "), key), *values) == own
     assert one(spark, tokens.uuid5(x), "a,b", "é") == [str(uuid.uuid5(uuid.NAMESPACE_OID, v)) for v in ("a,b", "é")]
-    assert one(spark, tokens.broad_hash("s", F.lit("1990-01-01"), x), "", "1234") == [None, hashlib.sha256(b"ssuppression:1990-01-01|1234").hexdigest()]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert one(spark, tokens.broad_hash("s", F.lit("1990-01-01"), x), "", "1234") == [None, sha("ssuppression_broad:1990-01-01|1234")]
+    assert one(spark, tokens.strict_hash("s", x, F.lit("1990-01-01"), F.lit(" P  A"), F.lit("M1")), " Doe ", None) == [sha("ssuppression:doe|1990-01-01|p a|m1"), sha("ssuppression:|1990-01-01|p a|m1")]
+    mac = lambda t: hmac.new(key, t.encode(), hashlib.sha256).hexdigest()
+    assert one(spark, tokens.partner_member_token(F.lit("PARTNER_A"), x, key), " A  1", None) == [mac("partner_member_id:partner_a| a 1"), mac("partner_member_id:partner_a|")]
+    assert one(spark, tokens.dob_token(x, key), " 1990-01-02 ") == [mac("dob:1990-01-02")] and one(spark, tokens.ssn_last4_token(x, key), " 12 ", "") == [mac("ssn_last4:12"), None]
     assert one(spark, tokens.name_token(x, F.lit(""), key), "") != one(spark, tokens.dob_token(x, key), "")
 
 
@@ -74,6 +79,7 @@ def test_dates_equal_strptime(spark):
     assert one(spark, dates.parse_date(F.col("x"), formats), *values) == [parse(v) for v in values]
     assert one(spark, dates.date_error(F.col("x"), ["%Y"]), "", "q") == ["empty", "unparseable: tried ['%Y']"]
     assert one(spark, dates.us_date(F.col("x")), "4/2/85", "4/2/29", "4/2/1985", "x") == ["1985-04-02", "2029-04-02", "1985-04-02", "x"]
+    assert one(spark, dates.us_date(F.col("x")), "4/2/30", "4/2/31", " 4/2/1985\t", "04/12/7", " 1/2 ") == ["2030-04-02", "1931-04-02", "1985-04-02", "0007-04-12", " 1/2 "]
 
 
 def test_yaml_alone_adds_a_partner(spark):
@@ -149,6 +155,13 @@ def test_chain_breaks_where_it_is_changed(spark, tmp_path):
     assert verdict(entries)["valid"] and verdict(entries[:3])["valid"] and verdict([])["valid"]
     assert not verdict(entries[:3], entries[-1]["self_hash"])["valid"]
     assert verdict([*entries[:2], entries[2] | {"n": 9}, *entries[3:]])["first_broken"] == 3 and verdict(entries[1:])["first_broken"] == 1
+    # The link is looked at before the entry's own hash, and a line that isn't JSON is called that.
+    both = verdict([entries[0], entries[1] | {"prior_event_hash": "0" * 64, "n": 7}, *entries[2:]])
+    assert (both["entries_checked"], both["reason"]) == (2, "prior_event_hash mismatch")
+    assert verdict([*entries[:2], entries[2] | {"n": 9}])["reason"] == "self_hash mismatch"
+    (tmp_path / "log.jsonl").write_text(json.dumps(entries[0]) + "\n{not json\n" + json.dumps(entries[1]) + "\n")
+    v = audit.validate_log(spark, str(tmp_path / "log.jsonl"))
+    assert (v["valid"], v["entries_checked"], v["first_broken"], v["reason"]) == (False, 2, 2, "json decode error")
 
 
 def test_scan_and_redaction(spark):
@@ -177,7 +190,7 @@ def test_a_log_of_many_blocks(spark, tmp_path):
             rows = [e | {"n": -1} if i == change else e for i, e in enumerate(entries)]
             (tmp_path / "log.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows[:7]) + "\n" + "".join(json.dumps(r) + "\n" for r in rows[7:]))
             v = audit.validate_log(spark, str(tmp_path / "log.jsonl"), entries[-1]["self_hash"])
-            assert (v["valid"], v["entries_checked"], v["first_broken"]) == (change is None, 401, where and where + 1)
+            assert (v["valid"], v["entries_checked"], v["first_broken"]) == (change is None, where + 1 if where else 401, where and where + 1)  # counting ends at the break
         assert audit.numbered_lines(spark, str(tmp_path)).select("block").distinct().count() > 4
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
@@ -286,3 +299,238 @@ def test_feeds_and_suppressed_records_are_audited(spark):
     got = sorted((r.event_class, r.target_token, r.outcome, r.timestamp.month) for r in s.tables["audit"].filter("event_class NOT LIKE 'DELETION%'").collect())
     gone = [("SUPPRESSED_DELETED", f"{r.partner_id}:{r.partner_member_id}", "SUPPRESSED", 2) for r in two.suppressed.collect()]
     assert gone and got == sorted([("FEED_INGESTED", "A", "ACCEPTED", 1), ("FEED_INGESTED", "B", "QUARANTINED", 1), ("FEED_INGESTED", "A", "ACCEPTED", 2), *gone])
+
+
+def test_a_member_brought_back_by_the_same_partner_is_suppressed(spark):
+    """Another first name and no last four digits: only the strict hash of the enrollment can tell."""
+    cols = "partner_id string, partner_member_id string, first_name string, last_name string, dob string, ssn_last4 string"
+    enrollments = spark.createDataFrame([("m1", "PARTNER_A", "A1"), ("m1", "PARTNER_B", "B7"), ("m2", "PARTNER_A", "A2")], "member_id string, partner_id string, partner_member_id string")
+    req = spark.createDataFrame([("r1", "m1", "Doe", "1990-01-02", "1234")], "request_id string, member_id string, last_name string, dob string, ssn_last4 string")
+    got = suppression.request_hashes(req, enrollments, "s").collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = sorted([sha("ssuppression:doe|1990-01-02|partner_a|a1"), sha("ssuppression:doe|1990-01-02|partner_b|b7"), sha("ssuppression_broad:1990-01-02|1234")])
+    assert [(r.request_id, r.member_id, r.suppression_hashes) for r in got] == [("r1", "m1", want)]
+    ledger = spark.createDataFrame([(h, 0) for h in want], "suppression_hash string, override_count int")
+    back = [("PARTNER_A", "A1", "Zed", " DOE", "1990-01-02", ""), ("PARTNER_A", "A9", "Jo", "Doe", "1990-01-02", ""), ("PARTNER_C", "C1", "X", "Y", "1990-01-02", "1234"), ("PARTNER_B", "B7", "Jo", "Doe", "1990-01-03", "")]
+    rows = suppression.with_hashes(spark.createDataFrame(back, cols), "s")
+    hit = suppression.split_suppressed(rows, ledger, ["partner_id", "partner_member_id"])[1]
+    assert sorted(r.partner_member_id for r in hit.collect()) == ["A1", "C1"]
+    freed = suppression.override(ledger, spark.createDataFrame([(want[0],), (want[1],), (want[2],)], "suppression_hash string"))
+    assert suppression.split_suppressed(rows, freed, ["partner_id", "partner_member_id"])[1].count() == 0
+    with pytest.raises(KeyError):
+        suppression.override(ledger, spark.createDataFrame([("no",)], "suppression_hash string"))
+    e = suppression.override_events(freed.select("suppression_hash").limit(1), "appeal", "2024-03-01").first()
+    assert (e.event_class, e.outcome, e.trigger, json.loads(e.context)) == ("DELETION_OVERRIDE", "SUCCESS", "operator_override", {"reason": "appeal"})
+
+
+def test_deletion_events(spark):
+    known = spark.createDataFrame([("r1", "m1", ["a", "b"], "ELIGIBLE_ACTIVE")], "request_id string, member_id string, suppression_hashes array<string>, state string")
+    got = [(e.event_class, e.actor_role, e.target_token, e.outcome, e.trigger, json.loads(e.context)) for e in suppression.deletion_events(known, F.current_timestamp()).collect()]
+    head = ("deletion_operator", "m1")
+    assert got == [("DELETION_REQUESTED", *head, "ACCEPTED", "right_to_deletion_request", {"prior_state": "ELIGIBLE_ACTIVE", "request_id": "r1"}), ("DELETION_EXECUTED", *head, "SUCCESS", "right_to_deletion_request", {"suppression_hash_count": 2, "request_id": "r1"})]
+
+
+def test_vault_and_its_transactions(spark):
+    v = suppression.Vault(spark)
+    one = v.store(spark.createDataFrame([("ssn", "900-11-2222"), ("dob", "1990-01-01")], "field_class string, plaintext string"), "2024-01-01").collect()
+    assert len({r.token for r in one}) == 2 and all(r.token.startswith("vt_") and len(r.token) == 35 for r in one)
+    ask = spark.createDataFrame([(r.token,) for r in one] + [("vt_none",)], "token string")
+    assert {r.token: r.plaintext for r in v.reveal(ask).collect()} == {one[0].token: one[0].plaintext, one[1].token: one[1].plaintext, "vt_none": None}
+    first = ask.filter(F.col("token") == one[0].token)
+    for day in ("2024-02-01", "2024-03-01"):
+        v.tombstone(first, day)
+    row = v.table.filter(F.col("token") == one[0].token).first()
+    assert row.plaintext is None and row.tombstoned_at.month == 2 and v.reveal(first).first().plaintext is None
+    with pytest.raises(RuntimeError), v.transaction() as t:
+        t.store(spark.createDataFrame([("ssn", "x")], "field_class string, plaintext string"), "2024-04-01")
+        raise RuntimeError
+    assert v.table.count() == 2
+    with v.transaction() as t:
+        t.store(spark.createDataFrame([("ssn", "x")], "field_class string, plaintext string"), "2024-04-01")
+        assert v.table.count() == 2
+    v.compact()
+    assert v.table.count() == 3 and v.table.filter("plaintext IS NULL").count() == 1 and not v.erased
+
+
+def test_profiled_fields_and_reasons(spark):
+    a, _ = fixtures.mappings()
+    assert dq.profiled_fields(a) == sorted([*a.mapping, "ssn_last4"])
+    m = parse_mapping('partner_id: C\ndate_format: "%Y-%m-%d"\nmapping: {partner_member_id: id, ssn: t}\nfield_tiers: {partner_member_id: required, nickname: enrichment, phone: enrichment, ssn: verification}')
+    rows = map_feed(spark.createDataFrame([("1", "900-11-2222"), ("", "900-11-3333")], "id string, t string"), m)
+    r = dq.run_dq(rows, m, ["id", "t"], ["id", "t"])
+    p = {x.field: (x["count"], x.null_count, x.distinct_count) for x in r.profile.collect()}
+    assert p == {"nickname": (2, 2, 0), "partner_member_id": (2, 1, 1), "phone": (2, 2, 0), "ssn": (2, 0, 2), "ssn_last4": (2, 0, 2)}
+    assert r.reason == "REJECTION_RATE_EXCEEDED: 0.5000 > 0.0500" and dq.run_dq(rows, m, ["id"], ["id", "t"]).reason == "SCHEMA_DRIFT_SUBTRACTIVE: removed columns ['t']"
+    flagged = dq.tier_flags(rows, m).orderBy("partner_member_id").collect()
+    assert [(x.verification_complete, x.enrichment_missing) for x in flagged] == [(True, ["phone"])] * 2
+
+
+def test_checksums_and_differences_see_repeats_and_nulls(spark):
+    sums = lambda rows: tuple(store.table_checksum(spark.createDataFrame(rows, "a string, b string")).first())
+    a, b = ("a", "x"), ("b", "x")
+    assert sums([a, a])[0] == 2 and sums([a, a]) != sums([b, b]) and sums([a, b]) == sums([b, a]) and sums([("a", None)]) != sums([(None, "a")])
+    old = spark.createDataFrame([(None, "x"), ("k", None), ("m", "1"), ("g", "q"), ("t", "z")], "k string, v string")
+    new = spark.createDataFrame([(None, "y"), ("k", "\0"), ("m", "1"), ("n", None), ("t", "z"), ("t", "z")], "k string, v string")
+    assert {r.k: r.change for r in store.snapshot_diff(old, new, ["k"], ["v"]).collect()} == {None: "CHANGED", "k": "CHANGED", "g": "REMOVED", "n": "ADDED", "t": "CHANGED"}
+
+
+def test_lines_of_several_files_are_in_order(spark, tmp_path):
+    """A small file that comes first by name, beside a larger one."""
+    (tmp_path / "a.csv").write_text("id,v\n1,old\n")
+    (tmp_path / "b.csv").write_text("id,v\n" + "".join(f"{i},{'pad' * 30}{i}\n" for i in range(9, 0, -1)))
+    rows = feeds.read_csv(spark, str(tmp_path)).coalesce(1)
+    assert [r.id for r in rows.orderBy("_line").collect()] == ["1", *map(str, range(9, 0, -1))]
+    assert last_wins(rows, ["id"], [F.col("_line")]).filter("id = '1'").first().v == "pad" * 30 + "1"
+    ids = {r.correlation_id: r.id for r in feeds.correlation_ids(feeds.read_csv(spark, str(tmp_path))).collect()}
+    assert ids == {"a.csv:0": "1", **{f"b.csv:{9 - i}": str(i) for i in range(1, 10)}}
+
+
+def test_x12_834_loops_across_blocks(spark, tmp_path):
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        for f, n in (("a", 40), ("b", 25)):
+            (tmp_path / f"{f}.834").write_text("ISA*00~\n" + "".join(f"INS*Y*18~\nREF*0F*{f}{i}~\nREF*0F*second~NM1*IL*1*L{i}*F{i}~N4*AMES*IA*5001{i % 10}~" for i in range(n)) + "SE*1~")
+        x = feeds.read_x12_834(spark, str(tmp_path))
+        assert x.rdd.getNumPartitions() > 1
+        got = {r.member_id: (r.last_name, r.first_name, r.zip) for r in x.collect()}
+        assert got == {f"{f}{i}": (f"L{i}", f"F{i}", f"5001{i % 10}") for f, n in (("a", 40), ("b", 25)) for i in range(n)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_groups_factors_and_rulings(spark):
+    groups = spark.createDataFrame([("m1", ["a", "b", "c"]), ("m2", ["d"])], "member_id string, uids array<string>")
+    assert {r.uid: (r.member_id, r.matched_with) for r in resolve.others_of_group(groups).collect()} == {"a": ("m1", ["b", "c"]), "b": ("m1", ["a", "c"]), "c": ("m1", ["a", "b"]), "d": ("m2", [])}
+    bd = {"bf_dob": 0.05, "bf_last_name": 90.0, "bf_first_name": 3.0, "bf_street": 3.0, "bf_ssn_last4": 1e-6, "bf_tf_x": 1e9, "gamma_dob": 1e9, "bf_zip": 2.0}
+    decisions = spark.createDataFrame([("a", "m1", bd), ("b", "m1", {"bf_dob": 1.0}), ("c", "m2", {})], "candidate_record_ref string, resolved_member_id string, score_breakdown map<string,double>")
+    queue = spark.createDataFrame([("q1", "a", 1.5, None), ("q2", "b", 2.5, None), ("q3", "c", 0.5, "DISTINCT")], "queue_id string, candidate_record_ref string, score double, resolution string")
+    top = resolve.review_listing(queue, decisions, n=2).collect()
+    assert [r.candidate_record_ref for r in top] == ["b", "a"] and [f.key for f in top[1].factors] == ["bf_last_name", "bf_first_name", "bf_street", "bf_zip", "bf_dob"]
+    rulings = spark.createDataFrame([("q1", "MERGE", "z"), ("q2", "ESCALATE", None), ("q3", "MERGE", "y"), ("q2", "WHATEVER", "x")], "queue_id string, resolution string, merge_with string")
+    assert [tuple(r) for r in resolve.merge_edges(queue, rulings).collect()] == [("a", "z")]
+    done = {r.queue_id: (r.resolution, r.resolved_at is not None) for r in resolve.resolve_review(queue, rulings, "2024-01-01").collect()}
+    assert done == {"q1": ("MERGE", True), "q2": ("ESCALATE", True), "q3": ("DISTINCT", False)}
+    truth = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("zz", 2)], "uid string, truth_id int")
+    assert sorted(tuple(r) for r in resolve.against_truth(decisions, truth).collect()) == [(1, 2, 1, True), (2, 1, 1, True)]
+    nodes, edges = spark.createDataFrame([("a",), ("b",), ("c",)], "uid string"), spark.createDataFrame([("a", "b"), ("b", "c")], "uid_l string, uid_r string")
+    assert {r.uid: r.component for r in resolve.split_identity(nodes, edges, edges.filter("uid_l = 'b'")).collect()} == {"a": "a", "b": "a", "c": "c"}
+
+
+def test_the_last_registered_enrollment_decides_tier_1(spark):
+    keys = ["partner_id", "partner_member_id", "name_token", "dob_token"]
+    rows = spark.createDataFrame([("u1", "P", "1", "n", "d"), ("u2", "P", "2", "n", "d")], "uid string, partner_id string, partner_member_id string, name_token string, dob_token string")
+    cand = spark.createDataFrame([("m1", "P", "1", "n", "d"), ("m2", "P", "1", "other", "d"), ("m1", "P", "2", "n", "d"), ("m0", "P", "2", "x", "d")], "member_id string, partner_id string, partner_member_id string, name_token string, dob_token string")
+    assert [(r.uid, r.member_id) for r in resolve.tier1(rows, cand, keys).collect()] == [("u2", "m1")]
+
+
+def test_histories_and_look_ups(spark):
+    ts = lambda d: datetime(2024, 1, d)
+    h = spark.createDataFrame([("a", "X", ts(1), ts(10)), ("a", "Y", ts(10), None), ("b", "X", ts(5), ts(6))], "id string, state string, effective_from timestamp, effective_to timestamp")
+    m = spark.createDataFrame([(ts(1),), (ts(9),), (ts(10),), (ts(25),)], "moment timestamp")
+    for days in (1, 32, 500):
+        assert sorted((r.moment.day, r.id, r.state) for r in store.as_of(h, m, days=days).collect()) == [(1, "a", "X"), (9, "a", "X"), (10, "a", "Y"), (25, "a", "Y")]
+    assert store.as_of(h, m.limit(0)).count() == 0
+    ch = spark.createDataFrame([("a", "X", date(2024, 1, 1), 1), ("a", "Z", date(2024, 1, 5), 2), ("a", "Y", date(2024, 1, 3), 3), ("a", "X", date(2024, 1, 5), 4)], "id string, s string, eff date, arr int")
+    assert [(r.s, r.effective_from.day, r.effective_to and r.effective_to.day) for r in store.rebuild(ch, ["id"], "s", "eff", "arr", "arr").orderBy("effective_from").collect()] == [("X", 1, 3), ("Y", 3, 5), ("X", 5, None)]
+    members = spark.createDataFrame([("m1", "ELIGIBLE_ACTIVE", "n", "d"), ("m2", "DELETED", "", "")], "member_id string, state string, name_token string, dob_token string")
+    e = spark.createDataFrame([("m1", "P", "2", None), ("m1", "P", "1", None), ("m1", "Q", "9", date(2024, 1, 1)), ("m2", "P", "3", None)], "member_id string, partner_id string, partner_member_id string, effective_to date")
+    assert [(r.member_id, [tuple(x) for x in r.enrollments]) for r in store.enrollments_per_member(members, e).collect()] == [("m1", [("P", "1"), ("P", "2")])]
+    assert [r.member_id for r in store.deletion_target(members, e, "P", "2").collect()] == ["m1"] and store.deletion_target(members, e, "P", "3").count() == 0
+    assert [r.n for r in store.ledger_listing(spark.range(5).withColumnRenamed("id", "n"), ["n"], 2).collect()] == [4, 3] and store.first_match(spark.range(5), F.col("id") > 2, ["id"]).first().id == 3
+    opened = store.history_rows(members, e, "DAY2_INGEST", "2024-02-01").collect()
+    assert {(r.member_id, r.state, r.change_trigger) for r in opened} == {("m1", "ELIGIBLE_ACTIVE", "DAY2_INGEST"), ("m2", "DELETED", "DAY2_INGEST")}
+
+
+def test_quarantine_profiles_and_logs_round_trip(spark, tmp_path):
+    p = lambda n: str(tmp_path / n)
+    feeds.write_quarantine(spark.createDataFrame([("A", "f1", "x", "R")], "partner_id string, feed_id string, v string, reason string"), p("q"))
+    assert [(r.partner_id, r.feed_id, r.v) for r in spark.read.json(p("q")).collect()] == [("A", "f1", "x")]
+    prof = dq.field_profile(spark.createDataFrame([("P", "a"), ("P", "")], "partner_id string, v string"), ["v"], ["partner_id"])
+    feeds.write_profile(prof, p("p"))
+    assert [tuple(r) for r in feeds.read_profile(spark, p("p")).collect()] == [("P", "v", 2, 1, 1, 0.5)]
+    drift = dq.cardinality_drift(feeds.read_profile(spark, p("p")), prof.withColumn("distinct_count", F.lit(4).cast("long")))
+    assert [(r.field, r.change) for r in drift.collect()] == [("v", -0.75)]
+    feeds.append_log(p("l.jsonl"), [{"a": 1}])
+    feeds.append_log(p("l.jsonl"), [{"a": 2}])
+    assert [r.a for r in feeds.read_log(spark, p("l.jsonl"), "a int").collect()] == [1, 2]
+    fixtures.generate(spark, p("g"), count=60)
+    own = feeds.read_csv(spark, p("g") + "/partner_a_day1.csv")
+    assert own.count() == 61 and own.columns[:3] == ["member_id", "FirstName", "LastName"] and own.filter("LastName = ''").count() == 1
+    inv = feeds.read_inventory(spark, p("g") + "/scenario_inventory.json")
+    assert {(r.feed, r.scenario): r.n for r in fixtures.scenario_counts(inv).collect()}[("B1", "cross_partner")] == 2 and inv.count() == 14
+    (tmp_path / "r.xml").write_text("<rs><r><id>1</id><n>x</n></r><r><id>2</id></r></rs>")
+    assert sorted((r.id, r.n) for r in feeds.read_xml(spark, p("r.xml"), "r", ["id", "n"]).collect()) == [("1", "x"), ("2", None)]
+    (tmp_path / "r.json").write_text('{"id": "1"}\nbad\n')
+    assert sorted(((r.id or ""), r.parse_error or "") for r in feeds.read_json(spark, p("r.json"), ["id"]).collect()) == [("", "bad"), ("1", "")]
+    for _ in range(2):
+        feeds.copy_new(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), p("copy"), ["k"], spark)
+    assert spark.read.parquet(p("copy")).count() == 2
+    a, b = spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([(2, "y")], "x int, z string")
+    assert sorted((r.x, r.z) for r in feeds.union_feeds([a, b]).collect()) == [(1, None), (2, "y")]
+
+
+def test_audit_look_ups(spark):
+    ev = spark.createDataFrame([(i, "DISCLOSURE" if i % 2 else "FEED", f"s{i % 3}", datetime(2024, 1, 1 + i)) for i in range(9)], "event_id long, event_class string, subject string, ts timestamp")
+    assert [r.event_id for r in audit.inspect(ev, "FEED", [F.col("event_id")], 2).collect()] == [8, 6] and audit.inspect(ev, None, [F.col("event_id")], 0).count() == 9
+    d = {r.subject: [x.event_id for x in r.disclosures] for r in audit.disclosures(ev, "subject", "ts", F.lit("2024-01-03").cast("timestamp")).collect()}
+    assert d == {"s0": [3], "s1": [7], "s2": [5]}
+    q = spark.createDataFrame([("a", 3.0, None), ("b", 2.0, None), ("c", 2.0, None), ("d", 9.0, "MERGE")], "queue_id string, score double, resolution string")
+    pages, cursor = [], (None, None)
+    while rows := audit.page_after(q, *cursor, 1).collect():
+        pages.append(rows[0].queue_id)
+        cursor = (rows[0].score, rows[0].queue_id)
+    assert pages == ["a", "b", "c"]
+    assert audit.resolve_config({"x": 1}, {"x": 2, "y": 2}, {"z": 3}, {"z": 4, "w": 4}) == {"x": 1, "y": 2, "z": 3, "w": 4}
+    texts = spark.range(2000).select(F.col("id"), F.lit("900-12-3456").alias("t"))
+    assert 60 < audit.scan_sample(texts, ["id"], "t", 0.05).count() < 150
+    keys = tokens.class_keys(b"master", ["name", "dob"])
+    prk = hmac.new(bytes(32), b"master", hashlib.sha256).digest()
+    assert keys["name"] == hmac.new(prk, b"name\x01", hashlib.sha256).digest() and keys["name"] != keys["dob"]
+    import base64
+
+    assert one(spark, tokens.versioned_token(F.col("x"), b"k", 2), "v") == ["v2:" + base64.b64encode(hmac.new(b"k", b"v", hashlib.sha256).digest()).decode()]
+    masked = spark.range(1).select(redact.mask_keys(F.create_map(F.lit("Email"), F.lit("a"), F.lit("n"), F.lit("900-12-3456"))).alias("m")).first().m
+    assert masked == {"Email": redact.MASK, "n": "900-12-3456"}
+
+
+def test_recent_links(spark):
+    made = F.sha2(F.concat("prior", "text").cast("binary"), 256)
+    rows, head = [], audit.GENESIS
+    for i in range(60):
+        own = hashlib.sha256((head + f"t{i}").encode()).hexdigest()
+        rows.append((i, datetime(2024, 1, 1) + timedelta(hours=i), f"t{i}" if i not in (5, 50) else "changed", head, own))
+        head = own
+    x = spark.createDataFrame(rows, "k int, ts timestamp, text string, prior string, own string").withColumn("chain", F.lit(1))
+    got = audit.recent_links(x, ["chain"], ["k"], "own", "prior", made, "ts", F.lit("2024-01-03 10:00:00").cast("timestamp"))
+    assert got.count() == 24 and [r.k for r in got.filter("reason IS NOT NULL").collect()] == [50]
+
+
+def test_streams_of_events(spark, tmp_path):
+    rows = spark.createDataFrame([(i % 5, datetime(2024, 1, 1) + timedelta(minutes=i), "A" if i % 2 else "B") for i in range(12)], "jti long, ts timestamp, event_class string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen = {"hot": 0, "cold": 0}
+    sinks = {t: (lambda df, epoch, t=t: seen.__setitem__(t, seen[t] + df.count())) for t in seen}
+    stream = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = lockout.once_within(stream(), "jti", "ts").writeStream.foreachBatch(lockout.fan_out(sinks, {"A": "hot", "B": "cold"})).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sum(seen.values()) == 5 and min(seen.values()) > 0
+    parts = lockout.ordered_by_key(rows, "jti", "ts", 3).withColumn("p", F.spark_partition_id()).collect()
+    assert all(len({r.p for r in parts if r.jti == k}) == 1 for k in range(5)) and [r.ts for r in parts if r.jti == 1] == sorted(r.ts for r in parts if r.jti == 1)
+    one = verify.lockout(rows.withColumns({"f": F.lit(True), "id": F.monotonically_increasing_id()}), "jti", "ts", "id", F.col("f"), ~F.col("f")).orderBy("ts").collect()
+    assert [r.friction for r in one if r.jti == 0] == [False, True, False]  # the second failure warns
+
+
+def test_the_published_run(spark, tmp_path):
+    """300 people for each partner: the counts of feeds, suppression, ledger and criteria, and the tiers of day 2."""
+    from rosterforge.plans import demo
+
+    out = demo.run(spark, str(tmp_path / "chain.jsonl"))
+    assert out["day1"] == {"A": (301, 300, 2, "NONE"), "B": (305, 304, 2, "NONE")}
+    assert out["day2"] == {"A": (299, 299, 2, "ADDITIVE"), "B": (303, 303, 2, "NONE")}
+    assert sum(out["tiers1"].values()) == 600 and "TIER_1_DETERMINISTIC" not in out["tiers1"] and out["tiers1"]["TIER_2_PROBABILISTIC_HIGH"] >= 2
+    assert out["tiers2"]["TIER_1_DETERMINISTIC"] >= 594 and sum(out["tiers2"].values()) == 597
+    assert out["suppressed"] == 1 and out["states"]["DELETED"] == 1 and out["ledger"] == 2 and out["decisions"] == 1197
+    assert out["chain_valid"] and out["findings"] == 0 and out["passed"] == 6 and out["events"] == 2 + 1 + 2 + 2 + 1 + 1
+    print(out)
