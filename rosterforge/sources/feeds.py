@@ -45,10 +45,10 @@ def read_json(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 
 def read_fixed_width(spark: SparkSession, path: str, fields: dict[str, tuple[int, int]]) -> DataFrame:
-    """fields: name to (first column from 1, length). Lines that are too short carry a parse error."""
-    width = max(a + n - 1 for a, n in fields.values())
+    """fields: name to (first column from 1, length). Lines that end before the last field begins carry a parse error."""
+    last = max(a for a, _ in fields.values())
     x = spark.read.text(path).filter(F.col("value") != "")
-    return x.select(*[F.trim(F.substring("value", a, n)).alias(c) for c, (a, n) in fields.items()], F.when(F.length("value") < width - max(n for _, n in fields.values()) + 1, F.col("value")).alias("parse_error"))
+    return x.select(*[F.trim(F.substring("value", a, n)).alias(c) for c, (a, n) in fields.items()], F.when(F.length("value") < last, F.col("value")).alias("parse_error"))
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str, columns: list[str]) -> DataFrame:

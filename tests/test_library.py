@@ -247,8 +247,8 @@ def test_x12_834_keeps_every_loop(spark, tmp_path):
 
 def test_feeds_are_compared_over_all_orders(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet").count()
-    assert queries.QUERIES["late_files_all"](spark, sf).count() == orders
-    assert queries.QUERIES["stale_baseline_all"](spark, sf).count() > 0
+    assert queries.QUERIES["late_files"](spark, sf).count() == orders
+    assert queries.QUERIES["stale_baseline"](spark, sf).count() > 0
 
 
 def test_late_files_of_ties_and_nulls(spark):
