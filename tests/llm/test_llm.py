@@ -147,6 +147,31 @@ def test_mix_takes_the_budgets(spark, sf, part, epochs):
     assert Counter((r.doc_id, r.epoch) for r in got.collect()) == expected
 
 
+def test_op2_against_brute_force(spark, sf):
+    """The query itself, with its own settings."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", queries.domain(F.col("source")).alias("d"), "lang", "source", "text").collect()
+    n = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in rows}
+    leaves = Counter()
+    for r in rows:
+        leaves[(r.d, r.lang, r.source)] += n[r.doc_id]
+    want = brute_budgets(leaves, int(sum(leaves.values()) * queries.MIX_SHARE), queries.MIX_WEIGHTS, queries.MIX_EPOCHS)
+    expected = Counter()
+    for k, total in leaves.items():
+        allot = int(want[k] + 1e-4)
+        full = min(allot // total, queries.MIX_EPOCHS)
+        own = [r.doc_id for r in rows if (r.d, r.lang, r.source) == k and n[r.doc_id]]
+        rest = allot - full * total
+        for e in range(full):
+            expected.update((i, *k, n[i], e) for i in own)
+        for i in sorted(own, key=lambda i: hashlib.md5(f"{queries.MIX_SEED}:{full}:{i}".encode()).hexdigest()):
+            rest -= n[i]
+            if rest < 0:
+                break
+            expected[(i, *k, n[i], full)] += 1
+    got = queries.op2_mixing(spark, sf)
+    assert Counter((r.doc_id, r.domain, r.language, r.source, r.n_tokens, r.epoch) for r in got.collect()) == expected and expected
+
+
 def test_mix_of_edge_rows(edge, none):
     got = mixing.mix(edge, F.lit(None).cast("string"), 1.0, {}, max_epochs=1).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, t in EDGE if t and t.strip())
@@ -224,6 +249,170 @@ def test_temperature_of_overconfident_logits():
     assert abs(langid.fit_temperature(np.log(p) * 4, y) - 4) < 0.4
 
 
+def plain_bucket(symbols, n, bits):
+    """The hashed bucket of each n-gram of a list of numbers, in plain 32-bit arithmetic."""
+    out = []
+    for i in range(len(symbols) - n + 1):
+        h = n
+        for x in symbols[i : i + n]:
+            h = ((h ^ x) * 0x9E3779B1) & 0xFFFFFFFF
+            h ^= h >> 15
+        out.append((h * 0x85EBCA77 & 0xFFFFFFFF) >> (32 - bits))
+    return out
+
+
+def plain_grams(symbols, p):
+    return Counter(b for n in p.orders for b in plain_bucket(symbols, n, p.bits))
+
+
+def learns(i):
+    return zlib.crc32(str(i).encode()) % 4 != 2
+
+
+def small_corpus(tmp_path, spark):
+    r = random.Random(12)
+    pools = {"en": ["the", "of", "and", "house", "River"], "de": ["der", "und", "straße", "Über", "nicht"], "es": ["el", "que", "niño", "Año", "casa"]}
+    docs = []
+    for i in range(130):
+        lang = r.choice(list(pools))
+        words = [r.choice(pools[lang] + ["zz", "!!", "buy"] * (i % 3)) for _ in range(r.randrange(3, 14))]
+        docs.append((i, " ".join(words), lang if i % 11 else None, "s", 0))
+    docs += [(200, None, "en", "s", 0), (201, "", "de", "s", 0), (202, "42 !?", "es", "s", 0), (203, "der der", "und", "s", 0), (5, "der und", "de", "s", 0)]
+    labels = [(i, i % 3 // 2 if i % 3 else 1 - i % 2, 0) for i in range(0, 130) if i % 7] + [(3, None, 0), (4, 0, 0), (4, 1, 0), (500, 1, 0)]
+    d = str(tmp_path)
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return d, docs, labels
+
+
+def brute_quality(docs, labels):
+    """Scores by naive Bayes support vectors over dictionaries."""
+    p = quality.Params()
+    said = defaultdict(set)
+    for i, y, _ in labels:
+        if y in (0, 1):
+            said[i].add(y)
+    known = [(i, min(said[i]), sorted(plain_grams(list((t or "").encode()), p))) for i, t, *_ in docs if len(said[i]) == 1 and learns(i)]
+    known.sort(key=lambda x: (x[0], x[1], np.array(x[2], np.int32).tobytes()))
+    df = [Counter(b for _, y, k in known if y == c for b in k) for c in (0, 1)]
+    size, seen = 1 << p.bits, set(df[0]) | set(df[1])
+    total = [sum(x.values()) + p.alpha * size for x in df]
+    ratio = {b: np.log((df[1][b] + p.alpha) / total[1]) - np.log((df[0][b] + p.alpha) / total[0]) for b in seen}
+    norm = lambda k: max(np.sqrt(sum(ratio.get(b, 0) ** 2 for b in k)), 1e-9)
+    rows = [{b: ratio[b] / norm(k) for b in k} for _, _, k in known]
+    y = [1 if c else -1 for _, c, _ in known]
+    cost = [p.cost * len(y) / (2 * y.count(v)) for v in y]
+
+    def train(own):
+        w, bias, a, rng = defaultdict(float), 0.0, [0.0] * len(own), np.random.default_rng(p.seed)
+        for _ in range(p.epochs):
+            most = 0.0
+            for j in rng.permutation(len(own)):
+                x, s, top = rows[own[j]], y[own[j]], cost[own[j]]
+                g = s * (sum(w[b] * v for b, v in x.items()) + bias) - 1
+                new = min(max(a[j] - g / (sum(v * v for v in x.values()) + 1), 0), top)
+                step, a[j] = new - a[j], new
+                for b, v in x.items():
+                    w[b] += step * s * v
+                bias += step * s
+                most = max(most, abs(step))
+            if most < 1e-4:
+                break
+        mean = sum(map(abs, w.values())) / size
+        return lambda k: sum(((1 - p.beta) * mean + p.beta * w.get(b, 0.0)) * ratio.get(b, 0.0) for b in k) / norm(k) + bias
+
+    first = train([j for j in range(len(y)) if j % 5])
+    out = [j for j in range(len(y)) if j % 5 == 0]
+    m, up = np.array([first(known[j][2]) for j in out]), np.array([y[j] > 0 for j in out])
+    target = np.where(up, (up.sum() + 1) / (up.sum() + 2), 1 / ((~up).sum() + 2))
+    loss = lambda s, b: np.logaddexp(0, s * m + b).sum() - (target * (s * m + b)).sum()
+    at, reach = np.zeros(2), 64.0
+    while reach > 1e-9:  # pattern search, unlike the operator
+        better = [at + reach * np.array(v) for v in ((1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1), (1, 1), (-1, -1))]
+        best = min(better, key=lambda v: loss(*v))
+        at, reach = (best, reach) if loss(*best) < loss(*at) else (at, reach / 2)
+    whole, n = train(list(range(len(y)))), Counter(c for _, c, _ in known)
+    return lambda t: 1 / (1 + np.exp(-(at[0] * whole(plain_grams(list((t or "").encode()), p)) + at[1])))
+
+
+def test_op3_against_brute_force(spark, tmp_path):
+    d, docs, labels = small_corpus(tmp_path, spark)
+    score = brute_quality(docs, labels)
+    got = queries.op3_quality(spark, d).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, *_ in docs) and len({round(r.score, 3) for r in got}) > 20
+    want = defaultdict(list)
+    for i, t, *_ in docs:
+        want[i].append(score(t))
+    for r in got:
+        assert min(abs(r.score - w) for w in want[r.doc_id]) < 2e-4 and r.predicted == int(r.score >= 0.7) and r.held_out == (not learns(r.doc_id))
+
+
+def brute_language(docs):
+    """Languages by regularised leaders over dictionaries, and the calibrated probability."""
+    p = langid.Params()
+    low = lambda t: [ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in t]
+    known = sorted(((i, lang, plain_grams(low(t), p)) for i, t, lang, *_ in docs if learns(i) and lang and lang != "und" and t is not None), key=lambda x: (x[0], x[1], np.array(sorted(x[2]), np.int32).tobytes()))
+    names = sorted({x[1] for x in known})
+    df = Counter(b for *_, k in known for b in k)
+    idf = lambda b: np.log((1 + len(known)) / (1 + df[b])) + 1
+
+    def unit(k):
+        v = {b: np.log1p(n) * idf(b) for b, n in k.items()}
+        s = max(np.sqrt(sum(x * x for x in v.values())), 1e-9)
+        return {b: x / s for b, x in v.items()}
+
+    x, y, c = [unit(k) for *_, k in known], [names.index(lang) for _, lang, _ in known], len(names)
+    z, n = defaultdict(lambda: [0.0] * c), defaultdict(lambda: [0.0] * c)
+
+    def weight(b, j):
+        l1, l2 = (p.l1, p.l2) if b != "bias" else (0, 0)
+        zz = z[b][j]
+        return 0.0 if abs(zz) <= l1 else -(zz - np.sign(zz) * l1) / ((p.beta + np.sqrt(n[b][j])) / p.rate + l2)
+
+    def logits(v):
+        return np.array([sum(weight(b, j) * s for b, s in v.items()) + weight("bias", j) for j in range(c)])
+
+    soft = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+    mine, rng = [j for j in range(len(y)) if j % 5], np.random.default_rng(p.seed)
+    for _ in range(p.epochs):
+        for k in rng.permutation(len(mine)):
+            v, own = x[mine[k]], y[mine[k]]
+            prob = soft(logits(v))
+            for b, s in [*v.items(), ("bias", 1.0)]:
+                old = [weight(b, j) for j in range(c)]
+                for j in range(c):
+                    g = (prob[j] - (j == own)) * s
+                    step = (np.sqrt(n[b][j] + g * g) - np.sqrt(n[b][j])) / p.rate
+                    z[b][j] += g - step * old[j]
+                    n[b][j] += g * g
+    out = [j for j in range(len(y)) if j % 5 == 0]
+    kept = [(logits(x[j]), y[j]) for j in out]
+    loss = lambda s: -sum(np.log(max(soft(v / np.exp(s))[own], 1e-12)) for v, own in kept)
+    grid = np.linspace(-3, 3, 601)
+    near = grid[int(np.argmin([loss(s) for s in grid]))]
+    t = np.exp(min(np.linspace(near - 0.01, near + 0.01, 201), key=loss)) if len(out) >= 20 else 1.0
+
+    def predict(text):
+        if not text or not any(ch.isalpha() for ch in text):
+            return "und", 0.0
+        prob = soft(logits(unit(plain_grams(low(text), p))) / t)
+        return names[int(prob.argmax())], float(prob.max())
+
+    return predict
+
+
+def test_op8_against_brute_force(spark, tmp_path):
+    d, docs, _ = small_corpus(tmp_path, spark)
+    predict = brute_language(docs)
+    want = defaultdict(list)
+    for i, t, *_ in docs:
+        want[i].append(predict(t))
+    got = queries.op8_language_id(spark, d).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, *_ in docs) and {r.lang_pred for r in got} == {"en", "de", "es", "und"}
+    for r in got:
+        assert any(r.lang_pred == lang and abs(r.score - s) < 2e-3 for lang, s in want[r.doc_id]) and r.held_out == (not learns(r.doc_id)), (r, want[r.doc_id])
+
+
 # 4
 
 
