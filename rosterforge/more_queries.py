@@ -153,12 +153,14 @@ def tier_flags(spark, d):
     return x.select("partner_member_id", "verification_complete", F.array_join("enrichment_missing", ",").alias("enrichment_missing"))
 
 
-@query("""WITH p AS (SELECT ts >= timestamp '2024-01-16' AS later, count(DISTINCT user_id) AS u, count(DISTINCT event_type) AS e FROM events GROUP BY 1), n AS (SELECT * FROM p WHERE later), b AS (SELECT * FROM p WHERE NOT later),
-  f AS (SELECT 'user_id' AS field, n.u AS distinct_count, b.u AS base_distinct FROM n, b UNION ALL SELECT 'event_type', n.e, b.e FROM n, b)
-  SELECT field, distinct_count, base_distinct, round((distinct_count - base_distinct) / greatest(base_distinct, 1), 9) AS change FROM f WHERE abs((distinct_count - base_distinct) / greatest(base_distinct, 1)) > 0.0001""")
+@query("""WITH p AS (SELECT ts >= timestamp '2024-01-08' AS later, count(DISTINCT value) AS v, count(DISTINCT event_type) AS e FROM events GROUP BY 1), n AS (SELECT * FROM p WHERE later), b AS (SELECT * FROM p WHERE NOT later),
+  f AS (SELECT 'value' AS field, n.v AS distinct_count, b.v AS base_distinct FROM n, b UNION ALL SELECT 'event_type', n.e, b.e FROM n, b)
+  SELECT field, distinct_count, base_distinct, round((distinct_count - base_distinct) / greatest(base_distinct, 1), 9) AS change FROM f WHERE abs((distinct_count - base_distinct) / greatest(base_distinct, 1)) > 0.2""")
 def cardinality_drift(spark, d):
-    p = dq.field_profile(t(spark, d, "events").withColumn("later", c("ts") >= F.lit("2024-01-16").cast("timestamp")), ["user_id", "event_type"], ["later"])
-    return dq.cardinality_drift(p.filter("later"), p.filter("NOT later"), 0.0001).withColumn("change", F.round("change", 9))
+    """The first week against the rest of the month: values move, types don't."""
+    x = t(spark, d, "events").withColumn("later", c("ts") >= F.lit("2024-01-08").cast("timestamp"))
+    p = dq.field_profile(x, ["value", "event_type"], ["later"])
+    return dq.cardinality_drift(p.filter("later"), p.filter("NOT later")).withColumn("change", F.round("change", 9))
 
 
 @query("SELECT event_id, user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_id % 9 <> 0) WHERE k = 1")
@@ -275,11 +277,11 @@ def vault_reveal(spark, d):
     return v.reveal(new.select("token", c("plaintext").alias("was"))).select(c("was").alias("plaintext"), c("plaintext").alias("revealed"))
 
 
-@query(f"SELECT {MEMBER} AS member_id FROM customer WHERE c_custkey % 10 <> 7 AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey = 1)")
+@query(f"SELECT {MEMBER} AS member_id FROM customer WHERE c_custkey = (SELECT arg_min(o_custkey, o_orderkey) FROM orders WHERE o_orderstatus <> 'F' AND o_custkey % 10 <> 7)")
 def deletion_target(spark, d):
-    e = enrollments(spark, d)
-    first = t(spark, d, "orders").filter("o_orderkey = 1").select("o_orderpriority").first()
-    return store.deletion_target(members(spark, d), e, first[0] if first else "", "1").select("member_id")
+    """The member behind the first open enrollment of one that isn't deleted."""
+    key = t(spark, d, "orders").filter("o_orderstatus <> 'F' AND o_custkey % 10 <> 7").agg(F.min_by("o_orderpriority", "o_orderkey"), F.min("o_orderkey")).first()
+    return store.deletion_target(members(spark, d), enrollments(spark, d), key[0], str(key[1])).select("member_id")
 
 
 @query(f"SELECT {MEMBER} AS member_id, CASE c_custkey % 10 WHEN 7 THEN 'DELETED' WHEN 3 THEN 'ELIGIBLE_GRACE' ELSE 'ELIGIBLE_ACTIVE' END AS state, c_name AS name_token, 'DAY2_INGEST' AS change_trigger FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
