@@ -1,6 +1,6 @@
 """Format-preserving pseudonyms for personal data, in DataFrame operations only.
 
-Texts that hold a mark of some kind (an @, digits in the groups of a format, or a long hexadecimal run) are cut at one pattern
+Texts that hold a mark of some kind (an @, a digit, or a long run of the letters a to f) are cut at one pattern
 with split(), the matches come from regexp_extract_all() with the same pattern, and the parts are joined again with each
 match replaced. A match is validated (Luhn digit, calendar day, octets, areas of a number); what isn't valid stays as it is.
 A valid value is a number in Z_a x Z_b and goes through an alternating Feistel network with modular addition,
@@ -38,7 +38,7 @@ KINDS = {
 PATTERN = r"(?<![A-Za-z0-9_])(?<![0-9][.])(?:" + "|".join(KINDS.values()) + r")(?![A-Za-z0-9_])(?!\.[0-9])"
 DAY0 = "1900-01-01"
 #: What a text must hold for any kind: a quick first look.
-HINT = r"@|[0-9]{4}|[0-9][.][0-9]|[0-9]{2}/[0-9]{2}/|[0-9]{3}[-. )]|[0-9a-f]{32}"
+HINT = r"[0-9@]|[a-f]{32}"
 #: Fixed numbers of valid values as products: days from 1900 to 2099, social security numbers, telephones.
 DAYS = (17, 4297)
 LEAST_NAME = 8
@@ -153,12 +153,21 @@ def _written(m: Column, kind: Column, y: Column) -> Column:
     )
 
 
-def pseudonym(m: Column, kind: Column, key: str) -> Column:
-    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, m).cast("binary"), 256)
-    name = F.substring_index(m, "@", 1)
-    mail = F.concat(F.rpad(F.translate(digest, "0123456789", "ghijklmnop"), F.greatest(F.length(name), F.lit(LEAST_NAME)), F.lit("x")), F.lit("@"), F.substring_index(m, "@", -1))
-    number = _written(m, kind, _feistel(key, kind, _number(m, kind)))
-    return F.when(kind == "email", mail).when(kind == "secret", F.substr(digest, F.lit(1), F.length(m))).otherwise(number)
+def pseudonyms(found: Column, key: str) -> Column:
+    """array<struct<m, kind>> with the matches replaced that have a kind.
+
+    Number, network and writing are a transform each: what a lambda is given is computed once, however often it is used.
+    """
+    x = F.transform(found, lambda f: F.struct(f["m"].alias("m"), f["kind"].alias("kind"), _number(f["m"], f["kind"]).alias("x")))
+    y = F.transform(x, lambda f: F.struct(f["m"].alias("m"), f["kind"].alias("kind"), F.when(f["x"].isNotNull(), _feistel(key, f["kind"], f["x"])).alias("y"), F.sha2(F.concat_ws("|", F.lit(key), f["kind"], f["m"]).cast("binary"), 256).alias("digest")))
+
+    def written(f: Column) -> Column:
+        m, name = f["m"], F.substring_index(f["m"], "@", 1)
+        mail = F.concat(F.rpad(F.translate(f["digest"], "0123456789", "ghijklmnop"), F.greatest(F.length(name), F.lit(LEAST_NAME)), F.lit("x")), F.lit("@"), F.substring_index(m, "@", -1))
+        new = F.when(f["kind"] == "email", mail).when(f["kind"] == "secret", F.substr(f["digest"], F.lit(1), F.length(m))).when(f["kind"].isNotNull(), _written(m, f["kind"], f["y"]))
+        return F.struct(F.coalesce(new, m).alias("m"), f["kind"].alias("kind"))
+
+    return F.transform(y, written)
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -167,10 +176,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     # Columns of the documents stand in a struct meanwhile, so that no name of theirs can meet one of these.
     x = docs.select(F.struct(*docs.columns).alias("_row"), text.alias("_text"))
     found = F.transform(F.regexp_extract_all("_text", F.lit(PATTERN), F.lit(0)), lambda m: F.struct(m.alias("m"), _kind(m).alias("kind")))
-    new = lambda x: F.when(x["kind"].isNull(), x["m"]).otherwise(F.coalesce(pseudonym(x["m"], x["kind"], key), x["m"]))
     x = x.withColumn("_found", F.when(F.col("_text").rlike(HINT), found))
     some = F.exists("_found", lambda f: f["kind"].isNotNull())
-    x = x.withColumn("_new", F.when(some, F.transform("_found", lambda f: F.struct(new(f).alias("m"), f["kind"].alias("kind")))))
+    x = x.withColumn("_new", F.when(some, pseudonyms(F.col("_found"), key)))
     spans = "array<struct<kind:string,start:int,length:int>>"
     span = lambda s, z: F.array(F.struct(z["new"]["kind"].alias("kind"), s["at"].alias("start"), F.length(z["new"]["m"]).alias("length")))
     walk = F.aggregate(
