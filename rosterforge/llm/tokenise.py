@@ -27,7 +27,7 @@ WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 #: Pieces whose characters the pattern reads alike in both libraries: ASCII and Latin letters, and line breaks inside (RE2).
 COMMON = r"\A[!-~¡-¬®-ɏ](?:[\n!-~¡-¬®-ɏ]*[!-~¡-¬®-ɏ])?\z"
 #: A memory of so many words is closed; the one closed before it is forgotten.
-MOST = 300_000
+MOST = 250_000
 #: New words in one call.
 RUN = 500
 
@@ -35,7 +35,9 @@ RUN = 500
 def runs(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """flat[start : start + count] of each row in a row, and the rows' offsets."""
     ends = np.concatenate(([0], np.cumsum(count)))
-    return flat[np.repeat(start - ends[:-1], count) + np.arange(ends[-1])], ends
+    at = np.repeat(start - ends[:-1], count)
+    at += np.arange(len(at))
+    return flat[at], ends
 
 
 class Memory:
@@ -104,7 +106,9 @@ class Encoder:
         count[at] = np.diff(off)
         ends = np.concatenate(([0], np.cumsum(count)))
         out = np.empty(ends[-1], np.uint32)
-        out[np.repeat(ends[at] - off[:-1], count[at]) + np.arange(len(flat))] = flat
+        spot = np.repeat(ends[at] - off[:-1], count[at])
+        spot += np.arange(len(flat))
+        out[spot] = flat
         for i in np.flatnonzero(whole).tolist():
             out[ends[i] : ends[i + 1]] = own[i]
         return out, ends

@@ -204,7 +204,7 @@ class Shard:
         return self.opened[at]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_bytes: int = 20 << 20, most_tokens: int = 1 << 24) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_bytes: int = 16 << 20, most_tokens: int = 1 << 24) -> None:
     """Encode docs (doc_id, text) with a tokenizer file of the driver and write shards to path, one file each.
 
     shard_bytes: text of a shard, on average. Larger corpora should have larger shards; most_tokens bounds their parts.
@@ -233,7 +233,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
             flat, off = e.encode(texts)
             n = np.diff(off)
             with_end = np.full(len(flat) + len(n), end_id, id_type)
-            with_end[np.arange(len(flat)) + np.repeat(np.arange(len(n)), n)] = flat
+            spot = np.repeat(np.arange(len(n)), n)
+            spot += np.arange(len(flat))
+            with_end[spot] = flat
+            del spot, flat
             ids.append(column.fill_null(0).to_numpy(zero_copy_only=False))
             has.append(column.is_valid().to_numpy(zero_copy_only=False))
             lengths.append(n + 1)
