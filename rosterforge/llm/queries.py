@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, langid, minhash, mixing, pii, quality, sharding, wavelet
+from . import chat, decontaminate, exact_dedup, fim, langid, minhash, mixing, packing, pii, quality, sharding, wavelet, whitening
 from .common import Scratch, held_out, table
 
 SHARDS = 16
@@ -15,10 +15,10 @@ KEY = "rosterforge-demo-key"
 END_ID = 2
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def domain(source):
@@ -96,7 +96,34 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), sha(said).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), sha(F.col("loss_text")).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_quality, op4_sharding, op5_pii, op6_minhash_dedup, op7_decontaminate, op8_language_id, op9_token_ids, op10_chat)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return x.withColumn("deviation", F.col("deviation").try_cast("long"))  # null beyond a long
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the packed sequences into the shared folder and read them back, with the step group of each."""
+    tmp = Scratch(spark, "packing")
+    packing.write_packed(table(spark, sf_dir, "documents"), tmp.path("sequences"), tokenizer_path("word_bpe_49k.json"), END_ID)
+    x = packing.read_packed(spark, tmp.path("sequences"))
+    steps = packing.step_groups(x).select("sequence_id", "step")
+    return packing.pieces_of(x).join(steps, "sequence_id")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fim.*")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    own = ("doc_id", "n", "form", "prefix_chars", "middle_chars")
+    return x.select(*own, sha(F.col("output")).alias("output_sha256"), sha(fim.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_mixing, op3_quality, op4_sharding, op5_pii, op6_minhash_dedup, op7_decontaminate, op8_language_id, op9_token_ids, op10_chat,
+        op11_whitening, op12_packing, op13_fill_in_middle,
+    )
+}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
@@ -111,4 +138,15 @@ ORACLE_SQL = {
         g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
                 coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss, sum(chars) AS chars FROM e GROUP BY conv_id)
         SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g""",
+    "op13_fill_in_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        k AS (SELECT *, length(t) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+                CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+        f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+        p AS (SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS suf FROM f)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+          sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+          sha256(t) AS restored_sha256
+        FROM p""",
 }

@@ -4,8 +4,10 @@ A byte-level pre-tokenizer always cuts before a single space that stands between
 space. So such a piece, space included, has the same ids wherever it stands: the pieces of many texts are numbered by
 Arrow, and only distinct ones are looked at. A piece of common letters and marks is cut into words by the
 pre-tokenizer's own pattern, and only words that the worker doesn't remember go to the library, many in one call. Texts that hold
-the string of an added token, such as an end mark, go to the library whole: there it is that token. Tokenizers of other
-kinds get the whole texts.
+the string of an added token, such as an end mark, go to the library whole: there it is that token.
+
+A tokenizer whose words end with a mark and that drops white space (WordEncoder) is cut at white space. Tokenizers of other kinds
+get the whole texts.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -192,6 +196,110 @@ class Encoder:
         return runs(np.concatenate([np.zeros(0, np.uint32), *out]), start, count)
 
 
+#: Fixed pattern of the pre-tokenizer that keeps words and drops white space, and the end of a word in its vocabulary.
+BARE_WORD, WORD_END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "</w>"
+BARE = regex.compile(BARE_WORD)
+
+
+@cache
+def plain_letters() -> str:
+    """Of ASCII and Latin characters those that stay one character of their kind when they are composed and lower-cased (RE2 class)."""
+    kind = lambda c: unicodedata.category(c)[0]
+    chars = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x250)) if c != 0xAD]
+    own = [c for c in chars if unicodedata.normalize("NFC", c) == c and len(c.lower()) == 1 and kind(c.lower()) == kind(c)]
+    return "".join(rf"\x{{{ord(c):x}}}" for c in own)
+
+
+class WordEncoder(Encoder):
+    """A tokenizer that composes and lower-cases texts, drops white space, and ends the last token of each word with a mark.
+
+    No word crosses white space, so what stands between it has the same ids wherever it stands. Distinct pieces are cut into
+    words, and new words go to the library as a list; their ids end at the tokens that have the mark.
+    """
+
+    def __init__(self, spec: str):
+        super().__init__(spec)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        for x, i in vocab.items():
+            self.ends_word[i] = x.endswith(WORD_END)
+        self.common = rf"\A[{plain_letters()}]*\z"
+
+    @staticmethod
+    def reads(j: dict) -> bool:
+        """Whether a tokenizer file is of this kind."""
+        pre, norm, model = j.get("pre_tokenizer") or {}, j.get("normalizer") or {}, j["model"]
+        cut, last = [*pre.get("pretokenizers", ()), None, None][:2]
+        return (
+            [x["type"] for x in norm.get("normalizers", ())] == ["NFC", "Replace", "Lowercase"] and norm["normalizers"][1]["pattern"] == {"Regex": r"\s+"}
+            and bool(cut) and cut.get("pattern") == {"Regex": BARE_WORD} and cut.get("behavior") == "Removed" and cut.get("invert") is True
+            and bool(last) and last["type"] == "ByteLevel" and not last.get("use_regex", True) and not last.get("add_prefix_space")
+            and model["type"] == "BPE" and model.get("end_of_word_suffix") == WORD_END and not model.get("dropout") and not model.get("ignore_merges") and not j.get("post_processor")
+        )
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = texts.cast(pa.large_string())
+        whole = np.zeros(len(texts), bool)
+        for x in self.added:
+            whole |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        own = pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), texts) if whole.any() else texts
+        flat, off = self._of_lists(pc.split_pattern(spaced(own), " "))
+        if not whole.any():
+            return flat, off
+        ids = self.ids(texts.filter(pa.array(whole)).to_pylist())
+        count, start = np.diff(off), off[:-1].copy()
+        count[whole] = [len(x) for x in ids]
+        start[whole] = len(flat) + np.concatenate(([0], np.cumsum(count[whole])))[:-1]
+        return runs(np.concatenate([flat, *ids]), start, count)
+
+    def _of_lists(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        off = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        flat, ends = self._of_pieces(coded.dictionary)
+        number = coded.indices.to_numpy().astype(np.int64)
+        out, where = runs(flat, ends[number], np.diff(ends)[number])
+        return out, where[off - off[0]] if len(off) else np.zeros(1, np.int64)
+
+    def _of_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        common = pc.match_substring_regex(pieces, self.common).to_numpy(zero_copy_only=False)
+        own = pc.ascii_lower(pieces.filter(pa.array(common)))
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), pa.scalar(" ", own.type))[0].as_py()
+        words = BARE.findall(text) if len(own) else []
+        flat, ends = self._of_words(words)
+        # Words end where pieces end: both are counted in characters.
+        upto = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
+        last = np.searchsorted(upto, np.cumsum(pc.utf8_length(own).to_numpy()))
+        count, start = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        count[common] = np.diff(ends[last], prepend=0)
+        start[common] = ends[last] - count[common]
+        other = self.ids(pieces.filter(pa.array(~common)).to_pylist())
+        count[~common] = [len(x) for x in other]
+        start[~common] = len(flat) + np.concatenate(([0], np.cumsum(count[~common])))[:-1]
+        return runs(np.concatenate([flat, *other]), start, count)
+
+    def _by_library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for k in range(0, len(words), RUN):
+            run = words[k : k + RUN]
+            ids = np.array(self.tokenizer.encode_batch_fast([run], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(run):  # a word that the library reads as several, or as none
+                each = self.ids(run)
+                ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+            out.append(ids)
+            counts.append(np.diff(ends, prepend=0))
+        return np.concatenate(out), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+
+
+def spaced(texts: pa.Array) -> pa.Array:
+    """Texts with each of \\x09 to \\x0D as a space."""
+    if not len(texts) or texts.buffers()[2] is None:
+        return texts
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)
+    raw = np.where((raw >= 9) & (raw <= 13), np.uint8(32), raw)
+    return pa.Array.from_buffers(texts.type, len(texts), [None, texts.buffers()[1], pa.py_buffer(raw)], offset=texts.offset)
+
+
 _own: dict[int, Encoder] = {}
 
 
@@ -199,5 +307,5 @@ def encoder(spec: str) -> Encoder:
     """This worker's encoder for a tokenizer file's content."""
     if hash(spec) not in _own:
         _own.clear()
-        _own[hash(spec)] = Encoder(spec)
+        _own[hash(spec)] = (WordEncoder if WordEncoder.reads(json.loads(spec)) else Encoder)(spec)
     return _own[hash(spec)]
