@@ -6,9 +6,10 @@ A document is contaminated by an item if one of its runs of words is within d =
 Candidates come from the LSH alone. Each item, and the window at each place of each document, is embedded by the CGK random walk
 (it copies the word under it; a bit that the word and the step decide makes it stay or move on), which maps edit distance to
 Hamming distance. A walk is the same for windows of all lengths as long as it is inside, so one walk from a place serves
-items of every length; walks go alternately forward from a window's first word and backward from its last, `steps` steps each (twice
-an item's words for short items). Repeated tables of sampled steps make candidates: a window meets an item when the sampled
-symbols of one table agree. The number of tables follows from the target recall at the Hamming distance `far`, shared by
+items of every length. An item has parts of `span` words at most, and walks go alternately forward from a part's first word and
+backward from its last, on through the item, `steps` steps each (twice an item's words for short items), so that all of a long
+item's words are walked over: of d edits some part has no more than its share, wherever they are. Repeated tables of sampled steps
+make candidates: a window meets an item when the sampled symbols of one table agree at one of its parts. The number of tables follows from the target recall at the Hamming distance `far`, shared by
 independent walks, as more tables don't repair a walk that drifts. What meets passes a lossless filter before it is verified:
 by the q-gram lemma a run within d edits shares at least m + 1 - q * (d + 1) of the item's q-grams, on diagonals (place in
 document less place in item) that differ by d at most. The rest is verified by the edit distance of the item to the best
@@ -18,7 +19,7 @@ The decision about a document needs the document and the items alone: no shuffle
 executors in blocks of a checked size, one pass over the texts for each block.
 
 Null or empty texts, and items without words, match nothing. Repeated rows give equal results, repeated items (equal
-words) one result for each item_id. Items without an id are looked for like others and have a null item_id. Items of a few
+words) one result for each item_id; rows of items that agree in id and text are one item. Items without an id are looked for like others and have a null item_id. Items of a few
 words match few edits: d is 0 below 1 / max_edit words. Columns of the documents of any name are kept.
 """
 
@@ -44,7 +45,7 @@ ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 @dataclass(frozen=True)
 class Rule:
-    """max_edit: edits per word of the item; recall: of all tables at Hamming distance far; bits: steps that a table samples; steps: of a walk at most; walks: independent embeddings, each with its share of the tables."""
+    """max_edit: edits per word of the item; recall: of all tables at Hamming distance far; bits: steps that a table samples; steps: of a walk at most; walks: independent embeddings, each with its share of the tables; span: words of an item's part at most."""
 
     max_edit: float = 0.2
     recall: float = 0.999
@@ -53,6 +54,7 @@ class Rule:
     seed: int = 23
     walks: int = 4
     steps: int = 24
+    span: int = 16
 
     @property
     def tables(self) -> int:
@@ -63,6 +65,11 @@ class Rule:
         """Items of no edits have walks that stay inside; others up to twice their words."""
         return m if math.floor(m * self.max_edit + 1e-9) == 0 and m < self.steps else min(self.steps, 2 * m)
 
+    def parts_of(self, m: int) -> list[tuple[int, int]]:
+        """Begins and ends of the parts of an item, of about equal lengths."""
+        k = -(-m // self.span)
+        return [(m * j // k, m * (j + 1) // k) for j in range(k)]
+
     def samples(self, walk: int, steps: int) -> np.ndarray:
         """The steps that each table of a walk samples."""
         rng = np.random.default_rng((self.seed, walk, steps))
@@ -125,23 +132,27 @@ class Items:
             seen = np.zeros(1 << 20, bool)
             seen[keys >> np.uint64(44)] = True
             self.by_q[int(q)] = (seen, keys, first, count, item[order], place[order])
-        self.lsh = [self._tables(walk, steps) for steps in sorted({rule.steps_of(int(m)) for m in self.m}) for walk in range(rule.walks)]
+        steps = sorted({rule.steps_of(b - a) for m in np.unique(self.m).tolist() for a, b in rule.parts_of(m)})
+        self.lsh = [self._tables(walk, k) for k in steps for walk in range(rule.walks)]
 
     def _tables(self, walk: int, steps: int) -> tuple:
-        """A walk's tables for the items that take so many steps: codes in order, each with its items, and a quick look."""
+        """A walk's tables for the parts that take so many steps: codes in order, each with its parts, and a quick look.
+
+        A part is its item, and in it the part's first word and the word after its last.
+        """
         rule, codes, owners = self.rule, [], []
         sampled = rule.samples(walk, steps)
         times = sorted({int(t) for t in sampled.ravel()})
-        for i in np.flatnonzero([rule.steps_of(int(m)) == steps for m in self.m]):
-            x = self.words[i] if walk % 2 == 0 else self.words[i][::-1]
+        for i, a, b in [(i, *p) for i, m in enumerate(self.m.tolist()) for p in rule.parts_of(m) if rule.steps_of(p[1] - p[0]) == steps]:
+            x = self.words[i][a:] if walk % 2 == 0 else self.words[i][:b][::-1]
             m = len(x)
             x = np.concatenate((x, np.zeros(steps, np.uint64)))
             symbols = cgk(x, coins(x, walk, rule.seed), 0, 1, times, m)
             for k, s in enumerate(sampled):
                 if all(symbols[int(t)][0] for t in s):  # where a walk has left the item, nothing can agree
                     codes.append(code(symbols, s, k)[0])
-                    owners.append(i)
-        h, owner = np.array(codes, np.uint64), np.array(owners, np.int64)
+                    owners.append((i, a, b))
+        h, owner = np.array(codes, np.uint64), np.array(owners, np.int64).reshape(-1, 3)
         order = np.argsort(h, kind="stable")
         keys, first, count = np.unique(h[order], return_index=True, return_counts=True)
         bits = max(18, math.ceil(math.log2(max(len(keys), 1) * 64)))
@@ -185,9 +196,9 @@ def candidates(items: Items, w: np.ndarray, woff: np.ndarray) -> tuple[np.ndarra
                     continue
                 at, entry = look_up(h[at], keys, first, count, at + a)
                 if len(at):
-                    i = owner[entry]
+                    item, first_word, end_word = owner[entry].T
                     at = n - 1 - at if back else at
-                    found.append((row_of[at], i, at - items.m[i] + 1 if back else at))
+                    found.append((row_of[at], item, at + 1 - end_word if back else at - first_word))
     if not found:
         return (np.zeros(0, np.int64),) * 3
     row, item, start = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -276,8 +287,8 @@ def matches(items: Items, w: np.ndarray, woff: np.ndarray) -> dict[int, list[dic
 
 
 def blocks(items: DataFrame, block_bytes: int) -> Iterator[tuple[list[int], list[str]]]:
-    """The items in blocks of about block_bytes of text, each collected alone."""
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
+    """The distinct items in blocks of about block_bytes of text, each collected alone."""
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL").distinct()
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // block_bytes))
     for k in range(n):

@@ -877,6 +877,36 @@ def test_the_tables_alone_reach_the_stated_recall(m):
     assert len(set(row[row == item].tolist())) >= rule.recall * n and (row != item).sum() == 0
 
 
+@pytest.mark.parametrize("m", [5, 20, 25, 59, 100, 200, 400])
+def test_the_tables_reach_the_recall_wherever_the_edits_are(m):
+    """Items of all lengths at exactly d edits: at random places, evenly spread, at the beginning, and at both ends."""
+    n, d, rng, rule = 1000, m // 5, np.random.default_rng(m), decontaminate.Rule()
+    word = lambda k: rng.integers(0, 50_000, k)
+    own = [word(m) for _ in range(n)]
+    text = lambda x: " ".join(f"w{i}" for i in x)
+    items = decontaminate.Items(list(range(n)), [text(x) for x in own], rule)
+    ends = [*range(d // 2), *range(m - (d - d // 2), m)]
+    places = {"random": None, "even": [k * m // d for k in range(d)], "first": range(d), "ends": ends, "ends, deleted": ends}
+    for pattern, at in places.items():
+        texts = []
+        for x in own:
+            y = x.tolist()
+            for p in sorted(rng.choice(m, d, replace=False).tolist() if at is None else at, reverse=True):
+                kind = int(rng.integers(3)) if at is None else 0 if "deleted" in pattern else 1
+                y[p : p + int(kind < 2)] = word(int(kind > 0)).tolist()
+            texts.append(text([*word(25), *y, *word(25)]))
+        w, off = textkernel.words(*textkernel.raw(pa.array(texts, pa.large_string())), textkernel.ALNUM_WORDS)
+        row, item, _ = decontaminate.candidates(items, w, off)
+        assert len(set(row[row == item].tolist())) >= rule.recall * n, pattern
+
+
+def test_repeated_items_are_one(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f")] * 50 + [(2, "a b c d e f")], "item_id long, text string")
+    assert [len(ids) for ids, _ in decontaminate.blocks(rows, 1 << 20)] == [2]
+    docs = frame(spark, [(7, "x a b c d e f y")])
+    assert sorted(r.item_id for r in decontaminate.find_contamination(docs, rows).collect()) == [1, 2]
+
+
 def test_windows_that_meet_without_the_shared_words_are_dropped():
     rule = decontaminate.Rule()
     own = " ".join(f"w{i}" for i in range(30))
