@@ -54,7 +54,7 @@ class Rule:
     seed: int = 23
     walks: int = 4
     steps: int = 24
-    span: int = 16
+    span: int = 14
 
     @property
     def tables(self) -> int:
@@ -132,18 +132,17 @@ class Items:
             seen = np.zeros(1 << 20, bool)
             seen[keys >> np.uint64(44)] = True
             self.by_q[int(q)] = (seen, keys, first, count, item[order], place[order])
-        steps = sorted({rule.steps_of(b - a) for m in np.unique(self.m).tolist() for a, b in rule.parts_of(m)})
-        self.lsh = [self._tables(walk, k) for k in steps for walk in range(rule.walks)]
+        self.lsh = [self._tables(walk, steps) for steps in sorted({rule.steps_of(int(m)) for m in self.m}) for walk in range(rule.walks)]
 
     def _tables(self, walk: int, steps: int) -> tuple:
-        """A walk's tables for the parts that take so many steps: codes in order, each with its parts, and a quick look.
+        """A walk's tables for the parts of items that take so many steps: codes in order, each with its parts, and a quick look.
 
         A part is its item, and in it the part's first word and the word after its last.
         """
         rule, codes, owners = self.rule, [], []
         sampled = rule.samples(walk, steps)
         times = sorted({int(t) for t in sampled.ravel()})
-        for i, a, b in [(i, *p) for i, m in enumerate(self.m.tolist()) for p in rule.parts_of(m) if rule.steps_of(p[1] - p[0]) == steps]:
+        for i, a, b in [(i, *p) for i, m in enumerate(self.m.tolist()) if rule.steps_of(m) == steps for p in rule.parts_of(m)]:
             x = self.words[i][a:] if walk % 2 == 0 else self.words[i][:b][::-1]
             m = len(x)
             x = np.concatenate((x, np.zeros(steps, np.uint64)))
