@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .tokens import SPACE
+
 #: strptime directives and Spark's letters; single letters take padded and unpadded numbers.
 LETTERS = {"%Y": "yyyy", "%y": "yy", "%m": "M", "%d": "d", "%b": "MMM", "%B": "MMMM"}
 
@@ -33,8 +35,16 @@ def date_error(c: Column, formats: list[str], pivot: int = 69) -> Column:
 
 
 def us_date(c: Column, pivot: int = 30) -> Column:
-    """M/D/Y to ISO text, short years above the pivot in the 1900s, white space at both ends ignored; other texts stay."""
-    m, d, y = (F.regexp_extract(c, r"(?U)^\s*(\d+)/(\d+)/(\d+)\s*$", i) for i in (1, 2, 3))
-    pad = lambda x, n: F.when(F.length(x) < n, F.lpad(x, n, "0")).otherwise(x)
-    year = F.when(F.length(y) == 2, F.concat(F.when(y.try_cast("int") > pivot, "19").otherwise("20"), y)).otherwise(pad(y, 4))
-    return F.when(m != "", F.concat_ws("-", year, pad(m, 2), pad(d, 2))).otherwise(c)
+    """M/D/Y to ISO text, short years above the pivot in the 1900s, white space around the numbers ignored; other texts stay.
+
+    A year is short if it is written with two characters after its slash, white space before it included; such a year of one digit
+    is none, and the text stays.
+    """
+    number = rf"{SPACE}*(\d+){SPACE}*"
+    part = lambda i: F.regexp_extract(c, rf"(?U)^{number}/{number}/({SPACE}*(\d+)){SPACE}*$", i)
+    m, d, written, y = (part(i) for i in (1, 2, 3, 4))
+    pad = lambda x, n: F.lpad(x, F.greatest(F.length(x), F.lit(n)), F.lit("0"))
+    bare = lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")
+    short = F.length(written) == 2
+    year = F.when(short, F.concat(F.when(y.try_cast("int") > pivot, "19").otherwise("20"), y)).otherwise(pad(bare(y), 4))
+    return F.when((m != "") & ~(short & (F.length(y) < 2)), F.concat_ws("-", year, pad(bare(m), 2), pad(bare(d), 2))).otherwise(c)

@@ -13,11 +13,13 @@ from pyspark.sql import types as T
 #: Fixed value: the name space of object identifiers for UUIDs.
 OID_NAMESPACE = "6ba7b8129dad11d180b400c04fd430c8"
 BLOCK = 64
+#: White space as Unicode has it, and the four separators of ASCII.
+SPACE = r"[\s\x1c-\x1f]"
 
 
 def strip(c: Column) -> Column:
-    """Without white space at both ends, as Unicode knows it."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends."""
+    return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
 def light_norm(c: Column) -> Column:
@@ -34,7 +36,7 @@ def normalize(c: Column, nfc: bool = True) -> Column:
     c = F.coalesce(c, F.lit(""))
     if nfc:
         c = F.when(c.rlike(r"[^\x00-\x7F]"), _compose(F.when(c.rlike(r"[^\x00-\x7F]"), c))).otherwise(c)
-    return F.regexp_replace(F.lower(strip(c)), r"(?U)\s+", " ")
+    return F.regexp_replace(F.lower(strip(c)), rf"(?U){SPACE}+", " ")
 
 
 def hmac_sha256(message: Column, key: bytes) -> Column:

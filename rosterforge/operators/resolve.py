@@ -205,7 +205,13 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 50) -> Dat
 
 
 def resolve(rows: DataFrame, candidates: DataFrame, key: bytes, high: float = 20.0, low: float = -18.0, u: dict | None = None, prior: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """Decisions and groups of mapped rows against stored candidates (member_id, partner_id, partner_member_id, name_token, dob_token).
+    """resolve_edges() without the edges."""
+    return resolve_edges(rows, candidates, key, high, low, u, prior)[:2]
+
+
+def resolve_edges(rows: DataFrame, candidates: DataFrame, key: bytes, high: float = 20.0, low: float = -18.0, u: dict | None = None, prior: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Decisions, groups, and the edges (uid_l, uid_r, match_weight) that made the groups, of mapped rows against stored candidates
+    (member_id, partner_id, partner_member_id, name_token, dob_token).
 
     Tier 1 agrees with a stored enrollment and its tokens. The others are compared with each other; pairs of at least
     `high` bits merge; Tiers 2 to 4 follow from a row's best pair. A group is named by its sorted uids.
@@ -217,7 +223,8 @@ def resolve(rows: DataFrame, candidates: DataFrame, key: bytes, high: float = 20
     known = tmp.write(tier1(tok, candidates, ["partner_id", "partner_member_id", "name_token", "dob_token"]).select("uid", "member_id"), "tier1")
     rest = tmp.write(remainder(comparison_records(rows), known, "uid"), "rest")
     pairs = tmp.write(score(rest, prior, u), "pairs")
-    groups = components(rest, pairs.filter(F.col("match_weight") >= high))
+    edges = pairs.filter(F.col("match_weight") >= high).select("uid_l", "uid_r", "match_weight")
+    groups = components(rest, edges)
     named = groups.groupBy("component").agg(F.sort_array(F.collect_list("uid")).alias("uids")).withColumn("member_id", uuid5(F.array_join("uids", ",")))
     named = tmp.write(named, "named")
     member = others_of_group(named)
@@ -229,7 +236,7 @@ def resolve(rows: DataFrame, candidates: DataFrame, key: bytes, high: float = 20
     first = others_of_group(again).select(F.col("uid").alias("candidate_record_ref"), F.col("member_id").alias("resolved_member_id"), F.lit("TIER_1_DETERMINISTIC").alias("tier"), F.lit(None).cast("double").alias("score"), none.alias("score_breakdown"), "matched_with")
     decisions = decisions.unionByName(first).withColumns({"algorithm_version": F.lit(ALGORITHM), "config_version": F.lit(CONFIG)})
     out = named.select("member_id", "uids").unionByName(again)
-    return tmp.write(decisions, "decisions"), tmp.write(out, "groups")
+    return tmp.write(decisions, "decisions"), tmp.write(out, "groups"), edges
 
 
 def others_of_group(groups: DataFrame) -> DataFrame:

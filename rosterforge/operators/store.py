@@ -40,10 +40,13 @@ def new_rows(target: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def violations(table: DataFrame, key: list[str], checks: dict[str, Column] | None = None) -> DataFrame:
-    """(rule, n) of a key that isn't unique and of checks that don't hold."""
+    """(rule, n) of a key that isn't unique and of checks that don't hold: one pass for all checks."""
     out = table.groupBy(*key).count().filter("count > 1").agg(F.count(F.lit(1)).alias("n")).select(F.lit("unique").alias("rule"), "n")
-    for name, ok in (checks or {}).items():
-        out = out.unionByName(table.filter(~ok).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("rule"), "n"))
+    if checks:
+        names = list(checks)
+        counts = table.agg(*[F.count_if(~checks[name]).alias(f"_{i}") for i, name in enumerate(names)])
+        each = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"_{i}").alias("n")) for i, name in enumerate(names)]))
+        out = out.unionByName(counts.select(each.alias("x")).select("x.rule", "x.n"))
     return out.filter("n > 0")
 
 
@@ -75,13 +78,15 @@ def scd2(changes: DataFrame, key: list[str], state: str, order: list[str], since
 def as_of(history: DataFrame, moments: DataFrame, moment: str = "moment", days: int = 32) -> DataFrame:
     """The periods that hold at each moment: from <= moment < to. An equi-join on spans of `days` days, whatever the number of moments.
 
-    A period is repeated for each span that it touches, up to the last moment that is asked for.
+    A period is repeated for each span that it touches and that holds a moment: the list of these spans, a number for each
+    `days` days of the calendar at most, is one row.
     """
     span = lambda c: F.floor(F.unix_date(c.cast("date")) / days)
     m = moments.withColumn("_span", span(F.col(moment)))
-    end = m.agg(F.max("_span").alias("_end"), F.min("_span").alias("_begin"))
-    first, last = F.greatest(span(F.col("effective_from")), F.col("_begin")), F.least(F.coalesce(span(F.col("effective_to")), F.col("_end")), F.col("_end"))
-    h = history.crossJoin(end).filter(first <= last).withColumn("_span", F.explode(F.sequence(first, last))).drop("_end", "_begin")  # one row
+    spans = m.agg(F.array_sort(F.collect_set("_span")).alias("_spans"))
+    first, last = span(F.col("effective_from")), span(F.col("effective_to"))
+    h = history.crossJoin(spans)  # one row
+    h = h.withColumn("_span", F.explode(F.filter("_spans", lambda s: (s >= first) & (last.isNull() | (s <= last))))).drop("_spans")
     x = h.join(m, "_span").drop("_span")
     return x.filter((F.col("effective_from") <= F.col(moment)) & (F.col("effective_to").isNull() | (F.col(moment) < F.col("effective_to"))))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import broad_hash, strict_hash
 from ..scratch import Scratch
+from ..sources.snapshots import Snapshots, Transaction
 from .store import insert_if_absent
 
 UUID = r"^\{?(urn:uuid:)?[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}\}?$"
@@ -29,16 +30,23 @@ def request_hashes(requests: DataFrame, enrollments: DataFrame, salt: str, nfc:
     return each.groupBy("request_id", "member_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("suppression_hashes")))).alias("suppression_hashes"))
 
 
-def mark_suppressed(rows: DataFrame, ledger: DataFrame, key: list[str]) -> DataFrame:
-    """rows (with suppression_hashes) and `suppressed`: any of the hashes is in the ledger and not overridden. One join for all rows."""
+def mark_suppressed(rows: DataFrame, ledger: DataFrame) -> DataFrame:
+    """rows (with suppression_hashes) and `suppressed`: any of a row's hashes is in the ledger and not overridden.
+
+    The hashes alone decide, so rows without keys are held against the ledger as well, and rows that share a key each by their
+    own hashes. Only distinct sets of hashes are looked up: one join for all rows, whatever the ledger's size.
+    """
     live = ledger.filter("override_count = 0").select(F.col("suppression_hash").alias("_h")).distinct()
-    hit = rows.select(*key, F.explode("suppression_hashes").alias("_h")).join(live, "_h", "left_semi").select(*key).distinct()
-    return rows.join(hit.withColumn("suppressed", F.lit(True)), key, "left").withColumn("suppressed", F.coalesce("suppressed", F.lit(False)))
+    own = F.coalesce("suppression_hashes", F.array().cast("array<string>"))
+    sets = rows.select(own.alias("_set")).distinct()
+    hit = sets.select("_set", F.explode("_set").alias("_h")).join(live, "_h", "left_semi").select("_set").distinct()
+    marked = rows.withColumn("_set", own).join(hit.withColumn("suppressed", F.lit(True)), "_set", "left").drop("_set")
+    return marked.withColumn("suppressed", F.coalesce("suppressed", F.lit(False)))
 
 
-def split_suppressed(rows: DataFrame, ledger: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Publishable rows and suppressed rows."""
-    x = mark_suppressed(rows, ledger, key)
+def split_suppressed(rows: DataFrame, ledger: DataFrame, key: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Publishable rows and suppressed rows. key: only names the rows for the reader; it doesn't decide."""
+    x = mark_suppressed(rows, ledger)
     return x.filter(~F.col("suppressed")).drop("suppressed"), x.filter("suppressed").drop("suppressed")
 
 
@@ -54,11 +62,14 @@ def override(ledger: DataFrame, hashes: DataFrame) -> DataFrame:
 def execute_deletions(members: DataFrame, enrollments: DataFrame, ledger: DataFrame, requests: DataFrame, as_of: str, close_enrollments: bool = True) -> dict[str, DataFrame]:
     """requests (request_id, member_id, suppression_hashes): tombstoned members, ledger, closed enrollments, history and events.
 
-    Every request must name a known member that isn't deleted yet. A hash that is in the ledger with overrides starts
+    Every request must name a known member that isn't deleted yet, and no two requests the same one. A hash that is in the ledger with overrides starts
     anew, so that a second deletion takes effect.
     """
     if requests.filter(~F.col("member_id").rlike(UUID)).limit(1).count():
         raise ValueError("a request's member_id isn't a UUID")
+    twice = requests.groupBy("member_id").count().filter("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"{twice[0].member_id} is asked to be deleted {twice[0]['count']} times")
     known = requests.join(members.select("member_id", "state"), "member_id", "left")
     bad = known.filter("state IS NULL OR state = 'DELETED'").limit(1).collect()
     if bad:
@@ -96,36 +107,56 @@ def override_events(hashes: DataFrame, reason: str, as_of: str) -> DataFrame:
 
 
 class Vault:
-    """Plaintext by token in a restricted table: batches that are appended, and a log of the tokens that are erased.
+    """Plaintext by token in a restricted folder: rows that are appended, and a log of the tokens that are erased.
 
-    A transaction's changes are seen by others after it has ended without an error.
+    Every change is a commit of the folder's log, so another session sees it whole or not at all; a transaction's changes are
+    one commit. Without a path the vault lies in a scratch folder of its own.
     """
 
     SCHEMA = "token string, field_class string, plaintext string, created_at timestamp, tombstoned_at timestamp"
+    ERASED = "token string, at timestamp"
 
-    def __init__(self, spark):
-        self.spark, self.batches, self.erased = spark, [], []
+    def __init__(self, spark, path: str | None = None):
+        self.spark, self._tx = spark, None
+        self.log = Snapshots(spark, path or Scratch(spark, "vault").path("log"))
+        if not self.log.version():
+            with self.log.transaction() as tx:
+                tx.create("rows", self.SCHEMA)
+                tx.create("erased", self.ERASED)
+
+    @contextmanager
+    def _within(self) -> Iterator[Transaction]:
+        """The open transaction, or one of its own."""
+        if self._tx is not None:
+            yield self._tx
+        else:
+            with self.log.transaction() as tx:
+                yield tx
+
+    @property
+    def erased(self) -> list:
+        """The files of the erased tokens' log."""
+        return self.log.files("erased")
 
     @property
     def table(self) -> DataFrame:
         """All rows as they are now: an erased token has no plaintext, and the moment at which it was first erased."""
-        x = self.spark.createDataFrame([], self.SCHEMA)
-        for b in self.batches:
-            x = x.unionByName(b)
-        if not self.erased:
-            return x
-        gone = self.erased[0]
-        for e in self.erased[1:]:
-            gone = gone.unionByName(e)
-        gone = gone.groupBy("token").agg(F.min("at").alias("_at"))
-        x = x.join(gone, "token", "left").withColumns({"plaintext": F.when(F.col("_at").isNull(), F.col("plaintext")), "tombstoned_at": F.col("_at")})
-        return x.drop("_at").select("token", "field_class", "plaintext", "created_at", "tombstoned_at")
+        return self._now(self.log.read if self._tx is None else self._tx.read)
+
+    @staticmethod
+    def _now(read) -> DataFrame:
+        gone = read("erased").groupBy("token").agg(F.min("at").alias("_at"))
+        x = read("rows").join(gone, "token", "left")
+        x = x.withColumns({"plaintext": F.when(F.col("_at").isNull(), F.col("plaintext")), "tombstoned_at": F.coalesce("tombstoned_at", "_at")})
+        return x.select("token", "field_class", "plaintext", "created_at", "tombstoned_at")
 
     def store(self, values: DataFrame, as_of: str) -> DataFrame:
         """values (field_class, plaintext) with new random tokens, which are returned."""
-        new = values.select(F.concat(F.lit("vt_"), F.replace(F.uuid(), F.lit("-"), F.lit(""))).alias("token"), "field_class", "plaintext", F.lit(as_of).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("tombstoned_at"))
-        self.batches.append(Scratch(self.spark, "vault").write(new, "new"))
-        return self.batches[-1].select("token", "field_class", "plaintext")
+        new = values.select(F.concat(F.lit("vt_"), F.replace(F.uuid(), F.lit("-"), F.lit(""))).alias("token"), "field_class", "plaintext", F.lit(as_of).cast("timestamp").alias("created_at"))
+        new = Scratch(self.spark, "vault").write(new, "new")  # the tokens are drawn once
+        with self._within() as tx:
+            tx.append("rows", new)
+        return new.select("token", "field_class", "plaintext")
 
     def reveal(self, tokens: DataFrame) -> DataFrame:
         """(token, plaintext); null for unknown and tombstoned tokens."""
@@ -133,16 +164,21 @@ class Vault:
 
     def tombstone(self, tokens: DataFrame, as_of: str) -> None:
         """Erase plaintexts; doing it again changes nothing."""
-        self.erased.append(Scratch(self.spark, "vault").write(tokens.select("token", F.lit(as_of).cast("timestamp").alias("at")).distinct(), "erased"))
+        with self._within() as tx:
+            tx.append("erased", tokens.select("token", F.lit(as_of).cast("timestamp").alias("at")).distinct())
 
-    def compact(self) -> None:
-        """Write the rows as they are now as one batch, so that erased plaintexts are gone from the files that are read."""
-        self.batches, self.erased = [Scratch(self.spark, "vault").write(self.table, "whole")], []
+    def compact(self, keep: int = 1) -> None:
+        """Write the rows as they are now, and drop the folders that only older versions name, so that erased plaintexts are gone."""
+        with self._within() as tx:
+            tx.replace("rows", self._now(tx.read))
+            tx.create("erased", self.ERASED)
+        if self._tx is None:
+            self.log.vacuum(keep)
 
     @contextmanager
     def transaction(self) -> Iterator[Vault]:
         """A vault whose changes are taken over when the block ends, or not at all if it raises."""
-        inner = Vault(self.spark)
-        inner.batches, inner.erased = list(self.batches), list(self.erased)
-        yield inner
-        self.batches, self.erased = inner.batches, inner.erased
+        with self.log.transaction() as tx:
+            inner = Vault(self.spark, self.log.path)
+            inner._tx = tx
+            yield inner
