@@ -48,7 +48,8 @@ def split_moves(records: DataFrame, edges: DataFrame, cut: DataFrame) -> DataFra
     hit = records.join(ends, "uid", "left_semi").select("member_id").distinct()
     own = records.join(hit, "member_id", "left_semi").select("uid", "member_id", "born_as")
     both = cut.select("uid_l", "uid_r").unionByName(cut.select(F.col("uid_r").alias("uid_l"), F.col("uid_l").alias("uid_r")))
-    inside = edges.join(own.select(F.col("uid").alias("uid_l")), "uid_l", "left_semi").join(both, ["uid_l", "uid_r"], "left_anti")
+    of = lambda s: own.select(F.col("uid").alias(f"uid_{s}"), F.col("member_id").alias(f"member_{s}"))
+    inside = edges.select("uid_l", "uid_r").join(of("l"), "uid_l").join(of("r"), "uid_r").filter("member_l = member_r").join(both, ["uid_l", "uid_r"], "left_anti")
     x = own.join(components(own.select("uid"), inside.select("uid_l", "uid_r")), "uid")
     parts = x.groupBy("member_id", "component").agg(
         F.count_if(F.col("born_as") == F.col("member_id")).alias("_born"), F.count(F.lit(1)).alias("_n"), F.min("uid").alias("_least"), F.min("born_as").alias("_a"), F.max("born_as").alias("_b")

@@ -20,6 +20,10 @@ PRIOR_RECALL, SMALL_PRIOR = 0.9, 1e-4
 #: Rows whose pairs estimate u: not more than a million pairs.
 SAMPLE_ROWS = 1414
 SALTS = 8
+#: Rows of a part of a block, of which two are compared at a time.
+UNIT_ROWS = 1000
+#: Random pairs that estimate u.
+RANDOM_PAIRS = 1_000_000
 ENROLLMENT = ("partner_id", "partner_member_id")
 ALGORITHM, CONFIG = "rosterforge-1", "default-1"
 
@@ -46,19 +50,23 @@ def remainder(rows: DataFrame, matched: DataFrame, key: str) -> DataFrame:
     return rows.join(matched.select(key), key, "left_anti")
 
 
-def blocked_pairs(rows: DataFrame, uid: str, rules: list[tuple[list[str], Column | None]]) -> DataFrame:
+def blocked_pairs(rows: DataFrame, uid: str, rules: list[tuple[list[str], Column | None]], unit_rows: int = UNIT_ROWS) -> DataFrame:
     """Pairs (uid_l < uid_r) that agree in the columns of any rule: one equi-join per rule, not one join with OR.
 
-    A rule's condition restricts its rows. A pair counts for its first rule only, so that nothing is found twice.
+    A rule's condition restricts its rows. A pair counts for its first rule only, so that nothing is found twice. A block of
+    more than unit_rows rows is cut into parts by the uid's hash, and its pairs into units of two parts each (see units), so
+    that no task gets all pairs of a common value, and none is lost.
     """
     out = None
     for k, (cols, condition) in enumerate(rules):
         own = rows if condition is None else rows.filter(condition)
         used = sorted({c for r, _ in rules[: k + 1] for c in r})
-        side = lambda s, own=own, used=used: own.select(F.col(uid).alias(f"uid_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in used], *[F.coalesce(c, F.lit(False)).alias(f"_ok{i}_{s}") for i, (_, c) in enumerate(rules[:k]) if c is not None])
-        left, right = side("l"), side("r")
-        on = [left[f"{c}_l"] == right[f"{c}_r"] for c in cols]
-        x = left.join(right, on).filter("uid_l < uid_r")
+        flags = [F.coalesce(c, F.lit(False)).alias(f"_ok{i}") for i, (_, c) in enumerate(rules[:k]) if c is not None]
+        sides = units(own.select(F.col(uid).alias("uid"), *used, *flags), cols, unit_rows)
+        left, right = (x.select("_i", "_j", *[F.col(c).alias(f"{c}_{s}") for c in ("uid", *used, *[f"_ok{i}" for i, (_, c) in enumerate(rules[:k]) if c is not None])]) for x, s in zip(sides, "lr", strict=True))
+        on = [left[f"{c}_l"] == right[f"{c}_r"] for c in cols] + [left["_i"] == right["_i"], left["_j"] == right["_j"]]
+        # Inside a part each pair is met from both sides, of two parts from one.
+        x = left.join(right, on).filter((left["_i"] < left["_j"]) & (F.col("uid_l") != F.col("uid_r")) | (F.col("uid_l") < F.col("uid_r")))
         for i, (earlier, cond) in enumerate(rules[:k]):
             same = F.lit(True)
             for c in earlier:
@@ -66,11 +74,26 @@ def blocked_pairs(rows: DataFrame, uid: str, rules: list[tuple[list[str], Column
             if cond is not None:
                 same = same & F.col(f"_ok{i}_l") & F.col(f"_ok{i}_r")
             x = x.filter(~same)
-        x = x.select("uid_l", "uid_r")
+        x = x.select(F.least("uid_l", "uid_r").alias("uid_l"), F.greatest("uid_l", "uid_r").alias("uid_r"))
         out = x if out is None else out.unionByName(x)
     return out
 
 
+def units(rows: DataFrame, cols: list[str], unit_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Left and right sides of a block's pairs, dealt to units (_i, _j) with _i <= _j of its parts.
+
+    A block of n rows has k = ceil(n / unit_rows) parts; a row of part p is on the left of the units (p, p) to (p, k - 1) and on the right
+    of (0, p) to (p, p). So each two parts meet in one unit, a unit compares about unit_rows**2 rows, and a row is repeated
+    k times in all, where its pairs are n. Blocks are counted with partial sums; the counts come back by a join on the block,
+    whose larger side Spark divides where a block is large.
+    """
+    parts = rows.groupBy(*cols).agg(F.ceil(F.count(F.lit(1)) / unit_rows).cast("int").alias("_parts"))
+    x = rows.join(parts, cols).withColumn("_p", F.pmod(F.xxhash64(F.lit("part"), "uid"), F.col("_parts")).cast("int"))
+    left = x.withColumn("_i", F.col("_p")).withColumn("_j", F.explode(F.sequence("_p", F.col("_parts") - 1)))
+    right = x.withColumn("_j", F.col("_p")).withColumn("_i", F.explode(F.sequence(F.lit(0), "_p")))
+    return left, right
+
+
 def pair_count(n: Column) -> Column:
     return n * (n - 1) / 2
 
@@ -113,13 +136,11 @@ def m_probability(level: int, levels: int) -> float:
     return M_EXACT if level == levels - 1 else (1 - M_EXACT) / (levels - 1)
 
 
-def random_pair_u(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[str, dict[int, float]]:
-    """u of each comparison and level over all pairs of a bounded sample (sample_rows, so about a million pairs), on few numbers."""
-    part = Scratch(rows.sparkSession, "u").write(pair_sample(rows.select("uid", *LEVELS), "uid", sample_rows), "sample")
-    side = lambda s: part.select(*[F.col(c).alias(f"{c}_{s}") for c in ("uid", *LEVELS)])
-    x = levels(side("l").join(F.broadcast(side("r")), F.col("uid_l") < F.col("uid_r")))
+def random_pair_u(rows: DataFrame, pairs: int = RANDOM_PAIRS) -> dict[str, dict[int, float]]:
+    """u of each comparison and level over random pairs of rows (or over all, if they are no more), as few numbers."""
+    drawn = Scratch(rows.sparkSession, "u").write(random_pairs(rows.select("uid", *LEVELS), "uid", pairs), "drawn")
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"gamma_{c}").alias("g")) for c in LEVELS]))
-    got = {(r.c, r.g): r.n for r in x.select(each.alias("x")).groupBy("x.c", "x.g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    got = {(r.c, r.g): r.n for r in levels(drawn).select(each.alias("x")).groupBy("x.c", "x.g").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = {}
     for c, k in LEVELS.items():
         total = sum(got.get((c, g), 0) for g in range(k))
@@ -127,6 +148,37 @@ def random_pair_u(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[str,
     return out
 
 
+def row_index(rows: DataFrame, uid: str, parts: int | None = None) -> DataFrame:
+    """rows with `at`, their place from 0 in the order of the uid's digest: a range partitioning, and counts of the parts before."""
+    spark = rows.sparkSession
+    order = [F.md5(F.col(uid).cast("string").cast("binary")), F.col(uid)]
+    x = rows.repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    x = Scratch(spark, "index").write(x.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "placed")
+    heads = x.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    heads = heads.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n") - F.col("_first")).alias("_shift"))  # a row per part
+    return x.join(heads, "_part").withColumn("at", F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
+
+
+def random_pairs(rows: DataFrame, uid: str, pairs: int = RANDOM_PAIRS, seed: int = 7) -> DataFrame:
+    """Pairs (left and right columns of rows with _l and _r) drawn evenly from all pairs of rows: a sampling operator.
+
+    A draw is a place of the row index by a seeded hash, and a second one evenly among the others; rows are joined by their
+    places. If there are no more than `pairs` pairs, each is taken once. The draw depends on the uids alone, not on how rows are
+    partitioned.
+    """
+    spark = rows.sparkSession
+    x = Scratch(spark, "pairs").write(row_index(rows, uid), "rows")
+    n = x.count()
+    if n * (n - 1) // 2 <= pairs:  # so n is small
+        drawn = spark.range(max(n - 1, 0)).select(F.col("id").alias("at_l"), F.explode(F.sequence(F.col("id") + 1, F.lit(n - 1).cast("long"))).alias("at_r"))
+    else:
+        draw = lambda k, most: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(most).cast("long"))
+        a = draw(0, n)
+        drawn = spark.range(pairs).select(a.alias("at_l"), ((a + 1 + draw(1, n - 1)) % n).alias("at_r"))
+    side = lambda s: x.select(*[F.col(c).alias(f"{c}_{s}") for c in x.columns])
+    return drawn.join(side("l"), "at_l").join(side("r"), "at_r").drop("at_l", "at_r")
+
+
 def levels(pairs: DataFrame) -> DataFrame:
     """pairs with gamma_<comparison>; Jaro-Winkler, the only Python, is found once per distinct pair of unequal names.
 

@@ -29,9 +29,9 @@ def tiers(day: pipeline.Day) -> dict[str, int]:
 
 
 def write_chain(events: DataFrame, path: str) -> int:
-    """The day's events at the end of a chain, by its one writer; as many as feeds, requests and suppressed records."""
+    """The day's events at the end of a file's chain; as many as feeds, requests and suppressed records."""
     rows = [r.asDict() for r in events.orderBy("timestamp", "event_class", "target_token").toLocalIterator()]
-    feeds.append_log(path, audit.append(audit.GENESIS, [r | {"timestamp": r["timestamp"].isoformat()} for r in rows]))
+    feeds.append_chain(path, [r | {"timestamp": r["timestamp"].isoformat()} for r in rows])
     return len(rows)
 
 

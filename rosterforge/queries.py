@@ -592,4 +592,4 @@ def outbox_batch(spark, d):
     return audit.outbox_batch(x, 100).select("event_id", c("created_at").alias("ts"))
 
 
-from . import more_queries  # noqa: E402, F401 - registers its queries here
+from . import more_queries, store_queries  # noqa: E402, F401 - register their queries here

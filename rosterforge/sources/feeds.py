@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import fcntl
 import json
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import redact
-from ..operators.audit import numbered_lines
+from ..operators.audit import GENESIS, numbered_lines
+from ..operators.audit import append as link_entries
 
 CORRUPT = "_corrupt"
 
@@ -218,6 +221,36 @@ def append_log(path: str, entries: list[dict]) -> None:
         f.writelines(json.dumps(e) + "\n" for e in entries)
 
 
+def append_chain(path: str, events: list[dict], head: str | None = None) -> str:
+    """Events linked to the chain of a file of this machine, from its last entry's hash on; the new head. head: refuse if the file's is another one.
+
+    The file is locked from the look at its head until the lines are written, so that writers follow each other.
+    """
+    with open(path, "a+b") as f:
+        fcntl.flock(f, fcntl.LOCK_EX)
+        last = last_hash(f)
+        if head is not None and head != last:
+            raise RuntimeError(f"the chain's head is {last}, not {head}")
+        entries = link_entries(last, events)
+        f.seek(0, os.SEEK_END)
+        f.write(b"".join(json.dumps(e, sort_keys=True).encode() + b"\n" for e in entries))
+        f.flush()
+        os.fsync(f.fileno())
+    return entries[-1]["self_hash"] if entries else last
+
+
+def last_hash(f, step: int = 1 << 16) -> str:
+    """The self_hash of a log's last line that isn't blank, read from the end; that of the genesis for an empty one."""
+    end = f.seek(0, os.SEEK_END)
+    tail = b""
+    while end > 0 and len(tail.strip().split(b"\n")) < 2:
+        at = max(0, end - step)
+        f.seek(at)
+        tail, end = f.read(end - at) + tail, at
+    lines = tail.strip().split(b"\n")
+    return json.loads(lines[-1])["self_hash"] if lines[-1] else GENESIS
+
+
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.text(path).filter(F.trim("value") != "").select(F.from_json("value", schema).alias("e")).select("e.*")
 

@@ -1,13 +1,14 @@
 """The store's commit log, merges and splits, the history in batches, readers that lose nothing, and suppression by hashes."""
 
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from rosterforge import fixtures
 from rosterforge.functions import dates, tokens
-from rosterforge.operators import history, identity, store, suppression
+from rosterforge.operators import anchors, audit, history, identity, resolve, store, suppression
 from rosterforge.plans import pipeline
 from rosterforge.sources import feeds
 from rosterforge.sources.snapshots import Conflict, Snapshots
@@ -294,3 +295,86 @@ def test_834_round_trip_in_three_styles(spark, sf, tmp_path):
         (tmp_path / f"{k}.834").write_text(interchange(element, component, end, body), newline="")
     got = feeds.read_x12_834(spark, str(tmp_path)).collect()
     assert all(r.parse_error is None for r in got) and sorted((int(r.member_id), r.last_name) for r in got) == sorted(people * 3)
+
+
+# pairs
+
+
+def test_a_hot_block_is_compared_in_units(spark):
+    rows = [(i, "hot" if i % 3 else f"b{i % 4}", i % 5 if i % 7 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, a string, b int")
+    rules = [(["a"], None), (["b"], F.col("id") % 2 == 0)]
+    want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and (x[1] == y[1] or (x[2] is not None and x[2] == y[2] and not x[0] % 2 and not y[0] % 2))}
+    for unit in (1, 13, 1000):
+        got = resolve.blocked_pairs(df, "id", rules, unit_rows=unit).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+    left, right = resolve.units(df.select(F.col("id").alias("uid"), "a"), ["a"], 20)
+    met = left.join(right.withColumnRenamed("uid", "other"), ["a", "_i", "_j"]).groupBy("a", "_i", "_j").count().filter("a = 'hot'").toPandas()
+    assert len(met) == 55 and met["count"].max() <= 40 * 40  # ten parts of about 20
+
+
+def test_random_pairs_estimate_what_all_pairs_have(spark, sf):
+    x = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("uid"), "o_orderstatus")
+    n = [r["count"] for r in x.groupBy("o_orderstatus").count().collect()]
+    p = sum(k * (k - 1) for k in n) / (sum(n) * (sum(n) - 1))
+    share = lambda seed, rows=x: resolve.random_pairs(rows, "uid", 4000, seed).agg(F.avg((F.col("o_orderstatus_l") == F.col("o_orderstatus_r")).cast("int"))).first()[0]
+    got = [share(s) for s in range(12)]
+    sd = (p * (1 - p) / 4000) ** 0.5
+    assert all(abs(g - p) < 5 * sd for g in got) and 0.4 * sd < (sum((g - p) ** 2 for g in got) / 12) ** 0.5 < 1.8 * sd
+    assert share(3, x.repartition(7)) == got[3]  # whatever the partitions
+    few = resolve.random_pairs(x.limit(9), "uid", 36).collect()
+    assert len({(r.uid_l, r.uid_r) for r in few} | {(r.uid_r, r.uid_l) for r in few}) == 72
+    assert resolve.random_pairs(x.limit(1), "uid").count() == resolve.random_pairs(x.limit(0), "uid").count() == 0
+
+
+# chains and anchors
+
+
+def test_a_chain_goes_on_from_its_head(spark, tmp_path):
+    path = str(tmp_path / "c.jsonl")
+    one = feeds.append_chain(path, [{"event_class": "X", "n": i, "text": "é" * 70000} for i in range(3)])
+    two = feeds.append_chain(path, [{"event_class": "Y"}], head=one)
+    assert audit.validate_log(spark, path, head=two) == {"valid": True, "entries_checked": 4, "first_broken": None, "reason": None}
+    with pytest.raises(RuntimeError):
+        feeds.append_chain(path, [{"event_class": "Z"}], head=one)
+    assert feeds.append_chain(path, []) == two
+    threads = [threading.Thread(target=feeds.append_chain, args=(path, [{"event_class": "T", "n": i}] * 5)) for i in range(8)]
+    [t.start() for t in threads], [t.join() for t in threads]
+    assert audit.validate_log(spark, path)["entries_checked"] == 44 and audit.validate_log(spark, path)["valid"]
+
+
+def entries(spark, n=600):
+    rows, head = [], {}
+    for i in range(n):
+        chain = "ab"[i % 3 == 0]
+        seq, prior = head.get(chain, (0, audit.GENESIS))
+        own = f"{chain}{seq}"
+        rows.append((chain, seq, f"2024-01-01 {i // 250:02d}:{i % 60:02d}:00", own, prior))
+        head[chain] = (seq + 1, own)
+    return spark.createDataFrame(rows, "chain string, seq long, t string, own string, prior string").withColumn("ts", F.col("t").cast("timestamp"))
+
+
+def test_anchors_show_lost_added_changed_and_relinked_entries(spark):
+    x = entries(spark).cache()
+    made = F.concat("chain", F.col("seq").cast("string"))
+    kept = anchors.anchors(x, ["chain"], "seq", "own", "prior", "ts").cache()
+    check = lambda rows, made=made: {(r.chain, r.hour.hour): r.verdict for r in anchors.check_hours(rows, kept, ["chain"], "seq", "own", "prior", made, "ts").collect()}
+    fine = check(x)
+    assert set(fine.values()) == {"INTACT"} and len(fine) == 6 and anchors.follow(kept, ["chain"]).count() == 0
+    hour = x.filter("chain = 'a' AND hour(ts) = 1").agg(F.min("seq").alias("a"), F.max("seq").alias("b")).first()
+    odd = lambda v: fine | {("a", 1): v}
+    assert check(x.filter(f"NOT (chain = 'a' AND seq = {hour.b})")) == odd("LOST")  # the last entry of an hour
+    assert check(x.filter("NOT (chain = 'a' AND hour(ts) = 1)")) == odd("LOST")
+    assert check(x.unionByName(x.filter(f"chain = 'a' AND seq = {hour.a}"))) == odd("ADDED")
+    assert check(x, F.when((F.col("chain") == "a") & (F.col("seq") == hour.a + 2), "zz").otherwise(made)) == odd("CHANGED")
+    assert check(x.withColumn("prior", F.when((F.col("chain") == "a") & (F.col("seq") == hour.a + 1), "zz").otherwise(F.col("prior")))) == odd("RELINKED")
+    assert [r.hour.hour for r in anchors.follow(kept.filter("NOT (chain = 'a' AND hour(hour) = 1)"), ["chain"]).collect()] == [2]
+
+
+def test_a_proof_leads_to_the_root_of_what_was_anchored_alone(spark):
+    x = entries(spark)
+    nodes = anchors.tree(x, ["chain"], "seq", "own", "ts").cache()
+    roots = anchors.anchors(x, ["chain"], "seq", "own", "prior", "ts").select("chain", "hour", "first_seq", "root")
+    y = anchors.by_hour(x, "ts").join(roots, ["chain", "hour"]).withColumn("place", F.col("seq") - F.col("first_seq")).join(anchors.proofs(nodes, ["chain"]), ["chain", "hour", "place"])
+    got = y.select(anchors.proves(F.col("own"), F.col("path"), F.col("root")).alias("a"), anchors.proves(F.concat("own", F.lit("x")), F.col("path"), F.col("root")).alias("b"), anchors.proves(F.col("own"), F.col("path"), F.lit("0")).alias("c"), F.size("path").alias("n")).collect()
+    assert len(got) == 600 and all(r.a and not r.b and not r.c and 1 <= r.n <= 2 for r in got)
