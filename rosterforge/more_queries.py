@@ -252,9 +252,9 @@ def ledger_overrides(spark, d):
     return suppression.override(x, once.unionByName(twice).unionByName(twice)).select("suppression_hash", "override_count")
 
 
-@query("SELECT 'DELETION_OVERRIDE' AS event_class, CAST(c_custkey AS VARCHAR) AS target_token, 'SUCCESS' AS outcome, '{\"reason\":\"appeal\"}' AS context FROM customer WHERE c_nationkey = 3")
+@query("SELECT 'DELETION_OVERRIDE' AS event_class, CAST(c_custkey AS VARCHAR) AS target_token, 'SUCCESS' AS outcome, '{\"reason\":\"appeal\"}' AS context FROM customer")
 def override_trail(spark, d):
-    h = t(spark, d, "customer").filter("c_nationkey = 3").select(c("c_custkey").cast("string").alias("suppression_hash"))
+    h = t(spark, d, "customer").select(c("c_custkey").cast("string").alias("suppression_hash"))
     return suppression.override_events(h, "appeal", "2024-03-01").select("event_class", "target_token", "outcome", "context")
 
 
@@ -548,10 +548,10 @@ def log_scan(spark, d):
     return feeds.read_log(spark, path, "n long, event_class string")
 
 
-@query("SELECT o_orderpriority AS partner_id, count(*) AS n FROM orders WHERE o_orderkey % 19 = 0 GROUP BY 1")
+@query("SELECT o_orderpriority AS partner_id, count(*) AS n FROM orders GROUP BY 1")
 def quarantine_sink(spark, d):
     path = Scratch(spark, "quarantine").path("rows")
-    x = t(spark, d, "orders").filter("o_orderkey % 19 = 0").select(c("o_orderpriority").alias("partner_id"), F.lit("f1").alias("feed_id"), "o_orderkey", F.lit("REQUIRED_FIELD_MISSING:status").alias("quarantine_reason"))
+    x = t(spark, d, "orders").select(c("o_orderpriority").alias("partner_id"), F.lit("f1").alias("feed_id"), "o_orderkey", F.lit("REQUIRED_FIELD_MISSING:status").alias("quarantine_reason"))
     feeds.write_quarantine(x, path)
     return spark.read.json(path).filter("feed_id = 'f1' AND quarantine_reason LIKE 'REQUIRED%'").groupBy("partner_id").agg(F.count("o_orderkey").alias("n"))
 

@@ -124,3 +124,50 @@ def run_dq(rows: DataFrame, m: PartnerMapping, columns: list[str], prior_columns
     passed = marked.filter("reason IS NULL").drop("reason")
     moved = profile_drift(profile, baseline, drift_above) if baseline is not None else None
     return DQResult(passed.limit(0) if over else passed, marked.filter("reason IS NOT NULL"), over, drift, added, removed, profile, moved, why)
+
+
+# profiles that merge
+
+
+def sketch_profile(rows: DataFrame, fields: list[str], by: list[str], lg_k: int = 12) -> DataFrame:
+    """(by, field, count, null_count, sketch): a profile that merges with others of the same field. One pass; a row isn't repeated for its fields.
+
+    sketch: of the distinct values that aren't blank (HyperLogLog, a relative error of about 1.04 / sqrt(2**lg_k)).
+    """
+    text = lambda f: F.col(f"`{f}`").cast("string")
+    blank = lambda f: F.coalesce(text(f), F.lit("")) == ""
+    aggs = [x for i, f in enumerate(fields) for x in (F.count_if(blank(f)).alias(f"_n{i}"), F.hll_sketch_agg(F.when(~blank(f), text(f)), F.lit(lg_k)).alias(f"_s{i}"))]
+    own = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), *aggs)
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_n{i}").alias("null_count"), F.col(f"_s{i}").alias("sketch")) for i, f in enumerate(fields)]))
+    return own.select(*by, "count", each.alias("x")).select(*by, "x.field", "count", "x.null_count", "x.sketch")
+
+
+def merge_profiles(profiles: DataFrame, by: list[str]) -> DataFrame:
+    """Profiles of days, feeds or partners as one for each of `by` and field, with the estimated distinct count."""
+    x = profiles.groupBy(*by, "field").agg(F.sum("count").alias("count"), F.sum("null_count").alias("null_count"), F.hll_union_agg("sketch").alias("sketch"))
+    return x.withColumns({"null_rate": F.col("null_count") / F.col("count"), "distinct_count": F.hll_sketch_estimate("sketch")})
+
+
+def value_counts(rows: DataFrame, fields: list[str], by: list[str]) -> DataFrame:
+    """(by, field, value, n): histograms of fields of few values; nulls and blanks are a value."""
+    out = None
+    for f in fields:
+        x = rows.groupBy(*by, F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        x = x.select(*by, F.lit(f).alias("field"), "value", "n")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def distribution_drift(baseline: DataFrame, now: DataFrame, key: list[str], least: float = 1e-4) -> DataFrame:
+    """(key, psi, js): how far the histograms of now are from those of baseline (key, value, n).
+
+    psi: sum of (q - p) * ln(q / p), shares below `least` taken as that, so that a new value counts; js: the Jensen-Shannon divergence in
+    bits, from 0 to 1. A field that only one side has is not compared.
+    """
+    share = lambda x, name: x.join(x.groupBy(*key).agg(F.sum("n").alias("_t")), key).select(*key, "value", (F.col("n") / F.col("_t")).alias(name))
+    both = baseline.select(*key).distinct().join(now.select(*key).distinct(), key)
+    x = share(baseline, "p").join(share(now, "q"), [*key, "value"], "full").join(both, key).fillna(0.0, ["p", "q"])
+    p, q = F.greatest("p", F.lit(least)), F.greatest("q", F.lit(least))
+    mid = (F.col("p") + F.col("q")) / 2
+    part = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log2(F.col(c) / mid)).otherwise(0.0)
+    return x.groupBy(*key).agg(F.sum((q - p) * F.log(q / p)).alias("psi"), (F.sum(part("p")) / 2 + F.sum(part("q")) / 2).alias("js"))

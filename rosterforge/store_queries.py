@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import anchors, audit, history, identity, resolve, store
+from .operators import anchors, audit, dq, history, identity, resolve, store
 from .queries import SCD, c, query, t
 from .scratch import Scratch
-from .sources import feeds
+from .sources import capture, feeds
 from .sources.snapshots import Snapshots
 
 # merges and splits: customers are records, seven in a row are ruled to be one, then the edges after each third are cut
@@ -187,3 +187,60 @@ def proven_entries(spark, d):
     own = own.join(anchors.proofs(nodes, ["event_type"]), ["event_type", "hour", "place"])
     now = F.when(c("event_id") % 401 == 3, entry_hash(-c("event_id"))).otherwise(c("own"))
     return own.select("event_id", anchors.proves(now, c("path"), c("root")).alias("proven"))
+
+
+# change capture
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 7 = 2 THEN NULL WHEN c_custkey % 4 = 1 THEN c_mktsegment || '*' ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 6 = 0 THEN 'I' WHEN c_custkey % 7 = 2 THEN 'I,D' WHEN c_custkey % 4 = 1 THEN 'I,U' ELSE 'I' END AS ops
+  FROM customer WHERE NOT (c_custkey % 6 = 0 AND c_custkey % 7 = 2)""")
+def captured_copy(spark, d):
+    """A copy after inserts, updates and deletions, each step run twice, with the operations that each key went through."""
+    s, a = Snapshots(spark, Scratch(spark, "capture").path("store")), Snapshots(spark, Scratch(spark, "capture").path("copy"))
+    x = t(spark, d, "customer").select("c_custkey", c("c_mktsegment").alias("segment"))
+    with s.transaction() as tx:
+        tx.create("customers", x.schema, ["c_custkey"], 8)
+        tx.append("customers", x.filter("c_custkey % 6 <> 0"))
+    copy = capture.Copy(s, a, "customers", ["c_custkey"])
+    copy.step(), copy.step()
+    with s.transaction() as tx:
+        now = x.filter("c_custkey % 7 <> 2").withColumn("segment", F.when(c("c_custkey") % 4 == 1, F.concat("segment", F.lit("*"))).otherwise(c("segment")))
+        tx.replace("customers", now)
+    copy.step(), copy.step()
+    ops = a.read("customers_changes").groupBy("c_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("version", "op"))), lambda o: o["op"]), ",").alias("ops"))  # two steps
+    return ops.join(a.read("customers"), "c_custkey", "left").select("c_custkey", "segment", "ops")
+
+
+# profiles
+
+
+@query("""SELECT event_type AS partner_id, f AS field, count(*) AS count, sum(CASE WHEN v IS NULL OR v = '' THEN 1 ELSE 0 END)::BIGINT AS null_count, true AS near FROM
+  (SELECT event_type, 'user_id' AS f, CAST(user_id AS VARCHAR) AS v FROM events UNION ALL SELECT event_type, 'event_id', CAST(event_id AS VARCHAR) FROM events UNION ALL SELECT event_type, 'odd', CASE WHEN event_id % 5 = 0 THEN '' ELSE CAST(event_id % 1000 AS VARCHAR) END FROM events) GROUP BY 1, 2""")
+def merged_profiles(spark, d):
+    """Profiles of days merged into one for each type; distinct counts within 6 % of the exact ones."""
+    x = t(spark, d, "events").select("event_type", c("ts").cast("date").alias("day"), "user_id", "event_id", F.when(c("event_id") % 5 == 0, "").otherwise((c("event_id") % 1000).cast("string")).alias("odd"))
+    fields = ["user_id", "event_id", "odd"]
+    got = dq.merge_profiles(dq.sketch_profile(x.withColumnRenamed("event_type", "partner_id"), fields, ["partner_id", "day"]), ["partner_id"])
+    exact = x.groupBy(c("event_type").alias("partner_id")).agg(*[F.count_distinct(F.when(c(f).cast("string") != "", c(f))).alias(f) for f in fields])
+    exact = exact.select("partner_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), c(f).alias("exact")) for f in fields])).alias("e")).select("partner_id", "e.*")
+    near = F.abs(c("distinct_count") - c("exact")) <= 0.06 * c("exact") + 1
+    return got.join(exact, ["partner_id", "field"]).select("partner_id", "field", "count", "null_count", near.alias("near"))
+
+
+DRIFT = """WITH b AS (SELECT o_orderpriority AS p, o_orderstatus AS v, count(*) AS n FROM orders WHERE o_orderdate < timestamp '1998-01-01' GROUP BY 1, 2),
+  w AS (SELECT o_orderpriority AS p, CASE WHEN o_orderpriority LIKE '1%' AND o_orderkey % 2 = 0 THEN 'X' ELSE o_orderstatus END AS v, count(*) AS n FROM orders WHERE o_orderdate >= timestamp '1998-01-01' GROUP BY 1, 2),
+  j AS (SELECT coalesce(b.p, w.p) AS p, coalesce(b.n, 0) / sum(coalesce(b.n, 0)) OVER (PARTITION BY coalesce(b.p, w.p)) AS x, coalesce(w.n, 0) / sum(coalesce(w.n, 0)) OVER (PARTITION BY coalesce(b.p, w.p)) AS y FROM b FULL JOIN w ON b.p = w.p AND b.v = w.v)
+  SELECT p AS o_orderpriority, 'o_orderstatus' AS field, round(sum((greatest(y, 1e-4) - greatest(x, 1e-4)) * ln(greatest(y, 1e-4) / greatest(x, 1e-4))), 9) AS psi,
+    round((sum(CASE WHEN x > 0 THEN x * log2(x / ((x + y) / 2)) ELSE 0 END) + sum(CASE WHEN y > 0 THEN y * log2(y / ((x + y) / 2)) ELSE 0 END)) / 2, 9) AS js FROM j GROUP BY p"""
+
+
+@query(DRIFT)
+def distribution_drift(spark, d):
+    """Statuses of later orders against those of earlier ones, per priority; one priority has a new status."""
+    x = t(spark, d, "orders")
+    late = c("o_orderdate").cast("date") >= F.lit("1998-01-01").cast("date")
+    shifted = F.when(c("o_orderpriority").startswith("1") & (c("o_orderkey") % 2 == 0), "X").otherwise(c("o_orderstatus"))
+    was = dq.value_counts(x.filter(~late), ["o_orderstatus"], ["o_orderpriority"])
+    now = dq.value_counts(x.filter(late).withColumn("o_orderstatus", shifted), ["o_orderstatus"], ["o_orderpriority"])
+    out = dq.distribution_drift(was, now, ["o_orderpriority", "field"])
+    return out.withColumns({"psi": F.round("psi", 9), "js": F.round("js", 9)})

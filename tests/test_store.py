@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from rosterforge import fixtures
 from rosterforge.functions import dates, tokens
-from rosterforge.operators import anchors, audit, history, identity, resolve, store, suppression
+from rosterforge.operators import anchors, audit, dq, history, identity, resolve, store, suppression
 from rosterforge.plans import pipeline
-from rosterforge.sources import feeds
+from rosterforge.sources import capture, feeds
 from rosterforge.sources.snapshots import Conflict, Snapshots
 
 
@@ -378,3 +378,51 @@ def test_a_proof_leads_to_the_root_of_what_was_anchored_alone(spark):
     y = anchors.by_hour(x, "ts").join(roots, ["chain", "hour"]).withColumn("place", F.col("seq") - F.col("first_seq")).join(anchors.proofs(nodes, ["chain"]), ["chain", "hour", "place"])
     got = y.select(anchors.proves(F.col("own"), F.col("path"), F.col("root")).alias("a"), anchors.proves(F.concat("own", F.lit("x")), F.col("path"), F.col("root")).alias("b"), anchors.proves(F.col("own"), F.col("path"), F.lit("0")).alias("c"), F.size("path").alias("n")).collect()
     assert len(got) == 600 and all(r.a and not r.b and not r.c and 1 <= r.n <= 2 for r in got)
+
+
+# change capture and profiles
+
+
+def test_a_copy_follows_the_store_once_per_commit(spark, tmp_path):
+    s, a = Snapshots(spark, str(tmp_path / "s")), Snapshots(spark, str(tmp_path / "c"))
+    rows = lambda *x: spark.createDataFrame(list(x), "k long, v string, m map<string,int>")
+    with s.transaction() as tx:
+        tx.create("t", "k long, v string", ["k"], 4)
+        tx.append("t", rows(*[(i, f"v{i}", None) for i in range(20)]))
+    copy = capture.Copy(s, a, "t", ["k"])
+    same = lambda: sorted(map(tuple, s.read("t").collect())) == sorted(map(tuple, a.read("t").collect()))
+    assert copy.step() == 1 and same() and copy.step() == 1 and a.version() == 1
+    files = dict((b, p) for p, b in a.files("t"))
+    with s.transaction() as tx:
+        own = tx.touched("t", rows((3, "", None)))
+        x = tx.read("t", own).withColumn("v", F.when(F.col("k") == 3, None).otherwise(F.col("v")))
+        tx.replace("t", x, own)
+    assert copy.step() == 2 and same()
+    assert [b for b, p in ((b, p) for p, b in a.files("t")) if files[b] != p] == own
+    assert [tuple(r) for r in a.read("t_changes").filter("version = 2").select("k", "op", "row.v").collect()] == [(3, "U", None)]
+    with s.transaction() as tx:
+        tx.replace("t", tx.read("t").filter("k > 4").unionByName(rows((99, "new", None)).drop("m")))
+    with pytest.raises(ZeroDivisionError), a.transaction() as tx:  # a step that dies
+        tx.append("t", s.read("t"))
+        1 / 0
+    assert copy.offset() == 2 and copy.step() == 3 and same()
+    assert {(r.k, r.op) for r in a.read("t_changes").filter("version = 3").collect()} == {(i, "D") for i in range(5)} | {(99, "I")}
+    with s.transaction() as tx:
+        tx.create("other", "x int")
+    assert copy.step() == 4 and same() and a.read("t_changes").count() == 27
+
+
+def test_profiles_of_days_merge_and_a_shifted_column_drifts(spark):
+    x = spark.createDataFrame([(d, f"u{i % 40}", "" if i % 4 == 0 else None if i % 4 == 1 else "x") for d in range(5) for i in range(200)], "day int, u string, b string")
+    got = {r.field: r for r in dq.merge_profiles(dq.sketch_profile(x.withColumn("p", F.lit("P")), ["u", "b"], ["p", "day"]), ["p"]).collect()}
+    assert (got["u"]["count"], got["u"].null_count, got["u"].distinct_count) == (1000, 0, 40)
+    assert (got["b"].null_count, got["b"].null_rate, got["b"].distinct_count) == (500, 0.5, 1)
+    assert dq.merge_profiles(dq.sketch_profile(x.limit(0), ["u"], ["day"]), ["day"]).count() == 0
+    was, same = dq.value_counts(x, ["u", "b"], []), dq.value_counts(x.filter("day < 2"), ["u", "b"], [])
+    quiet = {r.field: r for r in dq.distribution_drift(was, same, ["field"]).collect()}
+    assert all(abs(r.psi) < 1e-9 and abs(r.js) < 1e-9 for r in quiet.values())
+    shifted = dq.value_counts(x.withColumn("u", F.when(F.col("u") < "u3", "new").otherwise(F.col("u"))), ["u", "b"], [])
+    loud = {r.field: r for r in dq.distribution_drift(was, shifted, ["field"]).collect()}
+    assert loud["u"].psi > 0.25 and 0.1 < loud["u"].js <= 1 and abs(loud["b"].psi) < 1e-9
+    apart = dq.distribution_drift(dq.value_counts(x, ["u"], []), dq.value_counts(x.withColumn("u", F.lit("z")), ["u"], []), ["field"]).first()
+    assert apart.js == pytest.approx(1.0)
