@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import anchors, audit, dq, history, identity, resolve, store
+from .operators import anchors, audit, dq, history, identity, resolve, rules, store
 from .queries import SCD, c, query, t
 from .scratch import Scratch
 from .sources import capture, feeds
@@ -244,3 +244,33 @@ def distribution_drift(spark, d):
     now = dq.value_counts(x.filter(late).withColumn("o_orderstatus", shifted), ["o_orderstatus"], ["o_orderpriority"])
     out = dq.distribution_drift(was, now, ["o_orderpriority", "field"])
     return out.withColumns({"psi": F.round("psi", 9), "js": F.round("js", 9)})
+
+
+# rules
+
+PART_RULES = """
+comparisons:
+  - {column: p_name, levels: [exact, {jaro_winkler: 0.92}, {levenshtein: 6}, {prefix: 2}, else], u: [0.02, 0.03, 0.05, 0.2, 0.7]}
+  - {column: p_size, levels: [exact, {difference: 3}, {relative: 0.25}, else], m: [0.8, 0.1, 0.05, 0.05], u: [0.02, 0.12, 0.16, 0.7]}
+  - {column: p_type, levels: [exact, else], u: [0.1, 0.9]}
+blocking:
+  - [p_brand, p_size]
+  - {equal: ["substr(p_name, 1, 5)", p_type], where: "p_size > 20"}
+prior: 0.001
+high: 3
+low: -4
+"""
+
+
+@query("""WITH x AS (SELECT a.p_partkey AS uid_l, b.p_partkey AS uid_r,
+    CASE WHEN a.p_name = b.p_name THEN 4 WHEN round(jaro_winkler_similarity(a.p_name, b.p_name), 12) >= 0.92 THEN 3 WHEN levenshtein(a.p_name, b.p_name) <= 6 THEN 2 WHEN a.p_name[1:2] = b.p_name[1:2] THEN 1 ELSE 0 END AS n,
+    CASE WHEN a.p_size = b.p_size THEN 3 WHEN abs(a.p_size - b.p_size) <= 3 THEN 2 WHEN abs(a.p_size - b.p_size) <= 0.25::DOUBLE * greatest(a.p_size, b.p_size) THEN 1 ELSE 0 END AS z, CASE WHEN a.p_type = b.p_type THEN 1 ELSE 0 END AS k
+    FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND ((a.p_brand = b.p_brand AND a.p_size = b.p_size) OR (a.p_name[1:5] = b.p_name[1:5] AND a.p_type = b.p_type AND a.p_size > 20 AND b.p_size > 20))),
+  w AS (SELECT *, round(log2(0.001 / 0.999) + [log2(0.0125 / 0.7), log2(0.0125 / 0.2), log2(0.0125 / 0.05), log2(0.0125 / 0.03), log2(0.95 / 0.02)][n + 1]
+    + [log2(0.05 / 0.7), log2(0.05 / 0.16), log2(0.1 / 0.12), log2(0.8 / 0.02)][z + 1] + [log2(0.05 / 0.9), log2(0.95 / 0.1)][k + 1], 9) AS bits FROM x)
+  SELECT uid_l, uid_r, n AS gamma_p_name, z AS gamma_p_size, k AS gamma_p_type, bits, CASE WHEN bits >= 3 THEN 'TIER_2_PROBABILISTIC_HIGH' WHEN bits >= -4 THEN 'TIER_3_REVIEW' ELSE 'TIER_4_NEW' END AS tier FROM w""")
+def ruled_pairs(spark, d):
+    """Parts scored by a rule set of their own, which is YAML alone."""
+    p = t(spark, d, "part").select(c("p_partkey").alias("uid"), "p_name", "p_size", "p_type", "p_brand")
+    x = rules.parse_rules(PART_RULES).score(p)
+    return x.select("uid_l", "uid_r", "gamma_p_name", "gamma_p_size", "gamma_p_type", F.round("match_weight", 9).alias("bits"), "tier")

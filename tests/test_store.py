@@ -1,5 +1,6 @@
 """The store's commit log, merges and splits, the history in batches, readers that lose nothing, and suppression by hashes."""
 
+import math
 import random
 import threading
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rosterforge import fixtures
 from rosterforge.functions import dates, tokens
-from rosterforge.operators import anchors, audit, dq, history, identity, resolve, store, suppression
+from rosterforge.operators import anchors, audit, dq, history, identity, resolve, rules, store, suppression
 from rosterforge.plans import pipeline
 from rosterforge.sources import capture, feeds
 from rosterforge.sources.snapshots import Conflict, Snapshots
@@ -426,3 +427,33 @@ def test_profiles_of_days_merge_and_a_shifted_column_drifts(spark):
     assert loud["u"].psi > 0.25 and 0.1 < loud["u"].js <= 1 and abs(loud["b"].psi) < 1e-9
     apart = dq.distribution_drift(dq.value_counts(x, ["u"], []), dq.value_counts(x.withColumn("u", F.lit("z")), ["u"], []), ["field"]).first()
     assert apart.js == pytest.approx(1.0)
+
+
+# rules
+
+
+def test_rules_are_read_and_refused():
+    r = rules.parse_rules("comparisons: [{column: a, levels: [exact, {prefix: 2, levenshtein: 1}, else]}]\nblocking: [[a]]")
+    assert r.comparisons[0].m == pytest.approx((0.95, 0.025, 0.025)) and r.comparisons[0].u is None and (r.high, r.low) == (20.0, -18.0)
+    for bad in ("levels: [exact]", "levels: [exact, {sounds: 1}, else]", "levels: [exact, else], m: [0.5]", "levels: [exact, else], u: [0.9, 0.0]", "levels: [else, exact]"):
+        with pytest.raises(ValueError):
+            rules.parse_rules(f"comparisons: [{{column: a, {bad}}}]\nblocking: [[a]]")
+    with pytest.raises(ValueError):
+        rules.parse_rules("comparisons: [{column: a, levels: [exact, else]}]\nblocking: [[a]]\nprior: 1")
+
+
+def test_another_rule_set_needs_no_code(spark):
+    rows = [(1, "anna", 10.0, "x"), (2, "anne", 10.5, "x"), (3, "bob", 100.0, "x"), (4, "anna", None, "y"), (5, None, 10.0, "x"), (6, "anna", 99.0, "y")]
+    df = spark.createDataFrame(rows, "uid int, name string, amount double, block string")
+    r = rules.parse_rules("""
+comparisons:
+  - {column: name, levels: [exact, {jaro_winkler: 0.8}, else]}
+  - {column: amount, levels: [exact, {difference: 1}, {relative: 0.05}, else], u: [0.1, 0.1, 0.1, 0.7]}
+blocking: [[block], {equal: [name], where: "amount > 5"}]
+""")
+    got = {(x.uid_l, x.uid_r): (x.gamma_name, x.gamma_amount) for x in r.score(df).collect()}
+    assert got == {(1, 2): (1, 2), (1, 3): (0, 0), (1, 5): (0, 3), (2, 3): (0, 0), (2, 5): (0, 2), (3, 5): (0, 0), (4, 6): (2, 0), (1, 6): (2, 0)}
+    u = r.chances(df)  # all 15 pairs: 3 have equal names, 3 like ones
+    assert u["name"] == pytest.approx((3 / 15, 3 / 15, 9 / 15)) and u["amount"] == (0.1, 0.1, 0.1, 0.7)
+    weight = {(x.uid_l, x.uid_r): x.match_weight for x in r.score(df).collect()}
+    assert weight[1, 2] == pytest.approx(math.log2(1e-4 / (1 - 1e-4)) + math.log2(0.025 / 0.2) + math.log2(0.05 / 3 / 0.1))
