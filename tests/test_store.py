@@ -13,6 +13,7 @@ from rosterforge.operators import anchors, audit, dq, history, identity, resolve
 from rosterforge.plans import pipeline
 from rosterforge.sources import capture, feeds
 from rosterforge.sources.snapshots import Conflict, Snapshots
+from rosterforge.streaming import lockout, timed
 
 
 def ids(spark, *values):
@@ -457,3 +458,33 @@ blocking: [[block], {equal: [name], where: "amount > 5"}]
     assert u["name"] == pytest.approx((3 / 15, 3 / 15, 9 / 15)) and u["amount"] == (0.1, 0.1, 0.1, 0.7)
     weight = {(x.uid_l, x.uid_r): x.match_weight for x in r.score(df).collect()}
     assert weight[1, 2] == pytest.approx(math.log2(1e-4 / (1 - 1e-4)) + math.log2(0.025 / 0.2) + math.log2(0.05 / 3 / 0.1))
+
+
+# streams
+
+
+def test_shuffled_batches_lock_as_the_times_say(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(k, 1_704_067_200 + r.randrange(3 * 86_400), i) for i, k in enumerate(r.choice([1, 2, 3]) for _ in range(90))]
+    rows = [(k, t, i, i % 4 != 0, i % 9 == 0) for k, t, i in rows]
+    r.shuffle(rows)
+    last = max(x[1] for x in rows)
+    batches = [rows[:30], rows[30:60], rows[60:], [(9, last + 40 * 86_400, 900, False, False)], [(9, last + 90 * 86_400, 901, False, False)]]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", timed.PROVIDER)
+    schema = "anchor long, t long, attempt_id long, failed boolean, succeeded boolean"
+    try:
+        for i, b in enumerate(batches):
+            path = str(tmp_path / "in")
+            spark.createDataFrame(b, schema).select("anchor", F.timestamp_seconds("t").alias("ts"), "attempt_id", "failed", "succeeded").coalesce(1).write.mode("append").parquet(path)
+            out = timed.timed_lockout(spark.readStream.schema("anchor long, ts timestamp, attempt_id long, failed boolean, succeeded boolean").parquet(path), "30 days")
+            out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        got = {x.attempt_id: (x.failures, x.locked) for x in spark.read.parquet(str(tmp_path / "out")).filter("attempt_id < 900").collect()}
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    want = {}
+    for k in (1, 2, 3):
+        stamps, locked = [], False
+        for _, t, i, failed, succeeded in sorted((x for x in rows if x[0] == k), key=lambda x: (x[1], x[2])):
+            stamps, now, found = lockout.step(stamps, locked, t * 1_000_000, failed, succeeded, lockout.WINDOW_HOURS, lockout.FAILURES)
+            want[i], locked = (len(stamps), found), now
+    assert got == want and any(f for _, f in want.values())
