@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -172,6 +173,28 @@ def survivorship(updates: DataFrame, key: list[str], order: list[str], mutable:
     return updates.groupBy(*key).agg(*aggs, conflict.alias("conflict"))
 
 
+def identity_conflicts(updates: DataFrame, key: list[str], order: list[str], locked: list[str]) -> DataFrame:
+    """Review rows (queue_id, key, conflict_class, attribute, kept, proposed, times) for values that differ from the first stated one.
+
+    A row for each key, attribute and other value, however often it was stated. The first value of each key comes from partial
+    minima; updates meet it by a join on the key, so nothing of a key is gathered.
+    """
+    at = F.struct(*order)
+    first = updates.groupBy(*key).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), at)).cast("string").alias(f"_{c}") for c in locked])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("attribute"), F.col(f"_{c}").alias("kept"), F.col(c).cast("string").alias("proposed")) for c in locked]))
+    x = updates.join(first, key).select(*key, each.alias("x")).select(*key, "x.*").filter("proposed <> kept")
+    x = x.groupBy(*key, "attribute", "kept", "proposed").agg(F.count(F.lit(1)).alias("times"))
+    name = F.concat_ws("|", F.lit("conflict"), *[F.col(k).cast("string") for k in key], "attribute", "proposed")
+    return x.select(uuid5(name).alias("queue_id"), *key, F.lit("IDENTITY_CONFLICT").alias("conflict_class"), "attribute", "kept", "proposed", "times")
+
+
+def without_conflicts(edges: DataFrame, conflicts: DataFrame, uid: str) -> DataFrame:
+    """edges (uid_l, uid_r) of which no end has an open conflict: merges of the others wait for their review."""
+    held = conflicts.select(F.col(uid).alias("_u")).distinct()
+    x = edges.join(held, F.col("uid_l") == F.col("_u"), "left_anti")
+    return x.join(held, F.col("uid_r") == F.col("_u"), "left_anti")
+
+
 def grace(last_seen: DataFrame, seen: str, today: Column, grace_days: int) -> DataFrame:
     """status ELIGIBLE_ACTIVE on the last day seen, ELIGIBLE_GRACE up to grace_days after, then INELIGIBLE."""
     d = F.datediff(today, F.col(seen))
@@ -211,6 +234,23 @@ class VersionedTable:
         row = [(time.time_ns(), version)]
         self.spark.createDataFrame(row, "moment long, version int").coalesce(1).write.mode("append").json(f"{self.path}/current")
 
+    def replay(self, build: Callable[[], DataFrame], accept: Callable[[DataFrame, DataFrame], bool]) -> int:
+        """Fill a parallel version from a replay, and point to it if accept(its rows, the current rows) says so; the version that holds.
+
+        Readers keep the current version meanwhile. A replay that isn't accepted stays beside the others, for a look at it.
+        """
+        now = self.current()
+        version = max(int(name[1:]) for name in self.names() if name[0] == "v") + 1
+        build().write.mode("errorifexists").parquet(f"{self.path}/v{version}")
+        if not accept(self.read(version), self.read(now)):
+            return now
+        self.point(version)
+        return version
+
+    def names(self) -> list[str]:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return [s.getPath().getName() for s in p.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(p)]
+
     def current(self) -> int:
         return self.spark.read.schema("moment long, version int").json(f"{self.path}/current").agg(F.max_by("version", "moment")).first()[0]
 

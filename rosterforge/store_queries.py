@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .operators import anchors, audit, dq, history, identity, resolve, rules, store
 from .queries import SCD, c, query, t
 from .scratch import Scratch
-from .sources import capture, feeds
+from .sources import capture, feeds, stages
 from .sources.snapshots import Snapshots
 
 # merges and splits: customers are records, seven in a row are ruled to be one, then the edges after each third are cut
@@ -274,3 +274,28 @@ def ruled_pairs(spark, d):
     p = t(spark, d, "part").select(c("p_partkey").alias("uid"), "p_name", "p_size", "p_type", "p_brand")
     x = rules.parse_rules(PART_RULES).score(p)
     return x.select("uid_l", "uid_r", "gamma_p_name", "gamma_p_size", "gamma_p_type", F.round("match_weight", 9).alias("bits"), "tier")
+
+
+# conflicts and stages
+
+
+@query("""WITH f AS (SELECT user_id, event_type AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), o AS (SELECT user_id, v AS kept FROM f WHERE k = 1)
+  SELECT CAST(f.user_id AS VARCHAR) AS uid, 'IDENTITY_CONFLICT' AS conflict_class, 'event_type' AS attribute, kept, v AS proposed, count(*) AS times FROM f JOIN o ON f.user_id = o.user_id WHERE v <> kept GROUP BY 1, 4, 5""")
+def identity_conflicts(spark, d):
+    """Each value of a locked attribute that differs from a person's first one is a row to review."""
+    x = store.identity_conflicts(t(spark, d, "events"), ["user_id"], ["ts", "event_id"], ["event_type"])
+    return x.select(c("user_id").cast("string").alias("uid"), "conflict_class", "attribute", "kept", "proposed", "times")
+
+
+@query("SELECT 'load' AS stage, event_type, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'notify', event_type, count(*) FROM events WHERE event_id % 3 <> 1 GROUP BY 2")
+def staged_deliveries(spark, d):
+    """Three overlapping deliveries to one stage, one of them to another: each event has its effect once in each."""
+    x = t(spark, d, "events").select("event_id", "event_type")
+    s = Snapshots(spark, Scratch(spark, "stages").path("log"))
+    with s.transaction() as tx:
+        tx.create("made", "stage string, event_id long, event_type string")
+    parts = [x.filter("event_id % 3 <> 1"), x.filter("event_id % 3 <> 2").unionByName(x.filter("event_id % 3 = 0")), x]
+    for stage, delivery in [("load", parts[0]), ("notify", parts[0]), ("load", parts[1]), ("load", parts[2])]:
+        with stages.taking(s, stage, delivery, "event_id") as (tx, fresh):
+            tx.append("made", fresh.withColumn("stage", F.lit(stage)))
+    return s.read("made").groupBy("stage", "event_type").agg(F.count(F.lit(1)).alias("n"))

@@ -11,7 +11,7 @@ from rosterforge import fixtures
 from rosterforge.functions import dates, tokens
 from rosterforge.operators import anchors, audit, dq, history, identity, resolve, rules, store, suppression
 from rosterforge.plans import pipeline
-from rosterforge.sources import capture, feeds
+from rosterforge.sources import capture, feeds, stages
 from rosterforge.sources.snapshots import Conflict, Snapshots
 from rosterforge.streaming import lockout, timed
 
@@ -488,3 +488,39 @@ def test_shuffled_batches_lock_as_the_times_say(spark, tmp_path):
             stamps, now, found = lockout.step(stamps, locked, t * 1_000_000, failed, succeeded, lockout.WINDOW_HOURS, lockout.FAILURES)
             want[i], locked = (len(stamps), found), now
     assert got == want and any(f for _, f in want.values())
+
+
+# stages, conflicts, replays
+
+
+def test_a_stage_takes_each_event_once(spark, tmp_path):
+    s = Snapshots(spark, str(tmp_path))
+    with s.transaction() as tx:
+        tx.create("out", "id int")
+    with stages.taking(s, "a", ids(spark, 1, 2, 2, None), "id") as (tx, fresh):
+        tx.append("out", fresh)
+    with pytest.raises(ZeroDivisionError), stages.taking(s, "a", ids(spark, 2, 3), "id") as (tx, fresh):
+        tx.append("out", fresh)
+        1 / 0
+    with stages.taking(s, "a", ids(spark, 2, 3), "id") as (tx, fresh):
+        tx.append("out", fresh)
+    assert sorted(r.id for r in s.read("out").collect()) == [1, 2, 3]
+    with stages.taking(s, "b", ids(spark, 1), "id") as (_, fresh):
+        assert fresh.count() == 1
+
+
+def test_conflicts_are_reviewed_and_hold_merges_back(spark):
+    rows = [("a", 1, None, "x"), ("a", 2, "s1", "x"), ("a", 3, "s2", "x"), ("a", 4, "s2", None), ("a", 5, "s3", "x"), ("b", 1, "s1", "y"), ("b", 2, "s1", "y"), ("c", 1, None, None)]
+    x = store.identity_conflicts(spark.createDataFrame(rows, "uid string, t int, ssn string, dob string"), ["uid"], ["t"], ["ssn", "dob"])
+    got = x.collect()
+    assert sorted((r.uid, r.attribute, r.kept, r.proposed, r.times) for r in got) == [("a", "ssn", "s1", "s2", 2), ("a", "ssn", "s1", "s3", 1)] and len({r.queue_id for r in got}) == 2
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "uid_l string, uid_r string")
+    assert [tuple(r) for r in store.without_conflicts(edges, x, "uid").collect()] == [("b", "c")]
+
+
+def test_a_replay_fills_a_parallel_version(spark, tmp_path):
+    v = store.VersionedTable(spark, str(tmp_path / "v"))
+    v.publish(ids(spark, 1, 2), 1)
+    same = lambda new, old: new.count() == old.count()
+    assert v.replay(lambda: ids(spark, 1), same) == 1 and v.current() == 1 and v.read().count() == 2
+    assert v.replay(lambda: ids(spark, 7, 8), same) == 3 and sorted(r.id for r in v.read().collect()) == [7, 8] and v.read(2).count() == 1
