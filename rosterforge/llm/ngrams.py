@@ -114,10 +114,20 @@ def document_frequencies(rows: DataFrame, cls: str, text_col: str, read: Callabl
 def bounded_sample(rows: DataFrame, cls: str, per_class: int, id_col: str, sizes: dict) -> DataFrame:
     """Rows of each class whose hash falls below the part that leaves about per_class of them: the documented bound.
 
-    The cut is three standard deviations low, so a class rarely has more than per_class rows.
+    The cut is three standard deviations low, so a class rarely has more than per_class rows. Where it has, as rows that share an id
+    are taken or left together, equal rows count once and those of the least digests of the whole row are taken, per_class at most.
     """
     cut = F.lit(0.0)
     for c, n in sizes.items():
         part = 1.0 if n <= per_class else max(per_class - 3 * per_class**0.5, per_class / 2) / n
         cut = F.when(F.col(cls) == c, F.lit(part)).otherwise(cut)
-    return rows.filter(F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 30)) < cut * (1 << 30))
+    sample = rows.filter(F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 30)) < cut * (1 << 30))
+    taken = {r[cls]: r["n"] for r in sample.groupBy(cls).agg(F.count(F.lit(1)).alias("n")).collect()}
+    digest = F.xxhash64(*rows.columns)
+    for c in [c for c, n in taken.items() if n > per_class]:
+        least = sample.filter(F.col(cls) == c).select(digest.alias("h")).distinct().orderBy("h").limit(per_class + 1).agg(F.max("h"), F.count("h")).first()
+        own = F.col(cls) == c
+        if least[1] > per_class:  # the digest after the last that is taken
+            sample = sample.filter(~own | (digest < least[0]))
+        sample = sample.filter(~own).unionByName(sample.filter(own).dropDuplicates())
+    return sample

@@ -31,6 +31,8 @@ from .common import in_arrow
 from .tokenise import encoder
 
 SHARD = "shard int, part int, n_docs int, n_tokens long, width int, doc_ids binary, lengths binary, zeros binary, ranks binary, planes array<binary>"
+#: Shards that a corpus is divided into, unless they would be too small or too large.
+SHARDS = 4096
 #: Bits between two stored counts of ones, and bits of a chunk.
 STEP, CHUNK = 512, 1 << 19
 #: Tokens that one step of building takes at a time, so that they stay in the processor's cache.
@@ -204,10 +206,11 @@ class Shard:
         return self.opened[at]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_bytes: int = 16 << 20, most_tokens: int = 1 << 24) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_bytes: int | None = None, most_tokens: int = 1 << 24) -> None:
     """Encode docs (doc_id, text) with a tokenizer file of the driver and write shards to path, one file each.
 
-    shard_bytes: text of a shard, on average. Larger corpora should have larger shards; most_tokens bounds their parts.
+    shard_bytes: text of a shard, on average; by default a SHARDS-th of all text, but 16 MB at least and 1 GB at most, so that the
+    number of files stays manageable. most_tokens bounds a shard's parts, and so a worker's memory.
     """
     spark = docs.sparkSession
     with open(tokenizer) as f:
@@ -216,6 +219,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
     sent = spark.sparkContext.broadcast(spec)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shard_bytes = shard_bytes or min(max(total // SHARDS, 16 << 20), 1 << 30)
     shards = max(1, -(-total // shard_bytes))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

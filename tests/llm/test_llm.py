@@ -1094,3 +1094,27 @@ def test_pipeline_against_brute_force(spark, sf):
     assert not leaks & set(clean) and len(clean) >= len(near) - len(leaks) - 2
     assert set(mixed) <= set(clean) and len(mixed) > 0.4 * len(clean) and set(ids) == set(mixed)
     assert {tuple(r.values()) for r in ids.values()} == {tuple(r) for r in cp.run(spark, sf).collect()}
+
+
+def test_the_sample_is_bounded_where_rows_share_an_id(spark):
+    from rosterforge.llm import ngrams
+
+    rows = [(i, f"t{i}", i % 2) for i in range(300)] + [(7, f"x{i}", 1) for i in range(400)] + [(8, "same", 0)] * 400 + [(None, "n", 1)] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    sizes = {c: sum(r[2] == c for r in rows) for c in (0, 1)}
+    for per_class in (20, 100, 2000):
+        got = ngrams.bounded_sample(df, "y", per_class, "doc_id", sizes).collect()
+        assert max(Counter(r.y for r in got).values()) <= per_class and set(map(tuple, got)) <= set(rows)
+    assert Counter(map(tuple, got)) == Counter(rows)
+    few = [ngrams.bounded_sample(df.filter("doc_id IN (7, 8)"), "y", 30, "doc_id", {0: 30, 1: 30}).collect() for _ in range(2)]
+    assert Counter(r.y for r in few[0]) == {0: 2, 1: 30}
+    assert sorted(map(tuple, few[0])) == sorted(map(tuple, few[1]))
+
+
+def test_shards_follow_the_total(spark, monkeypatch):
+    monkeypatch.setattr(wavelet, "SHARDS", 3)
+    path = Scratch(spark, "few").path("t")
+    docs = frame(spark, [(i, "word " * 20) for i in range(50)])
+    wavelet.write_tokens(docs, path, queries.tokenizer_path(), 2)
+    assert spark.read.parquet(path).select("shard").distinct().count() == 1  # small shards would be below 16 MB
+    assert wavelet.read_tokens(spark, path).count() == 50
