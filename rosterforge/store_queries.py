@@ -299,3 +299,19 @@ def staged_deliveries(spark, d):
         with stages.taking(s, stage, delivery, "event_id") as (tx, fresh):
             tx.append("made", fresh.withColumn("stage", F.lit(stage)))
     return s.read("made").groupBy("stage", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# drift of columns
+
+
+@query("""SELECT 'NONE' AS drift, '' AS added, '' AS removed, count(*) AS n, count(*) FILTER (WHERE c_acctbal IS NULL) AS blank FROM customer UNION ALL SELECT 'ADDITIVE', 'c_email', '', count(*), count(*) FILTER (WHERE c_acctbal IS NULL) FROM customer WHERE c_custkey % 2 = 0
+  UNION ALL SELECT 'SUBTRACTIVE_QUARANTINE', '', 'c_acctbal', count(*), count(*) FROM customer WHERE c_custkey % 2 = 1""")
+def drifted_feeds(spark, d):
+    """Three feeds as files against the columns of the first: what drifted, and the rows that come with it once the feeds are one."""
+    x = t(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    even, odd = x.filter("c_custkey % 2 = 0").withColumn("c_email", F.lit("x")), x.filter("c_custkey % 2 = 1").drop("c_acctbal")
+    tmp = Scratch(spark, "drift")
+    read = [tmp.write(f, f"feed{i}") for i, f in enumerate((x, even, odd))]
+    found = [dq.schema_drift(x.columns, f.columns) for f in read]
+    rows = [f.select("*", *[F.lit(v).alias(k) for k, v in zip(("drift", "added", "removed"), (kind, ",".join(a), ",".join(r)), strict=True)]) for f, (kind, a, r) in zip(read, found, strict=True)]
+    return feeds.union_feeds(rows).groupBy("drift", "added", "removed").agg(F.count(F.lit(1)).alias("n"), F.count_if(c("c_acctbal").isNull()).alias("blank"))
