@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "Scratch", "held_out", "in_arrow", "learn_row", "lower_ascii", "shared_dir", "small", "table"]
+__all__ = ["BROADCAST_ROWS", "Scratch", "held_out", "in_arrow", "learn_row", "lower_ascii", "released", "shared_dir", "small", "table"]
 
 #: A side is broadcast only when a count has shown that it has at most this many narrow rows.
 BROADCAST_ROWS = 200_000
@@ -32,6 +34,25 @@ def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+#: What empties the memories that modules keep in a worker for tasks of their own kind.
+MEMORIES: list[Callable[[], None]] = []
+
+
+def released(run: Callable) -> Callable:
+    """run, a function for in_arrow, in a worker that first forgets what tasks of other kinds have kept, and that at a task's end gives
+    back the memory that it has freed: workers live on, and several wait in each executor."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for forget in MEMORIES:
+            forget()
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return whole
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(c, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

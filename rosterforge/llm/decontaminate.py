@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import in_arrow
+from .common import in_arrow, released
 
 FOUND = "array<struct<item_id:bigint,distance:int,n_words:int,start_word:bigint>>"
 #: Places whose walks are taken at a time, so that they stay in the processor's cache.
@@ -312,7 +312,7 @@ def scan(docs: DataFrame, ids: list[int], texts: list[str], rule: Rule, text_col
                         found[i + r] = sorted(x, key=lambda y: (y["item_id"] is not None, y["item_id"] or 0))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, kind)], ["row", "found"])
 
-    return in_arrow(rows, run, schema)
+    return in_arrow(rows, released(run), schema)
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, rule: Rule = Rule(), block_bytes: int = 16 << 20) -> DataFrame:

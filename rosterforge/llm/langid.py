@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams as ng
-from .common import in_arrow, learn_row
+from .common import in_arrow, learn_row, released
 
 UND = "und"
 
@@ -147,4 +147,4 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "lang_score"])
 
     schema = docs.select(*keep).withColumns({"lang_pred": F.lit(""), "lang_score": F.lit(0.0)}).schema
-    return in_arrow(docs.select(*keep), run, schema)
+    return in_arrow(docs.select(*keep), released(run), schema)

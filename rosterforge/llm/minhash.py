@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import in_arrow, Scratch, small
+from .common import in_arrow, released, Scratch, small
 from .components import connected_components
 
 SIGNATURE = "doc_id long, n_shingles long, seq binary, bands array<long>, sig binary"
@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int =
     """
     tmp = Scratch(docs.sparkSession, "near")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = tmp.write(in_arrow(texts, signer(bands, rows, k, seed), SIGNATURE), "signed")
+    signed = tmp.write(in_arrow(texts, released(signer(bands, rows, k, seed)), SIGNATURE), "signed")
     labels = components_of(signed, texts, tmp, percent, k, bands * rows, block, share)
     out = signed.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
@@ -267,7 +267,7 @@ def components_of(signed: DataFrame, texts: DataFrame, tmp: Scratch, percent: in
 
     def sets_of(ids: DataFrame, name: str) -> DataFrame:
         some = texts.join(small(ids, ids.count()), "doc_id", "left_semi")
-        return tmp.write(in_arrow(some, shingle_sets(k), "doc_id long, shingles array<long>"), name)
+        return tmp.write(in_arrow(some, released(shingle_sets(k)), "doc_id long, shingles array<long>"), name)
 
     # Each member of a bucket with a copy of the bucket's center.
     pairs = shared.filter("doc_id <> center").select("doc_id", "center", F.pmod(F.xxhash64("doc_id"), F.col("salts")).alias("salt")).distinct()

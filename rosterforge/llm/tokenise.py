@@ -23,6 +23,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from .common import MEMORIES
+
 #: Texts that a plain cut at each space could cut wrongly: white space beside white space, or at an end (RE2).
 UNEVEN = r"[\x09-\x0d\x1c-\x20\x{85}\pZ][\x09-\x0d\x1c-\x20\x{85}\pZ]|\A[\x09-\x0d\x1c-\x20\x{85}\pZ]|[\x09-\x0d\x1c-\x20\x{85}\pZ]\z"
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -301,6 +303,7 @@ def spaced(texts: pa.Array) -> pa.Array:
 
 
 _own: dict[int, Encoder] = {}
+MEMORIES.append(_own.clear)
 
 
 def encoder(spec: str) -> Encoder:
