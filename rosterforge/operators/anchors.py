@@ -87,18 +87,45 @@ def follow(kept: DataFrame, chain: list[str]) -> DataFrame:
     return x.filter((F.col("_hash") != F.col("first_prior")) | (F.col("_next") != F.col("first_seq"))).select(*chain, HOUR)
 
 
-def proofs(nodes: DataFrame, chain: list[str]) -> DataFrame:
-    """(chain, hour, place, path): for each leaf of trees the hashes that lead from it to the root: per level its place among FAN nodes, and these."""
-    key = [*chain, HOUR]
+PATH = "array<struct<level:int,index:int,nodes:array<string>>>"
+
+
+def group_paths(nodes: DataFrame, chain: list[str]) -> DataFrame:
+    """(chain, hour, _up, _nodes, _above): for each FAN leaves of trees, their hashes in order and the steps above them to the root.
+
+    Paths are made from the root down, a level at a time, for groups of FAN nodes: what leaves share is made and sent once.
+    """
+    tmp, key = Scratch(nodes.sparkSession, "paths"), [*chain, HOUR]
     groups = nodes.groupBy(*key, "level", F.floor(F.col("place") / FAN).cast("long").alias("_up")).agg(F.array_sort(F.collect_list(F.struct("place", "h"))).alias("_s"))  # FAN at most
     tops = nodes.groupBy(*key).agg(F.max("level").alias("_top"))
-    leaves = nodes.filter("level = 0").select(*key, "place").join(tops, key)
-    steps = leaves.filter("_top > 0").withColumn("level", F.explode(F.sequence(F.lit(0), F.col("_top") - 1)))
-    at = F.floor(F.col("place") / F.pow(F.lit(float(FAN)), F.col("level"))).cast("long")
-    steps = steps.withColumns({"_at": at, "_up": F.floor(at / FAN).cast("long")}).join(groups, [*key, "level", "_up"])
-    step = F.struct("level", (F.col("_at") % FAN).cast("int").alias("index"), F.col("_s.h").alias("nodes"))
-    paths = steps.groupBy(*key, "place").agg(F.array_sort(F.collect_list(step)).alias("path"))  # a step per level
-    return leaves.select(*key, "place").join(paths, [*key, "place"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<struct<level:int,index:int,nodes:array<string>>>")))
+    # A root stands in no step, unless it is the only leaf.
+    groups = tmp.write(groups.join(tops, key).filter("level < _top OR _top = 0").select(*key, "level", "_up", F.col("_s.h").alias("_nodes"), "_top"), "groups")
+    none, above, k = F.array().cast(PATH), None, groups.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]
+    while True:
+        x = groups.filter(F.col("level") == k).withColumn("_to", F.floor(F.col("_up") / FAN).cast("long"))
+        own = x.select(*key, "_up", "_nodes", "_top", "_to")
+        if above is None:
+            paths = own.withColumn("_above", none)
+        else:
+            step = F.struct(F.lit(k + 1).alias("level"), (F.col("_up") % FAN).cast("int").alias("index"), F.col("_over").alias("nodes"))
+            over = above.select(*key, F.col("_up").alias("_to"), F.col("_nodes").alias("_over"), F.col("_above").alias("_rest"))
+            paths = own.join(over, [*key, "_to"], "left").withColumn("_above", F.when(F.col("_over").isNull(), none).otherwise(F.concat(F.array(step), "_rest"))).drop("_over", "_rest")
+        if k == 0:
+            return paths.select(*key, "_up", F.when(F.col("_top") > 0, F.col("_nodes")).alias("_nodes"), "_above")
+        above, k = tmp.write(paths.drop("_top", "_to"), f"paths{k}"), k - 1
+
+
+def with_paths(entries: DataFrame, nodes: DataFrame, chain: list[str]) -> DataFrame:
+    """entries (chain, hour, place) that have a leaf, with their path: they meet the path of their FAN leaves, and no path is shuffled for each."""
+    x = entries.withColumn("_up", F.floor(F.col("place") / FAN).cast("long")).join(group_paths(nodes, chain), [*chain, HOUR, "_up"])
+    step = F.struct(F.lit(0).alias("level"), (F.col("place") % FAN).cast("int").alias("index"), F.col("_nodes").alias("nodes"))
+    path = F.when(F.col("_nodes").isNull(), F.array().cast(PATH)).otherwise(F.concat(F.array(step), "_above"))
+    return x.withColumn("path", path).drop("_up", "_nodes", "_above")
+
+
+def proofs(nodes: DataFrame, chain: list[str]) -> DataFrame:
+    """(chain, hour, place, path): for each leaf of trees the hashes that lead from it to the root: per level its place among FAN nodes, and these."""
+    return with_paths(nodes.filter("level = 0").select(*chain, HOUR, "place"), nodes, chain)
 
 
 def proves(own: Column, path: Column, root: Column) -> Column:
