@@ -8,7 +8,8 @@
    many copies as its largest bucket has `share` members, so no task gets all of its pairs. Pairs whose sizes or signatures
    can't reach the threshold go; the others are confirmed on their full shingle sets. Links give components.
 4. Buckets that still hold more than one component are compared by signature, in blocks of bounded size, and what
-   could be linked gathers in families. Inside a family, blocks of full sets are compared with each other by products of
+   could be linked gathers in families. A group of near copies meets in most bands anew: such buckets are compared as one
+   (see `meetings`), and a component that fills blocks isn't compared with itself. Inside a family, blocks of full sets are compared with each other by products of
    their incidence matrices, but for blocks of one component. What leaves a block is at most one link per document, so a
    large group of near copies never makes its square of rows, and no link between different components is lost.
 
@@ -232,6 +233,22 @@ def block_pairs(rows: DataFrame, group: str, size: int, tmp: Scratch, name: str,
     return placed.drop("_nb").join(blocks, [group, "_own", "_b"]).drop("_own", "_b", group)
 
 
+def meetings(left: DataFrame, mixed: DataFrame, block: int, tmp: Scratch) -> DataFrame:
+    """(key, doc_id, component): the members of mixed buckets (key, lo, m), where buckets of one least component are one if that repeats fewer rows.
+
+    A bucket goes into the joint one whole, so all of its pairs still meet, and pairs of many bands meet once.
+    """
+    x = left.join(mixed, "key").select("key", "lo", "doc_id", "component")
+    joint = tmp.write(x.select("lo", "doc_id", "component").distinct(), "joint")
+    repeated = lambda n: n * F.ceil(n / block)
+    apart = mixed.groupBy("lo").agg(F.sum(repeated(F.col("m"))).alias("apart"))
+    chosen = joint.groupBy("lo").agg(F.count(F.lit(1)).alias("d")).join(apart, "lo").filter(repeated(F.col("d")) <= F.col("apart"))
+    chosen = tmp.write(chosen.select("lo"), "chosen")
+    alone = x.join(chosen, "lo", "left_anti").select("key", "doc_id", "component")
+    together = joint.join(chosen, "lo", "left_semi").select(F.xxhash64(F.lit("joint"), "lo").alias("key"), "doc_id", "component")
+    return tmp.write(alone.unionByName(together), "meetings")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5, bands: int = 40, rows: int = 5, seed: int = 5, block: int = 256, share: int = 128) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept. docs needs doc_id (long) and text.
 
@@ -287,9 +304,9 @@ def components_of(signed: DataFrame, texts: DataFrame, tmp: Scratch, percent: in
     labels = tmp.write(connected_components(links, Scratch(tmp.spark, "cc")), "labels").withColumnRenamed("node", "doc_id")
     left = shared.drop("center", "salts").join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     left = tmp.write(left, "left")
-    mixed = tmp.write(left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key"), "mixed")
-    rows = left.join(mixed, "key", "left_semi").select("key", "doc_id")
-    units = block_pairs(rows, "key", block, tmp, "bucket").join(nodes.select("doc_id", "n", "sig"), "doc_id")
+    mixed = tmp.write(left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").drop("hi"), "mixed")
+    rows = meetings(left, mixed, block, tmp)
+    units = block_pairs(rows, "key", block, tmp, "bucket", "component").drop("component").join(nodes.select("doc_id", "n", "sig"), "doc_id")
     kin = in_arrow(units.repartition("unit").sortWithinPartitions("unit"), similar(sigs, least, percent), "u long, v long")
     kin = tmp.write(kin.distinct(), "kin")
     families = tmp.write(connected_components(kin, Scratch(tmp.spark, "cc")).select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "families")
@@ -304,5 +321,5 @@ def components_of(signed: DataFrame, texts: DataFrame, tmp: Scratch, percent: in
     more = tmp.write(more.distinct(), "more")
     known = labels.select(F.col("doc_id").alias("u"), F.col("component").alias("v"))
     out = tmp.write(connected_components(copies.unionByName(known).unionByName(more), Scratch(tmp.spark, "cc")), "components")
-    tmp.drop("shared", "left", "nodes", "rest", "classes", "buckets", "salted", "centers", "bucket-blocks", "family-blocks")
+    tmp.drop("shared", "left", "nodes", "rest", "classes", "buckets", "salted", "centers", "joint", "meetings", "bucket-blocks", "family-blocks")
     return out

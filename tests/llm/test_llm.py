@@ -758,6 +758,21 @@ def test_large_near_copy_groups(spark):
     assert Counter(map(tuple, mh.near_duplicates(frame(spark, rows), block=20).collect())) == brute_near(rows)
 
 
+def test_a_near_group_meets_once_for_all_bands(spark, monkeypatch):
+    r = random.Random(8)
+    rows = []
+    for i in range(150):
+        w = ["b%d" % x for x in range(90)]
+        for _ in range(r.randrange(1, 4)):
+            w[r.randrange(90)] = "x%d" % r.randrange(10**6)
+        rows.append((i, " ".join(w)))
+    pairs, met = mh.block_pairs, []
+    monkeypatch.setattr(mh, "block_pairs", lambda *a: met.append((x := pairs(*a)).count()) or x)
+    got = mh.near_duplicates(frame(spark, rows), block=20).collect()
+    assert Counter(map(tuple, got)) == brute_near(rows)
+    assert met[0] < 2 * 150 * 8  # rows by signature: each of 150 in 8 blocks, not in the blocks of each band
+
+
 def test_hot_centers_are_split_without_loss(spark):
     rows = random_docs(120, 11) + [(1000 + i, t + f" tail{i % 9}") for i, t in enumerate(["c%d " % (k % 70) * 1 + " ".join("c%d" % x for x in range(40)) for k in range(130)])]
     assert Counter(map(tuple, mh.near_duplicates(frame(spark, rows), block=16, share=4).collect())) == brute_near(rows)
