@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "Scratch", "held_out", "in_arrow", "learn_row", "lower_ascii", "released", "shared_dir", "small", "table"]
+__all__ = ["BROADCAST_ROWS", "Scratch", "give_back", "held_out", "in_arrow", "learn_row", "lower_ascii", "released", "shared_dir", "small", "table"]
 
 #: A side is broadcast only when a count has shown that it has at most this many narrow rows.
 BROADCAST_ROWS = 200_000
@@ -38,17 +38,22 @@ def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
 MEMORIES: list[Callable[[], None]] = []
 
 
-def released(run: Callable) -> Callable:
-    """run, a function for in_arrow, in a worker that first forgets what tasks of other kinds have kept, and that at a task's end gives
-    back the memory that it has freed: workers live on, and several wait in each executor."""
+def give_back() -> None:
+    """Give memory that this worker has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def released(run: Callable, forget: bool = True) -> Callable:
+    """run, a function for in_arrow, in a worker that first forgets what tasks of other kinds have kept (unless these memories are its
+    own), and that at a task's end gives back the memory that it has freed: workers live on, and several wait in each executor."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for forget in MEMORIES:
-            forget()
+        for clear in MEMORIES if forget else ():
+            clear()
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        give_back()
 
     return whole
 

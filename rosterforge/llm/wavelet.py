@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import in_arrow
+from .common import give_back, in_arrow, released
 from .tokenise import encoder
 
 SHARD = "shard int, part int, n_docs int, n_tokens long, width int, doc_ids binary, lengths binary, zeros binary, ranks binary, planes array<binary>"
@@ -228,9 +228,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
         held = 0
 
         def flush() -> pa.RecordBatch:
-            row = shard_row(shard, part, np.concatenate(ids), np.concatenate(has), np.concatenate(lengths), np.concatenate(tokens), width)
-            for x in (ids, has, tokens, lengths):
+            whole = []
+            for x in (ids, has, lengths, tokens):
+                whole.append(np.concatenate(x))
                 x.clear()
+            row = shard_row(shard, part, *whole, width)
             return pa.RecordBatch.from_pylist([row], schema)
 
         for column, texts in passes(batches):
@@ -246,6 +248,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
             lengths.append(n + 1)
             tokens.append(with_end)
             held += len(with_end)
+            # A pass's arrays are many times its text: they are gone, and not only free, before the next one.
+            del column, texts, off, n, with_end
+            give_back()
             if held >= most_tokens:
                 yield flush()
                 part, held = part + 1, 0
@@ -256,7 +261,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
     id_type = np.uint16 if width <= 16 else np.uint32
     # The beginning of a text divides rows of one id, or of none, so that they needn't be one shard.
     dealt = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    in_arrow(dealt, encode, SHARD).write.mode("overwrite").option("compression", "uncompressed").option("parquet.block.size", 16 << 20).parquet(path)
+    in_arrow(dealt, released(encode, forget=False), SHARD).write.mode("overwrite").option("compression", "uncompressed").option("parquet.block.size", 16 << 20).parquet(path)
 
 
 def shards_of(batch: pa.RecordBatch) -> Iterator[Shard]:
@@ -279,7 +284,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     files = spark.read.schema(SHARD).parquet(path)
-    own = in_arrow(files, digest, "doc_id long, at long, n_tokens long, ids_crc32 long, shard int, part int")
+    own = in_arrow(files, released(digest), "doc_id long, at long, n_tokens long, ids_crc32 long, shard int, part int")
     return own.join(part_starts(files), ["shard", "part"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard", "part")
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rosterforge.llm import chat, decontaminate, exact_dedup, langid, mixing, pii, quality, queries, sharding, textkernel, tokenise, wavelet
+from rosterforge.llm import chat, common, decontaminate, exact_dedup, langid, mixing, pii, quality, queries, sharding, textkernel, tokenise, wavelet
 from rosterforge.llm import minhash as mh
 from rosterforge.llm.common import Scratch
 from rosterforge.llm.components import connected_components
@@ -691,6 +691,14 @@ def test_op5_leaves_no_valid_value(spark, sf):
     assert seen > 30
 
 
+def test_token_workers_keep_their_words_and_give_back_the_rest(monkeypatch):
+    kept, calls = {1: "words"}, []
+    monkeypatch.setattr(common, "MEMORIES", [kept.clear])
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    assert list(common.released(iter, forget=False)([1, 2])) == [1, 2] and kept and len(calls) == 1
+    assert list(common.released(iter)([1, 2])) == [1, 2] and not kept and len(calls) == 2
+
+
 # 6
 
 
