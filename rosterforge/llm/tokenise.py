@@ -16,7 +16,9 @@ import json
 import os
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +40,34 @@ MOST = 250_000
 RUN = 500
 
 
-def runs(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """flat[start : start + count] of each row in a row, and the rows' offsets."""
-    ends = np.concatenate(([0], np.cumsum(count)))
-    at = np.repeat(start - ends[:-1], count)
-    at += np.arange(len(at))
-    return flat[at], ends
+#: Rows whose ids are laid out at a time, bytes of text that are cut into pieces at a time, and distinct pieces that are looked at at a time.
+ROWS, SLICE, PIECES = 1 << 16, 2 << 20, 1 << 16
+
+
+def runs(flat: np.ndarray, start: np.ndarray, count: np.ndarray, number: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """flat[start : start + count] of each row in a row, and the rows' offsets. number: the rows in this order, else each once."""
+    rows = len(start) if number is None else len(number)
+    own = [slice(k, k + ROWS) if number is None else number[k : k + ROWS] for k in range(0, rows, ROWS)]
+    ends = np.zeros(rows + 1, np.int64)
+    for k, x in enumerate(own):
+        ends[k * ROWS + 1 : (k + 1) * ROWS + 1] = count[x]
+    np.cumsum(ends, out=ends)
+    out = np.empty(ends[-1], flat.dtype)
+    for k, x in enumerate(own):
+        to = ends[k * ROWS : (k + 1) * ROWS + 1]
+        at = np.repeat(start[x] - to[:-1], count[x])
+        at += np.arange(to[0], to[-1])
+        out[to[0] : to[-1]] = flat[at]
+    return out, ends
+
+
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """texts in slices of about SLICE bytes, a longer text alone or last."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy())
+    cuts = np.searchsorted(ends, np.arange(SLICE, ends[-1], SLICE)) + 1 if len(ends) else []
+    bounds = np.unique(np.concatenate(([0], cuts, [len(ends)]))).astype(int).tolist()
+    for a, b in pairwise(bounds):
+        yield texts.slice(a, b - a)
 
 
 class Memory:
@@ -101,13 +125,13 @@ class Encoder:
         for i, x in zip(np.flatnonzero(whole).tolist(), self.ids(texts.filter(pa.array(whole)).to_pylist()), strict=True):
             own[i] = x
         cut = [CUT.split(x) for x in texts.filter(pa.array(uneven)).to_pylist()]
-        lists = pc.split_pattern(texts.filter(pa.array(even)), " ")
+        if even.all():
+            return self._of_lists(pc.split_pattern(x, " ") for x in slices(texts))
+        lists = (pc.split_pattern(x, " ") for x in slices(texts.filter(pa.array(even))))
         if cut:
-            lists = pa.concat_arrays([lists, pa.array(cut, lists.type)])
+            lists = chain(lists, [pa.array(cut, pa.list_(pa.large_string()))])
         at = np.concatenate((np.flatnonzero(even), np.flatnonzero(uneven)))
         flat, off = self._of_lists(lists)
-        if not whole.any() and not cut:
-            return flat, off
         count = np.array([len(x) for x in own], np.int64)
         count[at] = np.diff(off)
         ends = np.concatenate(([0], np.cumsum(count)))
@@ -119,22 +143,29 @@ class Encoder:
             out[ends[i] : ends[i + 1]] = own[i]
         return out, ends
 
-    def _of_lists(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of texts as lists of pieces; the first piece of a text has no space before it."""
-        off = lists.offsets.to_numpy().astype(np.int64)
-        off = off - off[0]
-        pieces = lists.flatten()
-        if not len(pieces):
-            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-        coded = pieces.dictionary_encode()
-        number = coded.indices.to_numpy().astype(np.int64)
-        heads = pieces.take(pa.array(off[:-1])).dictionary_encode()
-        number[off[:-1]] = heads.indices.to_numpy() + len(coded.dictionary)
-        flat, ends = self._of_pieces(coded.dictionary)
+    def _of_lists(self, lists: Iterator[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts as lists of pieces; the first piece of a text has no space before it. Of each array of lists only numbers are kept."""
+        coded, first, sizes = [], [], []
+        for x in lists:
+            off, pieces = x.offsets.to_numpy(), x.flatten()
+            coded.append(pieces.dictionary_encode())
+            first.append(pieces.take(pa.array(off[:-1] - off[0])))
+            sizes.append(np.diff(off))
+            del x, pieces
+        if not coded:
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        off = np.concatenate(([0], np.cumsum(np.concatenate(sizes), dtype=np.int64)))
+        heads = pa.concat_arrays(first).dictionary_encode()
+        chunks = pa.chunked_array(coded).unify_dictionaries().chunks
+        pieces, number = chunks[0].dictionary, np.concatenate([x.indices.to_numpy() for x in chunks])
+        del coded, chunks, first, sizes
+        number[off[:-1]] = heads.indices.to_numpy() + len(pieces)
+        parts = [self._of_pieces(pieces.slice(k, PIECES)) for k in range(0, len(pieces), PIECES)]
         head = self.ids(heads.dictionary.to_pylist())
-        flat = np.concatenate([flat, *head])
-        ends = np.concatenate((ends, ends[-1] + np.cumsum([len(x) for x in head], dtype=np.int64)))
-        out, where = runs(flat, ends[number], np.diff(ends)[number])
+        flat = np.concatenate([*(x for x, _ in parts), *head])
+        count = np.concatenate([*(np.diff(x) for _, x in parts), [len(x) for x in head]])
+        del parts, head
+        out, where = runs(flat, np.cumsum(count) - count, count, number)
         return out, where[off]
 
     def _of_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -164,14 +164,22 @@ PASS = 10 << 20
 def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
     """Ids and texts of as many batches as make a pass."""
     held, size = [], 0
+
+    def whole() -> tuple[pa.Array, pa.Array]:
+        """One copy of what is held: the batches are gone while it is worked on."""
+        out = tuple(map(pa.concat_arrays, zip(*held, strict=True)))
+        held.clear()
+        return out
+
     for batch in batches:
         held.append((batch.column("doc_id"), batch.column("text").cast(pa.large_string())))
         size += batch.column("text").nbytes
+        del batch
         if size >= PASS:
-            yield tuple(map(pa.concat_arrays, zip(*held, strict=True)))
-            held, size = [], 0
+            yield whole()
+            size = 0
     if held:
-        yield tuple(map(pa.concat_arrays, zip(*held, strict=True)))
+        yield whole()
 
 
 def pack(ids: np.ndarray, has: np.ndarray) -> bytes:
@@ -238,11 +246,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
         for column, texts in passes(batches):
             flat, off = e.encode(texts)
             n = np.diff(off)
-            with_end = np.full(len(flat) + len(n), end_id, id_type)
-            spot = np.repeat(np.arange(len(n)), n)
-            spot += np.arange(len(flat))
-            with_end[spot] = flat
-            del spot, flat
+            with_end, own = np.full(len(flat) + len(n), end_id, id_type), np.ones(len(flat) + len(n), bool)
+            own[off[1:] + np.arange(len(n))] = False
+            with_end[own] = flat
+            del own, flat
             ids.append(column.fill_null(0).to_numpy(zero_copy_only=False))
             has.append(column.is_valid().to_numpy(zero_copy_only=False))
             lengths.append(n + 1)

@@ -4,12 +4,14 @@ import hashlib
 import json
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from datetime import date, timedelta
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -766,6 +768,26 @@ def test_large_near_copy_groups(spark):
     assert Counter(map(tuple, mh.near_duplicates(frame(spark, rows), block=20).collect())) == brute_near(rows)
 
 
+def test_encoding_takes_few_times_its_text(sf):
+    """Places of ids are laid out by rows, pieces are cut by slices: neither is held for a whole pass."""
+    texts = pq.read_table(f"{sf}/documents.parquet", columns=["text"]).column("text").combine_chunks().fill_null("").cast(pa.large_string())
+    e = tokenise.encoder(open(queries.tokenizer_path()).read())
+    one, ends = e.encode(texts)  # its words are known from here on
+    times = -(-(8 << 20) // texts.nbytes)
+    many = pa.concat_arrays([texts] * times)
+    default = pa.default_memory_pool()
+    pa.set_memory_pool(own := pa.proxy_memory_pool(default))
+    tracemalloc.start()
+    try:
+        flat, off = e.encode(many)
+        peak = tracemalloc.get_traced_memory()[1] + own.max_memory()
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(default)
+    assert np.array_equal(flat, np.tile(one, times)) and np.array_equal(np.diff(off), np.tile(np.diff(ends), times))
+    assert peak < 8 * many.nbytes, peak / many.nbytes
+
+
 def test_a_near_group_meets_once_for_all_bands(spark, monkeypatch):
     r = random.Random(8)
     rows = []
