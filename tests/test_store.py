@@ -315,6 +315,15 @@ def test_a_hot_block_is_compared_in_units(spark):
     assert len(met) == 55 and met["count"].max() <= 40 * 40  # ten parts of about 20
 
 
+def test_packs_of_a_common_row_stay_small(spark):
+    df = spark.range(2000).select("id", (F.col("id") < 1900).alias("a"))
+    met = resolve.met_packs(df, "id", [(["a"], None)], [])
+    sizes = met.agg(F.max(F.size("uids_l")), F.max(F.size("uids_r"))).first()
+    assert max(sizes) <= 128
+    x = resolve.expanded(met)
+    assert x.count() == x.distinct().count() == 1900 * 1899 // 2 + 100 * 99 // 2 and not x.filter("uid_l >= uid_r or (uid_l < 1900) <> (uid_r < 1900)").count()
+
+
 def test_random_pairs_estimate_what_all_pairs_have(spark, sf):
     x = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("uid"), "o_orderstatus")
     n = [r["count"] for r in x.groupBy("o_orderstatus").count().collect()]
