@@ -1,10 +1,11 @@
 """Token ids of whole texts by the tokenizers library, in the workers, with a bounded memory of words.
 
 A byte-level pre-tokenizer always cuts before a single space that stands between two characters that aren't white
-space. So such a piece, space included, has the same ids wherever it stands: the pieces of many texts are numbered by
-Arrow, and only distinct ones are looked at. A piece of common letters and marks is cut into words by the
-pre-tokenizer's own pattern, and only words that the worker doesn't remember go to the library, many in one call. Texts that hold
-the string of an added token, such as an end mark, go to the library whole: there it is that token.
+space. So such a piece, space included, has the same ids wherever it stands. A piece of ASCII and Latin letters, digits and marks, without
+an apostrophe, is cut on into the pre-tokenizer's words, which are its runs of one kind: texts are cut by arrays of their bytes, the words of
+many texts are numbered by Arrow, and only distinct ones are looked at. Another piece stays whole until then; if it is of common letters
+and marks, the pre-tokenizer's own pattern cuts it. Only words that the worker doesn't remember go to the library, many in one call. Texts
+that hold the string of an added token, such as an end mark, go to the library whole: there it is that token.
 
 A tokenizer whose words end with a mark and that drops white space (WordEncoder) is cut at white space. Tokenizers of other kinds
 get the whole texts.
@@ -18,7 +19,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain, pairwise
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +28,28 @@ import regex
 
 from .common import MEMORIES
 
-#: Texts that a plain cut at each space could cut wrongly: white space beside white space, or at an end (RE2).
-UNEVEN = r"[\x09-\x0d\x1c-\x20\x{85}\pZ][\x09-\x0d\x1c-\x20\x{85}\pZ]|\A[\x09-\x0d\x1c-\x20\x{85}\pZ]|[\x09-\x0d\x1c-\x20\x{85}\pZ]\z"
+#: Texts that a cut by bytes could cut wrongly: white space beyond ASCII beside a space (RE2).
+WIDE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+UNEVEN = f"{WIDE} | {WIDE}"
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Fixed pattern of the byte-level pre-tokenizer.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Kinds of bytes: a space, letters, digits, marks, a line break, and bytes whose piece is left whole. Letters beyond ASCII are those of
+#: U+00C0 to U+023F: their first bytes, and any byte that isn't a character's first. White space of ASCII.
+SPACE, LETTER, DIGIT, MARK, BREAK, ODD = range(6)
+KIND = np.full(256, ODD, np.uint8)
+KIND[0x21:0x7F] = MARK
+KIND[[*b"0123456789"]] = DIGIT
+KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), *range(0xC3, 0xC9)]] = LETTER
+KIND[[*b" \n'"]] = SPACE, BREAK, ODD
+WHITE = np.zeros(256, bool)
+WHITE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+#: One word of the pattern, by its kinds of bytes alone (RE2).
+PLAIN = r"\A(?: ?(?:[A-Za-zÀ-ÖØ-öø-ȿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)|\n)\z"
 #: Pieces whose characters the pattern reads alike in both libraries: ASCII and Latin letters, and line breaks inside (RE2).
-COMMON = r"\A[!-~¡-¬®-ɏ](?:[\n!-~¡-¬®-ɏ]*[!-~¡-¬®-ɏ])?\z"
+COMMON = r"\A [!-~¡-¬®-ɏ](?:[\n!-~¡-¬®-ɏ]*[!-~¡-¬®-ɏ])?\z"
 #: A memory of so many words is closed; the one closed before it is forgotten.
-MOST = 250_000
+MOST = 500_000
 #: New words in one call.
 RUN = 500
 
@@ -70,6 +84,46 @@ def slices(texts: pa.Array) -> Iterator[pa.Array]:
         yield texts.slice(a, b - a)
 
 
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts that aren't UNEVEN, odd pieces as one, in a row, and how many each text has."""
+    off = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+    n = int(off[-1] - off[0])
+    if not n:
+        return texts.slice(0, 0), np.zeros(len(texts), np.int64)
+    raw, off = np.frombuffer(texts.buffers()[2], np.uint8, n, off[0]), off - off[0]
+    kind, white, some = KIND[raw], WHITE[raw], np.diff(off) > 0
+    piece, alone = np.zeros(n, bool), white.copy()
+    piece[off[:-1][some]] = True
+    alone[1:] &= ~white[:-1]
+    alone[:-1] &= ~white[1:]
+    alone[off[:-1][some]] = alone[off[1:][some] - 1] = False
+    space = alone & (kind == SPACE)
+    piece |= space
+    start = piece.copy()
+    start[1:] |= (kind[1:] != kind[:-1]) & ~space[:-1]
+    odd = (kind == ODD) | (white & ~alone)
+    odd[:-1] |= (raw[:-1] == 0xC3) & (raw[1:] & 0xDF == 0x97)  # × and ÷ are marks
+    if odd.any():
+        number = np.cumsum(piece, dtype=np.int32) - 1
+        whole = np.zeros(number[-1] + 1, bool)
+        whole[number[odd]] = True
+        start &= piece | ~whole[number]
+    at = np.flatnonzero(start)
+    words = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(np.append(at, n)), pa.py_buffer(raw)])
+    return words, np.diff(np.searchsorted(at, off))
+
+
+def strings(x: pa.Array) -> list[str]:
+    """x.to_pylist(), by way of an array of objects, which is several times as fast."""
+    return x.to_numpy(zero_copy_only=False).tolist()
+
+
+def pieces_of(text: str) -> list[str]:
+    """The pieces of any text, spaces included."""
+    first, *others = CUT.split(text)
+    return [first, *(" " + x for x in others)]
+
+
 class Memory:
     """Words' numbers and, by number, their ids."""
 
@@ -124,12 +178,12 @@ class Encoder:
         own = [np.zeros(0, np.uint32)] * len(texts)  # of texts that aren't even, one by one
         for i, x in zip(np.flatnonzero(whole).tolist(), self.ids(texts.filter(pa.array(whole)).to_pylist()), strict=True):
             own[i] = x
-        cut = [CUT.split(x) for x in texts.filter(pa.array(uneven)).to_pylist()]
         if even.all():
-            return self._of_lists(pc.split_pattern(x, " ") for x in slices(texts))
-        lists = (pc.split_pattern(x, " ") for x in slices(texts.filter(pa.array(even))))
-        if cut:
-            lists = chain(lists, [pa.array(cut, pa.list_(pa.large_string()))])
+            return self._of_lists(map(cut, slices(texts)))
+        lists = map(cut, slices(texts.filter(pa.array(even))))
+        if uneven.any():
+            by_hand = [pieces_of(x) for x in texts.filter(pa.array(uneven)).to_pylist()]
+            lists = chain(lists, [(pa.array(chain.from_iterable(by_hand), pa.large_string()), np.array(list(map(len, by_hand))))])
         at = np.concatenate((np.flatnonzero(even), np.flatnonzero(uneven)))
         flat, off = self._of_lists(lists)
         count = np.array([len(x) for x in own], np.int64)
@@ -143,69 +197,66 @@ class Encoder:
             out[ends[i] : ends[i + 1]] = own[i]
         return out, ends
 
-    def _of_lists(self, lists: Iterator[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of texts as lists of pieces; the first piece of a text has no space before it. Of each array of lists only numbers are kept."""
-        coded, first, sizes = [], [], []
-        for x in lists:
-            off, pieces = x.offsets.to_numpy(), x.flatten()
-            coded.append(pieces.dictionary_encode())
-            first.append(pieces.take(pa.array(off[:-1] - off[0])))
-            sizes.append(np.diff(off))
-            del x, pieces
+    def _of_lists(self, lists: Iterator[tuple[pa.Array, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts as words or whole pieces, in arrays, and how many each text has. Of each array only numbers are kept."""
+        coded, sizes = [], []
+        for words, size in lists:
+            coded.append(words.dictionary_encode())
+            sizes.append(size)
+            del words
         if not coded:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         off = np.concatenate(([0], np.cumsum(np.concatenate(sizes), dtype=np.int64)))
-        heads = pa.concat_arrays(first).dictionary_encode()
         chunks = pa.chunked_array(coded).unify_dictionaries().chunks
         pieces, number = chunks[0].dictionary, np.concatenate([x.indices.to_numpy() for x in chunks])
-        del coded, chunks, first, sizes
-        number[off[:-1]] = heads.indices.to_numpy() + len(pieces)
+        del coded, chunks, sizes
         parts = [self._of_pieces(pieces.slice(k, PIECES)) for k in range(0, len(pieces), PIECES)]
-        head = self.ids(heads.dictionary.to_pylist())
-        flat = np.concatenate([*(x for x, _ in parts), *head])
-        count = np.concatenate([*(np.diff(x) for _, x in parts), [len(x) for x in head]])
-        del parts, head
+        flat = np.concatenate([np.zeros(0, np.uint32), *(x for x, _ in parts)])
+        count = np.concatenate([np.zeros(0, np.int64), *(np.diff(x) for _, x in parts)])
+        del parts
         out, where = runs(flat, np.cumsum(count) - count, count, number)
         return out, where[off]
 
     def _of_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct pieces with a space before each, and their offsets."""
-        common = pc.match_substring_regex(pieces, COMMON).to_numpy(zero_copy_only=False)
+        """Ids of distinct words and pieces, and their offsets."""
+        plain = pc.match_substring_regex(pieces, PLAIN).to_numpy(zero_copy_only=False)
+        if plain.all():
+            return self._of_words(strings(pieces))
+        common = pc.match_substring_regex(pieces, COMMON).to_numpy(zero_copy_only=False) & ~plain
+        other = ~plain & ~common
         own = pieces.filter(pa.array(common))
-        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), pa.scalar(" ", own.type))[0].as_py()
-        words = WORD.findall(" " + text) if len(own) else []
-        flat, ends = self._of_words(words)
+        text = "".join(strings(own))
+        words, n = WORD.findall(text), int(plain.sum())
+        flat, ends = self._of_words(strings(pieces.filter(pa.array(plain))) + words)
         # Words end where pieces end: both are counted in characters.
-        last = np.searchsorted(np.cumsum(np.fromiter(map(len, words), np.int64, len(words))), np.cumsum(pc.utf8_length(own).to_numpy() + 1)) + 1
-        if common.all():
-            return flat, np.concatenate(([0], ends[last]))
-        other = self.ids([" " + x for x in pieces.filter(pa.array(~common)).to_pylist()])
-        count = np.empty(len(pieces), np.int64)
-        count[common] = np.diff(ends[last], prepend=0)
-        count[~common] = [len(x) for x in other]
-        start = np.empty(len(pieces), np.int64)
-        start[common] = np.concatenate(([0], ends[last]))[:-1]
-        start[~common] = len(flat) + np.concatenate(([0], np.cumsum(count[~common])))[:-1]
-        return runs(np.concatenate([flat, *other]), start, count)
+        last = np.searchsorted(np.cumsum(np.fromiter(map(len, words), np.int64, len(words))), np.cumsum(pc.utf8_length(own).to_numpy())) + 1
+        whole = self.ids(strings(pieces.filter(pa.array(other))))
+        start, count = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        start[plain], count[plain] = ends[:n], np.diff(ends[: n + 1])
+        count[common] = np.diff(ends[n + last], prepend=ends[n])
+        start[common] = ends[n + last] - count[common]
+        count[other] = [len(x) for x in whole]
+        start[other] = len(flat) + np.cumsum(count[other]) - count[other]
+        return runs(np.concatenate([flat, *whole]), start, count)
 
     def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of the pattern, and their offsets."""
         if len(self.memory.number) > MOST:
             self.memory, self.old = Memory(), self.memory
         m = self.memory
-        found = list(map(m.number.get, words))
-        new = list(dict.fromkeys([w for w, x in zip(words, found, strict=True) if x is None]))
-        if new:
-            get = self.old.number.get
-            seen = np.array([get(x, -1) for x in new], np.int64)
+        number = np.fromiter(map(m.number.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            again = [words[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(again))
+            seen = np.fromiter(map(self.old.number.get, new, repeat(-1)), np.int64, len(new))
             known = seen >= 0
-            flat, ends = self._by_library([x for x, k in zip(new, known.tolist(), strict=True) if not k])
+            flat, ends = self._by_library([new[i] for i in np.flatnonzero(~known).tolist()])
             start, count = np.empty(len(seen), np.int64), np.empty(len(seen), np.int64)
             start[known], count[known] = self.old.ends[seen[known]] + len(flat), np.diff(self.old.ends)[seen[known]]
             start[~known], count[~known] = ends[:-1], np.diff(ends)
             m.learn(new, *runs(np.concatenate((flat, self.old.flat)), start, count))
-            found = [m.number[w] if x is None else x for w, x in zip(words, found, strict=True)]
-        number = np.array(found, np.int64)
+            number[missing] = np.fromiter(map(m.number.get, again), np.int64, len(again))
         return runs(m.flat, m.ends[number], np.diff(m.ends)[number])
 
     def _by_library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -86,9 +86,10 @@ class WaveletMatrix:
             for k, i in enumerate(range(0, self.n, CHUNK)):
                 m = min(CHUNK, self.n - i)
                 bit = np.unpackbits(self.chunk(level, k).view(np.uint8), count=m, bitorder="little").view(bool)
-                ones, part = int(np.count_nonzero(bit)), out[i : i + m]
-                part[~bit] = v[low : low + m - ones]
-                part[bit] = v[high : high + ones] | v.dtype.type(1 << (self.width - 1 - level))
+                at, part = np.flatnonzero(bit), out[i : i + m]  # places take half the time of a mask here
+                ones = len(at)
+                part[np.flatnonzero(~bit)] = v[low : low + m - ones]
+                part[at] = v[high : high + ones] | v.dtype.type(1 << (self.width - 1 - level))
                 low, high = low + m - ones, high + ones
             v = out
         return v

@@ -1036,6 +1036,38 @@ def test_pieces_have_the_ids_of_whole_texts(monkeypatch):
     assert [flat[x:y].tolist() for x, y in zip(off[:-1], off[1:], strict=True)] == whole_ids(texts[:50])
 
 
+def test_texts_are_cut_into_words_by_their_bytes(monkeypatch):
+    """Words of ASCII and Latin letters, digits and marks need no pattern: not when they are first met, and not later."""
+    r = random.Random(6)
+    parts = [*[" "] * 6, "\n", "a", "The", "42", "é", "À", "ß", "ȿ", ".", "$$", "_", "`"]
+    texts = ["".join(r.choice(parts) for _ in range(30)) for _ in range(300)]
+    texts = [re.sub(r"\s\s+", " ", x).strip() for x in texts]
+    words, count = tokenise.cut(pa.array(texts, pa.large_string()))
+    assert words.to_pylist() == [w for x in texts for w in tokenise.WORD.findall(x)]
+    assert count.tolist() == [len(tokenise.WORD.findall(x)) for x in texts]
+
+    class Never:
+        def findall(self, text):
+            assert not text, text
+            return []
+
+    monkeypatch.setattr(tokenise, "WORD", Never())
+    e = tokenise.Encoder(open(queries.tokenizer_path()).read())
+    for _ in range(2):
+        flat, off = e.encode(pa.array(texts))
+        assert [flat[x:y].tolist() for x, y in zip(off[:-1], off[1:], strict=True)] == whole_ids(texts)
+
+
+def test_odd_pieces_and_white_space_have_the_ids_of_whole_texts():
+    r = random.Random(7)
+    parts = [*[" "] * 8, *[chr(c) for c in range(1, 0x250)], "×", "÷", "ɀ", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\u0301", "'ll", "'LL", "漢字", "б", "<|endoftext|>"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(12))) for _ in range(4000)]
+    texts += [f"a{x}b {x}c{x} d" for x in parts]
+    e = tokenise.Encoder(open(queries.tokenizer_path()).read())
+    flat, off = e.encode(pa.array(["not read", *texts]).slice(1))
+    assert [flat[x:y].tolist() for x, y in zip(off[:-1], off[1:], strict=True)] == whole_ids(texts)
+
+
 def test_token_files_round_trip(spark, edge, none, tmp_path):
     path = str(tmp_path / "t")
     wavelet.write_tokens(edge, path, queries.tokenizer_path(), 2, shard_bytes=50_000, most_tokens=1000)
