@@ -4,8 +4,8 @@ A byte-level pre-tokenizer always cuts before a single space that stands between
 space. So such a piece, space included, has the same ids wherever it stands. A piece of ASCII and Latin letters, digits and marks, without
 an apostrophe, is cut on into the pre-tokenizer's words, which are its runs of one kind: texts are cut by arrays of their bytes, the words of
 many texts are numbered by Arrow, and only distinct ones are looked at. Another piece stays whole until then; if it is of common letters
-and marks, the pre-tokenizer's own pattern cuts it. Only words that the worker doesn't remember go to the library, many in one call. Texts
-that hold the string of an added token, such as an end mark, go to the library whole: there it is that token.
+and marks, the pre-tokenizer's own pattern cuts it. Only words that the worker doesn't remember go to the library. Texts that
+hold the string of an added token, such as an end mark, go to the library whole: there it is that token.
 
 A tokenizer whose words end with a mark and that drops white space (WordEncoder) is cut at white space. Tokenizers of other kinds
 get the whole texts.
@@ -124,6 +124,18 @@ def pieces_of(text: str) -> list[str]:
     return [first, *(" " + x for x in others)]
 
 
+#: A byte-level vocabulary's character for each byte: its own if it can be seen, else one of those from 256.
+SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+CHARACTER = {x: x for x in SEEN} | {x: 256 + k for k, x in enumerate(sorted(set(range(256)) - set(SEEN)))}
+
+
+def byte_level(word: str) -> str:
+    """A word as a byte-level vocabulary writes it."""
+    if word.isascii() and word.isprintable():
+        return word.replace(" ", "Ġ")
+    return word.encode().decode("latin-1").translate(CHARACTER)
+
+
 class Memory:
     """Words' numbers and, by number, their ids."""
 
@@ -151,11 +163,7 @@ class Encoder:
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not j.get("normalizer") and j["model"]["type"] == "BPE" and not j["model"].get("dropout")
         #: Strings that are tokens of their own, whatever stands around them.
         self.added = [x["content"] for x in j.get("added_tokens", ()) if x["content"]]
-        #: Bytes of each token, as a byte-level vocabulary has one character per byte.
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.bytes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
-        for x, i in vocab.items():
-            self.bytes[i] = len(x)
+        self.model = self.tokenizer.model
         self.memory, self.old = Memory(), Memory()
 
     def vocabulary(self) -> int:
@@ -260,24 +268,12 @@ class Encoder:
         return runs(m.flat, m.ends[number], np.diff(m.ends)[number])
 
     def _by_library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same of new words, RUN of them in a call. Ids end where words end: both are counted in bytes.
-
-        Words with a space before them make a text, which is cut at just these spaces; the others are a list of words.
-        """
-        spaced = np.array([x[0] == " " and len(x) > 1 for x in words], bool)
-        out, count, used = [], np.zeros(len(words), np.int64), 0
-        start = np.zeros(len(words), np.int64)
-        for own, as_list in ((np.flatnonzero(spaced), False), (np.flatnonzero(~spaced), True)):
-            for k in range(0, len(own), RUN):
-                part = own[k : k + RUN]
-                run = [words[i] for i in part.tolist()]
-                ids = np.array(self.tokenizer.encode_batch_fast([run if as_list else "".join(run)], is_pretokenized=as_list, add_special_tokens=False)[0].ids, np.uint32)
-                ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(x.encode()) for x in run])) + 1
-                count[part] = np.diff(ends, prepend=0)
-                start[part] = used + ends - count[part]
-                used += len(ids)
-                out.append(ids)
-        return runs(np.concatenate([np.zeros(0, np.uint32), *out]), start, count)
+        """The same of new words: each is one for the pre-tokenizer, so that only the library's model is asked."""
+        ids, ends = [], [0]
+        for tokens in map(self.model.tokenize, map(byte_level, words)):
+            ids += [x.id for x in tokens]
+            ends.append(len(ids))
+        return np.array(ids, np.uint32), np.array(ends, np.int64)
 
 
 #: Fixed pattern of the pre-tokenizer that keeps words and drops white space, and the end of a word in its vocabulary.
